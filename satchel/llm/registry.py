@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from .chat_format import OP8_SQL, op8_chat_format
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .token_counts import op9_token_counts
 
 
 def queries() -> dict:
     return {
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_chat_format": op8_chat_format,
+        "op9_token_counts": op9_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_exact_dedup": OP6_SQL,
+        "op8_chat_format": OP8_SQL,
     }
