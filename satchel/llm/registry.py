@@ -6,11 +6,13 @@ import corpus_pipeline
 
 from .chat_format import OP8_SQL, op8_chat_format
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .mixing import op4_mix_sources
 from .token_counts import op9_token_counts
 
 
 def queries() -> dict:
     return {
+        "op4_mix_sources": op4_mix_sources,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_chat_format": op8_chat_format,
         "op9_token_counts": op9_token_counts,
