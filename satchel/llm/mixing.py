@@ -16,6 +16,8 @@ from .scratch import stored
 MOST = 3
 #: Documents of a source that one flight phase moves together.
 BLOCK = 2048
+#: Documents of a source's last block that are left to the landing, beside the two that its flight may leave.
+HELD = 12
 EPS = 1e-9
 
 
@@ -78,14 +80,15 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     return np.array(p)
 
 
-def landing(p: np.ndarray, size: np.ndarray, want: float) -> np.ndarray:
-    """Round the few fractional entries so that the words taken come nearest to `want`; ties take fewer."""
+def landing(p: np.ndarray, size: np.ndarray, words: float, count: float) -> np.ndarray:
+    """Round the few fractional entries: of all ways to do so, the one whose taken words come nearest to `words`,
+    then whose count comes nearest to `count`."""
     p = p.copy()
     open_ = np.flatnonzero((p > 0) & (p < 1))
-    have = float((p * size).sum() - (p[open_] * size[open_]).sum())
-    best = min(range(2 ** len(open_)), key=lambda m: (abs(have + sum(float(size[k]) for j, k in enumerate(open_) if m >> j & 1) - want), m))
-    for j, k in enumerate(open_):
-        p[k] = float(best >> j & 1)
+    ways = (np.arange(2 ** len(open_))[:, None] >> np.arange(len(open_))) & 1
+    p[open_] = 0
+    off = np.abs(ways @ size[open_] + (p * size).sum() - words)
+    p[open_] = ways[np.lexsort((np.abs(ways.sum(1) + p.sum() - count), off))[0]]
     return p
 
 
@@ -114,12 +117,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = rest.schema
 
     def fly(key, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["size", "order", "id"], ascending=[False, True, True], kind="stable")  # small documents stay open longest: little is left to land
+        part = part.sort_values(["order", "id", "size"], kind="stable")
         rng = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode()), int(key[1])])
         p, size = part["p"].to_numpy(float), part["size"].to_numpy(float)
-        out = flight(p, size, rng)
-        if key[2] == 1:
-            out = landing(out, size, float((p * size).sum()))
+        if key[2] == 1:  # the source's last block: a few documents stay out of the flight, for the landing to choose among
+            out = p.copy()
+            out[:-HELD] = flight(p[:-HELD], size[:-HELD], rng)
+            out = landing(out, size, float((p * size).sum()), float(p.sum()))
+        else:
+            out = flight(p, size, rng)
         return part.assign(p=out)
 
     done = []
