@@ -8,12 +8,14 @@ from .chat_format import OP8_SQL, op8_chat_format
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .mixing import op4_mix_sources
 from .token_counts import op9_token_counts
+from .warc import OP7_SQL, op7_warc
 
 
 def queries() -> dict:
     return {
         "op4_mix_sources": op4_mix_sources,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_warc": op7_warc,
         "op8_chat_format": op8_chat_format,
         "op9_token_counts": op9_token_counts,
     }
@@ -22,5 +24,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_exact_dedup": OP6_SQL,
+        "op7_warc": OP7_SQL,
         "op8_chat_format": OP8_SQL,
     }
