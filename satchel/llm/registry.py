@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from .chat_format import OP8_SQL, op8_chat_format
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .jaccard_join import op1_jaccard_join
 from .language_id import op2_language_id
 from .mixing import op4_mix_sources
 from .token_counts import op9_token_counts
@@ -14,6 +15,7 @@ from .warc import OP7_SQL, op7_warc
 
 def queries() -> dict:
     return {
+        "op1_jaccard_join": op1_jaccard_join,
         "op2_language_id": op2_language_id,
         "op4_mix_sources": op4_mix_sources,
         "op6_exact_dedup": op6_exact_dedup,
