@@ -206,7 +206,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_key = Window.partitionBy("key")
     keyed = key_rows(docs.where("id is not null"), frequent)
     keyed = keyed.select("key", "set_id", F.min("set_id").over(by_key).alias("lead"), F.max("set_id").over(by_key).alias("last"))
-    buckets = stored(keyed.where("lead < last").select("key", "set_id", "lead"), "buckets")
+    buckets = stored(keyed.where("lead < last").select("key", "set_id"), "buckets")
     reps = stored(reps.join(buckets.select("set_id").distinct(), "set_id", "left_semi"), "reps")
     wanted = reps.select(F.col("rep").alias("id"))
     texts = maybe_in(docs, F.col("id"), wanted).join(wanted, "id", "left_semi")
@@ -215,26 +215,39 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     as_pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     links = tested = comp = None
+    led = F.lit(False)
     for round_no in range(STARS + 1):
         if round_no:
             label = F.coalesce(F.col("component"), F.col("set_id")).alias("comp")
-            open_ = buckets.drop("comp").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").select("key", "set_id", label)
-            open_ = open_.select("*", F.min("comp").over(by_key).alias("lo"), F.max("comp").over(by_key).alias("hi"), F.min_by("set_id", F.xxhash64("set_id", F.lit(round_no))).over(by_key).alias("lead"), F.min_by("comp", F.xxhash64("set_id", F.lit(round_no))).over(by_key).alias("lead_comp"))
-            buckets = stored(open_.where("lo < hi").select("key", "set_id", "comp", "lead", "lead_comp"), "buckets")
-            if buckets.isEmpty():
-                break
+            open_ = buckets.drop("comp").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").select("key", "set_id", label, "led", "weight")
+            open_ = open_.select("*", F.min("comp").over(by_key).alias("lo"), F.max("comp").over(by_key).alias("hi"))
+            buckets, led = open_.where("lo < hi").drop("lo", "hi"), F.col("led")
         if round_no == STARS:
+            buckets = stored(buckets, "buckets")
             other = buckets.select("key", F.col("set_id").alias("other"), F.col("comp").alias("other_comp"))
             pairs = buckets.join(other, "key").where("comp < other_comp").select(*as_pair(F.col("set_id"), F.col("other")))
         else:
-            pairs = buckets.where("set_id <> lead" + (" and comp <> lead_comp" if round_no else "")).select(*as_pair(F.col("set_id"), F.col("lead")))
+            # The member that meets most others leads: of a text and its edited copies, that is the text.
+            if not round_no:
+                met = buckets.select("set_id", F.count(F.lit(1)).over(by_key).alias("met")).groupBy("set_id").agg(F.sum("met").alias("weight"))
+                buckets = buckets.join(met, "set_id").withColumn("comp", F.col("set_id"))
+            first = F.struct(~led, F.col("weight"), F.xxhash64("set_id"), F.col("set_id"), F.col("comp"))
+            buckets = buckets.withColumn("top", F.max(first).over(by_key))
+            buckets = buckets.select("key", "set_id", "comp", "weight", F.col("top.set_id").alias("lead"), F.col("top.comp").alias("lead_comp"), (led | (F.col("set_id") == F.col("top.set_id"))).alias("led"))
+            buckets = stored(buckets, "buckets")
+            pairs = buckets.where("set_id <> lead and comp <> lead_comp").select(*as_pair(F.col("set_id"), F.col("lead")))
+        if buckets.isEmpty():
+            break
         pairs = pairs.distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = stored(_verified(pairs, sketches, sets), "links")
         links = found if links is None else links.unionByName(found)
         comp = components(links)
-    reached = real.groupBy("set_id").agg(F.min("id").alias("rep")).join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("component"), "rep")
+    reached = real.groupBy("set_id").agg(F.min("id").alias("rep"))
+    if comp is None:
+        comp = reached.select(F.col("set_id").alias("id"), F.col("set_id").alias("component")).limit(0)
+    reached = reached.join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("component"), "rep")
     least = reached.groupBy("component").agg(F.min("rep").alias("component_id"))
     names = reached.select("set_id", "component").join(least, "component").select("set_id", "component_id")
     out = rows.drop("sketch").join(names, "set_id", "left")
