@@ -24,6 +24,8 @@ from .tokens import U, hash_shingles, mix, texts_words
 
 #: Bits of the sketch that pairs are held against, in 64-bit words.
 SKETCH_WORDS = 32
+#: Words that a sketch is folded into (XOR keeps the lower bound) where it travels with bucket rows.
+FOLDED = 4
 #: Sets smaller than this have one part for each element.
 SMALL = 64
 #: Shingles that are taken as frequent, at most, for the shared order of parts: the most frequent ones. 2 MB.
@@ -223,9 +225,14 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             open_ = open_.select("*", F.min("comp").over(by_key).alias("lo"), F.max("comp").over(by_key).alias("hi"))
             buckets, led = open_.where("lo < hi").drop("lo", "hi"), F.col("led")
         if round_no == STARS:
-            buckets = stored(buckets, "buckets")
-            other = buckets.select("key", F.col("set_id").alias("other"), F.col("comp").alias("other_comp"))
-            pairs = buckets.join(other, "key").where("comp < other_comp").select(*as_pair(F.col("set_id"), F.col("other")))
+            # All that is left. A folded sketch goes along, so that the join itself gives only pairs that may link.
+            fold = [F.reduce(F.array(*[F.col("sketch")[j] for j in range(i, SKETCH_WORDS, FOLDED)]), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)).alias(f"f{i}") for i in range(FOLDED)]
+            mine = stored(buckets.join(sketches.select("set_id", "n", *fold), "set_id").drop("weight", "led"), "buckets")
+            other = mine.select("key", *[F.col(c).alias(f"{c}_") for c in mine.columns if c != "key"])
+            apart = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"f{i}_"))) for i in range(FOLDED)), F.lit(0))
+            may = (F.col("comp") < F.col("comp_")) & (4 * F.least("n", "n_") >= 3 * F.greatest("n", "n_")) & (apart * 7 <= F.col("n") + F.col("n_"))
+            pairs = mine.join(other, (mine["key"] == other["key"]) & may).select(*as_pair(F.col("set_id"), F.col("set_id_")))
+            buckets = mine
         else:
             # The member that meets most others leads: of a text and its edited copies, that is the text.
             if not round_no:
