@@ -109,7 +109,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     targets = stored(source_targets(sized), "targets")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(0.0)
     t = targets.withColumns({"rate": rate, "base": F.floor(rate + EPS).cast("long"), "src": F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))})
-    t = t.select(F.col("source").alias("s"), "src", "source_size", "target", "base", F.greatest(F.col("rate") - F.col("base"), F.lit(0.0)).alias("p"))
+    t = t.select(F.col("source").alias("s"), "src", F.ceil(F.col("docs") / BLOCK).cast("long").alias("blocks"), "source_size", "target", "base", F.greatest(F.col("rate") - F.col("base"), F.lit(0.0)).alias("p"))
     rows = sized.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = rows.withColumn("order", F.xxhash64("id", "size", F.lit(seed)))
     settled = rows.where(F.col("p") <= EPS).withColumn("pick", F.lit(0).cast("long"))
@@ -130,9 +130,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     done = []
     for round_no in range(12):
-        blocks = rest.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-        dealt = rest.join(blocks, "src").withColumn("block", F.pmod(F.xxhash64("order", F.lit(round_no)), F.col("blocks")))
-        flown = dealt.groupBy("src", "block", "blocks").applyInPandas(lambda key, part: fly(key, part).drop(columns=["block", "blocks"]), schema)
+        if round_no:  # few rows by now; at first a source's blocks follow from its documents, without a join on a hot source
+            blocks = rest.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+            rest = rest.drop("blocks").join(blocks, "src").select(*schema.names)
+        dealt = rest.withColumn("block", F.pmod(F.xxhash64("order", F.lit(round_no)), F.col("blocks")))
+        flown = dealt.groupBy("src", "block", "blocks").applyInPandas(lambda key, part: fly(key, part).drop(columns="block"), schema)
         flown = stored(flown.select(*schema.names), f"flown{round_no}")
         done.append(flown.where("p in (0.0, 1.0)").withColumn("pick", F.col("p").cast("long")))
         rest = flown.where("p not in (0.0, 1.0)")
