@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .chat_format import OP8_SQL, op8_chat_format
+from .decontaminate import op5_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .jaccard_join import op1_jaccard_join
 from .language_id import op2_language_id
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op1_jaccard_join": op1_jaccard_join,
         "op2_language_id": op2_language_id,
         "op4_mix_sources": op4_mix_sources,
+        "op5_decontaminate": op5_decontaminate,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_warc": op7_warc,
         "op8_chat_format": op8_chat_format,
