@@ -86,15 +86,22 @@ def _retrieved(index: Index, window: np.ndarray, term: np.ndarray) -> Iterator[t
     at = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
     bound = np.add.reduceat(index.block_max[term], at, axis=0)
     live = bound >= RETRIEVE
-    ends = np.append(at[1:], len(window))
-    for k in np.flatnonzero(live.any(1)):
-        ts = term[at[k] : ends[k]]
-        postings = np.concatenate([np.arange(index.post_at[t], index.post_at[t + 1]) for t in ts])
-        item = index.post_item[postings]
-        open_ = live[k][item // BLOCK]
-        score = np.bincount(item[open_], index.post_weight[postings[open_]], minlength=len(index.ids))
-        for i in np.flatnonzero(score >= RETRIEVE):
-            yield int(window[at[k]]), int(i), float(score[i])
+    of = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(window))))
+    rows, n = np.flatnonzero(live.any(1)), len(index.ids)
+    step = max(1, 4_000_000 // n)
+    for begin in range(0, len(rows), step):
+        some = rows[begin : begin + step]
+        local = np.full(len(at), -1)
+        local[some] = np.arange(len(some))
+        mine = local[of] >= 0
+        ts, w = term[mine], local[of[mine]]
+        size = index.post_at[ts + 1] - index.post_at[ts]
+        posting = np.arange(size.sum()) + np.repeat(index.post_at[ts] - np.cumsum(size) + size, size)
+        w, item = np.repeat(w, size), index.post_item[posting]
+        open_ = live[some[w], item // BLOCK]
+        score = np.bincount(w[open_] * n + item[open_], index.post_weight[posting[open_]], minlength=len(some) * n)
+        for x in np.flatnonzero(score >= RETRIEVE):
+            yield int(window[at[some[x // n]]]), int(x % n), float(score[x])
 
 
 def find_leaks(texts: pa.Array, index: Index) -> list[list[dict]]:
