@@ -1,12 +1,62 @@
-"""A cleaning pipeline of training text over the documents table."""
+"""A cleaning pipeline of training text: each stage takes what the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from satchel.llm.decontaminate import with_leaks
+from satchel.llm.exact_dedup import drop_copies
+from satchel.llm.jaccard_join import jaccard_groups
+from satchel.llm.language_id import UNKNOWN, fit, held_out, language
+from satchel.llm.mixing import mix_sources
+from satchel.llm.scratch import stored
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; texts that are null or have no letter go. The model learns from these documents."""
+    model = fit(docs.where(~held_out(F.col("doc_id"))))
+    if model is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return docs.withColumn("__lang", language(F.col("text"), model)["lang"]).where(F.col("__lang") != UNKNOWN).drop("__lang")
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the smallest id."""
+    return drop_copies(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest id; documents without an id stay."""
+    gone = jaccard_groups(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark table."""
+    found = with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out="__leaks")
+    return found.where(F.size("__leaks") == 0).drop("__leaks")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with how often (repeats) and how many words that makes (taken)."""
+    mix = mix_sources(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("repeats").alias("repeats"), F.max("taken").alias("taken")).where("repeats > 0")
+    return docs.join(mix, docs["doc_id"].eqNullSafe(mix["__id"])).drop("__id")
+
+
+STAGES = [
+    ("language", known_language),
+    ("exact_dedup", without_copies),
+    ("near_dedup", without_near_copies),
+    ("decontaminate", without_benchmark),
+    ("mix", mixed),
+]
+#: Language and near-duplicate decisions aren't SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

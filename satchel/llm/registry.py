@@ -16,6 +16,7 @@ from .warc import OP7_SQL, op7_warc
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_jaccard_join": op1_jaccard_join,
         "op2_language_id": op2_language_id,
         "op4_mix_sources": op4_mix_sources,
