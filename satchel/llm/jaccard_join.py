@@ -31,7 +31,7 @@ SMALL = 64
 #: Shingles that are taken as frequent, at most, for the shared order of parts: the most frequent ones. 2 MB.
 FREQUENT = 1 << 18
 #: Rounds in which each member of a bucket is compared with one member, before all that is left is compared.
-STARS = 3
+STARS = 2
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -170,14 +170,21 @@ def _set_batch(names: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_signed(np.array(names, U)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(np.concatenate(sets)))], ["set_id", "shingles"])
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b), those whose sets link."""
-    side = lambda df, x, *cols: df.select(F.col("set_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
-    p = pairs.join(side(sketches, "a", "n", "sketch"), "a").join(side(sketches, "b", "n", "sketch"), "b")
+def _side(df: DataFrame, x: str, *cols: str) -> DataFrame:
+    return df.select(F.col("set_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
+
+
+def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Of distinct pairs (a, b), those whose sizes and sketches leave a link possible."""
+    p = pairs.join(_side(sketches, "a", "n", "sketch"), "a").join(_side(sketches, "b", "n", "sketch"), "b")
     p = p.where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
     apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    p = p.where(apart * 7 <= F.col("n_a") + F.col("n_b")).select("a", "b", "n_a", "n_b")
-    p = p.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
+    return p.where(apart * 7 <= F.col("n_a") + F.col("n_b")).select("a", "b", "n_a", "n_b")
+
+
+def _verified(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of near pairs, those whose sets link."""
+    p = near.join(_side(sets, "a", "shingles"), "a").join(_side(sets, "b", "shingles"), "b")
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return p.where(100 * both >= 75 * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
@@ -210,9 +217,6 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = keyed.select("key", "set_id", F.min("set_id").over(by_key).alias("lead"), F.max("set_id").over(by_key).alias("last"))
     buckets = stored(keyed.where("lead < last").select("key", "set_id"), "buckets")
     reps = stored(reps.join(buckets.select("set_id").distinct(), "set_id", "left_semi"), "reps")
-    wanted = reps.select(F.col("rep").alias("id"))
-    texts = maybe_in(docs, F.col("id"), wanted).join(wanted, "id", "left_semi")
-    sets = stored(whole_sets(texts).dropDuplicates(["set_id"]), "shingles")
     sketches = reps.select("set_id", "n", "sketch")
 
     as_pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -248,7 +252,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         pairs = pairs.distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = stored(_verified(pairs, sketches, sets), "links")
+        near = stored(_near(pairs, sketches), "near")
+        # Whole sets are made again only for what is near; a bitmap of their documents spares texts a shuffle.
+        named = near.select(F.col("a").alias("set_id")).unionAll(near.select("b")).distinct()
+        wanted = reps.join(named, "set_id", "left_semi").select(F.col("rep").alias("id"))
+        sets = stored(whole_sets(maybe_in(docs, F.col("id"), wanted)), "shingles")
+        found = stored(_verified(near, sets).distinct(), "links")
         links = found if links is None else links.unionByName(found)
         comp = components(links)
     reached = real.groupBy("set_id").agg(F.min("id").alias("rep"))
