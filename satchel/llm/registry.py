@@ -9,6 +9,7 @@ from .decontaminate import op5_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .jaccard_join import op1_jaccard_join
 from .language_id import op2_language_id
+from .line_dedup import op10_line_dedup
 from .mixing import op4_mix_sources
 from .token_counts import op9_token_counts
 from .warc import OP7_SQL, op7_warc
@@ -25,6 +26,7 @@ def queries() -> dict:
         "op7_warc": op7_warc,
         "op8_chat_format": op8_chat_format,
         "op9_token_counts": op9_token_counts,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
