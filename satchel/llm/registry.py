@@ -11,6 +11,7 @@ from .jaccard_join import op1_jaccard_join
 from .language_id import op2_language_id
 from .line_dedup import op10_line_dedup
 from .mixing import op4_mix_sources
+from .substring_dedup import op3_substring_dedup
 from .token_counts import op9_token_counts
 from .warc import OP7_SQL, op7_warc
 
@@ -20,6 +21,7 @@ def queries() -> dict:
         "pipeline": corpus_pipeline.run,
         "op1_jaccard_join": op1_jaccard_join,
         "op2_language_id": op2_language_id,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_mix_sources": op4_mix_sources,
         "op5_decontaminate": op5_decontaminate,
         "op6_exact_dedup": op6_exact_dedup,
