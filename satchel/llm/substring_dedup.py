@@ -23,11 +23,12 @@ _END = np.zeros(256, bool)
 _END[[0x21, 0x2E, 0x3F]] = True
 
 
-def _paragraphs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _paragraphs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, words: np.ndarray) -> np.ndarray:
     """First word of each paragraph (and each text's first word): a sentence with the short sentences before it.
 
-    A sentence starts after a word that ends in . ! or ?, after a line's end, or with a capital letter, so a passage
-    that was put anywhere into a text falls back into its own paragraphs after its first long sentence.
+    A sentence starts after a word that ends in . ! or ?, after a line's end, or with a capital letter; long ones are also
+    cut before one word in sixteen, by the word's hash. So a passage that was put anywhere into a text falls back
+    into its own paragraphs after a few words.
     """
     n = len(starts)
     if not n:
@@ -38,6 +39,7 @@ def _paragraphs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.n
     cut[1:] |= _END[data[ends[:-1] - 1]]
     lines = np.append(0, np.cumsum(data == 0x0A))
     cut[1:] |= lines[starts[1:]] > lines[ends[:-1]]
+    cut |= (words & U(15)) == 0
     text_start = np.zeros(n, bool)
     text_start[at[:-1][at[:-1] < at[1:]]] = True
     out, last = [], -MIN_WORDS
@@ -54,7 +56,7 @@ def _texts_paragraphs(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, n
         data, offsets = text_bytes(part)
         starts, ends, at = word_spans(data, offsets)
         words = hash_words(data, starts, ends)
-        p = _paragraphs(data, starts, ends, at)
+        p = _paragraphs(data, starts, ends, at, words)
         row = np.searchsorted(at, p, side="right") - 1
         stop = np.minimum(np.append(p[1:], len(words)), at[row + 1])
         for r, i, j in zip(row.tolist(), p.tolist(), stop.tolist()):
