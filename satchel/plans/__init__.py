@@ -1 +1,6 @@
-"""Part of satchel; see README."""
+"""The registered queries and their SQL."""
+
+from . import columns  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
