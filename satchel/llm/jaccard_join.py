@@ -22,10 +22,8 @@ from .membership import maybe_in
 from .scratch import stored
 from .tokens import U, hash_shingles, mix, texts_words
 
-#: Bits of the sketch that pairs are held against, in 64-bit words.
+#: A sketch has this many 64-bit words, or 4 bits for each element of the size band's smallest set if that is more.
 SKETCH_WORDS = 32
-#: Words that a sketch is folded into (XOR keeps the lower bound) where it travels with bucket rows.
-FOLDED = 4
 #: Sets smaller than this have one part for each element.
 SMALL = 64
 #: Shingles that are taken as frequent, at most, for the shared order of parts: the most frequent ones. 2 MB.
@@ -45,8 +43,9 @@ def set_id(shingles: np.ndarray) -> np.uint64:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parity bits: each element flips one."""
-    bit = np.bincount((shingles & U(SKETCH_WORDS * 64 - 1)).astype(np.int64), minlength=SKETCH_WORDS * 64) & 1
+    """Parity bits: each element flips one. A wide sketch folds by XOR of its halves into that of half the width."""
+    bits = 64 * max(SKETCH_WORDS, 2 ** (len(shingles).bit_length() - 5) if len(shingles) >= 1024 else 0)
+    bit = np.bincount((shingles & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(bit.astype(np.uint8)).view(U)
 
 
@@ -112,7 +111,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 yield common(pool)
             if ns:
                 flat = _signed(np.concatenate(sketches))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ns) + 1) * SKETCH_WORDS, pa.int32()), flat)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sketches)]), pa.int32()), flat)
                 none = pa.nulls(len(ns), pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), _signed(np.array(ids, U)), lists, none, none], names)
 
@@ -178,7 +177,10 @@ def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b), those whose sizes and sketches leave a link possible."""
     p = pairs.join(_side(sketches, "a", "n", "sketch"), "a").join(_side(sketches, "b", "n", "sketch"), "b")
     p = p.where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    width = F.least(F.size("sketch_a"), F.size("sketch_b"))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    halved = lambda c: F.when(F.size(c) > width, F.zip_with(F.slice(c, 1, width), F.slice(c, width + 1, width), xor)).otherwise(F.col(c))
+    apart = F.aggregate(F.zip_with(halved("sketch_a"), halved("sketch_b"), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda s, x: s + x)
     return p.where(apart * 7 <= F.col("n_a") + F.col("n_b")).select("a", "b", "n_a", "n_b")
 
 
@@ -221,19 +223,19 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     as_pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     links = tested = comp = None
-    led = F.lit(False)
     for round_no in range(STARS + 1):
         if round_no:
             label = F.coalesce(F.col("component"), F.col("set_id")).alias("comp")
             open_ = buckets.drop("comp").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").select("key", "set_id", label, "led", "weight")
-            open_ = open_.select("*", F.min("comp").over(by_key).alias("lo"), F.max("comp").over(by_key).alias("hi"))
-            buckets, led = open_.where("lo < hi").drop("lo", "hi"), F.col("led")
+            # A member that has led is done with; so is a bucket whose other members are all linked, or are one.
+            open_ = open_.where("not led").select("*", F.min("comp").over(by_key).alias("lo"), F.max("comp").over(by_key).alias("hi"))
+            buckets = open_.where("lo < hi").drop("lo", "hi", "led")
         if round_no == STARS:
-            # All that is left. A folded sketch goes along, so that the join itself gives only pairs that may link.
-            fold = [F.reduce(F.array(*[F.col("sketch")[j] for j in range(i, SKETCH_WORDS, FOLDED)]), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)).alias(f"f{i}") for i in range(FOLDED)]
-            mine = stored(buckets.join(sketches.select("set_id", "n", *fold), "set_id").drop("weight", "led"), "buckets")
+            # All that is left. Sketches, folded to the least width, go along: the join itself gives only pairs that may link.
+            fold = F.transform(F.sequence(F.lit(0), F.lit(SKETCH_WORDS - 1)), lambda i: F.aggregate(F.filter("sketch", lambda x, k: k % SKETCH_WORDS == i), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)))
+            mine = stored(buckets.join(sketches.select("set_id", "n", fold.alias("f")), "set_id").drop("weight"), "buckets")
             other = mine.select("key", *[F.col(c).alias(f"{c}_") for c in mine.columns if c != "key"])
-            apart = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"f{i}_"))) for i in range(FOLDED)), F.lit(0))
+            apart = sum((F.bit_count(F.col("f")[i].bitwiseXOR(F.col("f_")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
             may = (F.col("comp") < F.col("comp_")) & (4 * F.least("n", "n_") >= 3 * F.greatest("n", "n_")) & (apart * 7 <= F.col("n") + F.col("n_"))
             pairs = mine.join(other, (mine["key"] == other["key"]) & may).select(*as_pair(F.col("set_id"), F.col("set_id_")))
             buckets = mine
@@ -242,9 +244,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if not round_no:
                 met = buckets.select("set_id", F.count(F.lit(1)).over(by_key).alias("met")).groupBy("set_id").agg(F.sum("met").alias("weight"))
                 buckets = buckets.join(met, "set_id").withColumn("comp", F.col("set_id"))
-            first = F.struct(~led, F.col("weight"), F.xxhash64("set_id"), F.col("set_id"), F.col("comp"))
+            first = F.struct(F.col("weight"), F.xxhash64("set_id"), F.col("set_id"), F.col("comp"))
             buckets = buckets.withColumn("top", F.max(first).over(by_key))
-            buckets = buckets.select("key", "set_id", "comp", "weight", F.col("top.set_id").alias("lead"), F.col("top.comp").alias("lead_comp"), (led | (F.col("set_id") == F.col("top.set_id"))).alias("led"))
+            buckets = buckets.select("key", "set_id", "comp", "weight", F.col("top.set_id").alias("lead"), F.col("top.comp").alias("lead_comp"), (F.col("set_id") == F.col("top.set_id")).alias("led"))
             buckets = stored(buckets, "buckets")
             pairs = buckets.where("set_id <> lead and comp <> lead_comp").select(*as_pair(F.col("set_id"), F.col("lead")))
         if buckets.isEmpty():
