@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from . import columns, tagging  # noqa: F401
+from . import activity, columns, tagging  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

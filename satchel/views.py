@@ -51,7 +51,7 @@ SELECT doc_id AS id, doc_id AS link_id, CASE doc_id % 3 WHEN 0 THEN 'scrape' WHE
 UNION ALL SELECT doc_id + 1000000, doc_id, 'tag', CASE WHEN doc_id % 10 = 0 THEN 'pending' ELSE 'failed' END, doc_id % 4, 1706659200 + (doc_id % 5 - 2) * 60 FROM {documents} WHERE doc_id % 5 = 0""",
     "recognition": """
 SELECT event_id AS id, user_id AS link_id, user_id % 2 AS rung, EPOCH(ts) AS shown_at, CASE WHEN event_id % 3 = 0 THEN EPOCH(ts) + 30 END AS tapped_at FROM {events} WHERE event_type = 'view'""",
-    "saves": "SELECT event_id, user_id, EPOCH(ts) AS at FROM {events} WHERE event_type = 'purchase'",
+    "saves": "SELECT event_id, user_id, EPOCH(ts) AS saved_at FROM {events} WHERE event_type = 'purchase'",
     "page_links": r"""
 SELECT page_id AS id, url, html, lower(regexp_extract(url, '^[a-zA-Z]+://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
   1704067200 + (page_id * 7919 * 61) % 2592000 AS created_at FROM {pages}""",
