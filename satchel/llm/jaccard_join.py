@@ -29,7 +29,7 @@ SMALL = 64
 #: Shingles that are taken as frequent, at most, for the shared order of parts: the most frequent ones. 2 MB.
 FREQUENT = 1 << 18
 #: Rounds in which each member of a bucket is compared with one member, before all that is left is compared.
-STARS = 2
+STARS = 1
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -217,7 +217,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_key = Window.partitionBy("key")
     keyed = key_rows(docs.where("id is not null"), frequent)
     keyed = keyed.select("key", "set_id", F.min("set_id").over(by_key).alias("lead"), F.max("set_id").over(by_key).alias("last"))
-    buckets = stored(keyed.where("lead < last").select("key", "set_id"), "buckets")
+    keyed = keyed.where("lead < last").select("key", "set_id").distinct()
+    # Buckets with the same members ask for the same comparisons: one of them is kept.
+    keyed = keyed.select("key", "set_id", F.expr("bit_xor(xxhash64(set_id)) OVER (PARTITION BY key)").alias("sig"), F.count(F.lit(1)).over(by_key).alias("members"))
+    keyed = keyed.select("key", "set_id", F.min("key").over(Window.partitionBy("sig", "members")).alias("one"))
+    buckets = stored(keyed.where("key = one").select("key", "set_id"), "buckets")
     reps = stored(reps.join(buckets.select("set_id").distinct(), "set_id", "left_semi"), "reps")
     sketches = reps.select("set_id", "n", "sketch")
 
@@ -260,8 +264,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         wanted = reps.join(named, "set_id", "left_semi").select(F.col("rep").alias("id"))
         sets = stored(whole_sets(maybe_in(docs, F.col("id"), wanted)), "shingles")
         found = stored(_verified(near, sets).distinct(), "links")
-        links = found if links is None else links.unionByName(found)
-        comp = components(links)
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            comp = components(links)
     reached = real.groupBy("set_id").agg(F.min("id").alias("rep"))
     if comp is None:
         comp = reached.select(F.col("set_id").alias("id"), F.col("set_id").alias("component")).limit(0)
