@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -45,7 +45,7 @@ _PARTICLE = "(" + "|".join(PARTICLES) + ")$"
 @F.arrow_udf(StringType())
 def _nfc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for b in batches:
-        yield pc.utf8_normalize(b, form="NFC")
+        yield pa.array([t and unicodedata.normalize("NFC", t) for t in b.to_pylist()], pa.string())
 
 
 def nfc(c: Column) -> Column:
@@ -57,6 +57,12 @@ def needs_nfc(c: Column) -> Column:
     return c.rlike("[\\u0300-\\u036f\\u1100-\\u11ff]")
 
 
+def composed(df: DataFrame, *cols: str) -> DataFrame:
+    """df with the columns in composed form. Only rows that hold combining marks or Hangul letters meet Python."""
+    loose = F.coalesce(F.greatest(F.lit(False), *[needs_nfc(F.col(c)) for c in cols]), F.lit(False))
+    return df.where(~loose).unionByName(df.where(loose).withColumns({c: nfc(F.col(c)) for c in cols}))
+
+
 def normalize_token(c: Column) -> Column:
     """Edges that are neither letter nor number go, lower case, one particle goes if two characters stay; only the longest particle is tried."""
     low = F.lower(F.regexp_replace(c, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))

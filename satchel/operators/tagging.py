@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import confidence, idf_multiplier
-from ..functions.tokens import has_hangul, tokenize
+from ..functions.tokens import composed, has_hangul, tokenize
 from ..functions.urls import host_suffixes
 
 #: Weight of a field's matches; the domain's is per mapped tag (fixed values).
@@ -103,7 +103,10 @@ def top_tags(scores: DataFrame, k: int = 3, threshold: float = THRESHOLD) -> Dat
     return scores.where(F.col("score") >= threshold).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("confidence", confidence(F.col("score")))
 
 
-def tag_corpus(links: DataFrame, surfaces: DataFrame, domain_map: DataFrame, df: DataFrame | None = None, *, k: int = 3, fields: dict[str, str] | None = None) -> DataFrame:
+def tag_corpus(links: DataFrame, surfaces: DataFrame, domain_map: DataFrame, df: DataFrame | None = None, *, k: int = 3, fields: dict[str, str] | None = None, compose: bool = False) -> DataFrame:
+    """compose: bring the texts into composed form first, for archives that may hold decomposed Hangul."""
+    if compose:
+        links = composed(links, "title", "keywords", "description", "note", "body_text")
     compiled = compile_surfaces(surfaces)
     ids = small(surfaces.select("tag_id", "tag").distinct())
     hits = domain_tags(links, domain_map).join(ids, "tag")
