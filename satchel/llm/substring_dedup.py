@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .membership import maybe_in
 from .scratch import stored
-from .tokens import U, blocks, hash_shingles, hash_words, mix, text_bytes, word_spans
+from .tokens import SHINGLE, U, _PLACE, _tables, blocks, hash_words, mix, text_bytes, word_spans
 
 #: Words that a paragraph has at least, and that a run of repeated paragraphs needs before it counts.
 MIN_WORDS, MIN_RUN = 8, 25
@@ -50,34 +51,53 @@ def _paragraphs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.n
     return np.array(out, np.int64)
 
 
-def _texts_paragraphs(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(row, first word, name, shingles) of every paragraph of at least MIN_WORDS words; equal word sequences have equal names."""
+@dataclass
+class Block:
+    """The paragraphs of at least MIN_WORDS words of some texts, all at once."""
+
+    row: np.ndarray  # of the text
+    first_word: np.ndarray
+    words: np.ndarray  # how many
+    name: np.ndarray  # equal word sequences have equal names
+    shingles: np.ndarray  # of all words in a row; a paragraph's are those from `start` on, words - 4 of them
+    start: np.ndarray
+
+
+def _paragraph_blocks(texts: pa.Array) -> Iterator[Block]:
     for begin, part in blocks(texts):
         data, offsets = text_bytes(part)
         starts, ends, at = word_spans(data, offsets)
         words = hash_words(data, starts, ends)
         p = _paragraphs(data, starts, ends, at, words)
         row = np.searchsorted(at, p, side="right") - 1
-        stop = np.minimum(np.append(p[1:], len(words)), at[row + 1])
-        for r, i, j in zip(row.tolist(), p.tolist(), stop.tolist()):
-            if j - i >= MIN_WORDS:
-                yield begin + r, i - int(at[r]), words[i:j], hash_shingles(words[i:j])
-
-
-def _name(words: np.ndarray) -> np.uint64:
+        stop = np.minimum(np.append(p[1:], len(words))[: len(p)], at[row + 1])
+        keep = stop - p >= MIN_WORDS
+        i, j, row = p[keep], stop[keep], row[keep]
+        if not len(i):
+            continue
+        up, down = _tables(len(words) + 1)
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(words) + 1, U)
+            np.cumsum(mix(words) * up[: len(words)], out=total[1:])
+            name = mix((total[j] - total[i]) * down[i] + (j - i).astype(U))
+            n = len(words) - SHINGLE + 1
+            shingles = words[:n] * _PLACE[0]
+            for k in range(1, SHINGLE):
+                shingles += words[k : n + k] * _PLACE[k]
+        yield Block(begin + row, i - at[row], j - i, name, mix(shingles), i)
+
+
+def _bands(b: Block, some: np.ndarray) -> np.ndarray:
+    """[paragraphs, BANDS] band keys of some of a block's paragraphs."""
+    start, stop = b.start[some], b.start[some] + b.words[some] - SHINGLE + 1
+    edges = np.column_stack([start, stop]).ravel()
     with np.errstate(over="ignore"):
-        return mix(np.array([(mix(words + np.arange(1, len(words) + 1, dtype=U) * _SEEDS[0])).sum(dtype=U)]))[0]
-
-
-def _bands(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """[paragraphs, BANDS] band keys of many paragraphs' shingles at once."""
-    with np.errstate(over="ignore"):
-        low = [np.minimum.reduceat(mix(flat * s), at) for s in _SEEDS]
+        low = [np.minimum.reduceat(np.append(mix(b.shingles * s), U(0)), edges)[::2] for s in _SEEDS]
         keys = []
-        for b in range(BANDS):
-            k = np.full(len(at), U(b))
+        for band in range(BANDS):
+            k = np.full(len(start), U(band))
             for r in range(ROWS):
-                k = mix(k ^ low[b * ROWS + r])
+                k = mix(k ^ low[band * ROWS + r])
             keys.append(k)
         return np.stack(keys, 1)
 
@@ -86,61 +106,43 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _fresh(names: np.ndarray, seen: set[int]) -> np.ndarray:
+    out = np.zeros(len(names), bool)
+    for i, n in enumerate(names.tolist()):
+        if n not in seen:
+            seen.add(n)
+            out[i] = True
+    return out
+
+
 def paragraph_rows(docs: DataFrame) -> DataFrame:
     """docs(id, text) -> (id, first_word, words, para, keys): keys only where a task first meets a paragraph, however often it comes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        names = ["id", "first_word", "words", "para", "keys"]
-
-        def flush(rows: list, ids: pa.Array) -> pa.RecordBatch:
-            paras = [int(_name(w)) for _, _, w, _ in rows]
-            fresh = []
-            for p in paras:
-                fresh.append(p not in seen)
-                seen.add(p)
-            sets = [s for (*_, s), f in zip(rows, fresh) if f]
-            at = np.cumsum([0, *map(len, sets)])
-            flat = _signed(_bands(np.concatenate(sets), at[:-1]).ravel()) if sets else pa.array([], pa.int64())
-            sizes = np.where(fresh, BANDS, 0)
-            keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), flat)
-            return pa.RecordBatch.from_arrays([ids.take(pa.array([r for r, *_ in rows])).cast(pa.int64()), pa.array([i for _, i, *_ in rows], pa.int64()), pa.array([len(w) for _, _, w, _ in rows], pa.int64()), _signed(np.array(paras, U)), keys], names)
-
-        for b in batches:
-            rows = []
-            for row in _texts_paragraphs(b.column(1)):
-                rows.append(row)
-                if len(rows) == 20_000:
-                    yield flush(rows, b.column(0))
-                    rows = []
-            if rows:
-                yield flush(rows, b.column(0))
+        for batch in batches:
+            for b in _paragraph_blocks(batch.column(1)):
+                fresh = _fresh(b.name, seen)
+                flat = _signed(_bands(b, np.flatnonzero(fresh)).ravel()) if fresh.any() else pa.array([], pa.int64())
+                keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(fresh, BANDS, 0))), pa.int32()), flat)
+                ids = batch.column(0).take(pa.array(b.row)).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(b.first_word, pa.int64()), pa.array(b.words, pa.int64()), _signed(b.name), keys], ["id", "first_word", "words", "para", "keys"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, first_word long, words long, para long, keys array<long>")
 
 
 def paragraph_sets(docs: DataFrame) -> DataFrame:
-    """docs(id, text) -> (para, shingles), each paragraph's distinct shingles, once per task."""
+    """docs(id, text) -> (para, shingles), each paragraph's shingles as they come, once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
-            names, sets = [], []
-
-            def made() -> pa.RecordBatch:
-                at = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-                return pa.RecordBatch.from_arrays([_signed(np.array(names, U)), pa.ListArray.from_arrays(at, _signed(np.concatenate(sets)))], ["para", "shingles"])
-
-            for _, _, w, s in _texts_paragraphs(b.column(1)):
-                if (p := int(_name(w))) not in seen:
-                    seen.add(p)
-                    names.append(p)
-                    sets.append(np.unique(s))
-                    if len(names) == 20_000:
-                        yield made()
-                        names, sets = [], []
-            if names:
-                yield made()
+        for batch in batches:
+            for b in _paragraph_blocks(batch.column(1)):
+                some = np.flatnonzero(_fresh(b.name, seen))
+                size = b.words[some] - SHINGLE + 1
+                ends = np.append(0, np.cumsum(size))
+                flat = b.shingles[np.arange(ends[-1]) + np.repeat(b.start[some] - ends[:-1], size)]
+                yield pa.RecordBatch.from_arrays([_signed(b.name[some]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(flat))], ["para", "shingles"])
 
     return docs.select("id", "text").mapInArrow(run, "para long, shingles array<long>")
 
@@ -171,7 +173,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def verified(pairs: DataFrame) -> DataFrame:
         named = pairs.select(F.col("a").alias("para")).unionAll(pairs.select("b")).distinct()
         where = paras.where(F.size("keys") > 0).join(named, "para", "left_semi").groupBy("para").agg(F.min("id").alias("id"))
-        sets = stored(maybe_in(paragraph_sets(maybe_in(docs, F.col("id"), where.select("id"))), F.col("para"), named), "shingles")
+        sets = maybe_in(paragraph_sets(maybe_in(docs, F.col("id"), where.select("id"))), F.col("para"), named)
+        sets = stored(sets.select("para", F.array_distinct("shingles").alias("shingles")), "shingles")
         side = lambda x: sets.select(F.col("para").alias(x), F.col("shingles").alias(f"s_{x}"))
         p = pairs.join(side("a"), "a").join(side("b"), "b")
         both = F.size(F.array_intersect("s_a", "s_b"))
