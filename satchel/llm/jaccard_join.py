@@ -239,8 +239,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             fold = F.transform(F.sequence(F.lit(0), F.lit(SKETCH_WORDS - 1)), lambda i: F.aggregate(F.filter("sketch", lambda x, k: k % SKETCH_WORDS == i), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)))
             mine = stored(buckets.join(sketches.select("set_id", "n", fold.alias("f")), "set_id").drop("weight"), "buckets")
             other = mine.select("key", *[F.col(c).alias(f"{c}_") for c in mine.columns if c != "key"])
-            apart = sum((F.bit_count(F.col("f")[i].bitwiseXOR(F.col("f_")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-            may = (F.col("comp") < F.col("comp_")) & (4 * F.least("n", "n_") >= 3 * F.greatest("n", "n_")) & (apart * 7 <= F.col("n") + F.col("n_"))
+            apart = lambda words: sum((F.bit_count(F.col("f")[i].bitwiseXOR(F.col("f_")[i])) for i in range(words)), F.lit(0))
+            may = (F.col("comp") < F.col("comp_")) & (4 * F.least("n", "n_") >= 3 * F.greatest("n", "n_"))
+            for words in (SKETCH_WORDS // 2, SKETCH_WORDS):  # half a sketch bounds the difference too, and most pairs end there
+                may = may & (apart(words) * 7 <= F.col("n") + F.col("n_"))
             pairs = mine.join(other, (mine["key"] == other["key"]) & may).select(*as_pair(F.col("set_id"), F.col("set_id_")))
             buckets = mine
         else:
