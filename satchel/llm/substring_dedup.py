@@ -1,4 +1,4 @@
-"""Substring dedup: paragraphs that repeat across documents, by MinHash bands, exact verification and components."""
+"""Substring dedup: exact passages by winnowed word windows; near copies of paragraphs by MinHash bands, exact verification and components."""
 
 from __future__ import annotations
 
@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 from .components import components
 from .membership import maybe_in
 from .scratch import stored
-from .tokens import SHINGLE, U, _PLACE, _tables, blocks, hash_words, mix, text_bytes, word_spans
+from .tokens import SHINGLE, U, _PLACE, _tables, blocks, hash_words, mix, text_bytes, texts_words, word_spans
 
 #: Words that a paragraph has at least, and that a run of repeated paragraphs needs before it counts.
 MIN_WORDS, MIN_RUN = 8, 25
 #: MinHash bands and rows of each: a pair at Jaccard 0.75 meets with a chance of 1 - (1 - 0.75 ** 2) ** 6 = 0.993.
 BANDS, ROWS = 6, 2
+#: Words of a window, and windows in a row of which the smallest is a seed: equal passages of GRAM + WINNOW - 1 = 23 words share a seed.
+GRAM, WINNOW = 12, 12
+_GRAM_PLACE = mix(np.arange(301, 301 + GRAM, dtype=U)) | U(1)
+#: Bits of the map that tells which seeds may repeat; with too many seeds it lets more windows through, never fewer.
+SEED_BITS, _BUCKET = 1 << 26, 32768
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U)) | U(1)
 _END = np.zeros(256, bool)
 _END[[0x21, 0x2E, 0x3F]] = True
@@ -147,8 +152,106 @@ def paragraph_sets(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "para long, shingles array<long>")
 
 
+def _grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of GRAM words of a text, and the places of its seeds: the smallest of each WINNOW windows in a row.
+
+    A seed depends on the words of its windows alone, so equal passages have equal seeds wherever they stand.
+    """
+    n = len(words) - GRAM + 1
+    if n < 1:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        grams = words[:n] * _GRAM_PLACE[0]
+        for k in range(1, GRAM):
+            grams += words[k : n + k] * _GRAM_PLACE[k]
+        grams = mix(grams)
+    if n < WINNOW:
+        return grams, np.zeros(0, np.int64)
+    low = np.lib.stride_tricks.sliding_window_view(grams, WINNOW)
+    return grams, np.unique(np.arange(n - WINNOW + 1) + low.argmin(1))
+
+
+def _ids_of(column: pa.Array, row: list[np.ndarray]) -> pa.Array:
+    return column.take(pa.array(np.concatenate(row))).cast(pa.int64())
+
+
+def _windows(docs: DataFrame, bits=None) -> DataFrame:
+    """docs(id, text) -> (id, place, gram): each seed, or, given the bitmap of repeated seeds, each window less than WINNOW from one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if bits is None else np.frombuffer(bits.value, np.uint8)
+
+        def table(column, row, place, gram):
+            return pa.RecordBatch.from_arrays([_ids_of(column, row), pa.array(np.concatenate(place), pa.int32()), _signed(np.concatenate(gram))], ["id", "place", "gram"])
+
+        for batch in batches:
+            row, place, gram, held = [], [], [], 0
+            for i, words in texts_words(batch.column(1)):
+                grams, at = _grams(words)
+                if known is not None and len(at):
+                    slot = (grams[at] & U(SEED_BITS - 1)).astype(np.int64)
+                    at = at[(known[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
+                    edge = np.zeros(len(grams) + 1, np.int64)
+                    np.add.at(edge, np.maximum(at - WINNOW + 1, 0), 1)
+                    np.add.at(edge, np.minimum(at + WINNOW, len(grams)), -1)
+                    at = np.flatnonzero(np.cumsum(edge[:-1]))
+                if len(at):
+                    row.append(np.full(len(at), i))
+                    place.append(at)
+                    gram.append(grams[at])
+                    held += len(at)
+                if held > 200_000:
+                    yield table(batch.column(0), row, place, gram)
+                    row, place, gram, held = [], [], [], 0
+            if held:
+                yield table(batch.column(0), row, place, gram)
+
+    return docs.select("id", "text").mapInArrow(run, "id long, place int, gram long")
+
+
+def _bitmap(grams: DataFrame):
+    """A broadcast bitmap of SEED_BITS bits with the bits of grams(gram)."""
+    slot = F.col("gram").bitwiseAND(F.lit(SEED_BITS - 1))
+    got = grams.select(F.floor(slot / _BUCKET).alias("bucket"), (slot % _BUCKET).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = bytearray(SEED_BITS // 8)
+    for r in got.toLocalIterator():
+        out[r.bucket * _BUCKET // 8 : (r.bucket + 1) * _BUCKET // 8] = r.bits
+    return grams.sparkSession.sparkContext.broadcast(bytes(out))
+
+
+def exact_passages(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+    """docs(id, text) -> (id, first_word, words, keep_id, keep_first_word): word runs that stand in an earlier place too, across documents.
+
+    Every window of GRAM words that several documents hold is laid upon its first place (smallest id, then word);
+    windows in a row on places in a row are one passage. Whatever two documents share in 23 words or more holds
+    a common seed within WINNOW windows of each of its windows, so all of it is found, word for word, at any offset and with
+    any holder; what is looked at is only what lies that near to a repeated seed. Passages that overlap or
+    touch count together for min_run.
+    """
+    seeds = stored(_windows(docs), "seeds")
+    again = seeds.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("gram")
+    grams = stored(_windows(docs, _bitmap(again)), "windows")
+    place = F.struct("id", "place")
+    heads = grams.groupBy("gram").agg(F.min(place).alias("keep"), F.max("id").alias("hi")).where("keep.id < hi").drop("hi")
+    hit = grams.join(heads, "gram").where(F.col("keep") != place).select("id", "place", F.col("keep.id").alias("k"), F.col("keep.place").alias("kp")).distinct()
+    in_order = Window.partitionBy("id").orderBy("place")
+    same = (F.lag("place").over(in_order) == F.col("place") - 1) & (F.lag("k").over(in_order) == F.col("k")) & (F.lag("kp").over(in_order) == F.col("kp") - 1)
+    hit = hit.withColumn("new", (~F.coalesce(same, F.lit(False))).cast("long"))
+    hit = hit.withColumn("part", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = hit.groupBy("id", "part").agg(F.min("place").cast("long").alias("first_word"), (F.count(F.lit(1)) + GRAM - 1).alias("words"), F.min("k").alias("keep_id"), F.min("kp").cast("long").alias("keep_first_word")).drop("part")
+    in_order = Window.partitionBy("id").orderBy("first_word", "words", "keep_id", "keep_first_word")
+    end = F.col("first_word") + F.col("words")
+    new = F.coalesce(F.max(end).over(in_order.rowsBetween(Window.unboundedPreceding, -1)) < F.col("first_word"), F.lit(True))
+    runs = parts.withColumn("new", new.cast("long")).withColumn("run", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("id", "run")
+    return runs.withColumn("total", F.max(end).over(whole) - F.min("first_word").over(whole)).where(F.col("total") >= min_run).drop("new", "run", "total")
+
+
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = 0.75, min_run: int = MIN_RUN) -> DataFrame:
-    """One row per occurrence of a repeated paragraph: id_col, first_word, words, class_id, keep_id, keep_first_word, removed.
+    """One row per occurrence of a repeated passage: id_col, first_word, words, class_id, keep_id, keep_first_word, removed.
+
+    Passages are of two kinds, whose rows may overlap: exact ones of any offset (exact_passages), each with a row
+    for its place and one for the place that stays, and paragraphs with near copies. Removals always point to an earlier place.
 
     Paragraphs whose sets of five-word shingles have a Jaccard index of at least `similarity`, over paths of such
     pairs, are one class; its first occurrence (smallest id, then place) stays, the others are removed. Only
@@ -203,7 +306,11 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     new = F.coalesce(F.lag(F.col("first_word") + F.col("words")).over(in_order) != F.col("first_word"), F.lit(True))
     runs = hit.withColumn("new", new.cast("long")).withColumn("run", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.withColumn("total", F.sum("words").over(Window.partitionBy("id", "run"))).where(F.col("total") >= min_run)
-    return runs.select(F.col("id").alias(id_col), "first_word", "words", "class_id", F.col("keep.id").alias("keep_id"), F.col("keep.first_word").alias("keep_first_word"), (F.col("keep") != place).alias("removed"))
+    near = runs.select(F.col("id").alias(id_col), "first_word", "words", "class_id", F.col("keep.id").alias("keep_id"), F.col("keep.first_word").alias("keep_first_word"), (F.col("keep") != place).alias("removed"))
+    exact = stored(exact_passages(docs, min_run).withColumn("class_id", F.xxhash64("keep_id", "keep_first_word", "words")), "exact")
+    gone = exact.select(F.col("id").alias(id_col), "first_word", "words", "class_id", "keep_id", "keep_first_word", F.lit(True).alias("removed"))
+    stays = exact.select(F.col("keep_id").alias(id_col), F.col("keep_first_word").alias("first_word"), "words", "class_id", "keep_id", "keep_first_word", F.lit(False).alias("removed")).distinct()
+    return near.unionByName(gone).unionByName(stays)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

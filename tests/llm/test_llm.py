@@ -140,6 +140,36 @@ def test_op3_planted(spark):
     assert substring_dedup.repeated_paragraphs(df.limit(0)).count() == 0
 
 
+def _covered(got):
+    gone = collections.defaultdict(set)
+    for x in got.where("removed").collect():
+        gone[x.doc_id] |= set(range(x.first_word, x.first_word + x.words))
+    return gone
+
+
+def test_op3_exact_passages_brute_force(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    data, planted = [], []
+    for k in range(120):  # lower case without punctuation, any offset
+        n, passage = r.randrange(51, 61), None
+        passage = [word() for _ in range(n)]
+        for i in (2 * k, 2 * k + 1):
+            at = r.randrange(60)
+            data.append((i, " ".join([*(word() for _ in range(at)), *passage, *(word() for _ in range(r.randrange(60)))])))
+        planted.append((2 * k + 1, set(range(at, at + n))))
+    # the first holder has only a part of the passage; the rest is shared with a later one
+    long = [word() for _ in range(70)]
+    data += [(500, " ".join([*long[:30], *(word() for _ in range(40))])), (501, " ".join(long)), (502, " ".join([*(word() for _ in range(7)), *long]))]
+    planted.append((502, set(range(7, 77))))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    exact = _covered(substring_dedup.exact_passages(df.withColumnRenamed("doc_id", "id")).select(F.col("id").alias("doc_id"), "first_word", "words", F.lit(True).alias("removed")))
+    assert all(exact[i] == want for i, want in planted)
+    assert exact[501] == set(range(30)) and set(exact) == {i for i, _ in planted} | {501}
+    gone = _covered(substring_dedup.repeated_paragraphs(df))
+    assert all(gone[i] >= want for i, want in planted)
+
+
 def test_op4_properties(spark, docs, odd):
     got = mixing.mix_sources(docs)
     g = got.groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n"), F.first("source_size").alias("s")).collect()
