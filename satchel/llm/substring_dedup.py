@@ -22,6 +22,8 @@ BANDS, ROWS = 6, 2
 #: Words of a window, and windows in a row of which the smallest is a seed: equal passages of GRAM + WINNOW - 1 = 23 words share a seed.
 GRAM, WINNOW = 12, 12
 _GRAM_PLACE = mix(np.arange(301, 301 + GRAM, dtype=U)) | U(1)
+#: Windows from a repeated seed that are looked at: over one changed word and a part behind it that is too short for an own seed.
+NEAR = 3 * GRAM
 #: Bits of the map that tells which seeds may repeat; with too many seeds it lets more windows through, never fewer.
 SEED_BITS, _BUCKET = 1 << 26, 32768
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U)) | U(1)
@@ -176,7 +178,7 @@ def _ids_of(column: pa.Array, row: list[np.ndarray]) -> pa.Array:
 
 
 def _windows(docs: DataFrame, bits=None) -> DataFrame:
-    """docs(id, text) -> (id, place, gram): each seed, or, given the bitmap of repeated seeds, each window less than WINNOW from one of them."""
+    """docs(id, text) -> (id, place, gram): each seed, or, given the bitmap of repeated seeds, each window less than NEAR from one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if bits is None else np.frombuffer(bits.value, np.uint8)
@@ -192,8 +194,8 @@ def _windows(docs: DataFrame, bits=None) -> DataFrame:
                     slot = (grams[at] & U(SEED_BITS - 1)).astype(np.int64)
                     at = at[(known[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
                     edge = np.zeros(len(grams) + 1, np.int64)
-                    np.add.at(edge, np.maximum(at - WINNOW + 1, 0), 1)
-                    np.add.at(edge, np.minimum(at + WINNOW, len(grams)), -1)
+                    np.add.at(edge, np.maximum(at - NEAR + 1, 0), 1)
+                    np.add.at(edge, np.minimum(at + NEAR, len(grams)), -1)
                     at = np.flatnonzero(np.cumsum(edge[:-1]))
                 if len(at):
                     row.append(np.full(len(at), i))
@@ -219,26 +221,72 @@ def _bitmap(grams: DataFrame):
     return grams.sparkSession.sparkContext.broadcast(bytes(out))
 
 
-def exact_passages(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """docs(id, text) -> (id, first_word, words, keep_id, keep_first_word): word runs that stand in an earlier place too, across documents.
+def bridged(parts: list[tuple[int, int, int]], similarity: float) -> list[tuple[int, int, int]]:
+    """(first word, first word in the earlier document, words there, words) of near copies: exact parts (first, keep_first, words) in order, with the few words between them.
+
+    A part goes on with the next as long as both sides together have a Jaccard index of five-word shingles of at least `similarity`,
+    counted from the exact parts alone, so never too high.
+    """
+    out, at = [], 0
+    while at < len(parts):
+        first, keep, n = parts[at]
+        end, keep_end, common, best = first + n, keep + n, n - SHINGLE + 1, None
+        for k in range(at + 1, len(parts)):
+            b, a, n = parts[k]
+            if b < end or a < keep_end:
+                break
+            end, keep_end, common = b + n, a + n, common + n - SHINGLE + 1
+            both = (end - first - SHINGLE + 1) + (keep_end - keep - SHINGLE + 1) - common
+            if common < similarity * both:
+                break
+            best = (k, (first, keep, keep_end - keep, end - first))
+        if best:
+            out.append(best[1])
+        at = best[0] if best else at + 1
+    return out
+
+
+def _bridges(similarity: float):
+    @F.arrow_udf("array<struct<first_word:bigint,keep_first_word:bigint,keep_words:bigint,words:bigint>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("first_word", "keep_first_word", "keep_words", "words")]))
+        for lists in batches:
+            found = [bridged([(x["first_word"], x["keep_first_word"], x["words"]) for x in parts], similarity) for parts in lists.to_pylist()]
+            yield pa.array([[dict(zip(("first_word", "keep_first_word", "keep_words", "words"), x)) for x in parts] for parts in found], kind)
+
+    return run
+
+
+def exact_passages(docs: DataFrame, min_run: int = MIN_RUN, similarity: float | None = None) -> DataFrame:
+    """docs(id, text) -> (id, first_word, words, keep_id, keep_first_word, keep_words): word runs that stand in an earlier place too, across documents.
 
     Every window of GRAM words that several documents hold is laid upon its first place (smallest id, then word);
     windows in a row on places in a row are one passage. Whatever two documents share in 23 words or more holds
     a common seed within WINNOW windows of each of its windows, so all of it is found, word for word, at any offset and with
-    any holder; what is looked at is only what lies that near to a repeated seed. Passages that overlap or
+    any holder; what is looked at is only what lies near to a repeated seed. Passages that overlap or
     touch count together for min_run.
+
+    With a similarity, parts on the same earlier document are also bridged over the words between them as long as the whole
+    is that near a copy. Of two texts of more than 50 words at Jaccard 0.75 with single words changed, at least
+    24 words in a row are equal, which is enough for a seed.
     """
-    seeds = stored(_windows(docs), "seeds")
+    seeds = _windows(docs)
     again = seeds.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("gram")
-    grams = stored(_windows(docs, _bitmap(again)), "windows")
+    grams = _windows(docs, _bitmap(again))
     place = F.struct("id", "place")
     heads = grams.groupBy("gram").agg(F.min(place).alias("keep"), F.max("id").alias("hi")).where("keep.id < hi").drop("hi")
-    hit = grams.join(heads, "gram").where(F.col("keep") != place).select("id", "place", F.col("keep.id").alias("k"), F.col("keep.place").alias("kp")).distinct()
+    hit = grams.join(heads, "gram").where(F.col("keep") != place).select("id", "place", F.col("keep.id").alias("k"), F.col("keep.place").alias("kp"))
     in_order = Window.partitionBy("id").orderBy("place")
-    same = (F.lag("place").over(in_order) == F.col("place") - 1) & (F.lag("k").over(in_order) == F.col("k")) & (F.lag("kp").over(in_order) == F.col("kp") - 1)
+    step = F.col("place") - F.lag("place").over(in_order)  # 0: rows that share an id
+    same = (step <= 1) & (F.lag("k").over(in_order) == F.col("k")) & (F.col("kp") - F.lag("kp").over(in_order) == step)
     hit = hit.withColumn("new", (~F.coalesce(same, F.lit(False))).cast("long"))
     hit = hit.withColumn("part", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = hit.groupBy("id", "part").agg(F.min("place").cast("long").alias("first_word"), (F.count(F.lit(1)) + GRAM - 1).alias("words"), F.min("k").alias("keep_id"), F.min("kp").cast("long").alias("keep_first_word")).drop("part")
+    parts = hit.groupBy("id", "part").agg(F.min("place").cast("long").alias("first_word"), (F.max("place") - F.min("place") + GRAM).cast("long").alias("words"), F.min("k").alias("keep_id"), F.min("kp").cast("long").alias("keep_first_word")).drop("part").withColumn("keep_words", F.col("words"))
+    if similarity is not None:
+        parts = stored(parts, "parts")
+        listed = parts.groupBy("id", "keep_id").agg(F.array_sort(F.collect_list(F.struct("first_word", "keep_first_word", "words"))).alias("p")).where("size(p) > 1 AND id <> keep_id")
+        over = listed.select("id", "keep_id", F.explode(_bridges(similarity)("p")).alias("x")).select("id", F.col("x.first_word").alias("first_word"), "x.words", "keep_id", F.col("x.keep_first_word").alias("keep_first_word"), F.col("x.keep_words").alias("keep_words"))
+        parts = parts.unionByName(over)
     in_order = Window.partitionBy("id").orderBy("first_word", "words", "keep_id", "keep_first_word")
     end = F.col("first_word") + F.col("words")
     new = F.coalesce(F.max(end).over(in_order.rowsBetween(Window.unboundedPreceding, -1)) < F.col("first_word"), F.lit(True))
@@ -250,7 +298,7 @@ def exact_passages(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = 0.75, min_run: int = MIN_RUN) -> DataFrame:
     """One row per occurrence of a repeated passage: id_col, first_word, words, class_id, keep_id, keep_first_word, removed.
 
-    Passages are of two kinds, whose rows may overlap: exact ones of any offset (exact_passages), each with a row
+    Passages are of two kinds, whose rows may overlap: those of any offset (exact_passages, with bridges over changed words), each with a row
     for its place and one for the place that stays, and paragraphs with near copies. Removals always point to an earlier place.
 
     Paragraphs whose sets of five-word shingles have a Jaccard index of at least `similarity`, over paths of such
@@ -307,9 +355,9 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     runs = hit.withColumn("new", new.cast("long")).withColumn("run", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.withColumn("total", F.sum("words").over(Window.partitionBy("id", "run"))).where(F.col("total") >= min_run)
     near = runs.select(F.col("id").alias(id_col), "first_word", "words", "class_id", F.col("keep.id").alias("keep_id"), F.col("keep.first_word").alias("keep_first_word"), (F.col("keep") != place).alias("removed"))
-    exact = stored(exact_passages(docs, min_run).withColumn("class_id", F.xxhash64("keep_id", "keep_first_word", "words")), "exact")
+    exact = stored(exact_passages(docs, min_run, similarity).withColumn("class_id", F.xxhash64("keep_id", "keep_first_word", "keep_words")), "exact")
     gone = exact.select(F.col("id").alias(id_col), "first_word", "words", "class_id", "keep_id", "keep_first_word", F.lit(True).alias("removed"))
-    stays = exact.select(F.col("keep_id").alias(id_col), F.col("keep_first_word").alias("first_word"), "words", "class_id", "keep_id", "keep_first_word", F.lit(False).alias("removed")).distinct()
+    stays = exact.select(F.col("keep_id").alias(id_col), F.col("keep_first_word").alias("first_word"), F.col("keep_words").alias("words"), "class_id", "keep_id", "keep_first_word", F.lit(False).alias("removed")).distinct()
     return near.unionByName(gone).unionByName(stays)
 
 

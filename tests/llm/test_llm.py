@@ -170,6 +170,26 @@ def test_op3_exact_passages_brute_force(spark):
     assert all(gone[i] >= want for i, want in planted)
 
 
+def test_op3_near_passages(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    data, planted = [], []
+    for k in range(120):  # one changed word in 51 to 60 words, two in 100, three parts of 24 words
+        n, changed = [(r.randrange(51, 61), None), (100, [33, 66]), (74, [24, 49])][k % 3]
+        passage = [word() for _ in range(n)]
+        changed = changed or [r.randrange(12, n - 12)]
+        copy = [word() if i in changed else w for i, w in enumerate(passage)]
+        at = r.randrange(60)
+        data.append((2 * k, " ".join([*(word() for _ in range(40)), *passage, *(word() for _ in range(40))])))
+        data.append((2 * k + 1, " ".join([*(word() for _ in range(at)), *copy, *(word() for _ in range(40))])))
+        planted.append((2 * k + 1, set(range(at, at + n))))
+    gone = _covered(substring_dedup.repeated_paragraphs(spark.createDataFrame(data, "doc_id long, text string")))
+    assert all(gone[i] >= want for i, want in planted)
+    assert set(gone) <= {i for i, _ in planted}
+    assert substring_dedup.bridged([(0, 0, 12), (13, 13, 12)], 0.75) == []  # 16 of 26 shingles
+    assert substring_dedup.bridged([(0, 5, 25), (26, 31, 25)], 0.75) == [(0, 5, 51, 51)]
+
+
 def test_op4_properties(spark, docs, odd):
     got = mixing.mix_sources(docs)
     g = got.groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n"), F.first("source_size").alias("s")).collect()
