@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from .scratch import stored
 
@@ -69,19 +69,62 @@ def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int =
     return gone
 
 
+def runs(words: list[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """The shortest runs of lines (from, to) of at least min_words words that begin, or that end, at each line with words.
+
+    Every line with words in a block of at least min_words words lies in such a run inside the block.
+    """
+    out, n = set(), len(words)
+    begin = stop = total = 0
+    while begin < n:  # begins at each line
+        while stop < n and total < min_words:
+            total += words[stop]
+            stop += 1
+        if total < min_words:
+            break
+        if words[begin]:
+            out.add((begin, stop))
+        total -= words[begin]
+        begin += 1
+    begin = total = 0
+    for end in range(n):  # ends at each line
+        total += words[end]
+        while total - words[begin] >= min_words:
+            total -= words[begin]
+            begin += 1
+        if words[end] and total >= min_words:
+            out.add((begin, end + 1))
+    return sorted(out)
+
+
+def common_runs(a: list[int], b: list[int], words: list[int], min_words: int = MIN_WORDS) -> set[int]:
+    """Lines of b in runs of at least min_words words that a has too, in whatever order and however often; blank lines at a run's ends aside."""
+    known = dict(zip(b, words))
+    of_a = {tuple(a[i:j]) for i, j in runs([known.get(x, min_words) for x in a], min_words)}
+    return {k for i, j in runs(words, min_words) if tuple(b[i:j]) in of_a for k in range(i, j)}
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _run_keys(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for lines, words, least in batches:
+        yield pa.array([[hash(tuple(x[i:j])) for i, j in runs(w, m)] for x, w, m in zip(lines.to_pylist(), words.to_pylist(), least.to_pylist())], pa.list_(pa.int64()))
+
+
 @F.arrow_udf(ArrayType(IntegerType()))
-def _aligned(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for a, b, words in batches:
-        yield pa.array([common_blocks(*x) if x[0] else [] for x in zip(a.to_pylist(), b.to_pylist(), words.to_pylist())], pa.list_(pa.int32()))
+def _aligned(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array([sorted({*common_blocks(*x), *common_runs(*x)}) if x[0] else [] for x in zip(*(c.to_pylist() for c in batch))], pa.list_(pa.int32()))
 
 
 def line_overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per input row: id_col, n_lines, n_deleted, deleted_lines (numbers from 0), earlier_ids.
 
-    Every line of at least min_words words that several documents share brings each of them together with the earliest
-    (smallest id) that has it, be it rare or common; so a line of n documents makes n - 1 pairs, not n squared, no line
-    is too common to count, and a document has no more partners than lines. Each pair is aligned by patience diff over
-    its line hashes; aligned runs of at least min_words words are deleted from the later document.
+    Every run of lines of at least min_words words (one long line, or short ones in a row) that several documents share
+    brings each of them together with the earliest (smallest id) that has it, be it rare or common; so a run of n
+    documents makes n - 1 pairs, not n squared, no run is too common to count, and a document has no more partners than
+    two for each line. Each pair is aligned by patience diff over its line hashes; aligned runs of at least min_words words
+    are deleted from the later document, and so are common runs that the alignment can't hold, because the earlier document has
+    them twice or in another order. So a line stays only if no earlier document has a run of lines with it.
 
     Lines are compared without white space at their ends. Defined cases: null, empty texts have one empty line and lose nothing;
     lines repeated inside one document stay unless an earlier document has them; rows with a null id take no part; rows
@@ -91,12 +134,12 @@ def line_overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     line = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda s: F.trim(s))
     d = docs.select(F.col(id_col).cast("long").alias("id"), line.alias("l")).select("id", F.transform("l", lambda s: F.xxhash64(s)).alias("lines"), F.transform("l", lambda s: F.regexp_count(s, F.lit(r"\S+"))).alias("words"))
     d = stored(d, "lines")
-    at = d.where("id is not null").select("id", F.explode(F.arrays_zip("lines", "words")).alias("x")).where(F.col("x.words") >= min_words).select("id", F.col("x.lines").alias("line")).distinct()
+    at = d.where("id is not null").select("id", F.explode(_run_keys("lines", "words", F.lit(min_words))).alias("line")).distinct()
     first = at.groupBy("line").agg(F.min("id").alias("earlier"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     pairs = at.join(first, "line").where("id <> earlier").select("earlier", F.col("id").alias("later")).distinct()
     one = d.where("id is not null").dropDuplicates(["id"])
     both = pairs.join(one.select(F.col("id").alias("earlier"), F.col("lines").alias("a")), "earlier").join(one.select(F.col("id").alias("later"), F.col("lines").alias("b"), "words"), "later")
-    cut = both.select("later", "earlier", _aligned("a", "b", "words").alias("gone")).where(F.size("gone") > 0)
+    cut = both.select("later", "earlier", _aligned("a", "b", "words", F.lit(min_words)).alias("gone")).where(F.size("gone") > 0)
     cut = cut.groupBy("later").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("deleted_lines"), F.array_sort(F.collect_list("earlier")).alias("earlier_ids"))
     out = d.select("id", F.size("lines").cast("long").alias("n_lines")).join(cut, d["id"] == cut["later"], "left")
     return out.select(
