@@ -55,6 +55,8 @@ query(
     "WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE " + PROSE_SQL.format("s") + ") AS prose FROM s WHERE NOT regexp_matches(s, '[A-Za-z]{8,}') GROUP BY doc_id",
     ("documents",),
 )(lambda d: d.select("doc_id", F.explode(F.split("text", "\n")).alias("s")).where(~c("s").rlike("[A-Za-z]{8,}")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(tokens.is_prose(c("s"))).alias("prose")))
+# r32_is_prose is what DuckDB can say too; this is the whole job: every sentence of every text, by all rules
+query("r32_prose_sentences", None, ("documents",))(lambda d: d.select("doc_id", F.explode(tokens.split_sentences(c("text"))).alias("s")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.count_if(tokens.is_prose(c("s"))).alias("prose")))
 query("r33_glued_repeat", None, ("documents",))(lambda d: d.select("doc_id", tokens.has_glued_repeat(c("text")).alias("glued")))
 columns("r34_content_tokens", "documents", "doc_id", tokens=(lambda: tokens.content_tokens(c("text")), CONTENT.format("text")))
 columns("r35_containment", "links", "id", share=(lambda: F.round(tokens.containment(tokens.content_tokens(c("description")), tokens.content_tokens(c("title"))), 6), "round(CASE WHEN len(" + CONTENT.format("description") + ") > 0 THEN len(list_intersect(" + CONTENT.format("description") + ", " + CONTENT.format("title") + ")) / len(" + CONTENT.format("description") + ") ELSE 0.0 END, 6)"))
