@@ -42,6 +42,8 @@ def edges(l):  # noqa: E741
     return S.sentence_edges(s).select("id", "i", "j", F.round("w", 6).alias("w"))
 
 
+# j13_sentence_edges is what DuckDB can say too; this is the whole job: the prose sentences that summaries rank
+query("j13_prose_edges", None, ("links",))(lambda l: S.sentence_edges(S.prose_sentences(l)).select("id", "i", "j", F.round("w", 6).alias("w")))  # noqa: E741
 query("t5_summarize_corpus", None, ("links",))(S.summarize_corpus)
 query("w06_lead_3", None, ("links",))(S.lead_n)
 query("a16_summary_quality", None, ("links",))(lambda l: S.summary_quality(l, S.summarize_corpus(l)))  # noqa: E741
