@@ -10,11 +10,11 @@ BITS = 1 << 24
 BUCKET = 32768
 
 
-def maybe_in(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
-    """The rows of df whose key may be one of `keys` (one long column); those left out surely are not."""
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, *, keep_null: bool = False) -> DataFrame:
+    """The rows of df whose key may be one of `keys` (one long column); those left out surely are not. keep_null: rows without a key stay too."""
     slot = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(BITS))
     bits = keys.select(F.floor(slot / BUCKET).alias("__bucket"), (slot % BUCKET).alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
-    own = F.pmod(F.xxhash64(key), F.lit(BITS))
+    own = F.when(key.isNotNull(), F.pmod(F.xxhash64(key), F.lit(BITS)))
     byte = F.conv(F.hex(F.substring("__bits", (F.floor(F.col("__own") % BUCKET / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    joined = df.withColumn("__own", own).withColumn("__bucket", F.floor(F.col("__own") / BUCKET)).join(F.broadcast(bits), "__bucket")
-    return joined.withColumn("__byte", byte).where(F.expr("shiftright(__byte, cast(__own % 8 as int)) % 2 = 1")).drop("__own", "__bucket", "__bits", "__byte")
+    joined = df.withColumn("__own", own).withColumn("__bucket", F.floor(F.col("__own") / BUCKET)).join(F.broadcast(bits), "__bucket", "left" if keep_null else "inner")
+    return joined.withColumn("__byte", byte).where(F.expr("shiftright(__byte, cast(__own % 8 as int)) % 2 = 1") | (F.col("__own").isNull() if keep_null else F.lit(False))).drop("__own", "__bucket", "__bits", "__byte")

@@ -1,4 +1,4 @@
-"""Substring dedup: exact passages by winnowed word windows; near copies of paragraphs by MinHash bands, exact verification and components."""
+"""Substring dedup: paragraphs by MinHash bands, exact Jaccard and components; passages at any offset by winnowed word windows, grown word by word."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -15,98 +15,145 @@ from .membership import maybe_in
 from .scratch import stored
 from .tokens import SHINGLE, U, _PLACE, _tables, blocks, hash_words, mix, text_bytes, texts_words, word_spans
 
-#: Words that a paragraph has at least, and that a run of repeated paragraphs needs before it counts.
-MIN_WORDS, MIN_RUN = 8, 25
-#: MinHash bands and rows of each: a pair at Jaccard 0.75 meets with a chance of 1 - (1 - 0.75 ** 2) ** 6 = 0.993.
-BANDS, ROWS = 6, 2
-#: Words of a window, and windows in a row of which the smallest is a seed: equal passages of GRAM + WINNOW - 1 = 23 words share a seed.
+#: Words that a paragraph has at least, and that repeated passages which follow one another need in all before they count.
+MIN_WORDS, MIN_RUN = 8, 50
+#: A line of more than LONG words is cut where a pair of words has the smallest hash of all within REACH words: into pieces of about 50 words.
+LONG, REACH = 96, 24
+#: MinHash bands and rows of each: a pair at Jaccard 0.75 meets with a chance of 1 - (1 - 0.75 ** 3) ** 8 = 0.988, at 0.8 of 0.997, at 0.3 of 0.2.
+BANDS, ROWS = 8, 3
+#: Words of a window, and windows in a row of which the smallest is a seed: equal passages of GRAM + WINNOW - 1 = 23 words share a seed. Seeds in a row
+#: are at most WINNOW windows apart, so those of one passage leave no word between them uncovered as long as WINNOW <= GRAM.
 GRAM, WINNOW = 12, 12
+#: Words beyond the ends of a run of seeds that are compared one by one: over one changed word and a part behind it that is too short for an own seed.
+CONTEXT = 3 * GRAM
 _GRAM_PLACE = mix(np.arange(301, 301 + GRAM, dtype=U)) | U(1)
-#: Windows from a repeated seed that are looked at: over one changed word and a part behind it that is too short for an own seed.
-NEAR = 3 * GRAM
-#: Bits of the map that tells which seeds may repeat; with too many seeds it lets more windows through, never fewer.
-SEED_BITS, _BUCKET = 1 << 26, 32768
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U)) | U(1)
-_END = np.zeros(256, bool)
-_END[[0x21, 0x2E, 0x3F]] = True
+_PAIR = mix(np.arange(501, 503, dtype=U)) | U(1)
+#: Bits of the parity sketch of a paragraph's shingles; the Hamming distance of two bounds the symmetric difference from below.
+SKETCH = 256
+DOC, PARA, KEY, SEED = range(4)
+PLACES = "kind int, key long, id long, at int, words int, name long, s0 long, s1 long, s2 long, s3 long"
+PARTS = "array<struct<first_word:int,words:int,k:bigint,kp:int,left:boolean,context:array<int>>>"
 
 
-def _paragraphs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """First word of each paragraph (and each text's first word): a sentence with the short sentences before it.
-
-    A sentence starts after a word that ends in . ! or ?, after a line's end, or with a capital letter; long ones are also
-    cut before one word in sixteen, by the word's hash. So a passage that was put anywhere into a text falls back
-    into its own paragraphs after a few words.
-    """
-    n = len(starts)
-    if not n:
-        return np.zeros(0, np.int64)
-    first = data[starts]
-    second = data[np.minimum(starts + 1, len(data) - 1)]
-    cut = (first >= 65) & (first <= 90) | (first == 0xC3) & (second >= 0x80) & (second <= 0x9E)
-    cut[1:] |= _END[data[ends[:-1] - 1]]
-    lines = np.append(0, np.cumsum(data == 0x0A))
-    cut[1:] |= lines[starts[1:]] > lines[ends[:-1]]
-    cut |= (words & U(15)) == 0
-    text_start = np.zeros(n, bool)
-    text_start[at[:-1][at[:-1] < at[1:]]] = True
-    out, last = [], -MIN_WORDS
-    for i in np.flatnonzero(cut | text_start):
-        if text_start[i] or i - last >= MIN_WORDS:  # a short sentence goes on into the next
-            out.append(i)
-            last = i
-    return np.array(out, np.int64)
+def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
+    """op (minimum or maximum) over each w entries in a row."""
+    have = 1
+    while 2 * have <= w:
+        x = op(x[:-have], x[have:])
+        have *= 2
+    return op(x[: len(x) - (w - have)], x[w - have :]) if have < w else x
 
 
 @dataclass
-class Block:
-    """The paragraphs of at least MIN_WORDS words of some texts, all at once."""
-
-    row: np.ndarray  # of the text
-    first_word: np.ndarray
-    words: np.ndarray  # how many
-    name: np.ndarray  # equal word sequences have equal names
-    shingles: np.ndarray  # of all words in a row; a paragraph's are those from `start` on, words - 4 of them
-    start: np.ndarray
+class Words:
+    """The words of some texts, all at once, with a name for every word sequence: equal ones have equal names."""
+
+    row: int  # number of the first text
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    at: np.ndarray  # where each text's words begin
+    words: np.ndarray
+    total: np.ndarray
+
+    def names(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        _, down = _tables(len(self.words) + 1)
+        with np.errstate(over="ignore"):
+            return mix((self.total[j] - self.total[i]) * down[i] + (j - i).astype(U))
 
 
-def _paragraph_blocks(texts: pa.Array) -> Iterator[Block]:
+def _word_blocks(texts: pa.Array) -> Iterator[Words]:
     for begin, part in blocks(texts):
         data, offsets = text_bytes(part)
         starts, ends, at = word_spans(data, offsets)
         words = hash_words(data, starts, ends)
-        p = _paragraphs(data, starts, ends, at, words)
-        row = np.searchsorted(at, p, side="right") - 1
-        stop = np.minimum(np.append(p[1:], len(words))[: len(p)], at[row + 1])
-        keep = stop - p >= MIN_WORDS
-        i, j, row = p[keep], stop[keep], row[keep]
-        if not len(i):
-            continue
-        up, down = _tables(len(words) + 1)
+        up, _ = _tables(len(words) + 1)
+        total = np.zeros(len(words) + 1, U)
         with np.errstate(over="ignore"):
-            total = np.zeros(len(words) + 1, U)
             np.cumsum(mix(words) * up[: len(words)], out=total[1:])
-            name = mix((total[j] - total[i]) * down[i] + (j - i).astype(U))
-            n = len(words) - SHINGLE + 1
-            shingles = words[:n] * _PLACE[0]
-            for k in range(1, SHINGLE):
-                shingles += words[k : n + k] * _PLACE[k]
-        yield Block(begin + row, i - at[row], j - i, name, mix(shingles), i)
-
-
-def _bands(b: Block, some: np.ndarray) -> np.ndarray:
-    """[paragraphs, BANDS] band keys of some of a block's paragraphs."""
-    start, stop = b.start[some], b.start[some] + b.words[some] - SHINGLE + 1
-    edges = np.column_stack([start, stop]).ravel()
+        yield Words(begin, data, starts, ends, at, words, total)
+
+
+def _paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """First word of each paragraph of at least MIN_WORDS words, and the word behind its last: lines, long ones cut by what stands around a cut."""
+    n = len(w.words)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start = np.zeros(n + 1, bool)
+    start[w.at] = True
+    lines = np.append(0, np.cumsum(w.data == 0x0A))
+    start[1:n] |= lines[w.starts[1:]] > lines[w.ends[:-1]]
+    first = np.flatnonzero(start[:n])
+    size = np.diff(np.append(first, n))
+    if n > 2 * REACH + 1 and (size > LONG).any():
+        with np.errstate(over="ignore"):
+            pair = mix(w.words * _PAIR[0] + np.append(w.words[1:], U(0)) * _PAIR[1])
+        low = np.flatnonzero(pair[REACH : n - REACH] == _slide(pair, 2 * REACH + 1, np.minimum)) + REACH
+        line = np.searchsorted(first, low, side="right") - 1
+        inside = (size[line] > LONG) & (low - first[line] >= REACH) & (first[line] + size[line] - low > REACH)
+        start[low[inside]] = True
+        first = np.flatnonzero(start[:n])
+    stop = np.append(first[1:], n)
+    keep = stop - first >= MIN_WORDS
+    return first[keep], stop[keep]
+
+
+def _shingles(words: np.ndarray) -> np.ndarray:
+    """The shingle that begins at each word but the last few, whatever text they are of."""
+    n = len(words) - SHINGLE + 1
+    with np.errstate(over="ignore"):
+        out = words[:n] * _PLACE[0]
+        for k in range(1, SHINGLE):
+            out += words[k : n + k] * _PLACE[k]
+    return mix(out)
+
+
+def _bands(shingles: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """[paragraphs, BANDS] band keys."""
+    edges = np.column_stack([first, stop - SHINGLE + 1]).ravel()
+    keys = np.empty((len(first), BANDS), U)
     with np.errstate(over="ignore"):
-        low = [np.minimum.reduceat(np.append(mix(b.shingles * s), U(0)), edges)[::2] for s in _SEEDS]
-        keys = []
         for band in range(BANDS):
-            k = np.full(len(start), U(band))
-            for r in range(ROWS):
-                k = mix(k ^ low[band * ROWS + r])
-            keys.append(k)
-        return np.stack(keys, 1)
+            k = np.full(len(first), U(band))
+            for seed in _SEEDS[band * ROWS : (band + 1) * ROWS]:
+                k = mix(k ^ np.minimum.reduceat(np.append(shingles * seed, U(0)), edges)[::2])
+            keys[:, band] = k
+    return keys
+
+
+def _sketches(shingles: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct shingles each paragraph has, and their parity sketch as [paragraphs, SKETCH / 64]."""
+    size = stop - first - SHINGLE + 1
+    ends = np.cumsum(size)
+    para = np.repeat(np.arange(len(first)), size)
+    own = shingles[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)]
+    with np.errstate(over="ignore"):
+        _, some = np.unique(mix(own + para.astype(U) * _SEEDS[0]), return_index=True)
+    own, para = own[some], para[some]
+    odd = np.bincount(para * SKETCH + (own & U(SKETCH - 1)).astype(np.int64), minlength=len(first) * SKETCH) & 1
+    return np.bincount(para, minlength=len(first)), np.packbits(odd.astype(np.uint8)).view(U).reshape(len(first), SKETCH // 64)
+
+
+def _seeds(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the seeds: windows of GRAM words that are the smallest of WINNOW windows in a row of one text.
+
+    A seed depends on the words of these windows alone, so equal passages have equal seeds wherever they stand.
+    """
+    n = len(w.words) - GRAM + 1
+    if n < WINNOW:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    with np.errstate(over="ignore"):
+        grams = w.words[:n] * _GRAM_PLACE[0]
+        for k in range(1, GRAM):
+            grams += w.words[k : n + k] * _GRAM_PLACE[k]
+    grams = mix(grams) | U(1)
+    end = np.repeat(w.at[1:], np.diff(w.at))[: n - WINNOW + 1]
+    low = _slide(grams, WINNOW, np.minimum)
+    low[np.arange(len(low)) + WINNOW + GRAM - 1 > end] = 0  # these run into the next text
+    none = np.zeros(WINNOW - 1, U)
+    place = np.flatnonzero(grams == _slide(np.concatenate([none, low, none]), WINNOW, np.maximum))
+    return place, grams[place]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -122,106 +169,170 @@ def _fresh(names: np.ndarray, seen: set[int]) -> np.ndarray:
     return out
 
 
-def paragraph_rows(docs: DataFrame) -> DataFrame:
-    """docs(id, text) -> (id, first_word, words, para, keys): keys only where a task first meets a paragraph, however often it comes."""
+def key_values(docs: DataFrame) -> DataFrame:
+    """docs(id, text) -> (key, value): each seed with its text's name, each band key with its paragraph's name, once per task for a text or paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        texts: set[int] = set()
+        paras: set[int] = set()
         for batch in batches:
-            for b in _paragraph_blocks(batch.column(1)):
-                fresh = _fresh(b.name, seen)
-                flat = _signed(_bands(b, np.flatnonzero(fresh)).ravel()) if fresh.any() else pa.array([], pa.int64())
-                keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(fresh, BANDS, 0))), pa.int32()), flat)
-                ids = batch.column(0).take(pa.array(b.row)).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(b.first_word, pa.int64()), pa.array(b.words, pa.int64()), _signed(b.name), keys], ["id", "first_word", "words", "para", "keys"])
+            for w in _word_blocks(batch.column(1)):
+                if len(w.words) < MIN_WORDS:
+                    continue
+                owner = w.names(w.at[:-1], w.at[1:])
+                place, gram = _seeds(w)
+                row = np.searchsorted(w.at, place, side="right") - 1
+                new = _fresh(owner, texts)[row]
+                first, stop = _paragraphs(w)
+                some = np.flatnonzero(_fresh(w.names(first, stop), paras))
+                first, stop = first[some], stop[some]
+                name = w.names(first, stop)
+                keys = _bands(_shingles(w.words), first, stop) if len(first) else np.zeros((0, BANDS), U)
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate([gram[new], keys.ravel()])), _signed(np.concatenate([owner[row[new]], np.repeat(name, BANDS)]))], ["key", "value"])
+
+    return docs.select("id", "text").mapInArrow(run, "key long, value long")
+
+
+def places(docs: DataFrame) -> DataFrame:
+    """docs(id, text) -> PLACES: a row for each text (name, words), paragraph (at, words, name), band key of a paragraph (key, name, distinct shingles as words, sketch) and seed (key, at)."""
+    fields = [x.split() for x in PLACES.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64()}
+
+    def table(kind: int, n: int, **have) -> pa.RecordBatch:
+        have["kind"] = pa.array(np.full(n, kind, np.int32))
+        return pa.RecordBatch.from_arrays([have[c].cast(kinds[t]) if c in have else pa.nulls(n, kinds[t]) for c, t in fields], [c for c, _ in fields])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, first_word long, words long, para long, keys array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for w in _word_blocks(batch.column(1)):
+                ids = batch.column(0).slice(w.row, len(w.at) - 1)
+                take = lambda row, ids=ids: ids.take(pa.array(row))
+                yield table(DOC, len(ids), id=ids, words=pa.array(np.diff(w.at)), name=_signed(w.names(w.at[:-1], w.at[1:])))
+                if len(w.words) < MIN_WORDS:
+                    continue
+                place, gram = _seeds(w)
+                row = np.searchsorted(w.at, place, side="right") - 1
+                yield table(SEED, len(place), key=_signed(gram), id=take(row), at=pa.array(place - w.at[row]))
+                first, stop = _paragraphs(w)
+                row, name = np.searchsorted(w.at, first, side="right") - 1, w.names(first, stop)
+                yield table(PARA, len(first), id=take(row), at=pa.array(first - w.at[row]), words=pa.array(stop - first), name=_signed(name))
+                some = np.flatnonzero(_fresh(name, seen))
+                if len(some):
+                    first, stop, shingles = first[some], stop[some], _shingles(w.words)
+                    n, bits = _sketches(shingles, first, stop)
+                    each = lambda x: _signed(np.repeat(x, BANDS))
+                    yield table(KEY, len(some) * BANDS, key=_signed(_bands(shingles, first, stop).ravel()), words=pa.array(np.repeat(n, BANDS)), name=each(name[some]), **{f"s{k}": each(bits[:, k]) for k in range(4)})
+
+    return docs.select("id", "text").mapInArrow(run, PLACES)
 
 
 def paragraph_sets(docs: DataFrame) -> DataFrame:
-    """docs(id, text) -> (para, shingles), each paragraph's shingles as they come, once per task."""
+    """docs(id, text) -> (name, shingles), each paragraph's shingles as they come, once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for b in _paragraph_blocks(batch.column(1)):
-                some = np.flatnonzero(_fresh(b.name, seen))
-                size = b.words[some] - SHINGLE + 1
+            for w in _word_blocks(batch.column(1)):
+                if len(w.words) < MIN_WORDS:
+                    continue
+                first, stop = _paragraphs(w)
+                some = np.flatnonzero(_fresh(w.names(first, stop), seen))
+                first, stop = first[some], stop[some]
+                size = stop - first - SHINGLE + 1
                 ends = np.append(0, np.cumsum(size))
-                flat = b.shingles[np.arange(ends[-1]) + np.repeat(b.start[some] - ends[:-1], size)]
-                yield pa.RecordBatch.from_arrays([_signed(b.name[some]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(flat))], ["para", "shingles"])
+                flat = _shingles(w.words)[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)]
+                yield pa.RecordBatch.from_arrays([_signed(w.names(first, stop)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(flat))], ["name", "shingles"])
 
-    return docs.select("id", "text").mapInArrow(run, "para long, shingles array<long>")
+    return docs.select("id", "text").mapInArrow(run, "name long, shingles array<long>")
 
 
-def _grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of GRAM words of a text, and the places of its seeds: the smallest of each WINNOW windows in a row.
+def near_classes(docs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """rows(PLACES) -> (name, class_id) of the paragraphs that have a near copy: components over pairs whose sets of shingles have that Jaccard index.
 
-    A seed depends on the words of its windows alone, so equal passages have equal seeds wherever they stand.
+    The members of a bucket (paragraphs with a band key in common) are compared with the one that occurs most often; what then still
+    lies in different components is compared in full. Sizes and sketches are held against each other inside these joins, so they give only pairs that may link.
     """
-    n = len(words) - GRAM + 1
-    if n < 1:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    with np.errstate(over="ignore"):
-        grams = words[:n] * _GRAM_PLACE[0]
-        for k in range(1, GRAM):
-            grams += words[k : n + k] * _GRAM_PLACE[k]
-        grams = mix(grams)
-    if n < WINNOW:
-        return grams, np.zeros(0, np.int64)
-    low = np.lib.stride_tricks.sliding_window_view(grams, WINNOW)
-    return grams, np.unique(np.arange(n - WINNOW + 1) + low.argmin(1))
+    bits = [f"s{k}" for k in range(SKETCH // 64)]
+    often = rows.where(F.col("kind") == PARA).groupBy("name").agg(F.count(F.lit(1)).alias("often"))
+    keyed = rows.where(F.col("kind") == KEY).select("key", "name", F.col("words").alias("n"), *bits).dropDuplicates(["key", "name"])
+    keyed = stored(keyed.join(often, "name"), "keyed")
+    mine = ["name", "n", *bits]
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_"))) for b in bits), F.lit(0))
+    may = (F.least("n", "n_") >= similarity * F.greatest("n", "n_")) & (apart * (1 + similarity) <= (1 - similarity) * (F.col("n") + F.col("n_")))
+    pair = (F.least("name", "name_").alias("a"), F.greatest("name", "name_").alias("b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        named = pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).distinct()
+        where = rows.where(F.col("kind") == PARA).join(named, "name", "left_semi").groupBy("name").agg(F.min("id").alias("id"))
+        sets = maybe_in(paragraph_sets(maybe_in(docs, F.col("id"), where.select("id"))), F.col("name"), named)
+        sets = stored(sets.select("name", F.array_distinct("shingles").alias("s")).dropDuplicates(["name"]), "shingles")
+        p = pairs.join(sets.select(F.col("name").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("name").alias("b"), F.col("s").alias("sb")), "b")
+        both = F.size(F.array_intersect("sa", "sb"))
+        return stored(p.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
+
+    lead = keyed.groupBy("key").agg(F.max(F.struct("often", *mine)).alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    lead = lead.select("key", *[F.col(f"lead.{c}").alias(f"{c}_") for c in mine])
+    first = stored(keyed.join(lead, "key").where((F.col("name") != F.col("name_")) & may).select(*pair).distinct(), "pairs")
+    links = verified(first)
+    comp = components(links)
+    label = F.coalesce("component", "name").alias("comp")
+    open_ = keyed.drop("often").join(comp.withColumnRenamed("id", "name"), "name", "left").select("key", *mine, label)
+    unsettled = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    open_ = stored(open_.join(unsettled, "key", "left_semi"), "open")
+    other = open_.select(F.col("key").alias("key_"), *[F.col(c).alias(f"{c}_") for c in [*mine, "comp"]])
+    rest = open_.join(other, (F.col("key") == F.col("key_")) & (F.col("comp") < F.col("comp_")) & may).select(*pair).distinct()
+    rest = stored(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    if not rest.isEmpty():
+        comp = components(links.unionByName(verified(rest)))
+    return comp.select(F.col("id").alias("name"), F.col("component").alias("class_id"))
 
 
-def _ids_of(column: pa.Array, row: list[np.ndarray]) -> pa.Array:
-    return column.take(pa.array(np.concatenate(row))).cast(pa.int64())
+def _at(docs: DataFrame, asked: DataFrame, columns: str, run) -> DataFrame:
+    """mapInArrow over docs(id, text) joined with asked(id, ...), whose texts alone are shuffled."""
+    return maybe_in(docs, F.col("id"), asked.select("id")).join(asked, "id").mapInArrow(run, columns)
 
 
-def _windows(docs: DataFrame, bits=None) -> DataFrame:
-    """docs(id, text) -> (id, place, gram): each seed, or, given the bitmap of repeated seeds, each window less than NEAR from one of them."""
+def _ints(words: np.ndarray) -> np.ndarray:
+    return (words >> U(32)).astype(np.uint32).view(np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if bits is None else np.frombuffer(bits.value, np.uint8)
 
-        def table(column, row, place, gram):
-            return pa.RecordBatch.from_arrays([_ids_of(column, row), pa.array(np.concatenate(place), pa.int32()), _signed(np.concatenate(gram))], ["id", "place", "gram"])
+def _contexts(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """ends(k, kp, left) -> (k, kp, left, context): up to CONTEXT words before kp (the nearest first) or from kp on, as 32-bit hashes."""
+    asked = ends.groupBy(F.col("k").alias("id")).agg(F.collect_set(F.struct("kp", "left")).alias("ends"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, place, gram, held = [], [], [], 0
-            for i, words in texts_words(batch.column(1)):
-                grams, at = _grams(words)
-                if known is not None and len(at):
-                    slot = (grams[at] & U(SEED_BITS - 1)).astype(np.int64)
-                    at = at[(known[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
-                    edge = np.zeros(len(grams) + 1, np.int64)
-                    np.add.at(edge, np.maximum(at - NEAR + 1, 0), 1)
-                    np.add.at(edge, np.minimum(at + NEAR, len(grams)), -1)
-                    at = np.flatnonzero(np.cumsum(edge[:-1]))
-                if len(at):
-                    row.append(np.full(len(at), i))
-                    place.append(at)
-                    gram.append(grams[at])
-                    held += len(at)
-                if held > 200_000:
-                    yield table(batch.column(0), row, place, gram)
-                    row, place, gram, held = [], [], [], 0
-            if held:
-                yield table(batch.column(0), row, place, gram)
-
-    return docs.select("id", "text").mapInArrow(run, "id long, place int, gram long")
-
-
-def _bitmap(grams: DataFrame):
-    """A broadcast bitmap of SEED_BITS bits with the bits of grams(gram)."""
-    slot = F.col("gram").bitwiseAND(F.lit(SEED_BITS - 1))
-    got = grams.select(F.floor(slot / _BUCKET).alias("bucket"), (slot % _BUCKET).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    out = bytearray(SEED_BITS // 8)
-    for r in got.toLocalIterator():
-        out[r.bucket * _BUCKET // 8 : (r.bucket + 1) * _BUCKET // 8] = r.bits
-    return grams.sparkSession.sparkContext.broadcast(bytes(out))
-
-
-def bridged(parts: list[tuple[int, int, int]], similarity: float) -> list[tuple[int, int, int]]:
+            for i, words in texts_words(batch.column("text")):
+                words, at, left = _ints(words), [], []
+                for e in batch.column("ends")[i].as_py():
+                    at.append(e["kp"])
+                    left.append(e["left"])
+                found = [words[max(p - CONTEXT, 0) : p][::-1] if x else words[p : p + CONTEXT] for p, x in zip(at, left)]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("id")[i].as_py()] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(left), lists], ["k", "kp", "left", "context"])
+
+    return _at(docs, asked, "k long, kp int, left boolean, context array<int>", run)
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
+    """How many first entries are equal."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def grown(own: np.ndarray, other: np.ndarray) -> tuple[int, tuple[int, int, int] | None]:
+    """How many words two contexts share from a run's end on, and (skipped here, skipped there, words) of a part of GRAM words or more behind one or two changed words."""
+    n = _equal(own, other)
+    for a, b in ((1, 1), (0, 1), (1, 0), (2, 2)):
+        more = _equal(own[n + a :], other[n + b :])
+        if more >= GRAM:
+            return n, (n + a, n + b, more)
+    return n, None
+
+
+def bridged(parts: list[tuple[int, int, int]], similarity: float) -> list[tuple[int, int, int, int]]:
     """(first word, first word in the earlier document, words there, words) of near copies: exact parts (first, keep_first, words) in order, with the few words between them.
 
     A part goes on with the next as long as both sides together have a Jaccard index of five-word shingles of at least `similarity`,
@@ -246,118 +357,134 @@ def bridged(parts: list[tuple[int, int, int]], similarity: float) -> list[tuple[
     return out
 
 
-def _bridges(similarity: float):
-    @F.arrow_udf("array<struct<first_word:bigint,keep_first_word:bigint,keep_words:bigint,words:bigint>>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("first_word", "keep_first_word", "keep_words", "words")]))
-        for lists in batches:
-            found = [bridged([(x["first_word"], x["keep_first_word"], x["words"]) for x in parts], similarity) for parts in lists.to_pylist()]
-            yield pa.array([[dict(zip(("first_word", "keep_first_word", "keep_words", "words"), x)) for x in parts] for parts in found], kind)
-
-    return run
+def _merged(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Parts (first, keep_first, words) in order; those on the same diagonal that touch or overlap are one."""
+    out: dict[int, list[tuple[int, int, int]]] = {}
+    for first, keep, n in sorted(parts):
+        line = out.setdefault(keep - first, [])
+        if line and first <= line[-1][0] + line[-1][2]:
+            first, keep, n = line[-1][0], line[-1][1], max(line[-1][2], first + n - line[-1][0])
+            line.pop()
+        line.append((first, keep, n))
+    return sorted(x for line in out.values() for x in line)
+
+
+def text_passages(own_id: int, words: np.ndarray, ends: list[dict], similarity: float | None, min_run: int) -> list[tuple[int, int, int, int, int]]:
+    """(first_word, words, keep_id, keep_first_word, keep_words) of one text's passages, none inside another, from its runs of seeds and what stands around their earlier places."""
+    by_keep: dict[int, list[tuple[int, int, int]]] = {}
+    for e in ends:
+        first, n, kp, other = e["first_word"], e["words"], e["kp"], np.asarray(e["context"] or (), np.int32)
+        if e["left"]:
+            more, tail = grown(words[max(first - CONTEXT, 0) : first][::-1], other)
+            parts = [(first - more, kp - more, n + more)] + ([(first - tail[0] - tail[2], kp - tail[1] - tail[2], tail[2])] if tail else [])
+        else:
+            more, tail = grown(words[first + n : first + n + CONTEXT], other)
+            parts = [(first, kp - n, n + more)] + ([(first + n + tail[0], kp + tail[1], tail[2])] if tail else [])
+        by_keep.setdefault(e["k"], []).extend(parts)
+    found = []
+    for k, parts in by_keep.items():
+        parts = _merged(parts)
+        found += [(b, n, k, a, n) for b, a, n in parts]
+        if similarity is not None and k != own_id:
+            found += [(b, n, k, a, m) for b, a, m, n in bridged(parts, similarity)]
+    found.sort()
+    out, at = [], 0
+    while at < len(found):  # passages that overlap or touch count together
+        end, stop = found[at][0] + found[at][1], at + 1
+        while stop < len(found) and found[stop][0] <= end:
+            end, stop = max(end, found[stop][0] + found[stop][1]), stop + 1
+        if end - found[at][0] >= min_run:
+            covered = -1
+            for x in sorted(found[at:stop], key=lambda x: (x[0], -x[1], x[2:])):
+                if x[0] + x[1] > covered:  # else it lies inside one that is there
+                    out.append(x)
+                    covered = x[0] + x[1]
+        at = stop
+    return out
 
 
-def exact_passages(docs: DataFrame, min_run: int = MIN_RUN, similarity: float | None = None) -> DataFrame:
-    """docs(id, text) -> (id, first_word, words, keep_id, keep_first_word, keep_words): word runs that stand in an earlier place too, across documents.
+def exact_passages(docs: DataFrame, rows: DataFrame | None = None, *, min_run: int = MIN_RUN, similarity: float | None = None) -> DataFrame:
+    """docs(id, text), and their rows(PLACES) if they are there, -> (id, first_word, words, keep_id, keep_first_word, keep_words): word runs that stand in an earlier place too, across documents.
 
-    Every window of GRAM words that several documents hold is laid upon its first place (smallest id, then word);
-    windows in a row on places in a row are one passage. Whatever two documents share in 23 words or more holds
-    a common seed within WINNOW windows of each of its windows, so all of it is found, word for word, at any offset and with
-    any holder; what is looked at is only what lies near to a repeated seed. Passages that overlap or
-    touch count together for min_run.
+    Texts of the same words are one from the start: all but that of the smallest id are a passage as a whole. Every seed that several other texts hold is laid upon its
+    first place (smallest id, then word); seeds in a row on places in a row are one run, whose ends then grow word by word, in the text
+    and at the earlier place. What two documents share in 23 words or more holds a common seed, so all of it is found, word for word,
+    at any offset and with any holder. Passages that overlap or touch count together for min_run.
 
-    With a similarity, parts on the same earlier document are also bridged over the words between them as long as the whole
-    is that near a copy. Of two texts of more than 50 words at Jaccard 0.75 with single words changed, at least
-    24 words in a row are equal, which is enough for a seed.
+    With a similarity, a run's end also grows over one or two changed words when at least GRAM equal words follow, and parts on the same earlier document
+    are bridged over the words between them as long as the whole is that near a copy. Of two texts of more than 50 words at Jaccard 0.75 with
+    single words changed, at least 24 words in a row are equal, which is enough for a seed.
     """
-    seeds = _windows(docs)
-    again = seeds.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("gram")
-    grams = _windows(docs, _bitmap(again))
-    place = F.struct("id", "place")
-    heads = grams.groupBy("gram").agg(F.min(place).alias("keep"), F.max("id").alias("hi")).where("keep.id < hi").drop("hi")
-    hit = grams.join(heads, "gram").where(F.col("keep") != place).select("id", "place", F.col("keep.id").alias("k"), F.col("keep.place").alias("kp"))
-    in_order = Window.partitionBy("id").orderBy("place")
-    step = F.col("place") - F.lag("place").over(in_order)  # 0: rows that share an id
-    same = (step <= 1) & (F.lag("k").over(in_order) == F.col("k")) & (F.col("kp") - F.lag("kp").over(in_order) == step)
+    rows = stored(places(docs), "places") if rows is None else rows
+    texts = rows.where((F.col("kind") == DOC) & (F.col("words") >= MIN_WORDS)).select("id", "name", "words")
+    first = texts.groupBy("name").agg(F.min("id").alias("rep"))
+    copies = texts.where(F.col("words") >= min_run).join(first, "name").where("id <> rep")
+    copies = copies.select("id", F.lit(0).alias("first_word"), "words", F.col("rep").alias("keep_id"), F.lit(0).alias("keep_first_word"), F.col("words").alias("keep_words"))
+    seeds = rows.where(F.col("kind") == SEED).select("key", "id", "at").join(first.select(F.col("rep").alias("id")), "id", "left_semi")
+    place = F.struct("id", "at")
+    heads = seeds.groupBy("key").agg(F.min(place).alias("keep"), F.max("id").alias("hi")).where("keep.id < hi").drop("hi")
+    hit = seeds.join(heads, "key").where(F.col("keep") != place).select("id", "at", F.col("keep.id").alias("k"), F.col("keep.at").alias("kp"))
+    in_order = Window.partitionBy("id").orderBy("at")
+    step = F.col("at") - F.lag("at").over(in_order)  # 0: rows that share an id
+    same = (step <= GRAM) & (F.lag("k").over(in_order) == F.col("k")) & (F.col("kp") - F.lag("kp").over(in_order) == step)
     hit = hit.withColumn("new", (~F.coalesce(same, F.lit(False))).cast("long"))
     hit = hit.withColumn("part", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = hit.groupBy("id", "part").agg(F.min("place").cast("long").alias("first_word"), (F.max("place") - F.min("place") + GRAM).cast("long").alias("words"), F.min("k").alias("keep_id"), F.min("kp").cast("long").alias("keep_first_word")).drop("part").withColumn("keep_words", F.col("words"))
-    if similarity is not None:
-        parts = stored(parts, "parts")
-        listed = parts.groupBy("id", "keep_id").agg(F.array_sort(F.collect_list(F.struct("first_word", "keep_first_word", "words"))).alias("p")).where("size(p) > 1 AND id <> keep_id")
-        over = listed.select("id", "keep_id", F.explode(_bridges(similarity)("p")).alias("x")).select("id", F.col("x.first_word").alias("first_word"), "x.words", "keep_id", F.col("x.keep_first_word").alias("keep_first_word"), F.col("x.keep_words").alias("keep_words"))
-        parts = parts.unionByName(over)
-    in_order = Window.partitionBy("id").orderBy("first_word", "words", "keep_id", "keep_first_word")
-    end = F.col("first_word") + F.col("words")
-    new = F.coalesce(F.max(end).over(in_order.rowsBetween(Window.unboundedPreceding, -1)) < F.col("first_word"), F.lit(True))
-    runs = parts.withColumn("new", new.cast("long")).withColumn("run", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("id", "run")
-    return runs.withColumn("total", F.max(end).over(whole) - F.min("first_word").over(whole)).where(F.col("total") >= min_run).drop("new", "run", "total")
+    parts = hit.groupBy("id", "part").agg(F.min("at").alias("first_word"), (F.max("at") - F.min("at") + GRAM).cast("int").alias("words"), F.min("k").alias("k"), F.min("kp").alias("kp"))
+    parts = stored(parts.drop("part"), "parts")
+    ends = F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("kp").alias("kp")), F.struct(F.lit(False).alias("left"), (F.col("kp") + F.col("words")).alias("kp"))))
+    ends = parts.select("id", "first_word", "words", "k", ends.alias("e")).select("id", "first_word", "words", "k", "e.left", "e.kp")
+    told = ends.join(stored(_contexts(docs, ends.select("k", "kp", "left")), "contexts"), ["k", "kp", "left"])
+    asked = told.groupBy("id").agg(F.collect_list(F.struct("first_word", "words", "k", "kp", "left", "context")).alias("ends"))
+    asked = stored(asked, "ends")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, words in texts_words(batch.column("text")):
+                own = batch.column("id")[i].as_py()
+                found = text_passages(own, _ints(words), batch.column("ends")[i].as_py(), similarity, min_run)
+                b, n, k, a, m = zip(*found) if found else ((),) * 5
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([own] * len(found), b, n, k, a, m), kinds)], ["id", "first_word", "words", "keep_id", "keep_first_word", "keep_words"])
+
+    return _at(docs, asked, "id long, first_word int, words int, keep_id long, keep_first_word int, keep_words int", run).unionByName(copies)
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = 0.75, min_run: int = MIN_RUN) -> DataFrame:
     """One row per occurrence of a repeated passage: id_col, first_word, words, class_id, keep_id, keep_first_word, removed.
 
-    Passages are of two kinds, whose rows may overlap: those of any offset (exact_passages, with bridges over changed words), each with a row
-    for its place and one for the place that stays, and paragraphs with near copies. Removals always point to an earlier place.
+    Passages are of two kinds, whose rows may overlap: paragraphs with near copies, and passages of any offset (exact_passages, grown and bridged over changed
+    words), each with a row for its place and one for the place that stays. Removals always point to an earlier place.
 
-    Paragraphs whose sets of five-word shingles have a Jaccard index of at least `similarity`, over paths of such
-    pairs, are one class; its first occurrence (smallest id, then place) stays, the others are removed. Only
+    Paragraphs are lines, long ones cut by content. Those whose sets of five-word shingles have a Jaccard index of at least `similarity`, over
+    paths of such pairs, are one class; its first occurrence (smallest id, then place) stays, the others are removed. Only
     runs of repeated paragraphs that follow one another in a document and have at least min_run words
     in all count; shorter ones (a common phrase, a licence line) are left alone. Occurrences of a class in one document
     alone are no repeat across documents and are left alone too.
 
-    Equal paragraphs are one from the start, so copies cost a row each and no pair. The members of a band's bucket are compared with
-    its first member; what then still lies in different components is compared in full, so a hot bucket of
-    copies makes no pairs of all members.
+    Equal paragraphs are one from the start, so copies cost a row each and no pair. Keys that only one text or paragraph has are dropped before
+    anything is joined.
 
     Defined cases: null, empty and short texts have no paragraph; rows with a null id take no part; rows that share
-    an id are one document; an empty table gives no rows; other columns are ignored. Texts are never shuffled.
+    an id are one document; an empty table gives no rows; other columns, whatever their names, are ignored; a very long text is a row as any other, hashed
+    as a whole. Of texts, only those that share a seed with another are shuffled.
     """
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    paras = stored(paragraph_rows(docs), "paragraphs")
-    by_key = Window.partitionBy("key")
-    keyed = paras.select("para", F.explode("keys").alias("key"))
-    keyed = keyed.select("key", "para", F.min("para").over(by_key).alias("lead"), F.max("para").over(by_key).alias("last"))
-    buckets = stored(keyed.where("lead < last").select("key", "para", "lead"), "buckets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.col("a").alias("para")).unionAll(pairs.select("b")).distinct()
-        where = paras.where(F.size("keys") > 0).join(named, "para", "left_semi").groupBy("para").agg(F.min("id").alias("id"))
-        sets = maybe_in(paragraph_sets(maybe_in(docs, F.col("id"), where.select("id"))), F.col("para"), named)
-        sets = stored(sets.select("para", F.array_distinct("shingles").alias("shingles")), "shingles")
-        side = lambda x: sets.select(F.col("para").alias(x), F.col("shingles").alias(f"s_{x}"))
-        p = pairs.join(side("a"), "a").join(side("b"), "b")
-        both = F.size(F.array_intersect("s_a", "s_b"))
-        return stored(p.where(both >= similarity * (F.size("s_a") + F.size("s_b") - both)).select("a", "b").distinct(), "links")
-
-    as_pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = stored(buckets.where("para <> lead").select(*as_pair(F.col("para"), F.col("lead"))).distinct(), "pairs")
-    links = verified(first)
-    comp = components(links)
-    label = F.coalesce("component", "para").alias("comp")
-    open_ = buckets.join(comp.withColumnRenamed("id", "para"), "para", "left").select("key", "para", label)
-    open_ = open_.select("*", F.min("comp").over(by_key).alias("lo"), F.max("comp").over(by_key).alias("hi")).where("lo < hi").drop("lo", "hi")
-    open_ = stored(open_, "buckets")
-    other = open_.select("key", F.col("para").alias("other"), F.col("comp").alias("other_comp"))
-    rest = open_.join(other, "key").where("comp < other_comp").select(*as_pair(F.col("para"), F.col("other"))).distinct()
-    rest = stored(rest.join(first, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        links = links.unionByName(verified(rest))
-        comp = components(links)
-
-    classed = paras.drop("keys").join(comp.withColumnRenamed("id", "para"), "para", "left").select("id", "first_word", "words", F.coalesce("component", "para").alias("class_id")).distinct()
+    shared = key_values(docs).groupBy("key").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo < hi").select("key")
+    rows = stored(maybe_in(places(docs), F.col("key"), stored(shared, "shared"), keep_null=True), "places")
+    classes = near_classes(docs, rows, similarity)
+    classed = rows.where(F.col("kind") == PARA).select("id", F.col("at").alias("first_word"), "words", "name").join(classes, "name", "left").select("id", "first_word", "words", F.coalesce("class_id", "name").alias("class_id")).distinct()
     place = F.struct(F.col("id"), F.col("first_word"))
-    heads = classed.groupBy("class_id").agg(F.min(place).alias("keep"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("lo", "hi")
+    heads = classed.groupBy("class_id").agg(F.min(place).alias("keep"), F.max("id").alias("hi")).where("keep.id < hi").drop("hi")
     hit = stored(classed.join(heads, "class_id"), "repeated")
     in_order = Window.partitionBy("id").orderBy("first_word")
     new = F.coalesce(F.lag(F.col("first_word") + F.col("words")).over(in_order) != F.col("first_word"), F.lit(True))
     runs = hit.withColumn("new", new.cast("long")).withColumn("run", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.withColumn("total", F.sum("words").over(Window.partitionBy("id", "run"))).where(F.col("total") >= min_run)
-    near = runs.select(F.col("id").alias(id_col), "first_word", "words", "class_id", F.col("keep.id").alias("keep_id"), F.col("keep.first_word").alias("keep_first_word"), (F.col("keep") != place).alias("removed"))
-    exact = stored(exact_passages(docs, min_run, similarity).withColumn("class_id", F.xxhash64("keep_id", "keep_first_word", "keep_words")), "exact")
-    gone = exact.select(F.col("id").alias(id_col), "first_word", "words", "class_id", "keep_id", "keep_first_word", F.lit(True).alias("removed"))
-    stays = exact.select(F.col("keep_id").alias(id_col), F.col("keep_first_word").alias("first_word"), F.col("keep_words").alias("words"), "class_id", "keep_id", "keep_first_word", F.lit(False).alias("removed")).distinct()
+    long = lambda *cols: [F.col(c).cast("long").alias(c) for c in cols]
+    near = runs.select(F.col("id").alias(id_col), *long("first_word", "words"), "class_id", F.col("keep.id").alias("keep_id"), F.col("keep.first_word").cast("long").alias("keep_first_word"), (F.col("keep") != place).alias("removed"))
+    exact = stored(exact_passages(docs, rows, min_run=min_run, similarity=similarity).withColumn("class_id", F.xxhash64("keep_id", "keep_first_word", "keep_words")).distinct(), "exact")
+    gone = exact.select(F.col("id").alias(id_col), *long("first_word", "words"), "class_id", "keep_id", *long("keep_first_word"), F.lit(True).alias("removed"))
+    stays = exact.select(F.col("keep_id").alias(id_col), F.col("keep_first_word").cast("long").alias("first_word"), F.col("keep_words").cast("long").alias("words"), "class_id", "keep_id", *long("keep_first_word"), F.lit(False).alias("removed")).distinct()
     return near.unionByName(gone).unionByName(stays)
 
 

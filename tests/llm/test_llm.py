@@ -136,7 +136,9 @@ def test_op3_planted(spark):
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("id", F.lit(0))
     got = substring_dedup.repeated_paragraphs(df)
     assert {x.doc_id for x in got.collect()} == set(range(0, 40, 5))
-    assert {x.keep_id for x in got.collect()} == {0} and got.where("removed").select("doc_id").distinct().count() == 7
+    # pieces of a line may be near copies with a few words around the passage, so a class of them may begin later than document 0
+    assert {x.keep_id for x in got.collect()} <= set(range(0, 40, 5)) and {x.doc_id for x in got.where("removed").collect()} == set(range(5, 40, 5))
+    assert all(gone >= set(range(80, 143)) for gone in _covered(got).values())
     assert substring_dedup.repeated_paragraphs(df.limit(0)).count() == 0
 
 
@@ -163,7 +165,7 @@ def test_op3_exact_passages_brute_force(spark):
     data += [(500, " ".join([*long[:30], *(word() for _ in range(40))])), (501, " ".join(long)), (502, " ".join([*(word() for _ in range(7)), *long]))]
     planted.append((502, set(range(7, 77))))
     df = spark.createDataFrame(data, "doc_id long, text string")
-    exact = _covered(substring_dedup.exact_passages(df.withColumnRenamed("doc_id", "id")).select(F.col("id").alias("doc_id"), "first_word", "words", F.lit(True).alias("removed")))
+    exact = _covered(substring_dedup.exact_passages(df.withColumnRenamed("doc_id", "id"), min_run=25).select(F.col("id").alias("doc_id"), "first_word", "words", F.lit(True).alias("removed")))
     assert all(exact[i] == want for i, want in planted)
     assert exact[501] == set(range(30)) and set(exact) == {i for i, _ in planted} | {501}
     gone = _covered(substring_dedup.repeated_paragraphs(df))
