@@ -10,7 +10,7 @@ from satchel.llm.exact_dedup import drop_copies
 from satchel.llm.jaccard_join import jaccard_groups
 from satchel.llm.language_id import UNKNOWN, fit, held_out, language
 from satchel.llm.mixing import mix_sources
-from satchel.llm.scratch import stored
+from satchel.storage import stored
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
