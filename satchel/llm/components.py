@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from ..storage import stored
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .membership import maybe_in
-from .scratch import stored
+from ..storage import stored
 from .tokens import U, hash_shingles, mix, texts_words
 
 #: A sketch has this many 64-bit words, or 4 bits for each element of the size band's smallest set if that is more.

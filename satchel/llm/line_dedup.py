@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
-from .scratch import stored
+from ..storage import stored
 
 #: Words that a line needs to bring two documents together, and that an aligned block needs to be deleted.
 MIN_WORDS = 6

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import stored
+from ..storage import stored
 
 #: No document is taken more often than this, and no source beyond this multiple of its size.
 MOST = 3

@@ -7,12 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import dropped, stored
 from .components import components
-from .membership import maybe_in
-from .scratch import stored
+from .membership import bitmap, in_bitmap, maybe_in
 from .tokens import SHINGLE, U, _PLACE, _tables, blocks, hash_words, mix, text_bytes, texts_words, word_spans
 
 #: Words that a paragraph has at least, and that repeated passages which follow one another need in all before they count.
@@ -31,9 +31,10 @@ _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U)) | U(1)
 _PAIR = mix(np.arange(501, 503, dtype=U)) | U(1)
 #: Bits of the parity sketch of a paragraph's shingles; the Hamming distance of two bounds the symmetric difference from below.
 SKETCH = 256
-DOC, PARA, KEY, SEED = range(4)
+DOC, PARA, KEY, SHAPE, SEED = range(5)
 PLACES = "kind int, key long, id long, at int, words int, name long, s0 long, s1 long, s2 long, s3 long"
-PARTS = "array<struct<first_word:int,words:int,k:bigint,kp:int,left:boolean,context:array<int>>>"
+#: Ends of runs that are compared at once.
+STEP = 20_000
 
 
 def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
@@ -193,8 +194,9 @@ def key_values(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "key long, value long")
 
 
-def places(docs: DataFrame) -> DataFrame:
-    """docs(id, text) -> PLACES: a row for each text (name, words), paragraph (at, words, name), band key of a paragraph (key, name, distinct shingles as words, sketch) and seed (key, at)."""
+def places(docs: DataFrame, shared=None) -> DataFrame:
+    """docs(id, text) -> PLACES: a row for each text (name, words), paragraph (at, words, name), band key (key, name), paragraph with a band key (name, distinct shingles
+    as words, sketch) and seed (key, at). shared: a broadcast bitmap (membership.bitmap); keys and seeds that are surely not in it are left out."""
     fields = [x.split() for x in PLACES.split(", ")]
     kinds = {"int": pa.int32(), "long": pa.int64()}
 
@@ -204,6 +206,7 @@ def places(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        may = (lambda keys: np.ones(keys.shape, bool)) if shared is None else (lambda keys: in_bitmap(shared.value, keys))
         for batch in batches:
             for w in _word_blocks(batch.column(1)):
                 ids = batch.column(0).slice(w.row, len(w.at) - 1)
@@ -212,17 +215,23 @@ def places(docs: DataFrame) -> DataFrame:
                 if len(w.words) < MIN_WORDS:
                     continue
                 place, gram = _seeds(w)
+                some = may(gram)
+                place, gram = place[some], gram[some]
                 row = np.searchsorted(w.at, place, side="right") - 1
                 yield table(SEED, len(place), key=_signed(gram), id=take(row), at=pa.array(place - w.at[row]))
                 first, stop = _paragraphs(w)
                 row, name = np.searchsorted(w.at, first, side="right") - 1, w.names(first, stop)
                 yield table(PARA, len(first), id=take(row), at=pa.array(first - w.at[row]), words=pa.array(stop - first), name=_signed(name))
                 some = np.flatnonzero(_fresh(name, seen))
-                if len(some):
-                    first, stop, shingles = first[some], stop[some], _shingles(w.words)
-                    n, bits = _sketches(shingles, first, stop)
-                    each = lambda x: _signed(np.repeat(x, BANDS))
-                    yield table(KEY, len(some) * BANDS, key=_signed(_bands(shingles, first, stop).ravel()), words=pa.array(np.repeat(n, BANDS)), name=each(name[some]), **{f"s{k}": each(bits[:, k]) for k in range(4)})
+                if not len(some):
+                    continue
+                shingles = _shingles(w.words)
+                keys = _bands(shingles, first[some], stop[some])
+                kept = may(keys)
+                yield table(KEY, int(kept.sum()), key=_signed(keys[kept]), name=_signed(np.repeat(name[some], kept.sum(1))))
+                if len(some := some[kept.any(1)]):
+                    n, bits = _sketches(shingles, first[some], stop[some])
+                    yield table(SHAPE, len(some), words=pa.array(n), name=_signed(name[some]), **{f"s{k}": _signed(bits[:, k]) for k in range(SKETCH // 64)})
 
     return docs.select("id", "text").mapInArrow(run, PLACES)
 
@@ -248,43 +257,50 @@ def paragraph_sets(docs: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """rows(PLACES) -> (name, class_id) of the paragraphs that have a near copy: components over pairs whose sets of shingles have that Jaccard index.
+    """docs(id, text), their rows(PLACES) -> (name, class_id) of the paragraphs that have a near copy: components over pairs whose sets of shingles have that Jaccard index.
 
     The members of a bucket (paragraphs with a band key in common) are compared with the one that occurs most often; what then still
     lies in different components is compared in full. Sizes and sketches are held against each other inside these joins, so they give only pairs that may link.
     """
     bits = [f"s{k}" for k in range(SKETCH // 64)]
-    often = rows.where(F.col("kind") == PARA).groupBy("name").agg(F.count(F.lit(1)).alias("often"))
-    keyed = rows.where(F.col("kind") == KEY).select("key", "name", F.col("words").alias("n"), *bits).dropDuplicates(["key", "name"])
-    keyed = stored(keyed.join(often, "name"), "keyed")
-    mine = ["name", "n", *bits]
+    of = lambda kind: rows.where(F.col("kind") == kind)
+    shapes = stored(of(SHAPE).select("name", F.col("words").alias("n"), *bits).dropDuplicates(["name"]), "shapes")
+    shape = lambda x, end: shapes.select(F.col("name").alias(x), *[F.col(c).alias(f"{c}{end}") for c in ("n", *bits)])
     apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_"))) for b in bits), F.lit(0))
     may = (F.least("n", "n_") >= similarity * F.greatest("n", "n_")) & (apart * (1 + similarity) <= (1 - similarity) * (F.col("n") + F.col("n_")))
-    pair = (F.least("name", "name_").alias("a"), F.greatest("name", "name_").alias("b"))
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         named = pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).distinct()
-        where = rows.where(F.col("kind") == PARA).join(named, "name", "left_semi").groupBy("name").agg(F.min("id").alias("id"))
+        where = of(PARA).join(named, "name", "left_semi").groupBy("name").agg(F.min("id").alias("id"))
         sets = maybe_in(paragraph_sets(maybe_in(docs, F.col("id"), where.select("id"))), F.col("name"), named)
         sets = stored(sets.select("name", F.array_distinct("shingles").alias("s")).dropDuplicates(["name"]), "shingles")
         p = pairs.join(sets.select(F.col("name").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("name").alias("b"), F.col("s").alias("sb")), "b")
         both = F.size(F.array_intersect("sa", "sb"))
-        return stored(p.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
-
-    lead = keyed.groupBy("key").agg(F.max(F.struct("often", *mine)).alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    lead = lead.select("key", *[F.col(f"lead.{c}").alias(f"{c}_") for c in mine])
-    first = stored(keyed.join(lead, "key").where((F.col("name") != F.col("name_")) & may).select(*pair).distinct(), "pairs")
+        links = stored(p.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
+        dropped(sets)
+        return links
+
+    often = of(PARA).groupBy("name").agg(F.count(F.lit(1)).alias("often"))
+    keyed = of(KEY).select("key", "name").join(often, "name")
+    lead = keyed.groupBy("key").agg(F.max(F.struct("often", "name")).alias("lead"), F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo < hi")
+    led = stored(of(KEY).select("key", "name").join(lead.select("key", F.col("lead.name").alias("lead")), "key").where("name <> lead").distinct(), "led")
+    met = led.select(*pair("name", "lead")).distinct().join(shape("a", ""), "a").join(shape("b", "_"), "b")
+    first = stored(met.where(may).select("a", "b"), "pairs")
     links = verified(first)
     comp = components(links)
     label = F.coalesce("component", "name").alias("comp")
-    open_ = keyed.drop("often").join(comp.withColumnRenamed("id", "name"), "name", "left").select("key", *mine, label)
+    open_ = led.join(comp.withColumnRenamed("id", "name"), "name", "left").select("key", "name", label)
     unsettled = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ = stored(open_.join(unsettled, "key", "left_semi"), "open")
-    other = open_.select(F.col("key").alias("key_"), *[F.col(c).alias(f"{c}_") for c in [*mine, "comp"]])
-    rest = open_.join(other, (F.col("key") == F.col("key_")) & (F.col("comp") < F.col("comp_")) & may).select(*pair).distinct()
-    rest = stored(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    open_ = stored(open_.join(unsettled, "key", "left_semi").join(shapes, "name"), "open")
+    other = open_.select(*[F.col(c).alias(f"{c}_") for c in open_.columns])
+    rest = open_.join(other, (F.col("key") == F.col("key_")) & (F.col("comp") < F.col("comp_")) & may).select(*pair("name", "name_")).distinct()
+    rest = stored(rest, "pairs")
     if not rest.isEmpty():
-        comp = components(links.unionByName(verified(rest)))
+        more = verified(rest)
+        comp = components(links.unionByName(more))
+        dropped(more)
+    dropped(shapes, led, first, links, open_, rest)
     return comp.select(F.col("id").alias("name"), F.col("component").alias("class_id"))
 
 
@@ -297,39 +313,66 @@ def _ints(words: np.ndarray) -> np.ndarray:
     return (words >> U(32)).astype(np.uint32).view(np.int32)
 
 
+def _texts_together(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the words of all texts of a column, one after another, and where each text's begin."""
+    found = [words for _, words in texts_words(texts)]
+    return _ints(np.concatenate([np.zeros(0, U), *found])), np.cumsum([0, *map(len, found)])
+
+
+def _flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The entries of a list column, and the row of each."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    return lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+
+
+def _around(words: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[ends, CONTEXT] words before each place (the nearest first) or from it on, and which of them lie between low and high."""
+    step = np.arange(CONTEXT)
+    index = np.where(left[:, None], at[:, None] - 1 - step, at[:, None] + step)
+    inside = (index >= low[:, None]) & (index < high[:, None])
+    return (words[np.where(inside, index, 0)] if len(words) else np.zeros(index.shape, np.int32)), inside
+
+
 def _contexts(docs: DataFrame, ends: DataFrame) -> DataFrame:
     """ends(k, kp, left) -> (k, kp, left, context): up to CONTEXT words before kp (the nearest first) or from kp on, as 32-bit hashes."""
     asked = ends.groupBy(F.col("k").alias("id")).agg(F.collect_set(F.struct("kp", "left")).alias("ends"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, words in texts_words(batch.column("text")):
-                words, at, left = _ints(words), [], []
-                for e in batch.column("ends")[i].as_py():
-                    at.append(e["kp"])
-                    left.append(e["left"])
-                found = [words[max(p - CONTEXT, 0) : p][::-1] if x else words[p : p + CONTEXT] for p, x in zip(at, left)]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column("id")[i].as_py()] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(left), lists], ["k", "kp", "left", "context"])
+            words, at = _texts_together(batch.column("text"))
+            ends, row = _flat(batch.column("ends"))
+            kp, left = ends.field("kp").to_numpy(), ends.field("left").to_numpy(zero_copy_only=False)
+            for begin in range(0, len(row), STEP):
+                r, p, x = row[begin : begin + STEP], kp[begin : begin + STEP], left[begin : begin + STEP]
+                found, inside = _around(words, at[r], at[r + 1], at[r] + p, x)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(inside.sum(1))), pa.int32()), pa.array(found[inside]))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(r)).cast(pa.int64()), pa.array(p, pa.int32()), pa.array(x), lists], ["k", "kp", "left", "context"])
 
     return _at(docs, asked, "k long, kp int, left boolean, context array<int>", run)
 
 
-def _equal(a: np.ndarray, b: np.ndarray) -> int:
-    """How many first entries are equal."""
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    return int(differ[0]) if len(differ) else n
+def _leading(x: np.ndarray) -> np.ndarray:
+    """How many entries of each row are true before the first that isn't."""
+    return np.where(x.all(1), x.shape[1], x.argmin(1))
 
 
-def grown(own: np.ndarray, other: np.ndarray) -> tuple[int, tuple[int, int, int] | None]:
-    """How many words two contexts share from a run's end on, and (skipped here, skipped there, words) of a part of GRAM words or more behind one or two changed words."""
-    n = _equal(own, other)
-    for a, b in ((1, 1), (0, 1), (1, 0), (2, 2)):
-        more = _equal(own[n + a :], other[n + b :])
-        if more >= GRAM:
-            return n, (n + a, n + b, more)
-    return n, None
+def grown(own: np.ndarray, have: np.ndarray, other: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair of contexts (rows of words, and which of them exist): how many words they share from a run's end on, and the part of GRAM words or more behind
+    one or two changed words, as words skipped here, words skipped there, words (0 if there is none)."""
+    n = _leading((own == other) & have & theirs)
+    a, b, more = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    step = np.arange(CONTEXT)
+    for x, y in ((1, 1), (0, 1), (1, 0), (2, 2)):
+        rows = np.flatnonzero((more == 0) & (n + max(x, y) + GRAM <= CONTEXT))
+        i, j = n[rows, None] + x + step, n[rows, None] + y + step
+        inside = (i < CONTEXT) & (j < CONTEXT)
+        i, j = np.where(inside, i, 0), np.where(inside, j, 0)
+        pick = lambda m, k, rows=rows: np.take_along_axis(m[rows], k, 1)
+        size = _leading((pick(own, i) == pick(other, j)) & pick(have, i) & pick(theirs, j) & inside)
+        hit = size >= GRAM
+        a[rows[hit]], b[rows[hit]], more[rows[hit]] = n[rows[hit]] + x, n[rows[hit]] + y, size[hit]
+    return n, a, b, more
 
 
 def bridged(parts: list[tuple[int, int, int]], similarity: float) -> list[tuple[int, int, int, int]]:
@@ -357,50 +400,45 @@ def bridged(parts: list[tuple[int, int, int]], similarity: float) -> list[tuple[
     return out
 
 
-def _merged(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Parts (first, keep_first, words) in order; those on the same diagonal that touch or overlap are one."""
-    out: dict[int, list[tuple[int, int, int]]] = {}
-    for first, keep, n in sorted(parts):
-        line = out.setdefault(keep - first, [])
-        if line and first <= line[-1][0] + line[-1][2]:
-            first, keep, n = line[-1][0], line[-1][1], max(line[-1][2], first + n - line[-1][0])
-            line.pop()
-        line.append((first, keep, n))
-    return sorted(x for line in out.values() for x in line)
-
-
-def text_passages(own_id: int, words: np.ndarray, ends: list[dict], similarity: float | None, min_run: int) -> list[tuple[int, int, int, int, int]]:
-    """(first_word, words, keep_id, keep_first_word, keep_words) of one text's passages, none inside another, from its runs of seeds and what stands around their earlier places."""
-    by_keep: dict[int, list[tuple[int, int, int]]] = {}
-    for e in ends:
-        first, n, kp, other = e["first_word"], e["words"], e["kp"], np.asarray(e["context"] or (), np.int32)
-        if e["left"]:
-            more, tail = grown(words[max(first - CONTEXT, 0) : first][::-1], other)
-            parts = [(first - more, kp - more, n + more)] + ([(first - tail[0] - tail[2], kp - tail[1] - tail[2], tail[2])] if tail else [])
-        else:
-            more, tail = grown(words[first + n : first + n + CONTEXT], other)
-            parts = [(first, kp - n, n + more)] + ([(first + n + tail[0], kp + tail[1], tail[2])] if tail else [])
-        by_keep.setdefault(e["k"], []).extend(parts)
-    found = []
-    for k, parts in by_keep.items():
-        parts = _merged(parts)
-        found += [(b, n, k, a, n) for b, a, n in parts]
-        if similarity is not None and k != own_id:
-            found += [(b, n, k, a, m) for b, a, m, n in bridged(parts, similarity)]
-    found.sort()
-    out, at = [], 0
-    while at < len(found):  # passages that overlap or touch count together
-        end, stop = found[at][0] + found[at][1], at + 1
-        while stop < len(found) and found[stop][0] <= end:
-            end, stop = max(end, found[stop][0] + found[stop][1]), stop + 1
-        if end - found[at][0] >= min_run:
-            covered = -1
-            for x in sorted(found[at:stop], key=lambda x: (x[0], -x[1], x[2:])):
-                if x[0] + x[1] > covered:  # else it lies inside one that is there
-                    out.append(x)
-                    covered = x[0] + x[1]
-        at = stop
-    return out
+def _joined(group: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of intervals in order of group, then first: the number of the run each is in; those of a group that touch or overlap are one run."""
+    reach = np.maximum.accumulate(group.astype(np.int64) * (1 << 40) + first + size) if len(group) else group
+    new = np.append(True, (group[1:] != group[:-1]) | (first[1:] > reach[:-1] - group[1:].astype(np.int64) * (1 << 40)))[: len(group)]
+    return np.cumsum(new) - 1
+
+
+def passages(own_id: np.ndarray, parts: dict[str, np.ndarray], similarity: float | None, min_run: int) -> dict[str, np.ndarray]:
+    """row, first_word, words, keep_id, keep_first_word, keep_words of the passages of some texts, none inside another, from exact parts (row, first, k, kp, n)."""
+    row, first, k, kp, n = (parts[c] for c in ("row", "first", "k", "kp", "n"))
+    o = np.lexsort((first, kp - first, k, row))  # those on the same diagonal that touch or overlap are one
+    row, first, k, kp, n = row[o], first[o], k[o], kp[o], n[o]
+    line = np.cumsum(np.append(False, (row[1:] != row[:-1]) | (k[1:] != k[:-1]) | ((kp - first)[1:] != (kp - first)[:-1]))[: len(row)])
+    run = _joined(line, first, n)
+    at = np.flatnonzero(np.append(True, run[1:] != run[:-1])[: len(run)])
+    size = np.maximum.reduceat(first + n, at) - first[at] if len(at) else n
+    row, first, k, kp, n = row[at], first[at], k[at], kp[at], size
+    m = n.copy()
+    if similarity is not None and len(row):
+        o = np.lexsort((kp, first, k, row))
+        r2, f2, k2, p2, n2 = row[o], first[o], k[o], kp[o], n[o]
+        cut = np.append(np.flatnonzero(np.append(True, (r2[1:] != r2[:-1]) | (k2[1:] != k2[:-1]))), len(o))
+        more = []
+        for i in np.flatnonzero(np.diff(cut) > 1):
+            lo, hi = cut[i], cut[i + 1]
+            if k2[lo] != own_id[r2[lo]]:
+                more += [(r2[lo], b, k2[lo], a, x, y) for b, a, y, x in bridged(list(zip(f2[lo:hi].tolist(), p2[lo:hi].tolist(), n2[lo:hi].tolist())), similarity)]
+        if more:
+            row, first, k, kp, n, m = (np.concatenate([x, np.array(y, np.int64)]) for x, y in zip((row, first, k, kp, n, m), zip(*more)))
+    o = np.lexsort((kp, k, -n, first, row))
+    row, first, k, kp, n, m = row[o], first[o], k[o], kp[o], n[o], m[o]
+    run = _joined(row, first, n)  # passages that overlap or touch count together
+    if len(run):
+        at = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        total = np.maximum.reduceat(first + n, at) - first[at]
+        reach = np.append(-1, np.maximum.accumulate(row * (1 << 40) + first + n)[:-1])
+        keep = (total[run] >= min_run) & (row * (1 << 40) + first + n > reach)  # else it lies inside one before it
+        row, first, k, kp, n, m = row[keep], first[keep], k[keep], kp[keep], n[keep], m[keep]
+    return {"row": row, "first_word": first, "words": n, "keep_id": k, "keep_first_word": kp, "keep_words": m}
 
 
 def exact_passages(docs: DataFrame, rows: DataFrame | None = None, *, min_run: int = MIN_RUN, similarity: float | None = None) -> DataFrame:
@@ -439,12 +477,31 @@ def exact_passages(docs: DataFrame, rows: DataFrame | None = None, *, min_run: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, words in texts_words(batch.column("text")):
-                own = batch.column("id")[i].as_py()
-                found = text_passages(own, _ints(words), batch.column("ends")[i].as_py(), similarity, min_run)
-                b, n, k, a, m = zip(*found) if found else ((),) * 5
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([own] * len(found), b, n, k, a, m), kinds)], ["id", "first_word", "words", "keep_id", "keep_first_word", "keep_words"])
+            words, at = _texts_together(batch.column("text"))
+            ends, row = _flat(batch.column("ends"))
+            first, n, k, kp = (ends.field(c).to_numpy().astype(np.int64) for c in ("first_word", "words", "k", "kp"))
+            left = ends.field("left").to_numpy(zero_copy_only=False)
+            context = ends.field("context")
+            begins, size, values = context.offsets.to_numpy()[:-1], np.diff(context.offsets.to_numpy()), context.values.to_numpy()
+            found: list[tuple] = []
+            for begin in range(0, len(row), STEP):
+                e = slice(begin, begin + STEP)
+                r, x = row[e], left[e]
+                own, have = _around(words, at[r], at[r + 1], at[r] + first[e] + np.where(x, 0, n[e]), x)
+                theirs = np.arange(CONTEXT) < size[e][:, None]
+                other = values[np.where(theirs, begins[e][:, None] + np.arange(CONTEXT), 0)] if len(values) else np.zeros(theirs.shape, np.int32)
+                more, a, b, tail = grown(own, have, other, theirs)
+                # to the left both begin earlier; to the right kp is the run's end
+                f0, p0 = np.where(x, first[e] - more, first[e]), np.where(x, kp[e] - more, kp[e] - n[e])
+                found.append((r, f0, k[e], p0, n[e] + more))
+                t = tail > 0
+                f1, p1 = np.where(x, first[e] - a - tail, first[e] + n[e] + a), np.where(x, kp[e] - b - tail, kp[e] + b)
+                found.append((r[t], f1[t], k[e][t], p1[t], tail[t]))
+            if found:
+                ids = batch.column("id").to_numpy().astype(np.int64)
+                out = passages(ids, dict(zip(("row", "first", "k", "kp", "n"), map(np.concatenate, zip(*found)))), similarity, min_run)
+                kinds = {"first_word": pa.int32(), "words": pa.int32(), "keep_id": pa.int64(), "keep_first_word": pa.int32(), "keep_words": pa.int32()}
+                yield pa.RecordBatch.from_arrays([pa.array(ids[out["row"]]), *[pa.array(out[c], t) for c, t in kinds.items()]], ["id", *kinds])
 
     return _at(docs, asked, "id long, first_word int, words int, keep_id long, keep_first_word int, keep_words int", run).unionByName(copies)
 
@@ -470,7 +527,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shared = key_values(docs).groupBy("key").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo < hi").select("key")
-    rows = stored(maybe_in(places(docs), F.col("key"), stored(shared, "shared"), keep_null=True), "places")
+    rows = stored(places(docs, bitmap(shared)), "places")
     classes = near_classes(docs, rows, similarity)
     classed = rows.where(F.col("kind") == PARA).select("id", F.col("at").alias("first_word"), "words", "name").join(classes, "name", "left").select("id", "first_word", "words", F.coalesce("class_id", "name").alias("class_id")).distinct()
     place = F.struct(F.col("id"), F.col("first_word"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import new_path
+from ..storage import new_path
 
 #: Payload bytes of one chunk at most; a longer payload becomes a record and its continuation records.
 CHUNK = 65536

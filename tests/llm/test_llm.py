@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 from satchel.llm import chat_format, components, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, membership, mixing, substring_dedup, token_counts, warc
-from satchel.llm.scratch import new_path
+from satchel.storage import new_path
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 #: nulls, empty and blank texts, repeated rows, ties, a long text
