@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -28,8 +28,8 @@ SKETCH_WORDS = 32
 SMALL = 64
 #: Shingles that are taken as frequent, at most, for the shared order of parts: the most frequent ones. 2 MB.
 FREQUENT = 1 << 18
-#: Rounds in which each member of a bucket is compared with one member, before all that is left is compared.
-STARS = 1
+#: Words of a sketch folded further, which are compared first.
+SHORT = 4
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -173,15 +173,32 @@ def _side(df: DataFrame, x: str, *cols: str) -> DataFrame:
     return df.select(F.col("set_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
 
 
-def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b), those whose sizes and sketches leave a link possible."""
-    p = pairs.join(_side(sketches, "a", "n", "sketch"), "a").join(_side(sketches, "b", "n", "sketch"), "b")
-    p = p.where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    width = F.least(F.size("sketch_a"), F.size("sketch_b"))
+def _folded(sketch: Column) -> Column:
+    """A sketch of SKETCH_WORDS words: a wider one folded by XOR."""
+    fold = F.transform(F.sequence(F.lit(0), F.lit(SKETCH_WORDS - 1)), lambda i: F.aggregate(F.filter(sketch, lambda x, k: k % SKETCH_WORDS == i), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)))
+    return F.when(F.size(sketch) > SKETCH_WORDS, fold).otherwise(sketch)
+
+
+def _apart(a: str, b: str, words: range) -> Column:
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in words), F.lit(0))
+
+
+def _measured(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """pairs(a, b) with sizes and `apart`, the distance of their folded sketches."""
+    p = pairs.join(_side(sketches, "a", "n", "f"), "a").join(_side(sketches, "b", "n", "f"), "b")
+    return p.select("a", "b", "n_a", "n_b", _apart("f_a", "f_b", range(SKETCH_WORDS)).alias("apart"))
+
+
+def _near(measured: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Of measured pairs, those whose sizes and sketches, at the width that both have, leave a link possible."""
+    p = measured.where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b) and apart * 7 <= n_a + n_b")
+    p = p.join(_side(sketches, "a", "wide"), "a").join(_side(sketches, "b", "wide"), "b")
+    width = F.least(F.size("wide_a"), F.size("wide_b"))
     xor = lambda x, y: x.bitwiseXOR(y)
     halved = lambda c: F.when(F.size(c) > width, F.zip_with(F.slice(c, 1, width), F.slice(c, width + 1, width), xor)).otherwise(F.col(c))
-    apart = F.aggregate(F.zip_with(halved("sketch_a"), halved("sketch_b"), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda s, x: s + x)
-    return p.where(apart * 7 <= F.col("n_a") + F.col("n_b")).select("a", "b", "n_a", "n_b")
+    apart = F.aggregate(F.zip_with(halved("wide_a"), halved("wide_b"), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda s, x: s + x)
+    both = F.col("wide_a").isNotNull() & F.col("wide_b").isNotNull()
+    return p.where(F.when(both, apart * 7 <= F.col("n_a") + F.col("n_b")).otherwise(F.lit(True))).select("a", "b", "n_a", "n_b")
 
 
 def _verified(near: DataFrame, sets: DataFrame) -> DataFrame:
@@ -196,9 +213,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts link when the Jaccard index of their sets of five-word shingles is at least 0.75; component_id is the smallest
     id that links reach. Equal sets are one set from the start. The members of a bucket (sets with a key in
-    common) are not all paired: in a few rounds each is compared with one member of its bucket, and what is then
+    common) are not all paired: each is compared with the bucket's leader, and what is then
     linked through any path needs no comparison; only pairs of a bucket whose members still lie in different
-    components are all compared, so no link is lost.
+    components are all compared, so no link is lost. Their sizes, distances to the leader and sketches are held against each other inside that join.
 
     Defined cases: null, empty and blank texts have no shingles, link with nothing and are their own component; texts
     of one to four words are one shingle; rows with a null id get no links, and component_id null; repeated rows are rows of their own
@@ -222,56 +239,45 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = keyed.select("key", "set_id", F.expr("bit_xor(xxhash64(set_id)) OVER (PARTITION BY key)").alias("sig"), F.count(F.lit(1)).over(by_key).alias("members"))
     keyed = keyed.select("key", "set_id", F.min("key").over(Window.partitionBy("sig", "members")).alias("one"))
     buckets = stored(keyed.where("key = one").select("key", "set_id"), "buckets")
-    reps = stored(reps.join(buckets.select("set_id").distinct(), "set_id", "left_semi"), "reps")
-    sketches = reps.select("set_id", "n", "sketch")
+    reps = reps.join(buckets.select("set_id").distinct(), "set_id", "left_semi")
+    wide = F.when(F.size("sketch") > SKETCH_WORDS, F.col("sketch"))  # a set under 1,024 shingles has no more than the folded sketch
+    reps = stored(reps.select("set_id", "rep", "n", _folded(F.col("sketch")).alias("f"), wide.alias("wide")), "reps")
 
-    as_pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    links = tested = comp = None
-    for round_no in range(STARS + 1):
-        if round_no:
-            label = F.coalesce(F.col("component"), F.col("set_id")).alias("comp")
-            open_ = buckets.drop("comp").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").select("key", "set_id", label, "led", "weight")
-            # A member that has led is done with; so is a bucket whose other members are all linked, or are one.
-            open_ = open_.where("not led").select("*", F.min("comp").over(by_key).alias("lo"), F.max("comp").over(by_key).alias("hi"))
-            buckets = open_.where("lo < hi").drop("lo", "hi", "led")
-        if round_no == STARS:
-            # All that is left. Sketches, folded to the least width, go along: the join itself gives only pairs that may link.
-            fold = F.transform(F.sequence(F.lit(0), F.lit(SKETCH_WORDS - 1)), lambda i: F.aggregate(F.filter("sketch", lambda x, k: k % SKETCH_WORDS == i), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)))
-            mine = stored(buckets.join(sketches.select("set_id", "n", fold.alias("f")), "set_id").drop("weight"), "buckets")
-            other = mine.select("key", *[F.col(c).alias(f"{c}_") for c in mine.columns if c != "key"])
-            apart = lambda words: sum((F.bit_count(F.col("f")[i].bitwiseXOR(F.col("f_")[i])) for i in range(words)), F.lit(0))
-            may = (F.col("comp") < F.col("comp_")) & (4 * F.least("n", "n_") >= 3 * F.greatest("n", "n_"))
-            for words in (SKETCH_WORDS // 2, SKETCH_WORDS):  # half a sketch bounds the difference too, and most pairs end there
-                may = may & (apart(words) * 7 <= F.col("n") + F.col("n_"))
-            pairs = mine.join(other, (mine["key"] == other["key"]) & may).select(*as_pair(F.col("set_id"), F.col("set_id_")))
-            buckets = mine
-        else:
-            # The member that meets most others leads: of a text and its edited copies, that is the text.
-            if not round_no:
-                met = buckets.select("set_id", F.count(F.lit(1)).over(by_key).alias("met")).groupBy("set_id").agg(F.sum("met").alias("weight"))
-                buckets = buckets.join(met, "set_id").withColumn("comp", F.col("set_id"))
-            first = F.struct(F.col("weight"), F.xxhash64("set_id"), F.col("set_id"), F.col("comp"))
-            buckets = buckets.withColumn("top", F.max(first).over(by_key))
-            buckets = buckets.select("key", "set_id", "comp", "weight", F.col("top.set_id").alias("lead"), F.col("top.comp").alias("lead_comp"), (F.col("set_id") == F.col("top.set_id")).alias("led"))
-            buckets = stored(buckets, "buckets")
-            pairs = buckets.where("set_id <> lead and comp <> lead_comp").select(*as_pair(F.col("set_id"), F.col("lead")))
-        if buckets.isEmpty():
-            break
-        pairs = pairs.distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        near = stored(_near(pairs, sketches), "near")
+    def linked(near: DataFrame) -> DataFrame:
         # Whole sets are made again only for what is near; a bitmap of their documents spares texts a shuffle.
         named = near.select(F.col("a").alias("set_id")).unionAll(near.select("b")).distinct()
         wanted = reps.join(named, "set_id", "left_semi").select(F.col("rep").alias("id"))
         sets = stored(whole_sets(maybe_in(docs, F.col("id"), wanted)), "shingles")
-        found = stored(_verified(near, sets).distinct(), "links")
-        if links is None or not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            comp = components(links)
+        return stored(_verified(near, sets).distinct(), "links")
+
+    as_pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    # The member that meets most others leads its bucket: of a text and its edited copies, that is the text.
+    met = buckets.join(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("met")), "key").groupBy("set_id").agg(F.sum("met").alias("weight"))
+    top = buckets.join(met, "set_id").groupBy("key").agg(F.max(F.struct(F.col("weight"), F.xxhash64("set_id"), F.col("set_id"))).alias("top"))
+    led = stored(buckets.join(top.select("key", F.col("top.set_id").alias("lead")), "key").where("set_id <> lead"), "led")
+    first = stored(_measured(led.select(*as_pair(F.col("set_id"), F.col("lead"))).distinct(), reps), "pairs")
+    links = linked(stored(_near(first, reps), "near"))
+    comp = components(links)
+
+    # A bucket's other members have met its leader; those that still lie in different components are compared, but for pairs that can't be
+    # near: sketches are a metric, so two differ by what their distances to the leader differ by at least.
+    label = F.coalesce("component", "set_id").alias("comp")
+    open_ = led.join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").select("key", "set_id", "lead", label)
+    unsettled = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    open_ = open_.join(unsettled, "key", "left_semi").select("key", "set_id", "comp", *as_pair(F.col("set_id"), F.col("lead"))).join(first.select("a", "b", "apart"), ["a", "b"])
+    short = [F.expr("^".join(f"f[{i}]" for i in range(w, SKETCH_WORDS, SHORT))).alias(f"w{w}") for w in range(SHORT)]
+    mine = stored(open_.join(reps.select("set_id", "n", *short, "f"), "set_id").drop("a", "b"), "open")
+    other = mine.select(*[F.col(c).alias(f"{c}_") for c in mine.columns])
+    sum_n = F.col("n") + F.col("n_")
+    may = (F.col("key") == F.col("key_")) & (F.col("comp") < F.col("comp_")) & (4 * F.least("n", "n_") >= 3 * F.greatest("n", "n_")) & (7 * F.abs(F.col("apart") - F.col("apart_")) <= sum_n)
+    may = may & (7 * sum((F.bit_count(F.col(f"w{w}").bitwiseXOR(F.col(f"w{w}_"))) for w in range(SHORT)), F.lit(0)) <= sum_n)
+    for words in (SKETCH_WORDS // 2, SKETCH_WORDS):  # half a sketch bounds the difference too
+        may = may & (_apart("f", "f_", range(words)) * 7 <= sum_n)
+    rest = mine.join(other, may).select(*as_pair(F.col("set_id"), F.col("set_id_"))).distinct()
+    rest = stored(_near(_measured(rest.join(first, ["a", "b"], "left_anti"), reps), reps), "near")
+    if not rest.isEmpty():
+        comp = components(links.unionByName(linked(rest)))
     reached = real.groupBy("set_id").agg(F.min("id").alias("rep"))
-    if comp is None:
-        comp = reached.select(F.col("set_id").alias("id"), F.col("set_id").alias("component")).limit(0)
     reached = reached.join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("component"), "rep")
     least = reached.groupBy("component").agg(F.min("rep").alias("component_id"))
     names = reached.select("set_id", "component").join(least, "component").select("set_id", "component_id")
