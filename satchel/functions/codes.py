@@ -94,8 +94,12 @@ def cursor_decode(mode: str, c: Column) -> Column:
     return F.when(part(1) != "", F.struct(part(1).alias("a"), part(2).cast("long").alias("b")))
 
 
+#: Spellings of a checked box (fixed values).
+CHECKED = ["true", "y", "yes", "예", "o", "ok", "1", "v", "✓", "x"]
+
+
 def checked(c: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(c)).isin("true", "y", "yes", "예", "o", "ok", "1", "v", "✓", "x"), F.lit(False))
+    return F.coalesce(F.lower(F.trim(c)).isin(*CHECKED), F.lit(False))
 
 
 def command_key(id_: Column, action: Column, value: Column) -> Column:

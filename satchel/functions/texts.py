@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,7 +18,9 @@ WALL_PHRASES = [
 ]
 #: Marks of a page footer (fixed values).
 FOOTER_MARKS = ["이용약관", "개인정보처리방침", "사업자등록번호", "통신판매업", "고객센터", "청소년보호정책", "저작권", "제휴문의", "대표이사", "all rights reserved"]
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "hellip": "…", "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "middot": "·", "laquo": "«", "raquo": "»", "eacute": "é", "egrave": "è", "uuml": "ü", "ouml": "ö", "auml": "ä", "szlig": "ß", "ntilde": "ñ", "ccedil": "ç"}
+#: Named entities, from the standard library's table; characters that the references 128 to 159 stand for, by the code page they come from.
+ENTITIES = json.dumps({name[:-1]: char for name, char in html5.items() if name.endswith(";")})
+_C1, _CP1252 = zip(*[(chr(n), bytes([n]).decode("cp1252")) for n in range(0x80, 0xA0) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)])
 
 
 def cap_bytes(c: Column, n: int) -> Column:
@@ -38,24 +43,29 @@ def clean(c: Column, limit: int, keep_newline: bool = False) -> Column:
     return F.trim(cap_bytes(F.trim(sanitize(cap_bytes(c, limit), keep_newline), space), limit), space)
 
 
+def _decoded(e: Column) -> Column:
+    """The characters of one entity, &name; or &#number;. Unknown names and numbers that are no character stay."""
+    digits = F.regexp_extract(e, r"^&#[xX]?0*([0-9A-Fa-f]*);$", 1)
+    digits = F.when(digits == "", "0").otherwise(digits)
+    long = F.when(e.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
+    number = F.when((F.length(digits) <= 7) & long.rlike("^[0-9]+$"), long).otherwise(F.lit("1114112")).cast("int")
+    # a code point's UTF-16 bytes: one unit, or two beyond U+FFFF
+    high = F.lpad(F.hex(F.lit(0xD800) + F.floor((number - 0x10000) / 0x400)), 4, "0")
+    low = F.lpad(F.hex(F.lit(0xDC00) + (number - 0x10000) % 0x400), 4, "0")
+    units = F.when(number > 0xFFFF, F.concat(high, low)).otherwise(F.lpad(F.hex(number), 4, "0"))
+    char = F.when(number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF), F.decode(F.unhex(units), "UTF-16BE")).otherwise(e)
+    names = F.from_json(F.lit(ENTITIES), "map<string,string>")  # folded into one literal
+    named = F.coalesce(F.try_element_at(names, F.regexp_extract(e, "^&(.*);$", 1)), e)
+    char = F.when(number.between(0x80, 0x9F), F.translate(char, "".join(_C1), "".join(_CP1252))).otherwise(char)
+    return F.when(e.startswith("&#"), char).otherwise(named)
+
+
 def unescape_entities(c: Column) -> Column:
-    """Named entities of a fixed list and numeric ones; &amp; last, so that nothing is decoded twice."""
-    out = c
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    found = F.array_distinct(F.regexp_extract_all(out, F.lit(r"(&#[xX]?[0-9A-Fa-f]{1,6};)"), 1))
-
-    def decoded(e: Column) -> Column:
-        digits = F.regexp_extract(e, r"&#[xX]?([0-9A-Fa-f]+);", 1)
-        number = F.when(e.rlike("^&#[xX]"), F.conv(digits, 16, 10)).when(digits.rlike("^[0-9]+$"), digits).cast("int")
-        # a code point's UTF-16 bytes: one unit, or two beyond U+FFFF
-        high = F.lpad(F.hex(F.lit(0xD800) + F.floor((number - 0x10000) / 0x400)), 4, "0")
-        low = F.lpad(F.hex(F.lit(0xDC00) + (number - 0x10000) % 0x400), 4, "0")
-        units = F.when(number > 0xFFFF, F.concat(high, low)).otherwise(F.lpad(F.hex(number), 4, "0"))
-        return F.when(number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF), F.decode(F.unhex(units), "UTF-16BE")).otherwise(e)
-
-    numeric = F.aggregate(found, out, lambda text, e: F.replace(text, e, decoded(e)))
-    return F.replace(F.when(out.contains("&#"), numeric).otherwise(out), F.lit("&amp;"), F.lit("&"))
+    """Named and numeric entities; those that stand for & come last, so that nothing is decoded twice."""
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"(&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);)"), 1))
+    pairs = F.transform(found, lambda e: F.struct(e.alias("e"), _decoded(e).alias("d")))
+    in_order = F.concat(F.filter(pairs, lambda p: p["d"] != "&"), F.filter(pairs, lambda p: p["d"] == "&"))
+    return F.when(c.contains("&"), F.aggregate(in_order, c, lambda text, p: F.replace(text, p["e"], p["d"]))).otherwise(c)
 
 
 def clean_meta(c: Column, limit: int) -> Column:

@@ -19,27 +19,27 @@ PARTICLES = [
     "과", "와", "로", "나", "랑",
 ]
 #: Words that carry no content (fixed values).
-STOPWORDS = """
-그리고 그러나 하지만 그래서 따라서 또한 그런데 그러면 그럼 즉
-이것 그것 저것 여기 거기 이런 그런 저런 이렇게 그렇게
-때문 위해 통해 대해 관해 경우 정도 지금 다음 이번
-우리 저희 자신 사람 생각 수도 수가 있다 없다 하다
-된다 한다 이다 같다 많다
-the a an and or but if then than that this these those there here what
-which who when where how is are was were be been being have has had do does
-did will would can could should may might must shall
-of in on at to for with by from as into about
-it its we you your our they them their he she his her not no so up out
-more most some any all also
-""".split()
+STOPWORDS = [
+    "그리고", "그러나", "하지만", "그래서", "따라서", "또한", "그런데", "그러면", "그럼", "즉", "이것", "그것",
+    "저것", "여기", "거기", "이런", "그런", "저런", "이렇게", "그렇게", "때문", "위해", "통해", "대해",
+    "관해", "경우", "정도", "지금", "다음", "이번", "우리", "저희", "자신", "사람", "생각", "수도",
+    "수가", "있다", "없다", "하다", "된다", "한다", "이다", "같다", "많다", "the", "a", "an",
+    "and", "or", "but", "if", "then", "than", "that", "this", "these", "those", "there", "here",
+    "what", "which", "who", "when", "where", "how", "is", "are", "was", "were", "be", "been",
+    "being", "have", "has", "had", "do", "does", "did", "will", "would", "can", "could", "should",
+    "may", "might", "must", "shall", "of", "in", "on", "at", "to", "for", "with", "by",
+    "from", "as", "into", "about", "it", "its", "we", "you", "your", "our", "they", "them",
+    "their", "he", "she", "his", "her", "not", "no", "so", "up", "out", "more", "most",
+    "some", "any", "all", "also",
+]
 #: Abbreviations after which a full stop ends no sentence (fixed values).
-ABBREVIATIONS = "e.g i.e etc vs cf al fig no vol ch ref approx dr mr mrs ms jr sr st inc ltd".split()
+ABBREVIATIONS = ["e.g", "i.e", "etc", "vs", "cf", "al", "fig", "no", "vol", "ch", "ref", "approx", "dr", "mr", "mrs", "ms", "jr", "sr", "st", "inc", "ltd"]
 #: Korean particles that go on after a closing quote (fixed values).
 QUOTE_PARTICLES = ["이라고", "이라", "라고", "라며", "라는", "이란", "하고"]
 MARK = "\u001e"
 _END = ".!?…。！？"
 _CLOSE = r"""[\)\]\}"'»”’]"""
-_PARTICLE = "(" + "|".join(PARTICLES) + ")$"
+_PARTICLE = "^(?!.?(?:{0})$)(.{{2,}}?)(?:{0})$".format("|".join(PARTICLES))
 
 
 @F.arrow_udf(StringType())
@@ -63,17 +63,20 @@ def composed(df: DataFrame, *cols: str) -> DataFrame:
     return df.where(~loose).unionByName(df.where(loose).withColumns({c: nfc(F.col(c)) for c in cols}))
 
 
+def _without_particle(low: Column) -> Column:
+    """One particle goes if two characters stay; only the longest particle is tried, so none goes if one would leave less."""
+    return F.regexp_replace(low, _PARTICLE, "$1")
+
+
 def normalize_token(c: Column) -> Column:
     """Edges that are neither letter nor number go, lower case, one particle goes if two characters stay; only the longest particle is tried."""
-    low = F.lower(F.regexp_replace(c, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    particle = F.regexp_extract(low, _PARTICLE, 1)
-    stem = F.length(low) - F.length(particle)
-    return F.when((F.length(particle) > 0) & (stem >= 2), F.substring(low, F.lit(1), stem)).otherwise(low)
+    return _without_particle(F.lower(F.regexp_replace(c, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
 
 
 def tokenize(c: Column) -> Column:
+    """Normalised tokens in order. What the cut leaves has clean edges, and only texts with Hangul can have particles, so other texts meet one regexp in all."""
     raw = F.filter(F.split(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    return F.filter(F.transform(raw, normalize_token), lambda t: t != "")
+    return F.when(has_hangul(c), F.transform(raw, lambda t: _without_particle(F.lower(t)))).otherwise(F.transform(raw, F.lower))
 
 
 def has_hangul(c: Column) -> Column:
@@ -88,9 +91,11 @@ def is_korean(title: Column, description: Column, body: Column) -> Column:
 
 def trigrams(c: Column) -> Column:
     """Distinct windows of three characters in lower case that aren't all blank."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
-    return F.array_distinct(F.filter(windows, lambda g: (F.length(g) == 3) & (F.length(F.trim(g, F.lit(" \n\t\r"))) > 0)))
+    chars = F.split(F.lower(F.coalesce(c, F.lit(""))), "")  # a step for each character, however long the text
+    most = F.greatest(F.size(chars) - 2, F.lit(0))
+    pair = lambda a, b: F.concat(a, b)
+    threes = F.zip_with(F.zip_with(F.slice(chars, F.lit(1), most), F.slice(chars, F.lit(2), most), pair), F.slice(chars, F.lit(3), most), pair)
+    return F.array_distinct(F.filter(threes, lambda g: F.length(F.trim(g, F.lit(" \n\t\r"))) > 0))
 
 
 def split_sentences(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import day_of
+from ..storage import stored
 from .tagging import live, small
 
 
@@ -123,13 +124,31 @@ def sliding_claims(series: DataFrame) -> DataFrame:
     return s.withColumn("week_flip", flip("week")).withColumn("peak_flip", flip("peak")).select("day", "count", "week", "wow", "peak", "week_flip", "peak_flip")
 
 
+def ranked_values(df: DataFrame, col: str, *by: str) -> DataFrame:
+    """by, value, upto, n: each distinct value with how many values are at most it, of n. Values are counted, dealt into ranges and summed
+    range by range, so no task orders them all: only a row per range is ordered in one."""
+    counts = stored(df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("c")).repartitionByRange(*by, "value").withColumn("part", F.spark_partition_id()), "counts")
+    per = counts.groupBy(*by, "part").agg(F.sum("c").alias("in_part"))
+    whole = Window.partitionBy(*by)
+    per = per.select(*by, "part", (F.sum("in_part").over(whole.orderBy("part")) - F.col("in_part")).alias("before"), F.sum("in_part").over(whole).alias("n"))
+    inside = Window.partitionBy(*by, "part").orderBy("value")
+    ranked = counts.withColumn("inside", F.sum("c").over(inside))
+    return ranked.join(per, [*by, "part"]).select(*by, "value", (F.col("before") + F.col("inside")).alias("upto"), "n")
+
+
 def latency_report(df: DataFrame, col: str, qs: tuple[float, ...] = (0.5, 0.95, 0.99), gate: float | None = None) -> DataFrame:
     """Nearest-rank percentiles."""
-    out = [F.expr(f"percentile_disc({q}) within group (order by {col})").alias(f"p{round(q * 100)}") for q in qs]
-    r = df.agg(F.count(col).alias("n"), *out, F.max(col).alias("max"))
+    at = lambda q: F.min(F.when(F.col("upto") >= F.greatest(F.ceil(q * F.col("n")), F.lit(1)), F.col("value")))
+    r = ranked_values(df, col).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[at(q).alias(f"p{round(q * 100)}") for q in qs], F.max("value").alias("max"))
     return r if gate is None else r.withColumn("ok", F.col(f"p{round(qs[-1] * 100)}") <= gate)
 
 
+def sort_tags(inventory: DataFrame, by: str = "recency") -> DataFrame:
+    """inventory(name, link_count, last_saved_at) with its place: by count, name or recency; tags never used come last. A table of tags, ordered in one task."""
+    order = {"count": [F.desc("link_count"), F.asc("name")], "name": [(F.col("link_count") == 0).asc(), F.asc("name")], "recency": [F.desc_nulls_last("last_saved_at"), F.asc("name")]}[by]
+    return inventory.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 def keep_last(log: DataFrame, order: list, n: int = 500) -> DataFrame:
     return log.orderBy(*order).limit(n)
 
@@ -146,8 +165,9 @@ def latest_untapped(events: DataFrame, taps: DataFrame) -> DataFrame:
     return events.join(hit, "id", "left").withColumn("tapped_at", F.coalesce("tapped_at", "at")).drop("at")
 
 
-def sample_per_host(urls: DataFrame, key: str, host: str, cap: int, limit: int, seed: str, forced: list[str] | None = None) -> DataFrame:
-    """A fixed-seed sample, forced hosts first, at most `cap` a host."""
+def sample_per_host(urls: DataFrame, key: str, host: str, cap: int, limit: int, seed: str, forced: list[str] | Column | None = None) -> DataFrame:
+    """A fixed-seed sample, forced hosts (a list, or a condition) first, at most `cap` a host."""
     order = F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string")))
     capped = urls.withColumn("__o", order).withColumn("__rn", F.row_number().over(Window.partitionBy(host).orderBy("__o", key))).where(F.col("__rn") <= cap)
-    return capped.orderBy(~F.col(host).isin(forced or []), "__o", key).limit(limit).drop("__o", "__rn")
+    first = forced if isinstance(forced, Column) else F.col(host).isin(forced or [])
+    return capped.orderBy(~first, "__o", key).limit(limit).drop("__o", "__rn")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def recall_at_k(pred: DataFrame, gold: DataFrame, k: int, *by: str) -> DataFrame:
     """pred(link_id, tag, rank), gold(link_id, tag) -> share of links with a gold tag among the first k."""
     p = pred.where(F.col("rank") <= k).select(*by, "link_id", "tag", F.lit(1).alias("hit"))
-    g = gold if not by else gold.crossJoin(F.broadcast(pred.select(*by).distinct()))  # a handful of variants
+    g = gold if not by else gold.crossJoin(pred.select(*by).distinct())  # a handful of variants
     per = g.join(p, [*by, "link_id", "tag"], "left").groupBy(*by, "link_id").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
     return per.groupBy(*by).agg(F.round(F.avg("hit"), 6).alias("recall"), F.count(F.lit(1)).alias("links"))
 
@@ -34,7 +34,17 @@ def miss_anatomy(scores: DataFrame, gold: DataFrame, k: int = 3, threshold: floa
 
 
 def unknown_labels(gold: DataFrame, names: DataFrame) -> DataFrame:
-    return gold.join(F.broadcast(names.select("tag")), "tag", "left_anti")
+    return gold.join(names.select("tag"), "tag", "left_anti")
+
+
+def unlabelled(golden: DataFrame) -> DataFrame:
+    """golden(url, expected_tags) without any tag."""
+    return golden.where(F.coalesce(F.size("expected_tags"), F.lit(0)) == 0)
+
+
+def unknown_answers(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """queries(query, url) whose url the corpus lacks."""
+    return queries.join(corpus.select("url"), "url", "left_anti")
 
 
 def eval_slices(flags: DataFrame, *by: str) -> DataFrame:

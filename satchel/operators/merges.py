@@ -33,6 +33,7 @@ def merge_saves(links: DataFrame, saves: DataFrame, now: int) -> DataFrame:
     back = ~fresh & F.col("s.url").isNotNull() & old("deleted_at").isNotNull()
     fill = ~fresh & F.col("s.url").isNotNull() & old("deleted_at").isNull() & (new("body_text") != "") & (old("body_source") != "client")
     change = back | fill
+    known = {"id", "url", "title", "description", "body_text", "keywords", "note", "body_source", "status", "created_at", "deleted_at"}
     text = lambda n: F.when(fresh, new(n)).when(change, given(new(n), old(n))).otherwise(old(n)).alias(n)
     status = F.when(fresh | back, "pending").when(fill & (old("status") == "failed"), "done").otherwise(old("status"))
     return j.select(
@@ -44,10 +45,17 @@ def merge_saves(links: DataFrame, saves: DataFrame, now: int) -> DataFrame:
         status.alias("status"),
         F.coalesce(old("created_at"), F.nullif(F.col("s.created_at"), F.lit(0)), F.lit(now)).alias("created_at"),
         F.when(~back, old("deleted_at")).alias("deleted_at"),
+        *[old(n).alias(n) for n in links.columns if n not in known],
         F.when(fresh, "saved").when(back, "revived").when(fill, "filled").when(F.col("s.url").isNotNull(), "duplicate").otherwise("kept").alias("outcome"),
     )
 
 
+def revived_tags(link_tags: DataFrame, merged: DataFrame) -> DataFrame:
+    """link_tags without those of links that merge_saves brought back: a revived link starts without tags."""
+    back = merged.where("outcome = 'revived'").select(F.col("id").alias("link_id"))
+    return link_tags.join(back, "link_id", "left_anti")
+
+
 def merge_extractions(links: DataFrame, fields: DataFrame) -> DataFrame:
     """fields(id, title, description, body_text, keywords): what a client captured stays; empty bodies and keywords erase nothing."""
     f = fields.select("id", F.struct("*").alias("f"))
@@ -84,8 +92,8 @@ def tag_diff(current: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def replace_tags(current: DataFrame, wanted: DataFrame, tags: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """current, wanted(link_id, name) -> (new attachments of the links in wanted, feedback rows, unknown names)."""
-    known = wanted.join(F.broadcast(tags.select("name")), "name", "left_semi")
-    unknown = wanted.join(F.broadcast(tags.select("name")), "name", "left_anti")
+    known = wanted.join(tags.select("name"), "name", "left_semi")
+    unknown = wanted.join(tags.select("name"), "name", "left_anti")
     mine = current.join(wanted.select("link_id").distinct(), "link_id", "left_semi")
     return known.select("link_id", "name").distinct(), tag_diff(mine, known).withColumn("created_at", F.lit(now)), unknown
 
@@ -95,20 +103,35 @@ def soft_delete(links: DataFrame, ids: DataFrame, now: int) -> DataFrame:
     return links.join(gone, "id", "left").withColumn("deleted_at", F.when(F.col("gone") & F.col("deleted_at").isNull(), F.lit(now)).otherwise(F.col("deleted_at")).cast("long")).drop("gone")
 
 
+def retract(ids: DataFrame, link_terms: DataFrame, search_docs: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What goes with the links of ids when they are deleted: their terms, their search documents, and jobs that haven't begun."""
+    gone = ids.select(F.col("id").alias("link_id")).distinct()
+    waiting = jobs.where("status = 'pending'").join(gone, "link_id", "left_semi").select("id")
+    return link_terms.join(gone, "link_id", "left_anti"), search_docs.join(gone.withColumnRenamed("link_id", "doc_id"), "doc_id", "left_anti"), jobs.join(waiting, "id", "left_anti")
+
+
 def mark_opened(links: DataFrame, opens: DataFrame) -> DataFrame:
     last = opens.groupBy("id").agg(F.max("at").alias("opened"))
     return links.join(last, "id", "left").withColumn("opened_at", F.coalesce("opened", "opened_at")).drop("opened")
 
 
+def duplicate_tags(changes: DataFrame) -> DataFrame:
+    """name (lower case), n: names that come more than once among the changes, whatever their case; such a change is to be refused."""
+    return changes.groupBy(F.lower("name").alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def upsert_tags(tags: DataFrame, changes: DataFrame) -> DataFrame:
-    """changes(name, facet?): unique names, whatever their case; missing fields stay."""
+    """changes(name, facet?): unique names, whatever their case; missing fields stay. New tags get the next ids, in order of their names."""
     c = changes.groupBy(F.lower("name").alias("k")).agg(F.min("name").alias("new_name"), F.max("facet").alias("new_facet"))
     j = tags.withColumn("k", F.lower("name")).join(c, "k", "full_outer")
-    return j.select("id", F.coalesce("name", "new_name").alias("name"), F.coalesce("new_facet", "facet", F.lit("neutral")).alias("facet"))
+    new = j.where("id IS NULL").select("k", F.row_number().over(Window.orderBy("k")).alias("__nth"))  # a table of tags, written by hand
+    top = tags.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
+    j = j.join(new, "k", "left").crossJoin(top)  # one row
+    return j.select(F.coalesce(F.col("id"), F.col("__top") + F.col("__nth")).alias("id"), F.coalesce("name", "new_name").alias("name"), F.coalesce("new_facet", "facet", F.lit("neutral")).alias("facet"))
 
 
 def delete_tags(tags: DataFrame, link_tags: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    gone = F.broadcast(ids.select(F.col("id").alias("gone")))
+    gone = ids.select(F.col("id").alias("gone"))
     return tags.join(gone, tags["id"] == gone["gone"], "left_anti"), link_tags.join(gone, link_tags["tag_id"] == gone["gone"], "left_anti")
 
 
@@ -132,34 +155,49 @@ def parse_commands(rows: DataFrame) -> DataFrame:
     return c.withColumn("key", command_key(F.col("link_id"), F.col("action"), F.col("value"))).distinct()
 
 
-def apply_commands(rows: DataFrame, ledger: DataFrame, links: DataFrame, now: int) -> dict[str, DataFrame]:
-    """Commands not applied before, by action, on links: new links, saves, wanted tags, the new ledger (keys whose row is still there) and the log with previous notes."""
+def apply_commands(rows: DataFrame, ledger: DataFrame, links: DataFrame, now: int, attached: DataFrame | None = None, tags: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Commands not applied before: links with notes, deletions, retries and saves merged in, wanted tags, the new ledger (keys whose row is still there) and the log with previous notes.
+
+    Given attached(link_id, name) and the table of tags, the wanted ones are set too: attached, feedback and unknown names come back as well.
+    """
     all_ = parse_commands(rows)
     todo = all_.join(ledger, "key", "left_anti")
     of = lambda a: todo.where(F.col("action") == a)
     notes = of("note").groupBy(F.col("link_id").alias("id")).agg(F.max("value").alias("new_note"))
     out = soft_delete(links, of("delete").select(F.col("link_id").alias("id")), now).join(notes, "id", "left").withColumn("note", F.coalesce("new_note", "note")).drop("new_note")
-    out = retry_failed(out, of("retry").select(F.col("link_id").alias("id")))[0]
-    wanted = of("tags").select("link_id", F.explode(F.filter(F.transform(F.split("value", ","), F.trim), lambda t: t != "")).alias("name"))
+    asked = of("retry").select(F.col("link_id").alias("id")).distinct().withColumn("ask", F.lit(True))
+    out = out.join(asked, "id", "left").withColumn("status", F.when(F.col("ask") & (F.col("status") == "failed") & F.col("deleted_at").isNull(), "pending").otherwise(F.col("status"))).drop("ask")
+    saves = of("save").select(F.col("value").alias("url"), *[F.lit("").alias(n) for n in ("title", "description", "body_text", "keywords", "note")], F.lit(0).cast("long").alias("created_at"))
+    out = merge_saves(out, saves, now).drop("outcome").select(*links.columns)
+    wanted = of("tags").select("link_id", F.explode(F.filter(F.transform(F.split("value", ","), lambda s: F.trim(s)), lambda t: t != "")).alias("name"))
     log = todo.join(links.select(F.col("id").alias("link_id"), F.col("note").alias("previous")), "link_id", "left")
     kept = ledger.unionByName(todo.select("key")).distinct().join(all_.select("key"), "key", "left_semi")
-    return {"links": out, "saves": of("save").select(F.col("value").alias("url")), "wanted": wanted, "ledger": kept, "log": log}
+    done = {"links": out, "wanted": wanted, "ledger": kept, "log": log}
+    if attached is not None and tags is not None:
+        own, feedback, unknown = replace_tags(attached, wanted, tags, now)
+        rest = attached.join(of("tags").select("link_id").distinct(), "link_id", "left_anti")
+        done |= {"attached": rest.unionByName(own), "feedback": feedback, "unknown": unknown}
+    return done
 
 
-def retry_failed(links: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links with the failed ones of ids back to pending, ids that aren't failed and live)."""
-    ask = ids.select("id").distinct().withColumn("ask", F.lit(True))
-    hit = F.col("ask") & (F.col("status") == "failed") & F.col("deleted_at").isNull()
-    out = links.join(ask, "id", "left").withColumn("status", F.when(hit, "pending").otherwise(F.col("status"))).drop("ask")
-    return out, ids.distinct().join(links.where("status = 'failed' AND deleted_at IS NULL").select("id"), "id", "left_anti")
+def retry_failed(links: DataFrame, jobs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links with the failed ones of ids back to pending and their error cleared, jobs without the failed ones of these links, ids that aren't failed and live)."""
+    failed = links.where("status = 'failed' AND deleted_at IS NULL").select("id")
+    hit = ids.select("id").distinct().join(failed, "id", "left_semi")
+    error = F.col("error") if "error" in links.columns else F.lit(None).cast("string")
+    out = links.join(hit.withColumn("hit", F.lit(True)), "id", "left").withColumns({"status": F.when(F.col("hit"), "pending").otherwise(F.col("status")), "error": F.when(F.col("hit"), None).otherwise(error)}).drop("hit")
+    old = jobs.where("status = 'failed'").join(hit.withColumnRenamed("id", "link_id"), "link_id", "left_semi").select("id")
+    return out, jobs.join(old, "id", "left_anti"), ids.select("id").distinct().join(failed, "id", "left_anti")
 
 
 def settle_failures(links: DataFrame, jobs: DataFrame) -> DataFrame:
-    """A job's final failure marks its link failed, or done if the client captured it; tag and thumb jobs don't count."""
-    last = jobs.where("kind NOT IN ('tag', 'thumb')").groupBy("link_id").agg(F.max_by("status", "id").alias("job"))
-    j = links.join(last, links["id"] == last["link_id"], "left")
-    hit = F.col("job") == "failed"
-    return j.withColumn("status", F.when(hit & (F.col("body_source") == "client"), "done").when(hit, "failed").otherwise(F.col("status"))).drop("link_id", "job")
+    """A job's final failure marks its link failed, or done if the client captured it, and the link keeps the cause; tag and thumb jobs don't count. jobs(id, link_id, kind, status, error)."""
+    last = jobs.where("kind NOT IN ('tag', 'thumb')").groupBy("link_id").agg(F.max_by(F.struct("status", "error"), "id").alias("job"))
+    error = F.col("error") if "error" in links.columns else F.lit(None).cast("string")
+    j = links.withColumn("error", error).join(last, links["id"] == last["link_id"], "left")
+    hit = F.col("job.status") == "failed"
+    status = F.when(hit & (F.col("body_source") == "client"), "done").when(hit, "failed").otherwise(F.col("status"))
+    return j.withColumns({"status": status, "error": F.when(hit, F.col("job.error")).otherwise(F.col("error"))}).drop("link_id", "job")
 
 
 def dedupe_new(incoming: DataFrame, links: DataFrame) -> DataFrame:
@@ -167,8 +205,23 @@ def dedupe_new(incoming: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def dictionary_drift(a: DataFrame, b: DataFrame) -> DataFrame:
-    x = b.select("name", F.col("facet").alias("other"))
-    return a.select("name", "facet").join(x, "name", "full_outer").where("NOT (facet <=> other)").select("name", "facet", "other")
+    """a, b(name, facet, aliases) -> name, facet, other, missing (aliases that only a has), extra (only b): where two dictionaries differ; the order of aliases doesn't matter."""
+    none = F.array().cast("array<string>")
+    x = b.select("name", F.col("facet").alias("other"), F.coalesce("aliases", none).alias("theirs"))
+    j = a.select("name", "facet", F.coalesce("aliases", none).alias("ours")).join(x, "name", "full_outer")
+    only = lambda p, q: F.array_sort(F.array_except(F.coalesce(p, none), F.coalesce(q, none)))
+    j = j.select("name", "facet", "other", only("ours", "theirs").alias("missing"), only("theirs", "ours").alias("extra"))
+    return j.where("NOT (facet <=> other) OR size(missing) > 0 OR size(extra) > 0")
+
+
+def record_recognition(log: DataFrame, shown: DataFrame) -> DataFrame:
+    """shown(link_id, rung, shown_at): new rows of the log, untapped, with the ids that follow its last one, in order of time, then link."""
+    top = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
+    per = Window.partitionBy("shown_at").orderBy("link_id", "rung")
+    before = shown.groupBy("shown_at").agg(F.count(F.lit(1)).alias("__n"))  # a row per moment: what is ordered in one task
+    before = before.select("shown_at", (F.sum("__n").over(Window.orderBy("shown_at")) - F.col("__n")).alias("__before"))
+    new = shown.withColumn("__nth", F.row_number().over(per)).join(before, "shown_at").crossJoin(top)  # one row
+    return log.unionByName(new.select((F.col("__top") + F.col("__before") + F.col("__nth")).alias("id"), "link_id", "rung", "shown_at", F.lit(None).cast("long").alias("tapped_at")))
 
 
 def merge_poll(current: DataFrame, page: DataFrame, tombstones: DataFrame) -> DataFrame:

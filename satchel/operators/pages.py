@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import parse_published
 from ..functions.texts import LIMITS, cap_bytes, clean, clean_meta, unescape_entities
 from ..functions.urls import host_matches, host_of, resolve_url
+from .activity import ranked_values
 
 META = r"""(?is)<meta\b(?=[^>]*\b(?:property|name)\s*=\s*["']?{0}["'\s/>])[^>]*\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 
@@ -47,12 +48,24 @@ def _unique_fold(words: Column) -> Column:
     return F.filter(words, lambda w, i: F.array_position(low, F.lower(w)) == i + 1)
 
 
-def jsonld_keywords(html: Column) -> Column:
-    """articleSection, keywords and genre of JSON-LD blocks, a string or a list, sorted."""
+def jsonld_keywords(html: Column, depth: int = 8) -> Column:
+    """articleSection, keywords and genre of JSON-LD blocks, each a string or a list, from objects up to `depth` levels down, sorted. The blocks are read as JSON."""
     blocks = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), 1)
-    values = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r'"(?:articleSection|keywords|genre)"\s*:\s*(\[[^\]]*\]|"(?:[^"\\]|\\.)*")'), 1)))
-    items = F.flatten(F.transform(values, lambda v: F.regexp_extract_all(v, F.lit(r'"((?:[^"\\]|\\.)*)"'), 1)))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(items, F.trim), lambda w: w != "")))
+    none = F.array().cast("array<string>")
+    starts = lambda n, mark: F.coalesce(F.ltrim(n).startswith(mark), F.lit(False))
+    entries = lambda n: F.from_json(n, "map<string,string>")  # noqa: E731  values that are no string stay as JSON text
+    items = lambda n: F.coalesce(F.when(starts(n, "["), F.from_json(n, "array<string>")).otherwise(F.array(n)), none)
+    below = lambda n: F.coalesce(F.when(starts(n, "{"), F.map_values(entries(n))).when(starts(n, "["), items(n)), none)
+    own = lambda n: F.flatten(F.transform(F.array(*map(F.lit, ["articleSection", "keywords", "genre"])), lambda k: F.coalesce(F.when(starts(n, "{"), items(F.try_element_at(entries(n), k))), none)))
+    each = lambda nodes, f: F.flatten(F.transform(nodes, f))
+    walk = F.aggregate(
+        F.sequence(F.lit(0), F.lit(depth)),
+        F.struct(blocks.alias("nodes"), none.alias("found")),
+        lambda acc, _: F.struct(each(acc["nodes"], below).alias("nodes"), F.concat(acc["found"], each(acc["nodes"], own)).alias("found")),
+        lambda acc: acc["found"],
+    )
+    words = F.filter(F.transform(walk, lambda s: F.trim(s)), lambda w: (w != "") & ~w.startswith("{"))
+    return F.when(F.size(blocks) > 0, F.array_sort(F.array_distinct(words))).otherwise(none)
 
 
 def publisher_keywords(html: Column) -> Column:
@@ -98,6 +111,13 @@ def extraction_health(links: DataFrame, by: str = "domain", least: int = 200) ->
 
 def wall_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per text: blocks (lines with text), the longest run without a break, whether it is a wall, whether empty."""
-    blocks = F.filter(F.transform(F.split(text_col, "\n"), F.trim), lambda b: b != "")
+    blocks = F.filter(F.transform(F.split(text_col, "\n"), lambda s: F.trim(s)), lambda b: b != "")
     longest = F.coalesce(F.array_max(F.transform(blocks, F.length)), F.lit(0))
     return docs.select(id_col, F.size(blocks).alias("blocks"), longest.alias("longest"), (longest >= 2000).alias("wall"), (F.size(blocks) == 0).alias("empty"))
+
+
+def wall_percentiles(stats: DataFrame, qs: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
+    """Of wall_stats: texts, walls, empty ones, and percentiles of the longest runs, taken at place floor(q * (n - 1)) from 0."""
+    at = lambda q: F.min(F.when(F.col("upto") >= F.floor(q * (F.col("n") - 1)) + 1, F.col("value"))).alias(f"p{round(q * 100)}")
+    p = ranked_values(stats, "longest").agg(*[at(q) for q in qs])
+    return stats.agg(F.count(F.lit(1)).alias("texts"), F.count_if("wall").alias("walls"), F.count_if("empty").alias("empty")).crossJoin(p)  # one row each

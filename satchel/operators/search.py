@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import has_hangul, trigrams
+from ..storage import stored
 from .tagging import attach_tags, compile_surfaces, live, match_edge, match_exact, match_phrase
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 COVERAGE_WEIGHT = 1000
+#: Queries that meet a row at once where there is no key to join on.
+QUERIES = 256
+#: Folders of stored postings.
+BUCKETS = 64
 COLUMNS = ("title", "description", "note", "tags")
 
 
@@ -21,20 +26,34 @@ def search_documents(links: DataFrame, link_tags: DataFrame, tags: DataFrame) ->
 
 
 def build_postings(docs: DataFrame) -> DataFrame:
-    """gram, doc_id, col: distinct trigrams of each column. Write it partitioned by a hash of the gram to look grams up without a scan."""
+    """gram, doc_id, col: distinct trigrams of each column."""
     cols = [F.struct(F.lit(c).alias("col"), trigrams(F.col(c)).alias("grams")) for c in COLUMNS]
     t = docs.select("doc_id", F.explode(F.array(*cols)).alias("c")).select("doc_id", "c.col", F.explode("c.grams").alias("gram"))
     return t.select("gram", "doc_id", "col")
 
 
+def _bucket(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+
+
+def write_postings(docs: DataFrame, path: str) -> None:
+    """Store the postings in folders by a hash of the gram, sorted by gram, so that a search reads only the folders and row groups of the grams it asks for."""
+    p = build_postings(docs).withColumn("bucket", _bucket(F.col("gram")))
+    p.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def doc_lengths(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", sum((F.greatest(F.length(c) - 2, F.lit(0)) for c in COLUMNS), F.lit(0)).alias("len"))
 
 
 def _occurrences(text: Column, phrase: Column) -> Column:
-    """Overlapping occurrences of a phrase."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - F.length(phrase) + 1, F.lit(1)))
-    return F.size(F.filter(starts, lambda i: F.substring(text, i, F.length(phrase)) == phrase))
+    """Overlapping occurrences of a phrase: empty matches in front of each."""
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(phrase, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    return F.regexp_count(text, quoted)
 
 
 def expand_queries(queries: DataFrame, surfaces: DataFrame) -> DataFrame:
@@ -47,22 +66,33 @@ def expand_queries(queries: DataFrame, surfaces: DataFrame) -> DataFrame:
     slim = tok.drop("tokens")
     hit = match_exact(slim, c).unionByName(match_edge(slim, c)).unionByName(match_phrase(tok, c)).select("link_id", "tag_id", "tag").distinct()
     hit = hit.join(t.select("link_id", "ko"), "link_id")
-    others = hit.join(F.broadcast(surfaces.select("tag_id", "surface")), "tag_id").where((F.col("surface") != F.col("tag")) & (has_hangul(F.col("surface")) != F.col("ko"))).select("link_id", F.col("surface").alias("term"))
+    others = hit.join(surfaces.select("tag_id", "surface"), "tag_id").where((F.col("surface") != F.col("tag")) & (has_hangul(F.col("surface")) != F.col("ko"))).select("link_id", F.col("surface").alias("term"))
     return hit.select("link_id", F.col("tag").alias("term")).unionByName(others).select(F.col("link_id").alias("query_id"), "term").distinct()
 
 
+def _asked(phrases: DataFrame, postings: DataFrame) -> DataFrame:
+    """The postings of the grams that phrases ask for; stored ones are read by bucket."""
+    grams = phrases.select(F.explode(trigrams(F.col("phrase"))).alias("gram")).distinct()
+    if "bucket" not in postings.columns:
+        return postings.join(grams, "gram", "left_semi")
+    return postings.join(grams.withColumn("bucket", _bucket(F.col("gram"))), ["bucket", "gram"], "left_semi").drop("bucket")
+
+
 def _phrase_hits(phrases: DataFrame, docs: DataFrame, postings: DataFrame) -> DataFrame:
-    """phrases(phrase), lower case -> phrase, doc_id, f: documents that hold all its grams in a column, verified, with occurrences.
+    """phrases(phrase), lower case -> phrase, doc_id, f: documents that hold the phrase in a column, with occurrences.
 
-    Query grams are a small table beside the postings; only postings of asked grams are grouped.
+    A phrase's rarest gram names its candidates; a document's candidates meet its text in one row, where each is verified. So postings are
+    read once for the frequencies and once for the rarest grams, and texts are shuffled once at most.
     """
     grams = phrases.select("phrase", F.explode(trigrams(F.col("phrase"))).alias("gram"))
-    need = grams.groupBy("phrase").agg(F.count(F.lit(1)).alias("need"))
-    cand = postings.join(grams, "gram").groupBy("phrase", "doc_id", "col").agg(F.countDistinct("gram").alias("have"))
-    cand = cand.join(need, "phrase").where("have = need").select("phrase", "doc_id").distinct()
+    asked = stored(_asked(phrases, postings).select("gram", "doc_id").distinct(), "asked")
+    df = asked.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    rarest = grams.join(df, "gram", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), F.col("gram"))).alias("r")).select("phrase", F.col("r.gram").alias("gram"))
+    cand = asked.join(rarest, "gram").groupBy("doc_id").agg(F.collect_set("phrase").alias("phrases"))
     texts = docs.select("doc_id", *[F.lower(c).alias(f"t_{c}") for c in COLUMNS])
+    held = F.filter("phrases", lambda p: F.greatest(*[F.contains(F.col(f"t_{c}"), p) for c in COLUMNS]))
     f = sum((_occurrences(F.col(f"t_{c}"), F.col("phrase")) for c in COLUMNS), F.lit(0))
-    return cand.join(texts, "doc_id").select("phrase", "doc_id", f.alias("f")).where("f > 0")
+    return cand.join(texts, "doc_id").select("doc_id", *[f"t_{c}" for c in COLUMNS], F.explode(held).alias("phrase")).select("phrase", "doc_id", f.alias("f"))
 
 
 def _coverage(docs: DataFrame, pairs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -73,13 +103,23 @@ def _coverage(docs: DataFrame, pairs: DataFrame, terms: DataFrame) -> DataFrame:
     return j.select("query_id", "doc_id", F.size(F.filter("terms", lambda t: F.col("all").contains(t))).alias("coverage"))
 
 
-def search(queries: DataFrame, docs: DataFrame, surfaces: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
+def search(queries: DataFrame, docs: DataFrame, surfaces: DataFrame | None = None, postings: DataFrame | None = None, *, only: DataFrame | None = None, since: int | None = None, until: int | None = None, after: DataFrame | None = None, size: int | None = None) -> DataFrame:
     """queries(query_id, query) -> query_id, doc_id, mode (fts, or, like), rank, position.
 
     All phrases of at least three characters must occur (or any expansion of the query); ordered by bm25, less 1000 for each
     term covered. Queries without a hit ask for any phrase; queries without a phrase or expansion, and no hits, look for every word as a substring,
     newest first. Each step takes only the queries that the one before left unanswered.
+
+    Filters don't change the weights: `only` keeps its doc_id (those of a tag, say), since and until bound created_at, both included.
+    after(query_id, position) and size give the page behind a position.
     """
+    docs = stored(docs, "docs")
+    allowed = docs.select("doc_id", "created_at")
+    allowed = allowed if only is None else allowed.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
+    allowed = allowed if since is None else allowed.where(F.col("created_at") >= since)
+    allowed = (allowed if until is None else allowed.where(F.col("created_at") <= until)).select("doc_id")
+    narrowed = any(x is not None for x in (only, since, until))
+    narrow = lambda df: df.join(allowed, "doc_id", "left_semi") if narrowed else df
     postings = build_postings(docs) if postings is None else postings
     words = queries.select("query_id", "query", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != ""))).alias("word"))
     asked = words.where(F.length("word") >= 3).select("query_id", F.col("word").alias("phrase"))
@@ -87,35 +127,53 @@ def search(queries: DataFrame, docs: DataFrame, surfaces: DataFrame | None = Non
     extra = expand_queries(queries, surfaces) if surfaces is not None else none
     added = extra.select("query_id", F.lower("term").alias("phrase")).where(F.length("phrase") >= 3)
     needed = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
-    hits = _phrase_hits(asked.select("phrase").unionByName(added.select("phrase")).distinct(), docs, postings)
+    hits = stored(_phrase_hits(asked.select("phrase").unionByName(added.select("phrase")).distinct(), docs, postings), "hits")
 
     lengths = doc_lengths(docs)
     total = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     df = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    weight = hits.join(df, "phrase").join(lengths, "doc_id").crossJoin(F.broadcast(total))  # one row
+    weight = hits.join(df, "phrase").join(lengths, "doc_id").crossJoin(total)  # one row
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     tf = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     weight = weight.select("phrase", "doc_id", (-idf * tf).alias("w"))
     of_query = asked.withColumn("own", F.lit(1)).unionByName(added.withColumn("own", F.lit(0))).groupBy("query_id", "phrase").agg(F.max("own").alias("own"), F.count_if(F.col("own") == 0).alias("extra"))
     scored = of_query.join(weight, "phrase").groupBy("query_id", "doc_id").agg(F.sum("w").alias("bm25"), F.sum("own").alias("got"), F.sum("extra").alias("expanded"), F.sum(F.when(F.col("own") == 1, F.col("w"))).alias("own_bm25"))
-    scored = scored.join(needed, "query_id", "left")
+    scored = stored(narrow(scored.join(needed, "query_id", "left")), "scored")
     first = scored.where("got = needed OR expanded > 0").select("query_id", "doc_id", F.lit("fts").alias("mode"), "bm25")
     again = scored.where("got > 0").join(first.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "doc_id", F.lit("or").alias("mode"), F.col("own_bm25").alias("bm25"))
     found = first.unionByName(again)
     terms = words.select("query_id", F.col("word").alias("term")).unionByName(extra)
     ranked = found.join(_coverage(docs, found, terms), ["query_id", "doc_id"], "left").withColumn("rank", F.col("bm25") - COVERAGE_WEIGHT * F.coalesce("coverage", F.lit(0)))
-    order = Window.partitionBy("query_id").orderBy("rank", "doc_id")
+    order = Window.partitionBy("query_id").orderBy(F.round("rank", 9), "doc_id")
     ranked = ranked.withColumn("position", F.row_number().over(order)).select("query_id", "doc_id", "mode", "rank", "position")
 
     short = queries.join(needed.select("query_id").unionByName(extra.select("query_id")).distinct(), "query_id", "left_anti").select("query_id", F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "").alias("w")).where(F.size("w") > 0)
-    return ranked.unionByName(like_search(short, docs))
+    return page(ranked.unionByName(like_search(short, narrow(docs))), after, size)
+
+
+def page(results: DataFrame, after: DataFrame | None, size: int | None) -> DataFrame:
+    """The results of each query behind the position in after(query_id, position), as many as size."""
+    if after is not None:
+        results = results.join(after.select("query_id", F.col("position").alias("__from")), "query_id", "left").withColumn("__from", F.coalesce("__from", F.lit(0)))
+    else:
+        results = results.withColumn("__from", F.lit(0))
+    results = results.where(F.col("position") > F.col("__from"))
+    return (results if size is None else results.where(F.col("position") <= F.col("__from") + size)).drop("__from")
+
+
+def in_blocks(queries: DataFrame, size: int) -> DataFrame:
+    """queries(query_id, ...) -> block, queries (array of structs): a stated set of queries dealt into rows of about `size`, to meet all rows of a table block by block."""
+    blocks = max(1, -(-queries.count() // size))
+    return queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(*queries.columns)).alias("queries"))
 
 
 def like_search(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """queries(query_id, w: words) -> rows of mode like: every word in title, description or note, else any word; newest first. A scan: the queries are the small side."""
+    """queries(query_id, w: words) -> rows of mode like: every word in title, description or note, else any word; newest first. A scan: every row meets the queries in blocks."""
     text = docs.select("doc_id", "created_at", F.lower(F.concat_ws("\n", "title", "description", "note")).alias("all"))
-    j = text.join(F.broadcast(queries), F.exists("w", lambda w: F.col("all").contains(w)))
-    j = j.withColumn("every", F.forall("w", lambda w: F.col("all").contains(w)))
+    held = lambda x: F.transform(x["w"], lambda w: F.contains(F.col("all"), w))
+    found = F.filter(F.transform("queries", lambda x: F.struct(x["query_id"].alias("query_id"), held(x).alias("held"))), lambda x: F.array_contains(x["held"], True))
+    j = text.crossJoin(in_blocks(queries.select("query_id", "w"), QUERIES)).select("doc_id", "created_at", F.explode(found).alias("x"))
+    j = j.select("doc_id", "created_at", "x.query_id", F.forall("x.held", lambda h: h).alias("every"))
     j = j.withColumn("some", F.max("every").over(Window.partitionBy("query_id"))).where("every OR NOT some")
     order = Window.partitionBy("query_id").orderBy(F.desc("created_at"), F.desc("doc_id"))
     return j.withColumn("position", F.row_number().over(order)).select("query_id", "doc_id", F.lit("like").alias("mode"), F.lit(None).cast("double").alias("rank"), "position")
@@ -129,12 +187,20 @@ def search_quality(results: DataFrame, answers: DataFrame, n: int = 10) -> DataF
 
 
 def cosine_knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Best k by cosine, for a stated set of queries against all rows. Vectors are normed once; the top k of each block of
+    """Best k by cosine, for a stated set of queries against all rows, block of queries by block. Vectors are normed once; the top k of each block of
     rows are kept before the rest is shuffled, so a query costs blocks * k rows and no task sees them all."""
     x = F.col("embedding").cast("array<double>")
-    unit = lambda df: df.withColumn("v", F.transform(x, lambda e: e / F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, y: s + y * y))))
-    q, v = unit(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), unit(vectors).select("vec_id", "v", F.spark_partition_id().alias("block"))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y))
+    unit = lambda df: df.withColumn("n", norm(x)).withColumn("v", F.transform(x, lambda e: e / F.col("n"))).drop("n")
+    q = in_blocks(stored(unit(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "queries"), QUERIES)
+    v = stored(unit(vectors).select("vec_id", "v"), "unit").select("vec_id", "v", F.spark_partition_id().alias("block"))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
-    pairs = v.join(q, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(dot, 6).alias("score"), "block")
+    pairs = v.crossJoin(q.select("queries")).select("vec_id", "v", "block", F.explode("queries").alias("x")).select("vec_id", "v", "block", "x.query_id", "x.q").where("query_id <> vec_id")
+    pairs = pairs.select("query_id", "vec_id", F.round(dot, 6).alias("score"), "block")
     top = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return top(top(pairs, "query_id", "block").drop("rank", "block"), "query_id")
+
+
+def search_misses(results: DataFrame, answers: DataFrame, n: int = 10) -> DataFrame:
+    """query_id, doc_id, position: answers that the first n results of their query lack; position is where they are further down, if anywhere."""
+    return answers.join(results.select("query_id", "doc_id", "position"), ["query_id", "doc_id"], "left").where(F.coalesce("position", F.lit(n + 1)) > n)

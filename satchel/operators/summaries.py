@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import containment, content_tokens, is_prose, split_sentences, trigrams
+from ..storage import stored
+from .evaluation import recall_at_k
 
 MIN_BODY, MAX_SENTENCES, DAMPING, EPSILON, ROUNDS, CANDIDATES = 200, 200, 0.85, 1e-4, 50, 10
 REDUNDANT, MAX_RUNES = 0.8, 450
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of an iteration through the shared folder that spark.checkpoint.dir names."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="satchel-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/satchel-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def prose_sentences(docs: DataFrame, body: str = "body_text") -> DataFrame:
     """id, i, sentence, tokens: the first 200 different prose sentences of bodies of at least 200 characters."""
     s = docs.where(F.length(body) >= MIN_BODY).select("id", F.array_distinct(F.filter(split_sentences(F.col(body)), is_prose)).alias("all"))
@@ -45,7 +34,7 @@ def centrality(sentences: DataFrame, edges: DataFrame) -> DataFrame:
     """id, i, score: weighted PageRank a text, scaled to a largest score of 1. A driver loop over rounds, not rows; a text that has settled stops changing."""
     both = edges.unionByName(edges.select("id", F.col("j").alias("i"), F.col("i").alias("j"), "w"))
     out = both.groupBy("id", "i").agg(F.sum("w").alias("total"))
-    flow = _stored(both.join(out, ["id", "i"]).select("id", "i", F.col("j"), (F.col("w") / F.col("total")).alias("share")), "flow")
+    flow = stored(both.join(out, ["id", "i"]).select("id", "i", F.col("j"), (F.col("w") / F.col("total")).alias("share")), "flow")
     ranks = sentences.select("id", "i", F.lit(1.0).alias("r"), F.lit(False).alias("done"))
     for n in range(ROUNDS):
         got = flow.join(ranks.where("NOT done").select("id", "i", "r"), ["id", "i"]).groupBy("id", F.col("j").alias("i")).agg(F.sum(F.col("r") * F.col("share")).alias("got"))
@@ -53,7 +42,7 @@ def centrality(sentences: DataFrame, edges: DataFrame) -> DataFrame:
         settled = F.max(F.abs(F.col("new") - F.col("r"))).over(Window.partitionBy("id")) < EPSILON
         ranks = new.select("id", "i", F.col("new").alias("r"), (F.col("done") | settled).alias("done"))
         if n % 5 == 4:
-            ranks = _stored(ranks, "ranks")
+            ranks = stored(ranks, "ranks")
             if ranks.where("NOT done").isEmpty():
                 break
     return ranks.select("id", "i", (F.col("r") / F.max("r").over(Window.partitionBy("id"))).alias("score"))
@@ -65,10 +54,10 @@ def summarize_corpus(docs: DataFrame) -> DataFrame:
     The ten most central compete in rounds of maximal marginal relevance, inside one row a text: .7 centrality less .3 of the largest
     overlap with the description or a sentence picked before; overlaps of .8 are refused, ties go to the earlier sentence.
     """
-    s = _stored(prose_sentences(docs), "sentences")
+    s = stored(prose_sentences(docs), "sentences")
     sized = s.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
     many = s.join(sized.where("n >= 5"), "id")
-    central = centrality(many.select("id", "i"), _stored(sentence_edges(many), "edges"))
+    central = centrality(many.select("id", "i"), stored(sentence_edges(many), "edges"))
     top = Window.partitionBy("id").orderBy(F.desc("score"), "i")
     cand = central.withColumn("rk", F.row_number().over(top)).where(F.col("rk") <= CANDIDATES).join(many, ["id", "i"])
     first = s.join(sized.where("n < 5"), "id").where("i < 2").select("id", "i", F.lit(1.0).alias("score"), "sentence", "tokens", "n")
@@ -97,17 +86,49 @@ def lead_n(docs: DataFrame, n: int = 3) -> DataFrame:
 
 def guard_breakdown(docs: DataFrame, summaries: DataFrame) -> DataFrame:
     """Why links have no summary; the reasons add up to all that lack one."""
-    n = prose_sentences(docs).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    n = stored(prose_sentences(docs).select("id"), "prose").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     j = docs.join(n, "id", "left").join(summaries.where("summary <> ''").select("id", F.lit(True).alias("has")), "id", "left")
     reason = F.when(F.col("has"), "summary").when(F.length("body_text") < MIN_BODY, "thin body").when(F.coalesce("n", F.lit(0)) < 3, "few prose").otherwise("overlap")
     return j.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("links"))
 
 
 def summary_quality(docs: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Coverage, mean overlap with the description, mean compression."""
-    j = docs.join(summaries.where("summary <> ''"), "id", "left")
+    """Coverage, mean overlap with the description, mean of the largest overlap of two sentences of a summary, mean compression."""
+    j = docs.drop("summary").join(summaries.where("summary <> ''").select("id", "summary"), "id", "left")
     over = containment(content_tokens(F.col("summary")), content_tokens(F.col("description")))
-    return j.agg(F.round(F.avg(F.col("summary").isNotNull().cast("int")), 6).alias("coverage"), F.round(F.avg(F.when(F.col("summary").isNotNull(), over)), 6).alias("overlap"), F.round(F.avg(F.length("summary") / F.length("body_text")), 6).alias("compression"))
+    parts = F.transform(split_sentences(F.col("summary")), content_tokens)
+    pairs = F.flatten(F.transform(parts, lambda a, i: F.transform(F.slice(parts, F.lit(1), i), lambda b: F.greatest(containment(a, b), containment(b, a)))))  # two or three sentences
+    mean = lambda c: F.round(F.avg(c), 6)
+    has = F.col("summary").isNotNull()
+    return j.agg(
+        mean(has.cast("int")).alias("coverage"),
+        mean(F.when(has, over)).alias("overlap"),
+        mean(F.when(has, F.coalesce(F.array_max(pairs), F.lit(0.0)))).alias("pair_overlap"),
+        mean(F.length("summary") / F.length("body_text")).alias("compression"),
+    )
+
+
+def determinism(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Share of links whose summary is the same in two runs."""
+    j = a.select("id", F.col("summary").alias("x")).join(b.select("id", F.col("summary").alias("y")), "id", "full_outer")
+    return j.agg(F.round(F.avg(F.col("x").eqNullSafe(F.col("y")).cast("int")), 6).alias("determinism"))
+
+
+def common_tag_recall(gold: DataFrame, *predicted: DataFrame) -> DataFrame:
+    """variant, recall, links: of the links that every prediction (link_id, tag, rank; made from summaries, from first sentences) has tags for, how many get a gold tag."""
+    common = gold.select("link_id").distinct()
+    for p in predicted:
+        common = common.join(p.select("link_id").distinct(), "link_id", "left_semi")
+    g = gold.join(common, "link_id", "left_semi")
+    out = [recall_at_k(p, g, 3).withColumn("variant", F.lit(i)) for i, p in enumerate(predicted)]
+    return reduce(lambda x, y: x.unionByName(y), out).select("variant", "recall", "links")
+
+
+def summary_gate(quality: DataFrame, lead: DataFrame, tag_recall: float, lead_recall: float, same: float) -> DataFrame:
+    """Whether summaries may replace first sentences: less overlap with the description, tag recall within .02, the same summaries each run."""
+    j = quality.select(F.col("overlap").alias("x")).crossJoin(lead.select(F.col("overlap").alias("y")))  # one row each
+    checks = j.select(F.coalesce(F.col("x") < F.col("y"), F.lit(False)).alias("overlap_ok"), F.lit(tag_recall >= lead_recall - 0.02).alias("recall_ok"), F.lit(same == 1.0).alias("determinism_ok"))
+    return checks.withColumn("ok", F.expr("overlap_ok AND recall_ok AND determinism_ok"))
 
 
 def gained_grams(docs: DataFrame, summary: str, *indexed: str) -> DataFrame:

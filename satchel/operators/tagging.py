@@ -28,15 +28,16 @@ def compile_surfaces(surfaces: DataFrame) -> DataFrame:
     one = F.size("tokens") == 1
     edge = one & has_hangul(F.col("tokens")[0]) & (F.length(F.col("tokens")[0]) >= 2)
     kind = F.when(~one, "phrase").when(edge, "edge").otherwise("exact")
-    return t.select("tag_id", "tag", kind.alias("kind"), F.col("tokens")[0].alias("first"), F.slice("tokens", 2, 100).alias("tail"), F.array_join("tokens", " ").alias("surface"), F.monotonically_increasing_id().alias("entry"))
+    return t.select("tag_id", "tag", kind.alias("kind"), F.col("tokens")[0].alias("first"), F.slice("tokens", F.lit(2), F.size("tokens")).alias("tail"), F.array_join("tokens", " ").alias("surface"), F.monotonically_increasing_id().alias("entry"))
 
 
-def field_tokens(links: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
-    """links -> link_id, field, pos, token, rest (the tokens after it, for phrases). Fields stay apart, so no phrase crosses them."""
+def field_tokens(links: DataFrame, fields: dict[str, str] | None = None, *, hangul: bool = False) -> DataFrame:
+    """links -> link_id, field, tokens (all of the field, for phrases), pos, token. Fields stay apart, so no phrase crosses them. hangul: only fields that have any."""
     fields = fields or {"title": "title", "keywords": "keywords", "description": "description", "note": "note", "body": "body_text"}
-    both = [F.struct(F.lit(f).alias("field"), tokenize(F.col(c)).alias("tokens")) for f, c in fields.items()]
-    t = links.select(F.col("id").alias("link_id"), F.explode(F.array(*both)).alias("f")).select("link_id", "f.field", "f.tokens")
-    return t.select("link_id", "field", "tokens", F.posexplode("tokens").alias("pos", "token"))
+    both = [F.struct(F.lit(f).alias("field"), F.col(c).alias("text")) for f, c in fields.items()]
+    t = links.select(F.col("id").alias("link_id"), F.explode(F.array(*both)).alias("f")).select("link_id", "f.field", "f.text")
+    t = t.where(has_hangul(F.col("text"))) if hangul else t
+    return t.select("link_id", "field", tokenize(F.col("text")).alias("tokens")).select("link_id", "field", "tokens", F.posexplode("tokens").alias("pos", "token"))
 
 
 def match_exact(tokens: DataFrame, compiled: DataFrame) -> DataFrame:
@@ -44,26 +45,34 @@ def match_exact(tokens: DataFrame, compiled: DataFrame) -> DataFrame:
     return tokens.join(s, "token").select("link_id", "field", "pos", "tag_id", "tag", "surface")
 
 
-def match_edge(tokens: DataFrame, compiled: DataFrame, lengths: tuple[int, ...] = (2, 3, 4, 5, 6, 7, 8)) -> DataFrame:
-    """Hangul surfaces at a token's beginning or end, once per token and entry. Pieces of the lengths that occur make it an equi join."""
+def match_edge(tokens: DataFrame, compiled: DataFrame) -> DataFrame:
+    """Hangul surfaces at a token's beginning or end, once per token and entry. Pieces of the lengths that occur in the dictionary make it an equi join."""
     s = small(compiled.where("kind = 'edge'").select("tag_id", "tag", "surface", "entry", F.col("first").alias("piece")))
-    ends = [F.when(F.length("token") >= n, side) for n in lengths for side in (F.left("token", F.lit(n)), F.right("token", F.lit(n)))]
-    pieces = tokens.where(has_hangul(F.col("token"))).select("link_id", "field", "pos", F.explode(F.array_distinct(F.array_compact(F.array(*ends)))).alias("piece"))
+    lengths = s.agg(F.collect_set(F.length("piece")).alias("lengths"))  # one row
+    ends = F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.length("token")), lambda n: F.array(F.left("token", n), F.right("token", n))))
+    pieces = tokens.where(has_hangul(F.col("token"))).crossJoin(F.broadcast(lengths)).select("link_id", "field", "pos", F.explode(F.array_distinct(ends)).alias("piece"))
     return pieces.join(s, "piece").select("link_id", "field", "pos", "tag_id", "tag", "surface")
 
 
+def follows(tokens: Column, pos: Column, tail: Column) -> Column:
+    """The tokens behind a position are those of the tail, or longer ones where the tail's has Hangul."""
+    after = F.slice(tokens, pos + 2, F.size(tail))
+    fits = F.forall(F.zip_with(after, tail, lambda t, p: F.coalesce((t == p) | (has_hangul(p) & t.startswith(p)), F.lit(False))), lambda x: x)
+    return (F.size(after) == F.size(tail)) & fits
+
+
 def match_phrase(tokens: DataFrame, compiled: DataFrame) -> DataFrame:
     """Surfaces of several tokens in a row: the first is equal, a Hangul token of the tail may be longer."""
     s = small(compiled.where("kind = 'phrase'").select("tag_id", "tag", "surface", "tail", F.col("first").alias("token")))
-    after = F.slice("tokens", F.col("pos") + 2, F.size("tail"))
-    fits = F.forall(F.zip_with(after, "tail", lambda t, p: F.coalesce((t == p) | (has_hangul(p) & t.startswith(p)), F.lit(False))), lambda x: x)
-    return tokens.join(s, "token").where((F.size(after) == F.size("tail")) & fits).select("link_id", "field", "pos", "tag_id", "tag", "surface")
+    return tokens.join(s, "token").where(follows(F.col("tokens"), F.col("pos"), F.col("tail"))).select("link_id", "field", "pos", "tag_id", "tag", "surface")
 
 
 def matches(links: DataFrame, compiled: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
+    """All matches: one pass meets exact surfaces and first words of phrases, a second one only the fields with Hangul, for edges."""
+    s = small(compiled.where("kind <> 'edge'").select("tag_id", "tag", "surface", "tail", F.col("first").alias("token")))
     t = field_tokens(links, fields)
-    slim = t.drop("tokens")
-    return match_exact(slim, compiled).unionByName(match_edge(slim, compiled)).unionByName(match_phrase(t, compiled))
+    whole = t.join(s, "token").where(follows(F.col("tokens"), F.col("pos"), F.col("tail"))).select("link_id", "field", "pos", "tag_id", "tag", "surface")
+    return whole.unionByName(match_edge(field_tokens(links, fields, hangul=True).drop("tokens"), compiled))
 
 
 def domain_tags(links: DataFrame, domain_map: DataFrame) -> DataFrame:
@@ -124,6 +133,30 @@ def with_tag(links: DataFrame, link_tags: DataFrame, tags: DataFrame, name: str)
     return links.join(ids.select(F.col("link_id").alias("id")), "id", "left_semi")
 
 
+def list_filter(links: DataFrame, link_tags: DataFrame, tags: DataFrame, *, tag: str | None = None, status: str | None = None, unopened: bool = False) -> DataFrame:
+    """Live links under the list's optional filters."""
+    out = live(links) if status is None else live(links).where(F.col("status") == status)
+    out = out.where("opened_at IS NULL") if unopened else out
+    return out if tag is None else with_tag(out, link_tags, tags, tag)
+
+
+def created_between(links: DataFrame, since: int | None = None, until: int | None = None) -> DataFrame:
+    """Both ends included; an end that is left out is open."""
+    out = links if since is None else links.where(F.col("created_at") >= since)
+    return out if until is None else out.where(F.col("created_at") <= until)
+
+
+def tag_facets(link_tags: DataFrame, tags: DataFrame) -> DataFrame:
+    """link_id, tag_id, facet of each attachment; neutral where the tag is unknown."""
+    facets = tags.select(F.col("id").alias("tag_id"), "facet")
+    return link_tags.join(small(facets), "tag_id", "left").select("link_id", "tag_id", F.coalesce("facet", F.lit("neutral")).alias("facet"))
+
+
+def df_top(df: DataFrame, n: int = 15) -> DataFrame:
+    """df(term, df, n) -> the n most common terms with their share of the documents."""
+    return df.select("term", "df", F.round(F.col("df") / F.col("n"), 6).alias("ratio")).orderBy(F.desc("df"), "term").limit(n)
+
+
 def attach_tags(links: DataFrame, link_tags: DataFrame, tags: DataFrame) -> DataFrame:
     named = link_tags.join(small(tags.select(F.col("id").alias("tag_id"), "name")), "tag_id")
     lists = named.groupBy("link_id").agg(F.array_sort(F.collect_list(F.struct("name", "source", "confidence"))).alias("tags"))

@@ -34,16 +34,21 @@ query("w04_resurfaced", f"SELECT id, CAST({KEY} AS BIGINT) AS order_key FROM lin
 query("w04_resurfaced_by_domain", f"SELECT domain, id FROM links WHERE {OLD} QUALIFY row_number() OVER (PARTITION BY domain ORDER BY {KEY}, id) = 1", ("links",))(lambda l: A.resurfaced(l, NOW, by="domain").select("domain", "id"))  # noqa: E741
 query("w05_page_after", "SELECT id, created_at FROM links WHERE deleted_at IS NULL AND (created_at < 1705400000 OR (created_at = 1705400000 AND id < 500)) ORDER BY created_at DESC, id DESC LIMIT 21", ("links",))(lambda l: A.page_after(A.live(l).select("id", "created_at"), "created_at", "id", (1705400000, 500), 20))  # noqa: E741
 query("w07_sample_per_host", "WITH c AS (SELECT id, host, md5('7:' || id) AS o FROM page_links QUALIFY row_number() OVER (PARTITION BY host ORDER BY md5('7:' || id), id) <= 2) SELECT id, host FROM c ORDER BY host NOT LIKE 'm.%', o, id LIMIT 40", ("page_links",))(
-    lambda p: A.sample_per_host(p.withColumn("mobile", F.when(F.col("host").startswith("m."), "m").otherwise("w")).select("id", "host"), "id", "host", 2, 1_000_000, "7").withColumn("o", F.md5(F.concat(F.lit("7:"), F.col("id")))).orderBy(~F.col("host").startswith("m."), "o", "id").limit(40).drop("o")
+    lambda p: A.sample_per_host(p.select("id", "host"), "id", "host", 2, 40, "7", F.col("host").startswith("m."))
 )
 query("w08_keep_last", "SELECT id FROM recognition ORDER BY shown_at DESC, id DESC LIMIT 500", ("recognition",))(lambda e: A.keep_last(e, [F.desc("shown_at"), F.desc("id")]).select("id"))
 query("w09_first_per_url", "SELECT url, min(page_id) AS page_id FROM pages GROUP BY url", ("pages",))(lambda p: A.first_per(p.select("url", "page_id"), "url", ["page_id"]))
 CHIP = "row_number() OVER (PARTITION BY link_id ORDER BY source <> 'manual', confidence DESC NULLS LAST, name)"
 query("w10_chip_order", f"SELECT link_id, name, CAST({CHIP} AS INTEGER) AS place FROM link_tags JOIN tags ON tags.id = tag_id", ("link_tags", "tags"))(lambda lt, t: A.chip_order(lt, t).select("link_id", "name", "place"))
 query("w10_dominant_facet", f"SELECT link_id, facet FROM link_tags JOIN tags ON tags.id = tag_id QUALIFY {CHIP} = 1", ("link_tags", "tags"))(lambda lt, t: A.chip_order(lt, t).where("place = 1").select("link_id", "facet"))
-query("w11_sort_tags", "WITH i AS (" + INVENTORY_SQL + ") SELECT name, CAST(row_number() OVER (ORDER BY last_saved_at DESC NULLS LAST, name) AS BIGINT) AS place FROM i", ("links", "link_tags", "tags"))(
-    lambda l, lt, t: A.tag_inventory(t, lt, l).groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("last_saved_at").isNull(), (-F.col("last_saved_at")).alias("a"), F.col("name")))).alias("x")).select(F.posexplode("x").alias("place", "x")).select(F.col("x.name").alias("name"), (F.col("place") + 1).cast("long").alias("place"))  # noqa: E741
-)
+query("w11_sort_tags", "WITH i AS (" + INVENTORY_SQL + ") SELECT name, row_number() OVER (ORDER BY last_saved_at DESC NULLS LAST, name) AS by_recency, row_number() OVER (ORDER BY link_count DESC, name) AS by_count, row_number() OVER (ORDER BY link_count = 0, name) AS by_name FROM i", ("links", "link_tags", "tags"))(lambda *x: sorted_tags(*x))
+
+
+def sorted_tags(l, lt, t):  # noqa: E741
+    place = lambda by: A.sort_tags(A.tag_inventory(t, lt, l), by).select("name", F.col("place").cast("long").alias(f"by_{by}"))
+    return place("recency").join(place("count"), "name").join(place("name"), "name")
+
+
 query("w12_latest_untapped", "WITH n AS (SELECT id FROM recognition WHERE tapped_at IS NULL QUALIFY row_number() OVER (PARTITION BY link_id ORDER BY shown_at DESC, id DESC) = 1) SELECT id, CASE WHEN id IN (SELECT id FROM n) AND link_id % 2 = 0 THEN 9 ELSE tapped_at END AS tapped_at FROM recognition", ("recognition",))(
     lambda e: A.latest_untapped(e, e.where("link_id % 2 = 0").select("link_id", F.lit(9).alias("at")).distinct()).select("id", "tapped_at")
 )

@@ -33,31 +33,38 @@ SELECT id, CAST(depth AS INTEGER) AS depth, array_to_string(l[depth + 1:], '.')
 )(lambda p: p.select("id", F.posexplode(urls.host_suffixes(c("host"))).alias("depth", "suffix")))
 columns("r09_add_date", "links", "id", at=(lambda: codes.add_date_seconds((c("created_at") * F.when(c("id") % 2 == 0, 1_000_000).otherwise(1)).cast("string")), "CASE WHEN id % 2 = 0 THEN created_at ELSE created_at END"))
 columns("r10_valid_created_at", "links", "id", ok=(lambda: codes.valid_created_at(c("created_at") + c("id") * 1000, NOW), f"(created_at + id * 1000 = 0 OR created_at + id * 1000 BETWEEN 946684800 AND {NOW})"))
-columns("r11_cap_bytes", "documents", "doc_id", n=(lambda: F.octet_length(texts.cap_bytes(c("text"), 301)).cast("long"), r"CAST(CASE WHEN strlen(text) <= 301 THEN strlen(text) ELSE (SELECT max(strlen(substr(text, 1, k))) FROM (SELECT unnest(generate_series(1, 301)) AS k) WHERE strlen(substr(text, 1, k)) <= 301) END AS BIGINT)"))
+#: The most characters of a text that fit into so many bytes.
+FIT = "(SELECT max(k) FROM (SELECT unnest(generate_series(0, {1})) AS k) WHERE strlen(substr({0}, 1, CAST(k AS BIGINT))) <= {1})"
+columns("r11_cap_bytes", "documents", "doc_id", cut=(lambda: texts.cap_bytes(c("text"), 301), "substr(text, 1, " + FIT.format("text", 301) + ")"))
 columns("r12_sanitize", "documents", "doc_id", line=(lambda: texts.sanitize(c("text")), r"regexp_replace(translate(text, chr(10) || chr(9) || chr(13), '   '), '\p{Cc}', '', 'g')"))
-columns("r13_clean", "documents", "doc_id", n=(lambda: F.length(texts.clean(F.regexp_replace(c("text"), r"[^\x00-\x7F]", ""), 512)).cast("long"), r"CAST(length(trim(substr(trim(translate(substr(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), 1, 512), chr(10) || chr(9) || chr(13), '   ')), 1, 512))) AS BIGINT)"))
+columns("r13_clean", "documents", "doc_id", line=(lambda: texts.clean(c("text"), 512), r"trim(regexp_replace(translate(substr(text, 1, " + FIT.format("text", 512) + r"), chr(10) || chr(9) || chr(13) || chr(65533), '   '), '\p{Cc}', '', 'g'))"))
 columns("r14_unescape", "pages", "page_id", title=(lambda: texts.unescape_entities(F.regexp_extract(c("html"), "(?s)<title>(.*?)</title>", 1)), "replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&#39;', ''''), '&amp;', '&')"))
 columns("r15_truncate", "links", "id", short=(lambda: texts.truncate_runes(c("body_text")), "substr(body_text, 1, 200)"))
 columns("r16_is_thin", "links", "id", thin=(lambda: texts.is_thin(c("title"), c("description"), c("body_text")), "length(title) + length(description) + length(body_text) < 200"))
 columns("r17_is_blocked", "links", "id", blocked=(lambda: texts.is_blocked_page(c("title"), c("description"), c("body_text")), "length(title || ' ' || description || ' ' || body_text) < 400 AND (" + " OR ".join(f"contains(lower(title || ' ' || description || ' ' || body_text), '{p}')" for p in texts.WALL_PHRASES) + ")"))
 columns("r18_is_footer", "links", "id", footer=(lambda: texts.is_footer_only(c("body_text")), "length(body_text) > 0 AND length(body_text) < 1000 AND " + " + ".join(f"CAST(contains(lower(body_text), '{m}') AS INT)" for m in texts.FOOTER_MARKS) + " >= 3"))
-columns("r27_normalize_token", "benchmark", "item_id", word=(lambda: tokens.normalize_token(F.split_part(c("text"), F.lit(" "), F.lit(3))), r"lower(regexp_replace(split_part(text, ' ', 3), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g'))"))
+columns("r27_normalize_token", "documents", "doc_id", words=(lambda: F.transform(F.split("text", " "), tokens.normalize_token), "list_transform(list_transform(string_split(text, ' '), lambda t: lower(regexp_replace(t, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g'))), lambda t: " + NORM + ")"))
 columns("r28_tokenize", "documents", "doc_id", tokens=(lambda: tokens.tokenize(c("text")), TOKENS.format("text")))
 columns("r29_has_hangul", "links", "id", hangul=(lambda: tokens.has_hangul(c("body_text")), "regexp_matches(body_text, '[가-힣]')"), korean=(lambda: tokens.is_korean(c("title"), c("description"), c("body_text")), "CASE WHEN length(regexp_replace(title || description || body_text, '[^가-힣A-Za-z]', '', 'g')) > 0 THEN length(regexp_replace(title || description || body_text, '[^가-힣]', '', 'g')) / length(regexp_replace(title || description || body_text, '[^가-힣A-Za-z]', '', 'g')) > 0.2 ELSE false END"))
-columns("r30_trigrams", "links", "id", grams=(lambda: F.array_sort(tokens.trigrams(c("title"))), "list_sort(list_distinct(list_filter(list_transform(generate_series(1, greatest(length(title) - 2, 1)), lambda i: substr(lower(title), i, 3)), lambda g: length(g) = 3 AND trim(g) <> '')))"))
+CHARS = "string_split(lower({0}), '')"
+#: Distinct trigrams of a list of characters.
+THREES = "list_distinct(list_filter(list_transform(range(1, greatest(len({0}) - 1, 1)), lambda i: {0}[i] || {0}[i + 1] || {0}[i + 2]), lambda g: trim(g, ' ' || chr(10) || chr(9) || chr(13)) <> ''))"
+query("r30_trigrams", "WITH x AS (SELECT id, " + CHARS.format("body_text") + " AS ch FROM links) SELECT id, list_sort(" + THREES.format("ch") + ") AS grams FROM x", ("links",))(lambda l: l.select("id", F.array_sort(tokens.trigrams(c("body_text"))).alias("grams")))  # noqa: E741
 query("r31_split_sentences", None, ("documents",))(lambda d: d.select("doc_id", F.posexplode(tokens.split_sentences(c("text"))).alias("pos", "sentence")))
 PROSE_SQL = r"""length({0}) BETWEEN 25 AND 400 AND regexp_matches({0}, '[.!?…。！？][\)\]\}}"''»”’]*$')
  AND length(regexp_replace({0}, '[^\p{{L}}]', '', 'g')) / length({0}) >= 0.55 AND length(regexp_replace({0}, '[^\p{{Nd}}]', '', 'g')) / length({0}) <= 0.12
  AND length(regexp_replace(regexp_replace({0}, '[,.''"?!()\-]', '', 'g'), '[^\p{{S}}\p{{P}}]', '', 'g')) / length({0}) <= 0.12
  AND length(regexp_replace({0}, '[^{{}}<>=;|\\()]', '', 'g')) <= 2"""
+#: A run of four letters or more that comes twice in a row: looked for in every run of eight letters, at every place and length, since DuckDB has no back-references.
+GLUED_SQL = "len(list_filter(regexp_extract_all({0}, '[A-Za-z]{{8,}}'), lambda w: len(list_filter(range(4, length(w) // 2 + 1), lambda n: len(list_filter(range(1, length(w) - 2 * n + 2), lambda i: substr(w, i, n) = substr(w, i + n, n))) > 0)) > 0)) > 0"
 query(
     "r32_is_prose",
-    "WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE " + PROSE_SQL.format("s") + ") AS prose FROM s WHERE NOT regexp_matches(s, '[A-Za-z]{8,}') GROUP BY doc_id",
+    "WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE " + PROSE_SQL.format("s") + " AND NOT " + GLUED_SQL.format("s") + ") AS prose FROM s GROUP BY doc_id",
     ("documents",),
-)(lambda d: d.select("doc_id", F.explode(F.split("text", "\n")).alias("s")).where(~c("s").rlike("[A-Za-z]{8,}")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(tokens.is_prose(c("s"))).alias("prose")))
-# r32_is_prose is what DuckDB can say too; this is the whole job: every sentence of every text, by all rules
+)(lambda d: d.select("doc_id", F.explode(F.split("text", "\n")).alias("s")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(tokens.is_prose(c("s"))).alias("prose")))
+# r32_is_prose judges lines, which DuckDB can cut too; this one the sentences
 query("r32_prose_sentences", None, ("documents",))(lambda d: d.select("doc_id", F.explode(tokens.split_sentences(c("text"))).alias("s")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.count_if(tokens.is_prose(c("s"))).alias("prose")))
-query("r33_glued_repeat", None, ("documents",))(lambda d: d.select("doc_id", tokens.has_glued_repeat(c("text")).alias("glued")))
+query("r33_glued_repeat", "SELECT doc_id, " + GLUED_SQL.format("text") + " AS glued FROM documents", ("documents",))(lambda d: d.select("doc_id", tokens.has_glued_repeat(c("text")).alias("glued")))
 columns("r34_content_tokens", "documents", "doc_id", tokens=(lambda: tokens.content_tokens(c("text")), CONTENT.format("text")))
 columns("r35_containment", "links", "id", share=(lambda: F.round(tokens.containment(tokens.content_tokens(c("description")), tokens.content_tokens(c("title"))), 6), "round(CASE WHEN len(" + CONTENT.format("description") + ") > 0 THEN len(list_intersect(" + CONTENT.format("description") + ", " + CONTENT.format("title") + ")) / len(" + CONTENT.format("description") + ") ELSE 0.0 END, 6)"))
 columns("r36_confidence", "links", "id", confidence=(lambda: F.round(codes.confidence((c("id") % 9).cast("double")), 6), "round(1 - 1 / (1 + CAST(id % 9 AS DOUBLE)), 6)"))

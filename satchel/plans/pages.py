@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import tokens
 from ..operators import pages as P
 from ..operators import summaries as S
-from .columns import CONTENT
+from ..sources import files
+from .columns import CHARS, CONTENT, THREES
 from .registry import query
 
 c = F.col
@@ -28,27 +29,28 @@ query("r26_site_rules", f"SELECT id, {BLOCK} AS body FROM page_links", ("page_li
 query("a18_extraction_health", f"WITH b AS (SELECT host AS domain, length({BLOCK}) AS n FROM page_links) SELECT domain, count(*) AS links, count(*) FILTER (WHERE n >= 200) AS good, count(*) FILTER (WHERE n >= 200) = 0 AS failing FROM b GROUP BY ROLLUP (domain)", ("page_links",))(lambda p: P.extraction_health(p.select(c("host").alias("domain"), P.block_text(c("html")).alias("body_text"))))
 WALL = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 query("a19_wall_stats", f"SELECT doc_id, len({WALL}) AS blocks, coalesce(list_max(list_transform({WALL}, lambda x: length(x))), 0) AS longest, coalesce(list_max(list_transform({WALL}, lambda x: length(x))), 0) >= 2000 AS wall, len({WALL}) = 0 AS empty FROM documents", ("documents",))(lambda d: P.wall_stats(d, "doc_id", "text").withColumn("blocks", c("blocks").cast("long")).withColumn("longest", c("longest").cast("long")))
-query("s01_page_anchors", r"""SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1)) AS href FROM pages""", ("pages",))(lambda p: p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), 1)).alias("href")))
-query("s09_page_corpus", "SELECT id, host, length(html) AS chars FROM page_links", ("page_links",))(lambda p: p.select("id", "host", F.length("html").cast("long").alias("chars")))
+query("a19_wall_percentiles", f"WITH w AS (SELECT len({WALL}) AS n, coalesce(list_max(list_transform({WALL}, lambda x: length(x))), 0) AS longest FROM documents), r AS (SELECT longest, row_number() OVER (ORDER BY longest) AS r, count(*) OVER () AS m FROM w) SELECT (SELECT count(*) FROM w) AS texts, (SELECT count(*) FROM w WHERE longest >= 2000) AS walls, (SELECT count(*) FROM w WHERE n = 0) AS empty, (SELECT longest FROM r WHERE r = CAST(floor(0.5 * (m - 1)) AS BIGINT) + 1) AS p50, (SELECT longest FROM r WHERE r = CAST(floor(0.9 * (m - 1)) AS BIGINT) + 1) AS p90", ("documents",))(lambda d: P.wall_percentiles(P.wall_stats(d, "doc_id", "text").withColumn("longest", c("longest").cast("long"))))
+query("s01_page_anchors", r"""SELECT page_id, """ + UNESC.format(r"""unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1))""") + """ AS href FROM pages""", ("pages",))(lambda p: p.select("page_id", F.explode(files.anchors(c("html"))).alias("a")).select("page_id", c("a.url").alias("href")).where("href <> ''"))
+query("s09_page_corpus", "SELECT url AS file, url, host, octet_length(encode(html)) AS bytes, html FROM page_links", ("page_links",))(lambda p: files.page_corpus(p.select(c("url").alias("file"), c("html").alias("content")), p.select(c("url").alias("file"), "url", "host", F.octet_length("html").cast("long").alias("bytes"))))
 
-SENT = "sn AS (SELECT id, unnest(list_distinct(list_filter(string_split(body_text, chr(10)), lambda s: length(s) BETWEEN 25 AND 400))) AS s FROM links), st AS (SELECT id, s, " + CONTENT.format("s") + " AS tk FROM sn), e AS (SELECT id, md5(s) AS k, len(tk) AS n, unnest(tk) AS t FROM st WHERE len(tk) >= 2)"
+SENT = "sn AS (SELECT id, unnest(list_distinct(string_split(body_text, chr(10)))) AS s FROM links), st AS (SELECT id, s, " + CONTENT.format("s") + " AS tk FROM sn), e AS (SELECT id, md5(s) AS k, len(tk) AS n, unnest(tk) AS t FROM st WHERE len(tk) >= 2)"
 query("j13_sentence_edges", "WITH " + SENT + " SELECT a.id, a.k AS i, b.k AS j, round(count(*) / greatest(ln(any_value(a.n)) + ln(any_value(b.n)), 0.5), 6) AS w FROM e a JOIN e b ON a.id = b.id AND a.t = b.t AND a.k < b.k GROUP BY a.id, a.k, b.k", ("links",))(lambda l: edges(l))  # noqa: E741
 
 
 def edges(l):  # noqa: E741
     """Edges between the lines of texts, named by their hash."""
-    s = l.select("id", F.explode(F.array_distinct(F.filter(F.split("body_text", "\n"), lambda s: F.length(s).between(25, 400)))).alias("s"))
+    s = l.select("id", F.explode(F.array_distinct(F.split("body_text", "\n"))).alias("s"))
     s = s.select("id", F.md5("s").alias("i"), tokens.content_tokens(c("s")).alias("tokens"))
     return S.sentence_edges(s).select("id", "i", "j", F.round("w", 6).alias("w"))
 
 
-# j13_sentence_edges is what DuckDB can say too; this is the whole job: the prose sentences that summaries rank
+# j13_sentence_edges takes lines, which DuckDB can cut too; this one the prose sentences that summaries rank
 query("j13_prose_edges", None, ("links",))(lambda l: S.sentence_edges(S.prose_sentences(l)).select("id", "i", "j", F.round("w", 6).alias("w")))  # noqa: E741
 query("t5_summarize_corpus", None, ("links",))(S.summarize_corpus)
 query("w06_lead_3", None, ("links",))(S.lead_n)
 query("a16_summary_quality", None, ("links",))(lambda l: S.summary_quality(l, S.summarize_corpus(l)))  # noqa: E741
 query("a17_summary_guards", None, ("links",))(lambda l: S.guard_breakdown(l, S.summarize_corpus(l)))  # noqa: E741
-GR = "list_distinct(list_filter(list_transform(generate_series(1, greatest(length({0}) - 2, 1)), lambda i: substr(lower({0}), i, 3)), lambda g: length(g) = 3 AND trim(g, ' ' || chr(10)) <> ''))"
-GAIN = "SELECT id, len(list_filter(" + GR.format("description") + ", lambda g: NOT list_contains(" + GR.format("title") + ", g))) AS gained FROM links"
+GAIN = "SELECT id, len(list_filter(" + THREES.format("d") + ", lambda g: NOT list_contains(t, g))) AS gained FROM (SELECT id, d, " + THREES.format("ti") + " AS t FROM (SELECT id, " + CHARS.format("description") + " AS d, " + CHARS.format("title") + " AS ti FROM links))"
 query("u04_gained_grams", GAIN, ("links",))(lambda l: S.gained_grams(l, "description", "title").withColumn("gained", c("gained").cast("long")))  # noqa: E741
 query("a20_new_gram_gain", f"WITH g AS ({GAIN}), p AS (SELECT gained, row_number() OVER (ORDER BY gained) AS r, count(*) OVER () AS n FROM g WHERE gained > 0) SELECT count(*) AS links, count(*) FILTER (WHERE gained > 0) AS gaining, min(gained) FILTER (WHERE gained > 0) AS least, max(gained) FILTER (WHERE gained > 0) AS most, (SELECT gained FROM p WHERE r = n // 2 + 1) AS median FROM g", ("links",))(lambda l: S.new_gram_gain(S.gained_grams(l, "description", "title").withColumn("gained", c("gained").cast("long"))))  # noqa: E741
+query("t6_summary_gram_gain", None, ("links",))(lambda l: S.new_gram_gain(S.gained_grams(l.drop("summary").join(S.summarize_corpus(l), "id"), "summary", "title", "description", "note").withColumn("gained", c("gained").cast("long"))))  # noqa: E741

@@ -14,13 +14,17 @@ c = F.col
 LLT = ("links", "link_tags", "tags")
 DOCS = "sn AS (SELECT link_id, string_agg(name, ' ' ORDER BY name) AS tags FROM link_tags JOIN tags ON tags.id = tag_id GROUP BY link_id), sd AS (SELECT id AS doc_id, title, trim(description || ' ') AS description, note, coalesce(sn.tags, '') AS tags, created_at FROM links LEFT JOIN sn ON link_id = id WHERE deleted_at IS NULL)"
 query("t2_search_documents", "WITH " + DOCS + " SELECT doc_id, title, description, note, tags FROM sd", LLT)(lambda *x: S.search_documents(*x).drop("created_at"))
-query("t3_postings", "WITH " + DOCS + ", g AS (SELECT doc_id, unnest([{'col': 'title', 'x': title}, {'col': 'description', 'x': description}, {'col': 'note', 'x': note}, {'col': 'tags', 'x': tags}]) AS f FROM sd), p AS (SELECT DISTINCT doc_id, f.col AS col, unnest(list_transform(generate_series(1, greatest(length(f.x) - 2, 1)), lambda i: substr(lower(f.x), i, 3))) AS gram FROM g) SELECT gram, doc_id, col FROM p WHERE length(gram) = 3 AND trim(gram, ' ' || chr(10) || chr(9) || chr(13)) <> ''", LLT)(lambda *x: S.build_postings(S.search_documents(*x)))
+#: The trigrams of each column at their places, from a list of its characters.
+GRAMS = """g AS MATERIALIZED (SELECT doc_id, f.col AS col, lower(f.x) AS x, string_split(lower(f.x), '') AS ch FROM (SELECT doc_id, unnest([{'col': 'title', 'x': title}, {'col': 'description', 'x': description}, {'col': 'note', 'x': note}, {'col': 'tags', 'x': tags}]) AS f FROM sd)),
+pg0 AS (SELECT doc_id, col, unnest(list_transform(generate_series(1, greatest(len(ch) - 2, 0)), lambda i: {'pos': i, 'gram': ch[i] || ch[i + 1] || ch[i + 2]})) AS u FROM g),
+pg AS (SELECT doc_id, col, u.pos AS pos, u.gram AS gram FROM pg0 WHERE trim(u.gram, ' ' || chr(10) || chr(9) || chr(13)) <> '')"""
+query("t3_postings", "WITH " + DOCS + ", " + GRAMS + " SELECT DISTINCT gram, doc_id, col FROM pg", LLT)(lambda *x: S.build_postings(S.search_documents(*x)))
 query("t3_doc_lengths", "WITH " + DOCS + " SELECT doc_id, CAST(greatest(length(title) - 2, 0) + greatest(length(description) - 2, 0) + greatest(length(note) - 2, 0) + greatest(length(tags) - 2, 0) AS INTEGER) AS len FROM sd", LLT)(lambda *x: S.doc_lengths(S.search_documents(*x)))
 QUERY_SQL = "q AS (SELECT item_id AS query_id, array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:3], ' ') AS query FROM benchmark)"
-OCC = "len(list_filter(generate_series(1, greatest(length({0}) - length(phrase) + 1, 1)), lambda i: substr({0}, i, length(phrase)) = phrase))"
-SEARCH_SQL = DOCS + ", " + QUERY_SQL + """, w AS (SELECT query_id, unnest(list_distinct(list_filter(string_split(lower(query), ' '), lambda x: x <> ''))) AS word FROM q),
+SEARCH_SQL = DOCS + ", " + QUERY_SQL + ", " + GRAMS + """, w AS (SELECT query_id, unnest(list_distinct(list_filter(string_split(lower(query), ' '), lambda x: x <> ''))) AS word FROM q),
 a AS (SELECT query_id, word AS phrase FROM w WHERE length(word) >= 3), nd AS (SELECT query_id, count(*) AS needed FROM a GROUP BY query_id),
-h AS (SELECT phrase, doc_id, """ + " + ".join(OCC.format(f"lower({x})") for x in ("title", "description", "note", "tags")) + """ AS f FROM (SELECT DISTINCT phrase FROM a) JOIN sd ON contains(lower(title || chr(10) || description || chr(10) || note || chr(10) || tags), phrase)),
+ph AS (SELECT DISTINCT phrase FROM a),
+h AS (SELECT phrase, pg.doc_id, count(*) AS f FROM pg JOIN ph ON pg.gram = substr(phrase, 1, 3) JOIN g ON g.doc_id = pg.doc_id AND g.col = pg.col WHERE length(phrase) = 3 OR substr(x, pos, length(phrase)) = phrase GROUP BY ALL),
 hh AS (SELECT * FROM h WHERE f > 0), ln AS (SELECT doc_id, greatest(length(title) - 2, 0) + greatest(length(description) - 2, 0) + greatest(length(note) - 2, 0) + greatest(length(tags) - 2, 0) AS len FROM sd),
 tt AS (SELECT count(*) AS n, avg(len) AS al FROM ln), dfq AS (SELECT phrase, count(*) AS df FROM hh GROUP BY phrase),
 wt AS (SELECT phrase, doc_id, -greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / al)) AS wgt FROM hh JOIN dfq USING (phrase) JOIN ln USING (doc_id) CROSS JOIN tt),
@@ -83,5 +87,27 @@ def ablation(l, s, g):  # noqa: E741
     return E.recall_at_k(top, gold(g), 3, "variant")
 
 
-query("a11_ablation", None, LSL)(ablation)
+VARIANTS = ", ".join(f"('{v}', {off}::VARCHAR[])" for v, off in ABLATIONS.items())
+ABLATION_SQL = "WITH " + SCORES_SQL + ", " + GOLD_SQL + f""", v AS (SELECT * FROM (VALUES {VARIANTS}) AS t(variant, off)),
+va AS (SELECT variant, link_id, tag_id, tag, field, any_value(w) * least(count(*), 3) AS capped, any_value(w) * count(*) AS whole, count(*) AS n FROM m JOIN v ON NOT list_contains(off, field) GROUP BY ALL),
+vg0 AS (SELECT variant, link_id, tag_id, tag, sum(capped) FILTER (WHERE field <> 'body') AS score, sum(whole) FILTER (WHERE field <> 'body') AS uncapped, sum(capped) FILTER (WHERE field = 'body') AS bc, sum(whole) FILTER (WHERE field = 'body') AS bw, max(n) FILTER (WHERE field = 'body') AS bn FROM va GROUP BY ALL
+ UNION ALL SELECT variant, link_id, tag_id, dt.tag, 3.0, 0, 0, 0, 0 FROM dt JOIN (SELECT DISTINCT tag_id, tag FROM surfaces) x ON x.tag = dt.tag JOIN v ON NOT list_contains(off, 'domain')),
+vg AS (SELECT variant, link_id, tag_id, tag, coalesce(sum(score), 0) AS score, coalesce(sum(uncapped), 0) AS uncapped, coalesce(sum(bc), 0) AS bc, coalesce(sum(bw), 0) AS bw, coalesce(sum(bn), 0) AS bn FROM vg0 GROUP BY ALL),
+vn AS (SELECT vg.*, 1 + CASE WHEN list_contains(off, 'body') THEN 0 ELSE length(body_text) // 2000 END AS k FROM vg JOIN v USING (variant) JOIN links ON id = link_id),
+vs AS (SELECT variant, link_id, tag, score + CASE WHEN bn >= CASE WHEN score > 0 THEN least(k, 2) ELSE least(k, 3) END THEN bc ELSE 0 END AS score, uncapped + CASE WHEN bn >= CASE WHEN score > 0 THEN least(k, 2) ELSE least(k, 3) END THEN bw ELSE 0 END AS uncapped FROM vn),
+vt AS (SELECT *, row_number() OVER (PARTITION BY variant, link_id ORDER BY score DESC, uncapped DESC, tag) AS rank FROM vs WHERE score >= 1 QUALIFY rank <= 3),
+vh AS (SELECT variant, gold.link_id, max(CASE WHEN rank IS NOT NULL THEN 1 ELSE 0 END) AS hit FROM gold CROSS JOIN (SELECT DISTINCT variant FROM vt) LEFT JOIN vt USING (variant, link_id, tag) GROUP BY ALL)
+SELECT variant, round(avg(hit), 6) AS recall, count(*) AS links FROM vh GROUP BY variant"""
+query("a11_ablation", ABLATION_SQL, LSL)(ablation)
+query("a15_search_misses", "WITH " + SEARCH_SQL + ", an AS (SELECT query_id, query_id * 3 AS doc_id FROM q) SELECT an.query_id, an.doc_id, position FROM an LEFT JOIN res USING (query_id, doc_id) WHERE coalesce(position, 11) > 10", SEARCHED)(lambda l, lt, t, b: S.search_misses(S.search(batch(b), S.search_documents(l, lt, t)), batch(b).select("query_id", (c("query_id") * 3).alias("doc_id"))))  # noqa: E741
+query("t4_search_filtered", "WITH " + SEARCH_SQL + ", al AS (SELECT doc_id FROM sd WHERE created_at BETWEEN 1704500000 AND 1706000000 AND doc_id IN (SELECT link_id FROM link_tags JOIN tags ON tags.id = tag_id WHERE name = 'with')), fs AS (SELECT * FROM sc WHERE doc_id IN (SELECT doc_id FROM al)), g1 AS (SELECT query_id, doc_id, 'fts' AS mode, bm FROM fs JOIN nd USING (query_id) WHERE got = needed), g2 AS (SELECT query_id, doc_id, 'or' AS mode, bm FROM fs WHERE query_id NOT IN (SELECT query_id FROM g1)), go AS (SELECT * FROM g1 UNION ALL SELECT * FROM g2), gr AS (SELECT go.query_id, go.doc_id, mode, bm - 1000 * CASE WHEN len(terms) >= 2 THEN len(list_filter(terms, lambda t: contains(lower(title || ' ' || description || ' ' || tags), t))) ELSE 0 END AS rank FROM go JOIN lt2 USING (query_id) JOIN sd USING (doc_id)), gp AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9), doc_id) AS INTEGER) AS position FROM gr) SELECT query_id, doc_id, mode, position FROM gp WHERE position BETWEEN 6 AND 15", SEARCHED)(lambda l, lt, t, b: filtered(l, lt, t, b))  # noqa: E741
+
+
+def filtered(l, lt, t, b):  # noqa: E741
+    """The second page of ten behind place 5, of links with a tag from a range of days."""
+    only = T.with_tag(l, lt, t, "with").select(c("id").alias("doc_id"))
+    after = batch(b).select("query_id", F.lit(5).alias("position"))
+    return S.search(batch(b), S.search_documents(l, lt, t), only=only, since=1704500000, until=1706000000, after=after, size=10).select("query_id", "doc_id", "mode", "position")
+
+
 query("j05_unknown_labels", "WITH " + GOLD_SQL + " SELECT link_id, tag FROM gold WHERE tag NOT IN (SELECT name FROM tags WHERE id <> 4)", ("labels", "tags"))(lambda g, t: E.unknown_labels(gold(g), t.where("id <> 4").select(c("name").alias("tag"))).select("link_id", "tag"))

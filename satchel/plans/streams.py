@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_path
 from ..streaming import flows
 from .registry import QUERIES, SQL
 
 
-def _root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="satchel-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/satchel-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
@@ -27,7 +17,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _to_end(out: DataFrame, keys: list[str]) -> DataFrame:
     """Run a stream over what is there, in update mode; the last value of each key, read from the shared folder."""
-    root = _root(out.sparkSession)
+    root = new_path(out.sparkSession, "stream")
     q = out.writeStream.outputMode("update").foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{root}/out/part={n}")).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     rest = [c for c in out.columns if c not in keys]

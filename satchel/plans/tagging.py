@@ -41,7 +41,22 @@ top AS (SELECT *, CAST(row_number() OVER (PARTITION BY link_id ORDER BY score DE
 query("j10_match_exact", "WITH " + FIELDS_SQL + " SELECT link_id, field, pos, tag_id, surface FROM m WHERE NOT contains(surface, ' ')", ("links", "surfaces"))(
     lambda links, s: T.match_exact(T.field_tokens(links).drop("tokens"), T.compile_surfaces(s)).select("link_id", "field", "pos", "tag_id", "surface")
 )
-query("j11_match_edge", None, ("links", "surfaces"))(lambda links, s: T.match_edge(T.field_tokens(links).drop("tokens"), T.compile_surfaces(s)))
+#: The shared texts have no Hangul. Vowels stand in for syllables on both sides, so that every token of every text is judged at both its ends, by surfaces of two to eleven characters.
+HANGUL = ("aeiou", "가나다라마")
+EDGES = [(1, "that", "that"), (2, "with", "tion"), (3, "und", "und"), (4, "les", "en"), (5, "ofthe", "anderer"), (6, "los", "ment"), (7, "zzz", "oueuxquement")]
+EDGE_SQL = f"""es AS (SELECT id AS tag_id, tag, translate(surface, '{HANGUL[0]}', '{HANGUL[1]}') AS surface FROM (VALUES {", ".join(map(str, EDGES))}) AS t(id, tag, surface)),
+ef AS (SELECT link_id, f.field AS field, {TOKENS.format(f"translate(lower(f.x), '{HANGUL[0]}', '{HANGUL[1]}')")} AS tokens FROM (SELECT id AS link_id, unnest([{{'field': 'title', 'x': title}}, {{'field': 'body', 'x': body_text}}]) AS f FROM links)),
+ep AS (SELECT link_id, field, tokens, unnest(generate_series(1, len(tokens))) AS pos FROM ef)"""
+query("j11_match_edge", "WITH " + EDGE_SQL + " SELECT link_id, field, CAST(pos - 1 AS INTEGER) AS pos, tag_id, tag, surface FROM ep JOIN es ON starts_with(tokens[pos], surface) OR ends_with(tokens[pos], surface)", ("links",))(lambda links: edges(links))
+
+
+def edges(links: DataFrame) -> DataFrame:
+    hangul = lambda c: F.translate(F.lower(F.col(c)), *HANGUL)
+    s = links.sparkSession.createDataFrame(EDGES, "tag_id int, tag string, surface string").withColumn("surface", hangul("surface"))
+    tokens = T.field_tokens(links.withColumns({"title": hangul("title"), "body_text": hangul("body_text")}), {"title": "title", "body": "body_text"}, hangul=True)
+    return T.match_edge(tokens.drop("tokens"), T.compile_surfaces(s))
+
+
 query("j12_match_phrase", "WITH " + FIELDS_SQL + " SELECT link_id, field, pos, tag_id, surface FROM m WHERE contains(surface, ' ')", ("links", "surfaces"))(
     lambda links, s: T.match_phrase(T.field_tokens(links), T.compile_surfaces(s)).select("link_id", "field", "pos", "tag_id", "surface")
 )
@@ -68,14 +83,15 @@ query("j01_links_with_tag", "SELECT id FROM links WHERE id IN (SELECT link_id FR
 query("j02_attach_tags", "WITH n AS (SELECT link_id, list_sort(list(name)) AS names FROM link_tags JOIN tags ON tags.id = tag_id GROUP BY link_id) SELECT id, names FROM links LEFT JOIN n ON id = link_id", ("links", "link_tags", "tags"))(
     lambda l, lt, t: T.attach_tags(l, lt, t).select("id", F.transform("tags", lambda x: x["name"]).alias("names"))  # noqa: E741
 )
-query("j16_tag_facets", "SELECT link_id, tag_id, coalesce(facet, 'neutral') AS facet FROM link_tags LEFT JOIN tags ON tags.id = tag_id AND tags.id <> 2", ("link_tags", "tags"))(
-    lambda lt, t: lt.join(T.small(t.where("id <> 2").select(F.col("id").alias("tag_id"), "facet")), "tag_id", "left").select("link_id", "tag_id", F.coalesce("facet", F.lit("neutral")).alias("facet"))
-)
+query("j16_tag_facets", "SELECT link_id, tag_id, coalesce(facet, 'neutral') AS facet FROM link_tags LEFT JOIN tags ON tags.id = tag_id AND tags.id <> 2", ("link_tags", "tags"))(lambda lt, t: T.tag_facets(lt, t.where("id <> 2")))
 query("r47_live", "SELECT id FROM links WHERE deleted_at IS NULL", ("links",))(lambda l: T.live(l).select("id"))  # noqa: E741
 query("r48_list_filter", "SELECT id FROM links WHERE deleted_at IS NULL AND status = 'done' AND opened_at IS NULL AND id IN (SELECT link_id FROM link_tags JOIN tags ON tags.id = tag_id WHERE name = 'with')", ("links", "link_tags", "tags"))(
-    lambda l, lt, t: T.with_tag(T.live(l).where("status = 'done' AND opened_at IS NULL"), lt, t, "with").select("id")  # noqa: E741
+    lambda *x: T.list_filter(*x, tag="with", status="done", unopened=True).select("id")
+)
+query("r49_created_between", "SELECT id FROM links WHERE created_at BETWEEN 1704500000 AND 1705500000", ("links",))(lambda l: T.created_between(l, 1704500000, 1705500000).select("id"))  # noqa: E741
+query("w13_df_top", "WITH " + FIELDS_SQL + ", lt AS (SELECT DISTINCT link_id, surface FROM m), n AS (SELECT count(DISTINCT link_id) AS n FROM lt) SELECT surface AS term, count(*) AS df, round(count(*) / any_value(n.n), 6) AS ratio FROM lt, n GROUP BY surface ORDER BY df DESC, term LIMIT 5", ("links", "surfaces"))(
+    lambda links, s: T.df_top(T.document_frequency(T.matches(links, T.compile_surfaces(s)).select("link_id", F.col("surface").alias("term"))), 5)
 )
-query("r49_created_between", "SELECT id FROM links WHERE created_at BETWEEN 1704500000 AND 1705500000", ("links",))(lambda l: l.where(F.col("created_at").between(1704500000, 1705500000)).select("id"))  # noqa: E741
 ABLATIONS = {"full": [], "no_body": ["body"], "no_keywords": ["keywords"], "bare": ["body", "keywords", "description"], "no_domain": ["domain"], "domain_only": ["title", "keywords", "description", "note", "body"]}
 GOLD_SQL = "gold AS (SELECT doc_id AS link_id, CASE WHEN quality = 1 THEN 'that' ELSE 'und' END AS tag FROM labels UNION ALL SELECT doc_id, 'les' FROM labels WHERE toxic = 1)"
 

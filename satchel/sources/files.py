@@ -9,19 +9,20 @@ from pyspark.sql import types as T
 from ..functions.codes import add_date_seconds, valid_created_at
 from ..functions.texts import unescape_entities
 from ..functions.urls import is_http_url, is_youtube_watch
-from ..operators.activity import first_per
+from ..operators.activity import first_per, ranked_values
 from ..operators.merges import merge_saves
 
 SNAPSHOT = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "description", "body_text", "keywords", "body_source")])
 GOLDEN = T.StructType([T.StructField("url", T.StringType()), T.StructField("snapshot", SNAPSHOT), T.StructField("expected_tags", T.ArrayType(T.StringType()))])
 SEARCH_QUERIES = T.StructType([T.StructField(n, T.StringType()) for n in ("query", "url", "why")])
+PAGE_INDEX = "fetched int, skipped int, pages array<struct<file: string, url: string, host: string, bytes: bigint>>"
 TABLES = {"links": {"id", "url"}, "tags": {"id", "name"}, "link_tags": {"link_id", "tag_id"}}
 WATCH_URL = r"""(https?://(?:(?:www\.|m\.|music\.)?youtube\.com/watch\?|youtu\.be/)[^\s",<>]+)"""
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """file, content. Gzipped files are read as they are."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.col("value").alias("content"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("content"))
 
 
 def anchors(content: Column) -> Column:
@@ -31,6 +32,18 @@ def anchors(content: Column) -> Column:
     return F.transform(tags, lambda a: F.struct(attr(a, "href").alias("url"), attr(a, "add_date").alias("add_date")))
 
 
+def page_corpus(files: DataFrame, index: DataFrame) -> DataFrame:
+    """files(file, content) of pages, as whole_files reads them, joined with their index(file, url, host, bytes); pages that no index row names are left out."""
+    return index.join(files, "file").select("file", "url", "host", "bytes", F.col("content").alias("html"))
+
+
+def read_page_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of gzipped pages with an index.json beside them: file, url, host, bytes, html."""
+    index = spark.read.option("multiLine", True).schema(PAGE_INDEX).json(f"{path}/index.json").select(F.explode("pages").alias("p")).select("p.*")
+    pages = whole_files(spark, f"{path}/*.gz").withColumn("file", F.regexp_extract("file", r"([^/]*)$", 1))
+    return page_corpus(pages, index)
+
+
 def bookmarks(files: DataFrame) -> DataFrame:
     x = files.select("file", F.posexplode(anchors(F.col("content"))).alias("pos", "a"))
     return x.where(is_http_url(F.col("a.url"))).select("file", "pos", F.col("a.url").alias("url"), add_date_seconds(F.col("a.add_date")).alias("created_at"))
@@ -77,14 +90,14 @@ def read_search_queries(spark: SparkSession, path: str) -> DataFrame:
 
 def load_domain_map(spark: SparkSession, path: str) -> DataFrame:
     """host, tag; keys that begin with _ are remarks."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     pairs = text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("host", "tags")).where(~F.col("host").startswith("_"))
     return pairs.select(F.lower("host").alias("host"), F.explode("tags").alias("tag"))
 
 
 def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """tag_id, tag, facet, surface of a JSON list of tags; ids in order of the list."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.from_json("value", "array<struct<name:string,facet:string,aliases:array<string>>>")).alias("pos", "t"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<struct<name:string,facet:string,aliases:array<string>>>")).alias("pos", "t"))
     return rows.select((F.col("pos") + 1).alias("tag_id"), F.col("t.name").alias("tag"), F.col("t.facet").alias("facet"), F.explode(F.concat(F.array("t.name"), F.coalesce("t.aliases", F.array().cast("array<string>")))).alias("surface"))
 
 
@@ -109,11 +122,9 @@ def read_timing_log(spark: SparkSession, path: str, budget_ms: int = 2000) -> tu
     """(report of saved and failed durations, number of broken lines) of JSON lines with outcome and ms."""
     raw = spark.read.text(path).select(F.from_json("value", "outcome string, ms double").alias("r"), "value")
     good = raw.where("r.ms IS NOT NULL").select(F.when(F.col("r.outcome").isin("saved", "duplicate"), "saved").otherwise("failed").alias("class"), "r.ms")
-    from pyspark.sql import Window
-
-    n, rn = F.count(F.lit(1)).over(Window.partitionBy("class")), F.row_number().over(Window.partitionBy("class").orderBy("ms"))
-    at = lambda p: F.max(F.when(F.col("rn") == F.greatest(F.floor(p * F.col("n") + 0.5), F.lit(1)), F.col("ms"))).alias(f"p{round(p * 100)}")
-    report = good.withColumns({"n": n, "rn": rn}).groupBy("class").agg(F.max("n").alias("n"), at(0.5), at(0.95), F.max("ms").alias("max"), F.count_if(F.col("ms") > budget_ms).alias("over_budget"))
+    at = lambda p: F.min(F.when(F.col("upto") >= F.greatest(F.floor(p * F.col("n") + 0.5), F.lit(1)), F.col("value"))).alias(f"p{round(p * 100)}")
+    report = ranked_values(good, "ms", "class").groupBy("class").agg(F.max("n").alias("n"), at(0.5), at(0.95), F.max("value").alias("max"))
+    report = report.join(good.groupBy("class").agg(F.count_if(F.col("ms") > budget_ms).alias("over_budget")), "class")
     return report, raw.where("r.ms IS NULL").agg(F.count(F.lit(1)).alias("broken"))
 
 

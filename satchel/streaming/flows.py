@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.urls import url_hash
 from ..operators.merges import merge_saves
 from ..operators.tagging import tag_corpus
+from ..storage import dropped, stored
+
+
+#: Folders of an archive on storage, by a hash of the URL.
+BUCKETS = 64
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64(url_hash(F.col("url"))), F.lit(BUCKETS)).cast("int")
 
 
-def stream_saves(saves: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str, now: int, watermark: str = "1 day") -> StreamingQuery:
-    """saves(at timestamp, url, ...) merged batch by batch. `write` gets the batch id: writing a version named by it makes a replay harmless."""
+def write_archive(links: DataFrame, path: str) -> None:
+    """Links in folders by bucket, each written anew as a whole."""
+    links.withColumn("bucket", _bucket()).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def stream_saves(saves: DataFrame, path: str, checkpoint: str, now: int, watermark: str = "1 day") -> StreamingQuery:
+    """saves(at timestamp, url, ...) merged batch by batch into the archive at path (write_archive). A batch reads and rewrites the folders its URLs
+    fall in, by way of a table of its own; a replay merges saves that are there already, which changes nothing."""
     once = saves.withColumn("h", url_hash(F.col("url"))).withWatermark("at", watermark).dropDuplicatesWithinWatermark(["h"]).drop("h", "at")
-    return once.writeStream.foreachBatch(lambda df, n: write(merge_saves(read(), df, now).drop("outcome"), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def merge(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        touched = [r.bucket for r in batch.select(_bucket().alias("bucket")).distinct().collect()]  # BUCKETS at most
+        if touched:
+            old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
+            new = stored(merge_saves(old, batch, now).drop("outcome"), "merged")
+            write_archive(new, path)
+            dropped(new)
+
+    return once.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_tagging(links: DataFrame, surfaces: DataFrame, domain_map: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

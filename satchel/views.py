@@ -29,7 +29,7 @@ def _values(rows: list[tuple], names: list[str]) -> str:
 VIEWS: dict[str, str] = {
     "links": """
 SELECT doc_id AS id, 'https://' || source || '.example.com/' || doc_id AS url, source || '.example.com' AS domain,
-  substr(split_part(text, chr(10), 1), 1, 80) AS title, substr(text, 81, 160) AS description, text AS body_text,
+  split_part(text, chr(10), 1) AS title, substr(text, length(split_part(text, chr(10), 1)) + 2) AS description, text AS body_text,
   CASE WHEN doc_id % 6 = 0 THEN split_part(text, ' ', 2) || ', ' || split_part(text, ' ', 3) ELSE '' END AS keywords,
   '' AS note, lang,
   CASE WHEN doc_id % 13 = 0 THEN 'failed' WHEN doc_id % 11 = 0 THEN 'pending' ELSE 'done' END AS status,
@@ -55,8 +55,11 @@ SELECT event_id AS id, user_id AS link_id, user_id % 2 AS rung, EPOCH(ts) AS sho
     "page_links": r"""
 SELECT page_id AS id, url, html, lower(regexp_extract(url, '^[a-zA-Z]+://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
   1704067200 + (page_id * 7919 * 61) % 2592000 AS created_at FROM {pages}""",
-    "old_links": "SELECT id, url, title, description, body_text, keywords, note, body_source, status, created_at, deleted_at FROM links WHERE id % 2 = 0",
-    "new_links": "SELECT id, url, 'new ' || title AS title, CASE WHEN id % 4 = 0 THEN '' ELSE description END AS description, body_text, '' AS keywords, 'again' AS note, CASE WHEN id % 9 = 0 THEN 'client' ELSE 'server' END AS body_source FROM links WHERE id % 3 = 0",
+    # merges: every link is current; every link also comes in again, changed, a third of them as new links
+    "old_links": "SELECT id, url, title, description, body_text, keywords, note, body_source, status, created_at, deleted_at FROM links",
+    "new_links": """
+SELECT CASE WHEN id % 3 = 1 THEN id + 1000000000 ELSE id END AS id, CASE WHEN id % 3 = 1 THEN url || '/more' ELSE url END AS url, 'new ' || title AS title, CASE WHEN id % 4 = 0 THEN '' ELSE description END AS description,
+  'new ' || body_text AS body_text, CASE WHEN id % 5 = 0 THEN 'late' ELSE '' END AS keywords, 'again' AS note, CASE WHEN id % 7 = 0 THEN 'client' ELSE 'server' END AS body_source FROM links""",
 }
 _NEEDS = {"old_links": ["links"], "new_links": ["links"]}
 _SPARK_EPOCH = "(CAST(unix_date(to_date({0})) AS BIGINT) * 86400 + hour({0}) * 3600 + minute({0}) * 60 + second({0}))"

@@ -67,3 +67,17 @@ def test_codes(spark):
 def test_nfc(spark):
     df = spark.createDataFrame([("한",)], "c string")
     assert df.select(tokens.nfc(F.col("c"))).first()[0] == "한"
+
+
+def test_entities_by_name_and_number(spark):
+    cases = [("&times;&euro;&sect;&nbsp;", "×€§\u00a0"), ("&#0128512; &#x0041;", "😀 A"), ("&#150;&#x80;", "–€"), ("&amp;#65; &#38;lt;", "&#65; &lt;"), ("&#99999999999; &#xD800;", "&#99999999999; &#xD800;"), ("plain", "plain")]
+    for text, want in cases:
+        assert one(spark, text, texts.unescape_entities) == want
+
+
+def test_particles_and_trigrams(spark):
+    got = spark.createDataFrame([("가에서는 학교에서는 검색은 은",)], "t string").select(tokens.tokenize(F.col("t")).alias("x")).first().x
+    assert got == ["가에서는", "학교", "검색", "은"]  # only the longest particle is tried, and two characters stay
+    assert spark.createDataFrame([("aB😀é \n\t",)], "t string").select(tokens.trigrams(F.col("t")).alias("x")).first().x == ["ab😀", "b😀é", "😀é ", "é \n"]
+    for short in (None, "", "ab"):
+        assert spark.createDataFrame([(short,)], "t string").select(tokens.trigrams(F.col("t")).alias("x")).first().x == []
