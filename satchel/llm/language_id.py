@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .tokens import blocks, text_bytes, word_spans
 
+#: Bytes of text that are scored at once.
+SLICE = 6_000_000
 #: Labelled documents that the model is fitted on, about, at most (a bounded sample, chosen by a hash of the id).
 FIT_DOCS = 20_000
 #: Hash buckets of byte trigrams.
@@ -198,13 +200,14 @@ def language(text: Column, model: Model | None) -> Column:
     lang: the language of most words with letters (first by name on a tie), `und` if the text is null, empty or has no
     letter, or nothing was learned; score: its share of those words; spans: runs of words of one language, in
     order. Texts whose scripts no language was seen with get the most frequent language and score 0. A very
-    long text is scored in one piece, with some 20 bytes a word at hand.
+    long text is scored in one piece, with some 20 bytes a word at hand. Null ids, repeated rows, empty tables and other columns
+    make no difference: a text alone decides, and each row gets its answer.
     """
 
     @F.arrow_udf(f"struct<lang:string,score:double,spans:{SPANS}>")
     def identify(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for t in texts:
-            yield _identify(t, model)
+        for t in texts:  # the scores, switches and paths of about SLICE bytes of text are held at once
+            yield pa.concat_arrays([_identify(part, model) for _, part in blocks(t, SLICE)] or [_identify(t, model)])
 
     return identify(text)
 

@@ -128,10 +128,11 @@ def line_overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Lines are compared without white space at their ends. Defined cases: null, empty texts have one empty line and lose nothing;
     lines repeated inside one document stay unless an earlier document has them; rows with a null id take no part; rows
-    that share an id get the same deletions; an empty table gives no rows; other columns are ignored.
+    that share an id get the same deletions; an empty table gives no rows; other columns, whatever their names, are ignored; a very long text is one row of line
+    hashes, and what it shares is found as in any other.
     Only ids and line hashes are shuffled, never texts.
     """
-    line = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda s: F.trim(s))
+    line = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda s: F.trim(s, F.lit(" \t\r\x0b\x0c")))
     d = docs.select(F.col(id_col).cast("long").alias("id"), line.alias("l")).select("id", F.transform("l", lambda s: F.xxhash64(s)).alias("lines"), F.transform("l", lambda s: F.regexp_count(s, F.lit(r"\S+"))).alias("words"))
     d = stored(d, "lines")
     at = d.where("id is not null").select("id", F.explode(_run_keys("lines", "words", F.lit(min_words))).alias("line")).distinct()

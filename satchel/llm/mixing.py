@@ -19,6 +19,8 @@ BLOCK = 2048
 #: Documents of a source's last block that are left to the landing, beside the two that its flight may leave.
 HELD = 12
 EPS = 1e-9
+#: Sources whose table, some 100 bytes a row, may be broadcast.
+FEW_SOURCES = 100_000
 
 
 def words_in(text: Column) -> Column:
@@ -110,6 +112,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(0.0)
     t = targets.withColumns({"rate": rate, "base": F.floor(rate + EPS).cast("long"), "src": F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))})
     t = t.select(F.col("source").alias("s"), "src", F.ceil(F.col("docs") / BLOCK).cast("long").alias("blocks"), "source_size", "target", "base", F.greatest(F.col("rate") - F.col("base"), F.lit(0.0)).alias("p"))
+    t = F.broadcast(t) if targets.count() <= FEW_SOURCES else t  # else a hot source is left to adaptive skew handling
     rows = sized.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = rows.withColumn("order", F.xxhash64("id", "size", F.lit(seed)))
     settled = rows.where(F.col("p") <= EPS).withColumn("pick", F.lit(0).cast("long"))

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 U = np.uint64
 SHINGLE = 5
 #: Bytes of text that are hashed at once; bounds the working memory of a task, but for a single longer text.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -100,12 +100,12 @@ def hash_shingles(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
         return mix(out)
 
 
-def blocks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, pa.Array]]:
-    """Slices of a column of about BLOCK bytes, with the number of their first row."""
+def blocks(texts: pa.Array | pa.ChunkedArray, size_of: int | None = None) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of a column of about BLOCK bytes (or size_of), with the number of their first row."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
-    cut = np.cumsum(size) // BLOCK
+    cut = np.cumsum(size) // (size_of or BLOCK)
     at = 0
     for end in [*(np.flatnonzero(np.diff(cut)) + 1), len(texts)]:
         if end > at:

@@ -5,22 +5,25 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import new_path
+from ..storage import new_path, stored
 
 #: Payload bytes of one chunk at most; a longer payload becomes a record and its continuation records.
 CHUNK = 65536
+#: Revisit records whose table may be broadcast: 100 MB.
+FEW = 500_000
 #: Equal payloads of fewer bytes are all stored.
 REVISIT_FROM = 100
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 CHUNK_SCHEMA = "record_id string, record_type string, target_uri string, chunk_no long, last boolean, chunk_bytes long, payload_bytes long, payload_digest string, declared_digest string, refers_to string, chunk string"
 
 
-def _cut(payload: bytes, size: int) -> Iterator[bytes]:
-    """Chunks of at most `size` bytes that end on a code point; an empty payload is one empty chunk."""
+def _cut(payload: memoryview, size: int) -> Iterator[memoryview]:
+    """Chunks of at most `size` bytes that end on a code point, not copied; an empty payload is one empty chunk."""
     at = 0
     while True:
         end = min(at + size, len(payload))
@@ -36,19 +39,27 @@ def _uri(url: str | None) -> str:
     return "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
 
 
-def _records(rid: str, url: str | None, payload: str, digest: str, refers: str | None, date: str, chunk: int) -> Iterator[str]:
-    """The archive's text for one record: a response with its continuations, or a revisit. Each piece lacks its last CRLF."""
+def _payloads(column: pa.Array) -> Iterator[memoryview]:
+    """The UTF-8 bytes of each text of a column, where they lie."""
+    column = column.cast(pa.large_string())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = memoryview(column.buffers()[2] or b"")
+    for i in range(len(column)):
+        yield data[at[i] : at[i + 1]]
+
+
+def _records(rid: str, url: str | None, data: memoryview, digest: str, refers: str | None, date: str, chunk: int) -> Iterator[str]:
+    """The archive's text for one record, made chunk by chunk: a response with its continuations, or a revisit. Each piece lacks its last CRLF."""
     uri = [f"WARC-Target-URI: {_uri(url)}"] if url else []
     head = [f"WARC-Record-ID: <{rid}>", f"WARC-Date: {date}", *uri]
     if refers is not None:
         lines = ["WARC/1.1", "WARC-Type: revisit", *head, f"WARC-Refers-To: <{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(HTTP_HEAD)}"]
         yield "\r\n".join(lines) + "\r\n\r\n" + HTTP_HEAD + "\r\n"
         return
-    data = payload.encode()
     parts, n, total = _cut(data, chunk), 1, len(HTTP_HEAD) + len(data)
     segmented, sent = len(data) > chunk, 0
     for part in parts:
-        body = (HTTP_HEAD if n == 1 else "") + part.decode()
+        body = (HTTP_HEAD if n == 1 else "") + str(part, "utf-8")
         size = len(part) + (len(HTTP_HEAD) if n == 1 else 0)
         sent += size
         if n == 1:
@@ -76,7 +87,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     Spark's own text writer puts the files in place, so a lost executor's task is written anew and nothing is
     left half. A record lies in one file, its segments in order; a payload over `chunk` bytes is segmented, so
-    a reader never needs it whole. Digests are made before the shuffle, and only ids and digests are grouped.
+    a reader never needs it whole, and the writer makes one chunk after another from the cell that Spark hands it. Only ids and digests are grouped;
+    payloads are not shuffled as long as there are at most FEW revisits, whose table is then broadcast (some 200 bytes a row).
 
     Defined cases: a null payload is empty; null urls have no target line; a null id is written as urn:page:null,
     and never gets referred to; equal rows are written as often as they come; no rows make no records.
@@ -86,15 +98,17 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     digest = F.sha2(binary, 256)
     again = revisits(p.select("id", digest.alias("digest"), F.octet_length("payload").alias("n_bytes")))
     p, again = p.withColumn("digest", digest), again.withColumnsRenamed({"id": "aid", "digest": "ad"})
+    again = stored(again, "revisits")
+    again = F.broadcast(again) if again.count() <= FEW else again
     joined = p.join(again, p["id"].eqNullSafe(again["aid"]) & (p["digest"] == again["ad"]), "left")
     out = joined.select("id", "url", F.when(F.col("refers").isNull(), F.col("payload")).otherwise("").alias("payload"), "digest", "refers")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, size = [], 0
-            cols = [b.column(i) for i in range(5)]
-            for i in range(b.num_rows):
-                rid, url, payload, dig, refers = (c[i].as_py() for c in cols)
+            cols = [b.column(i) for i in (0, 1, 3, 4)]
+            for i, payload in enumerate(_payloads(b.column(2))):
+                rid, url, dig, refers = (c[i].as_py() for c in cols)
                 name = lambda x: f"urn:page:{'null' if x is None else x}"
                 for text in _records(name(rid), url, payload, dig, None if refers is None else name(refers), date, chunk):
                     texts.append(text)
@@ -176,7 +190,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     Size and digest of a response come from its bytes, those of a revisit from the record that it refers to.
     """
-    r = read_chunks(spark, path, with_chunks=False).where("last").drop("chunk_no", "last", "chunk_bytes", "chunk")
+    r = stored(read_chunks(spark, path, with_chunks=False).where("last").drop("chunk_no", "last", "chunk_bytes", "chunk"), "records")  # the archives are read once
     whole = r.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("payload_bytes").alias("whole_bytes"), F.col("payload_digest").alias("declared_digest")).distinct()
     joined = r.join(whole, ["refers_to", "declared_digest"], "left")
     revisit = F.col("record_type") == "revisit"
