@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .membership import maybe_in
-from ..storage import stored
+from ..storage import dropped, stored
 from .tokens import U, hash_shingles, mix, texts_words
 
 #: A sketch has this many 64-bit words, or 4 bits for each element of the size band's smallest set if that is more.
@@ -28,8 +28,6 @@ SKETCH_WORDS = 32
 SMALL = 64
 #: Shingles that are taken as frequent, at most, for the shared order of parts: the most frequent ones. 2 MB.
 FREQUENT = 1 << 18
-#: Words of a sketch folded further, which are compared first.
-SHORT = 4
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -221,7 +219,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of one to four words are one shingle; rows with a null id get no links, and component_id null; repeated rows are rows of their own
     with the same component; an empty table gives no rows; other columns are ignored. Hash collisions
     (2**-64 a pair of shingles) are taken as never happening; so is a set that has fewer than d + 1 non-empty
-    parts (below 1e-15 for any set; sets under 64 elements can't).
+    parts (below 1e-15 for any set; sets under 64 elements can't). A very long text is a set as any other, with a sketch as wide as it needs.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = stored(shingle_sets(docs), "sets")
@@ -260,23 +258,31 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     comp = components(links)
 
     # A bucket's other members have met its leader; those that still lie in different components are compared, but for pairs that can't be
-    # near: sketches are a metric, so two differ by what their distances to the leader differ by at least.
+    # near: sketches are a metric, so two differ by what their distances to the leader differ by at least. Buckets with one leader hold much the same
+    # members, so these meet once below their leader instead of once in each bucket, unless that makes more pairs.
     label = F.coalesce("component", "set_id").alias("comp")
     open_ = led.join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").select("key", "set_id", "lead", label)
-    unsettled = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ = open_.join(unsettled, "key", "left_semi").select("key", "set_id", "comp", *as_pair(F.col("set_id"), F.col("lead"))).join(first.select("a", "b", "apart"), ["a", "b"])
-    short = [F.expr("^".join(f"f[{i}]" for i in range(w, SKETCH_WORDS, SHORT))).alias(f"w{w}") for w in range(SHORT)]
-    mine = stored(open_.join(reps.select("set_id", "n", *short, "f"), "set_id").drop("a", "b"), "open")
+    sizes = open_.groupBy("lead", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).cast("double").alias("m")).where("lo < hi")
+    open_ = stored(open_.join(sizes.select("lead", "key"), ["lead", "key"], "left_semi"), "open")
+    below = open_.select("lead", "set_id").distinct().groupBy("lead").agg(F.count(F.lit(1)).cast("double").alias("members"))
+    below = below.join(sizes.groupBy("lead").agg(F.sum(F.col("m") * F.col("m")).alias("in_buckets")), "lead").where("members * members <= in_buckets").select("lead", F.lit(0).cast("long").alias("whole"))
+    open_ = open_.join(below, "lead", "left").select("lead", F.coalesce("whole", "key").alias("group"), "set_id", "comp").distinct()
+    open_ = open_.select("*", *as_pair(F.col("set_id"), F.col("lead"))).join(first.select("a", "b", "apart"), ["a", "b"])
+    half = SKETCH_WORDS // 2
+    folded = [F.expr(f"f[{w}] ^ f[{w + half}]").alias(f"f{w}") for w in range(half)]
+    mine = stored(open_.join(reps.select("set_id", "n", *folded, *[F.col("f")[w].alias(f"w{w}") for w in range(half)]), "set_id").drop("a", "b"), "met")
     other = mine.select(*[F.col(c).alias(f"{c}_") for c in mine.columns])
+    # Plain columns, the cheapest test first: all of it stays one small compiled method.
     sum_n = F.col("n") + F.col("n_")
-    may = (F.col("key") == F.col("key_")) & (F.col("comp") < F.col("comp_")) & (4 * F.least("n", "n_") >= 3 * F.greatest("n", "n_")) & (7 * F.abs(F.col("apart") - F.col("apart_")) <= sum_n)
-    may = may & (7 * sum((F.bit_count(F.col(f"w{w}").bitwiseXOR(F.col(f"w{w}_"))) for w in range(SHORT)), F.lit(0)) <= sum_n)
-    for words in (SKETCH_WORDS // 2, SKETCH_WORDS):  # half a sketch bounds the difference too
-        may = may & (_apart("f", "f_", range(words)) * 7 <= sum_n)
+    xor = lambda c: F.col(c).bitwiseXOR(F.col(f"{c}_"))
+    may = (F.col("lead") == F.col("lead_")) & (F.col("group") == F.col("group_")) & (F.col("comp") < F.col("comp_")) & (4 * F.least("n", "n_") >= 3 * F.greatest("n", "n_")) & (7 * F.abs(F.col("apart") - F.col("apart_")) <= sum_n)
+    may = may & (7 * sum((F.bit_count(xor(f"f{w}")) for w in range(half)), F.lit(0)) <= sum_n)
+    may = may & (7 * sum((F.bit_count(xor(f"w{w}")) + F.bit_count(xor(f"w{w}").bitwiseXOR(xor(f"f{w}"))) for w in range(half)), F.lit(0)) <= sum_n)
     rest = mine.join(other, may).select(*as_pair(F.col("set_id"), F.col("set_id_"))).distinct()
     rest = stored(_near(_measured(rest.join(first, ["a", "b"], "left_anti"), reps), reps), "near")
     if not rest.isEmpty():
         comp = components(links.unionByName(linked(rest)))
+    dropped(buckets, led, first, links, mine, rest)
     reached = real.groupBy("set_id").agg(F.min("id").alias("rep"))
     reached = reached.join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("component"), "rep")
     least = reached.groupBy("component").agg(F.min("rep").alias("component_id"))
