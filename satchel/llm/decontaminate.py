@@ -43,6 +43,7 @@ class Statistics:
 class Index:
     ids: np.ndarray  # of the items, in index order: by length, so that a block's items weigh alike
     terms: np.ndarray  # sorted word hashes
+    rank: np.ndarray  # the number of each term: by its largest weight, the smallest first
     post_at: np.ndarray  # where each term's postings begin
     post_item: np.ndarray
     post_weight: np.ndarray  # BM25 weight / the item's score against itself
@@ -89,6 +90,11 @@ def build_index(items: list[tuple[int, str]], of_all: Statistics | None = None)
     idf = np.log(1 + (of_all.items - df + 0.5) / (df + 0.5))
     weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / of_all.mean))
     weight /= np.bincount(item, weight)[item]
+    most = np.maximum.reduceat(weight, np.searchsorted(term, np.arange(len(terms))))
+    rank = np.empty(len(terms), np.int64)
+    rank[np.argsort(most, kind="stable")] = np.arange(len(terms))
+    order = np.lexsort((item, rank[term]))
+    term, item, weight, most = rank[term][order], item[order], weight[order], np.sort(most)
     at = np.searchsorted(term, np.arange(len(terms) + 1))
     blocks_ = -(-len(read) // BLOCK)
     key = term * blocks_ + item // BLOCK  # sorted, since postings are
@@ -97,7 +103,7 @@ def build_index(items: list[tuple[int, str]], of_all: Statistics | None = None)
     qa = [parts(t) for _, t, _ in read]
     shingled = lambda t: np.unique(hash_shingles(_words(t)))
     return Index(
-        np.array([i for i, *_ in read], np.int64), terms, at, item.astype(np.int32), weight, np.maximum.reduceat(weight, at[:-1]),
+        np.array([i for i, *_ in read], np.int64), terms, rank, at, item.astype(np.int32), weight, most,
         np.searchsorted(key, np.arange(len(terms) + 1) * blocks_), key, np.maximum.reduceat(weight, first),
         [shingled(q) for q, _ in qa], [shingled(a) for _, a in qa], of_all.longest,
     )
@@ -111,7 +117,7 @@ def _spread(at: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _retrieved(index: Index, window: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """(window, item, score) of all items that reach RETRIEVE. window, term: distinct pairs, sorted by window.
+    """(window, item, score) of all items that reach RETRIEVE. window, term (its rank): distinct pairs in order.
 
     The pivot: of a window's terms in order of their largest weights, the first ones that can't reach RETRIEVE together can't bring an item in alone; so only the blocks of
     the terms behind the pivot are candidates. The sum of a block's maxima over the window's terms bounds the score of each of its items; a block below RETRIEVE is
@@ -120,8 +126,6 @@ def _retrieved(index: Index, window: np.ndarray, term: np.ndarray) -> Iterator[t
     if not len(window):
         return
     most = index.most[term]
-    o = np.lexsort((most, window))
-    window, term, most = window[o], term[o], most[o]
     begin = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
     of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(window))))
     total = np.cumsum(most)
@@ -129,18 +133,17 @@ def _retrieved(index: Index, window: np.ndarray, term: np.ndarray) -> Iterator[t
     behind = upto >= RETRIEVE - SLACK
     before = np.maximum.reduceat(np.where(behind, 0.0, upto), begin)  # what the terms before the pivot bring at most
     n_blocks, n = -(-len(index.ids) // BLOCK), len(index.ids)
+    ends = np.append(begin[1:], len(window))
     chosen = np.flatnonzero(behind)
     cost = index.block_at[term[chosen] + 1] - index.block_at[term[chosen]]
-    # windows are taken together as long as their candidates are about STEP
-    part = np.cumsum(np.bincount(of[chosen], cost, minlength=len(begin))) // STEP
+    # windows are taken together as long as their candidates, and a cell for each of their blocks, are about STEP
+    part = np.cumsum(np.bincount(of[chosen], cost, minlength=len(begin)) + n_blocks) // STEP
     for lo, hi in zip(*(lambda c: (np.append(0, c), np.append(c, len(begin))))(np.flatnonzero(np.diff(part)) + 1)):
-        mine = chosen[(of[chosen] >= lo) & (of[chosen] < hi)]
+        mine = chosen[np.searchsorted(of[chosen], lo) : np.searchsorted(of[chosen], hi)]
         row, entry = _spread(index.block_at, term[mine])
-        pair = (of[mine][row] - lo) * n_blocks + index.block_key[entry] % n_blocks
-        pair, inverse = np.unique(pair, return_inverse=True)
-        bound = np.bincount(inverse, index.block_max[entry], minlength=len(pair)) if len(pair) else np.zeros(0)
-        live = bound + before[lo + pair // n_blocks] >= RETRIEVE - SLACK
-        pair, bound = pair[live], bound[live]
+        bound = np.bincount((of[mine][row] - lo) * n_blocks + index.block_key[entry] % n_blocks, index.block_max[entry], minlength=(hi - lo) * n_blocks)
+        pair = np.flatnonzero((bound > 0) & (bound + np.repeat(before[lo:hi], n_blocks) >= RETRIEVE - SLACK))
+        bound = bound[pair]
         # the maxima of the terms before the pivot, for the blocks that are left
         w = lo + pair // n_blocks
         count = np.bincount(of[~behind], minlength=len(begin))[w]
@@ -154,7 +157,7 @@ def _retrieved(index: Index, window: np.ndarray, term: np.ndarray) -> Iterator[t
             continue
         # all postings of the windows that have such a block, kept where the block is one
         live_w = np.unique(pair // n_blocks)
-        rows = np.flatnonzero(np.isin(of, lo + live_w))
+        rows = np.concatenate([np.arange(begin[lo + w], ends[lo + w]) for w in live_w])
         row, entry = _spread(index.post_at, term[rows])
         item, own = index.post_item[entry], of[rows][row] - lo
         key = own * n_blocks + item // BLOCK
@@ -182,7 +185,7 @@ def find_leaks(texts: pa.Array, index: Index) -> list[list[dict]]:
         known = np.flatnonzero(maybe[(words & U(0xFFFFF)).astype(np.int64)])
         term = np.searchsorted(index.terms, words[known]).clip(max=v - 1)
         same = index.terms[term] == words[known]
-        known, term = known[same], term[same]
+        known, term = known[same], index.rank[term[same]]
         doc = np.searchsorted(at, known, side="right") - 1
         place = known - at[doc]
         window = first_window[doc] + place // stride

@@ -154,10 +154,11 @@ def line_overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def delete_lines(docs: DataFrame, overlaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, with the overlaps' deleted lines taken out of the text."""
-    o = overlaps.where("n_deleted > 0").select(F.col(id_col).alias("__id"), F.col("deleted_lines").alias("__gone")).dropDuplicates(["__id"])
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda s, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    joined = docs.join(o, docs[id_col] == o["__id"], "left")
-    return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)).drop("__id", "__gone")
+    o = overlaps.where("n_deleted > 0").select(F.col(id_col).alias("id"), F.col("deleted_lines").alias("gone")).dropDuplicates(["id"])
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("own"))
+    kept = F.array_join(F.filter(F.split(F.col(f"doc.`{text_col}`"), "\n"), lambda s, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col(f"doc.`{text_col}`")).otherwise(kept).alias(text_col)
+    return d.join(o, d["own"] == o["id"], "left").select(*[text if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
