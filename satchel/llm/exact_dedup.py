@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 #: Bits of the filter that tells which rows may have an equal: 2 MB at most when broadcast, at any input size.
 FILTER_BITS = 1 << 24
 BUCKET = 32768
@@ -33,6 +35,8 @@ def _may_have_equal(keyed: DataFrame) -> DataFrame:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, prefix: int = 64, hash_all: bool = False) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, length (of the normalised text, in code points), full_hash.
 
+    Texts are read once for lengths and prefix hashes, which are stored, and once more for the full hashes of those that are left (with hash_all, all at once).
+
     Refinement: rows are counted by length; of rows whose length is shared, by a hash of the first `prefix`
     characters; only rows that still may have an equal get a full SHA-256, and are grouped by it. Texts never
     move between executors: only lengths and hashes do, and counts are summed on the map side first. A group that
@@ -41,18 +45,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hash_all: give the full hash of single rows too (else it is null for rows that an earlier level has cleared).
     Defined cases: null text counts as empty; equal texts keep the smallest id, a null id only if no other is there;
     a repeated id stays once per row, each row is marked kept if its id is the kept one; an empty table gives no rows.
-    Other columns of docs, whatever their names, are ignored.
+    Other columns of docs, whatever their names, are ignored; a very long text is hashed whole, in the task that reads it.
     """
     norm = normalised(F.col(text_col))
     base = docs.select(F.col(id_col).alias("__id"), norm.alias("__text")).select("__id", "__text", F.length("__text").alias("__len"), F.xxhash64(F.substring("__text", 1, prefix)).alias("__prefix"))
-    bits = F.broadcast(_may_have_equal(base.select("__len", "__prefix")))
+    whole = F.sha2("__text", 256)
+    keyed = stored(base.select("__id", "__len", "__prefix", *([whole.alias("__hash")] if hash_all else [])), "keys")
+    bits = F.broadcast(_may_have_equal(keyed.select("__len", "__prefix")))
     slot = _slot(F.xxhash64("__len", "__prefix"))
     at = slot % BUCKET
     byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     maybe = F.coalesce(F.expr("shiftright(__byte, __at % 8) % 2 = 1"), F.lit(False))
-    marked = base.withColumn("__bucket", F.floor(slot / BUCKET)).join(bits, "__bucket", "left").withColumn("__byte", byte).withColumn("__at", at.cast("int")).withColumn("__maybe", maybe)
-    full = F.sha2("__text", 256) if hash_all else F.when(F.col("__maybe"), F.sha2("__text", 256))
-    hashed = marked.select("__id", "__len", "__prefix", "__maybe", full.alias("__hash"))
+    marked = (keyed if hash_all else base).withColumn("__bucket", F.floor(slot / BUCKET)).join(bits, "__bucket", "left").withColumn("__byte", byte).withColumn("__at", at.cast("int")).withColumn("__maybe", maybe)
+    hashed = marked.select("__id", "__len", "__prefix", "__maybe", "__hash" if hash_all else F.when(F.col("__maybe"), whole).alias("__hash"))
+    hashed = hashed if hash_all else stored(hashed, "hashes")
     groups = hashed.where("__maybe").groupBy("__len", "__prefix", "__hash").agg(F.min("__id").alias("__keep"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
     joined = hashed.join(groups, ["__len", "__prefix", "__hash"], "left")
     n = F.coalesce("__n", F.lit(1)).cast("long")
