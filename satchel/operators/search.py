@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import has_hangul, trigrams
+from ..functions.tokens import has_hangul, normalize_token, trigrams
 from ..storage import stored
-from .tagging import attach_tags, compile_surfaces, live, match_edge, match_exact, match_phrase
+from .tagging import attach_tags, compile_surfaces, live, matches
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 COVERAGE_WEIGHT = 1000
@@ -58,14 +58,10 @@ def _occurrences(text: Column, phrase: Column) -> Column:
 
 def expand_queries(queries: DataFrame, surfaces: DataFrame) -> DataFrame:
     """queries(query_id, query) -> query_id, term: names of the tags in a query, and their surfaces of the other script."""
-    from ..functions.tokens import normalize_token, tokenize
-
     c = compile_surfaces(surfaces)
-    t = queries.select(F.col("query_id").alias("link_id"), F.lit("q").alias("field"), tokenize(normalize_token(F.col("query"))).alias("tokens"), has_hangul(F.col("query")).alias("ko"))
-    tok = t.select("link_id", "field", "tokens", F.posexplode("tokens").alias("pos", "token"))
-    slim = tok.drop("tokens")
-    hit = match_exact(slim, c).unionByName(match_edge(slim, c)).unionByName(match_phrase(tok, c)).select("link_id", "tag_id", "tag").distinct()
-    hit = hit.join(t.select("link_id", "ko"), "link_id")
+    q = queries.select(F.col("query_id").alias("id"), normalize_token(F.col("query")).alias("q"), has_hangul(F.col("query")).alias("ko"))
+    hit = matches(q, c, {"q": "q"}).select("link_id", "tag_id", "tag").distinct()
+    hit = hit.join(q.select(F.col("id").alias("link_id"), "ko"), "link_id")
     others = hit.join(surfaces.select("tag_id", "surface"), "tag_id").where((F.col("surface") != F.col("tag")) & (has_hangul(F.col("surface")) != F.col("ko"))).select("link_id", F.col("surface").alias("term"))
     return hit.select("link_id", F.col("tag").alias("term")).unionByName(others).select(F.col("link_id").alias("query_id"), "term").distinct()
 

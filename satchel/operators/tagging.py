@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import confidence, idf_multiplier
 from ..functions.tokens import composed, has_hangul, tokenize
 from ..functions.urls import host_suffixes
+from ..storage import stored
 
 #: Weight of a field's matches; the domain's is per mapped tag (fixed values).
 WEIGHTS = {"title": 2.0, "keywords": 2.0, "description": 1.0, "note": 1.0, "body": 1.0}
@@ -31,13 +32,22 @@ def compile_surfaces(surfaces: DataFrame) -> DataFrame:
     return t.select("tag_id", "tag", kind.alias("kind"), F.col("tokens")[0].alias("first"), F.slice("tokens", F.lit(2), F.size("tokens")).alias("tail"), F.array_join("tokens", " ").alias("surface"), F.monotonically_increasing_id().alias("entry"))
 
 
+FIELDS = {"title": "title", "keywords": "keywords", "description": "description", "note": "note", "body": "body_text"}
+
+
+def _texts(links: DataFrame, fields: dict[str, str] | None) -> DataFrame:
+    """link_id, field, text. Fields stay apart, so no phrase crosses them."""
+    both = [F.struct(F.lit(f).alias("field"), F.col(c).alias("text")) for f, c in (fields or FIELDS).items()]
+    return links.select(F.col("id").alias("link_id"), F.explode(F.array(*both)).alias("f")).select("link_id", "f.field", "f.text")
+
+
 def field_tokens(links: DataFrame, fields: dict[str, str] | None = None, *, hangul: bool = False) -> DataFrame:
-    """links -> link_id, field, tokens (all of the field, for phrases), pos, token. Fields stay apart, so no phrase crosses them. hangul: only fields that have any."""
-    fields = fields or {"title": "title", "keywords": "keywords", "description": "description", "note": "note", "body": "body_text"}
-    both = [F.struct(F.lit(f).alias("field"), F.col(c).alias("text")) for f, c in fields.items()]
-    t = links.select(F.col("id").alias("link_id"), F.explode(F.array(*both)).alias("f")).select("link_id", "f.field", "f.text")
+    """links -> link_id, field, pos, token, next (the token behind it, if any). hangul: only fields that have any."""
+    t = _texts(links, fields)
     t = t.where(has_hangul(F.col("text"))) if hangul else t
-    return t.select("link_id", "field", tokenize(F.col("text")).alias("tokens")).select("link_id", "field", "tokens", F.posexplode("tokens").alias("pos", "token"))
+    t = t.select("link_id", "field", tokenize(F.col("text")).alias("tokens"))
+    t = t.select("link_id", "field", F.arrays_zip(F.col("tokens").alias("token"), F.slice("tokens", 2, 2_147_483_647).alias("next")).alias("pairs"))
+    return t.select("link_id", "field", F.posexplode("pairs").alias("pos", "pair")).select("link_id", "field", "pos", "pair.token", "pair.next")
 
 
 def match_exact(tokens: DataFrame, compiled: DataFrame) -> DataFrame:
@@ -54,25 +64,34 @@ def match_edge(tokens: DataFrame, compiled: DataFrame) -> DataFrame:
     return pieces.join(s, "piece").select("link_id", "field", "pos", "tag_id", "tag", "surface")
 
 
-def follows(tokens: Column, pos: Column, tail: Column) -> Column:
-    """The tokens behind a position are those of the tail, or longer ones where the tail's has Hangul."""
-    after = F.slice(tokens, pos + 2, F.size(tail))
-    fits = F.forall(F.zip_with(after, tail, lambda t, p: F.coalesce((t == p) | (has_hangul(p) & t.startswith(p)), F.lit(False))), lambda x: x)
-    return (F.size(after) == F.size(tail)) & fits
+def _fits(token: Column, wanted: Column, ko: Column) -> Column:
+    """A token of a phrase's tail: equal, or longer where the wanted one has Hangul."""
+    return (token == wanted) | (ko & token.startswith(wanted))
+
 
+def match_whole(links: DataFrame, compiled: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
+    """Exact surfaces, and surfaces of several tokens in a row: the first is equal, a Hangul token of the tail may be longer.
 
-def match_phrase(tokens: DataFrame, compiled: DataFrame) -> DataFrame:
-    """Surfaces of several tokens in a row: the first is equal, a Hangul token of the tail may be longer."""
-    s = small(compiled.where("kind = 'phrase'").select("tag_id", "tag", "surface", "tail", F.col("first").alias("token")))
-    return tokens.join(s, "token").where(follows(F.col("tokens"), F.col("pos"), F.col("tail"))).select("link_id", "field", "pos", "tag_id", "tag", "surface")
+    One pass over the tokens meets first words, and second ones beside them; the rest of phrases of three tokens or more is then
+    held against the texts where both have come, all of a text's places in one row.
+    """
+    second = F.try_element_at("tail", F.lit(1))
+    s = small(compiled.where("kind <> 'edge'").select("tag_id", "tag", "surface", "tail", F.col("first").alias("token"), second.alias("second"), F.coalesce(has_hangul(second), F.lit(False)).alias("ko")))
+    met = field_tokens(links, fields).join(s, "token").where(F.col("second").isNull() | _fits(F.col("next"), F.col("second"), F.col("ko"))).select("link_id", "field", "pos", "tag_id", "tag", "surface", "tail")
+    met = stored(met, "met")  # else every text is cut into tokens twice
+    out = ["link_id", "field", "pos", "tag_id", "tag", "surface"]
+    short = met.where(F.size("tail") < 2).select(*out)
+    places = met.where(F.size("tail") >= 2).groupBy("link_id", "field").agg(F.collect_list(F.struct("pos", "tag_id", "tag", "surface", "tail")).alias("places"))
+    texts = _texts(links, fields).join(places, ["link_id", "field"]).select("link_id", "field", "places", tokenize(F.col("text")).alias("tokens"))
+    after = lambda p: F.slice("tokens", p["pos"] + 2, F.size(p["tail"]))
+    whole = lambda p: (F.size(after(p)) == F.size(p["tail"])) & F.forall(F.zip_with(after(p), p["tail"], lambda a, b: F.coalesce(_fits(a, b, has_hangul(b)), F.lit(False))), lambda x: x)
+    long = texts.select("link_id", "field", F.explode(F.filter("places", whole)).alias("p")).select("link_id", "field", "p.pos", "p.tag_id", "p.tag", "p.surface")
+    return short.unionByName(long)
 
 
 def matches(links: DataFrame, compiled: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
-    """All matches: one pass meets exact surfaces and first words of phrases, a second one only the fields with Hangul, for edges."""
-    s = small(compiled.where("kind <> 'edge'").select("tag_id", "tag", "surface", "tail", F.col("first").alias("token")))
-    t = field_tokens(links, fields)
-    whole = t.join(s, "token").where(follows(F.col("tokens"), F.col("pos"), F.col("tail"))).select("link_id", "field", "pos", "tag_id", "tag", "surface")
-    return whole.unionByName(match_edge(field_tokens(links, fields, hangul=True).drop("tokens"), compiled))
+    """All matches: whole surfaces in one pass, edges in a second one over the fields with Hangul."""
+    return match_whole(links, compiled, fields).unionByName(match_edge(field_tokens(links, fields, hangul=True), compiled))
 
 
 def domain_tags(links: DataFrame, domain_map: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ sc AS (SELECT link_id, tag_id, tag, CAST(score + CASE WHEN bn >= need THEN bc EL
 top AS (SELECT *, CAST(row_number() OVER (PARTITION BY link_id ORDER BY score DESC, uncapped DESC, tag) AS INTEGER) AS rank, 1 - 1 / (1 + score) AS confidence FROM sc WHERE score >= 1 QUALIFY rank <= 3)"""
 
 query("j10_match_exact", "WITH " + FIELDS_SQL + " SELECT link_id, field, pos, tag_id, surface FROM m WHERE NOT contains(surface, ' ')", ("links", "surfaces"))(
-    lambda links, s: T.match_exact(T.field_tokens(links).drop("tokens"), T.compile_surfaces(s)).select("link_id", "field", "pos", "tag_id", "surface")
+    lambda links, s: T.match_exact(T.field_tokens(links), T.compile_surfaces(s)).select("link_id", "field", "pos", "tag_id", "surface")
 )
 #: The shared texts have no Hangul. Vowels stand in for syllables on both sides, so that every token of every text is judged at both its ends, by surfaces of two to eleven characters.
 HANGUL = ("aeiou", "가나다라마")
@@ -54,11 +54,11 @@ def edges(links: DataFrame) -> DataFrame:
     hangul = lambda c: F.translate(F.lower(F.col(c)), *HANGUL)
     s = links.sparkSession.createDataFrame(EDGES, "tag_id int, tag string, surface string").withColumn("surface", hangul("surface"))
     tokens = T.field_tokens(links.withColumns({"title": hangul("title"), "body_text": hangul("body_text")}), {"title": "title", "body": "body_text"}, hangul=True)
-    return T.match_edge(tokens.drop("tokens"), T.compile_surfaces(s))
+    return T.match_edge(tokens, T.compile_surfaces(s))
 
 
 query("j12_match_phrase", "WITH " + FIELDS_SQL + " SELECT link_id, field, pos, tag_id, surface FROM m WHERE contains(surface, ' ')", ("links", "surfaces"))(
-    lambda links, s: T.match_phrase(T.field_tokens(links), T.compile_surfaces(s)).select("link_id", "field", "pos", "tag_id", "surface")
+    lambda links, s: T.match_whole(links, T.compile_surfaces(s)).where(F.col("surface").contains(" ")).select("link_id", "field", "pos", "tag_id", "surface")
 )
 query("j09_domain_tags", "WITH " + DOMAIN_HITS_SQL + " SELECT link_id, tag FROM dt", ("links",))(lambda links: T.domain_tags(links, domain_map(links)))
 query("u02_matched_surfaces", "WITH " + FIELDS_SQL + " SELECT DISTINCT link_id, surface FROM m", ("links", "surfaces"))(lambda links, s: T.matches(links, T.compile_surfaces(s)).select("link_id", "surface").distinct())
