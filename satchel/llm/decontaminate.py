@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .tokens import SHINGLE, U, blocks, hash_shingles, hash_words, text_bytes, word_spans
+from .tokens import SHINGLE, U, blocks, hash_shingles, hash_words, lean, text_bytes, word_spans
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach; share of five-word shingles that must be in it.
@@ -231,6 +231,7 @@ def leaks(text: Column, index: Index | None) -> Column:
     """The benchmark items that a text column's texts hold, as HITS; an empty list for null or clean texts."""
 
     @F.arrow_udf(HITS)
+    @lean
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("words", pa.int64()), ("bm25", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
         for texts in batches:
@@ -248,7 +249,7 @@ def _of_all(items: DataFrame) -> tuple[DataFrame, int, float, int]:
                 terms, n = np.unique(w := _words(text or "")), len(w)
                 yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(np.full(len(terms), n)), pa.array(np.arange(len(terms)) == 0)], ["term", "n", "first"])
 
-    t = stored(items.where("i is not null").select("t").mapInArrow(count, "term long, n long, first boolean"), "terms")
+    t = stored(items.where("i is not null").select("t").mapInArrow(lean(count), "term long, n long, first boolean"), "terms")
     r = t.where("first").agg(F.count(F.lit(1)).alias("items"), F.avg("n").alias("mean"), F.max("n").alias("longest")).first()
     return stored(t.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df"), r["items"], r["mean"] or 1.0, r["longest"] or 0
 

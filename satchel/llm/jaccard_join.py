@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .membership import maybe_in
 from ..storage import dropped, stored
-from .tokens import U, hash_shingles, mix, texts_words
+from .tokens import U, hash_shingles, lean, mix, texts_words
 
 #: A sketch has this many 64-bit words, or 4 bits for each element of the size band's smallest set if that is more.
 SKETCH_WORDS = 32
@@ -113,7 +113,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 none = pa.nulls(len(ns), pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), _signed(np.array(ids, U)), lists, none, none], names)
 
-    return docs.mapInArrow(run, "id long, n long, set_id long, sketch array<long>, shingle long, times long")
+    return docs.mapInArrow(lean(run), "id long, n long, set_id long, sketch array<long>, shingle long, times long")
 
 
 def key_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -137,7 +137,7 @@ def key_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), _signed(np.concatenate(owners))], ["key", "set_id"])
 
-    return docs.select("id", "text").mapInArrow(run, "key long, set_id long")
+    return docs.select("id", "text").mapInArrow(lean(run), "key long, set_id long")
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def whole_sets(docs: DataFrame) -> DataFrame:
             if sets:
                 yield _set_batch(names, sets)
 
-    return docs.select("id", "text").mapInArrow(run, "set_id long, shingles array<long>")
+    return docs.select("id", "text").mapInArrow(lean(run), "set_id long, shingles array<long>")
 
 
 def _set_batch(names: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import blocks, text_bytes, word_spans
+from .tokens import blocks, lean, text_bytes, word_spans
 
 #: Bytes of text that are scored at once.
 SLICE = 6_000_000
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *, id_c
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "grams": [total("grams")], "scripts": [total("scripts")]})
 
     schema = "lang string, grams binary, scripts binary"
-    rows = sorted(chosen.mapInArrow(count, schema).groupBy("lang").applyInPandas(add, schema).collect(), key=lambda r: r["lang"])
+    rows = sorted(chosen.mapInArrow(lean(count), schema).groupBy("lang").applyInPandas(add, schema).collect(), key=lambda r: r["lang"])
     if not rows:
         return None
     counts = np.array([np.frombuffer(r["grams"], np.int64) for r in rows], float).T
@@ -205,6 +205,7 @@ def language(text: Column, model: Model | None) -> Column:
     """
 
     @F.arrow_udf(f"struct<lang:string,score:double,spans:{SPANS}>")
+    @lean
     def identify(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for t in texts:  # the scores, switches and paths of about SLICE bytes of text are held at once
             yield pa.concat_arrays([_identify(part, model) for _, part in blocks(t, SLICE)] or [_identify(t, model)])

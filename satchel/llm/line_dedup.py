@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from ..storage import stored
+from .tokens import lean
 
 #: Words that a line needs to bring two documents together, and that an aligned block needs to be deleted.
 MIN_WORDS = 6
@@ -105,12 +106,14 @@ def common_runs(a: list[int], b: list[int], words: list[int], min_words: int = M
 
 
 @F.arrow_udf(ArrayType(LongType()))
+@lean
 def _run_keys(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for lines, words, least in batches:
         yield pa.array([[hash(tuple(x[i:j])) for i, j in runs(w, m)] for x, w, m in zip(lines.to_pylist(), words.to_pylist(), least.to_pylist())], pa.list_(pa.int64()))
 
 
 @F.arrow_udf(ArrayType(IntegerType()))
+@lean
 def _aligned(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for batch in batches:
         yield pa.array([sorted({*common_blocks(*x), *common_runs(*x)}) if x[0] else [] for x in zip(*(c.to_pylist() for c in batch))], pa.list_(pa.int32()))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..storage import dropped, stored
 from .components import components
 from .membership import bitmap, in_bitmap, maybe_in
-from .tokens import SHINGLE, U, _PLACE, _tables, blocks, hash_words, mix, text_bytes, texts_words, word_spans
+from .tokens import SHINGLE, U, _PLACE, _tables, blocks, hash_words, lean, mix, text_bytes, texts_words, word_spans
 
 #: Words that a paragraph has at least, and that repeated passages which follow one another need in all before they count.
 MIN_WORDS, MIN_RUN = 8, 50
@@ -191,7 +191,7 @@ def key_values(docs: DataFrame) -> DataFrame:
                 keys = _bands(_shingles(w.words), first, stop) if len(first) else np.zeros((0, BANDS), U)
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate([gram[new], keys.ravel()])), _signed(np.concatenate([owner[row[new]], np.repeat(name, BANDS)]))], ["key", "value"])
 
-    return docs.select("id", "text").mapInArrow(run, "key long, value long")
+    return docs.select("id", "text").mapInArrow(lean(run), "key long, value long")
 
 
 def places(docs: DataFrame, shared=None) -> DataFrame:
@@ -233,7 +233,7 @@ def places(docs: DataFrame, shared=None) -> DataFrame:
                     n, bits = _sketches(shingles, first[some], stop[some])
                     yield table(SHAPE, len(some), words=pa.array(n), name=_signed(name[some]), **{f"s{k}": _signed(bits[:, k]) for k in range(SKETCH // 64)})
 
-    return docs.select("id", "text").mapInArrow(run, PLACES)
+    return docs.select("id", "text").mapInArrow(lean(run), PLACES)
 
 
 def paragraph_sets(docs: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def paragraph_sets(docs: DataFrame) -> DataFrame:
                 flat = _shingles(w.words)[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)]
                 yield pa.RecordBatch.from_arrays([_signed(w.names(first, stop)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(flat))], ["name", "shingles"])
 
-    return docs.select("id", "text").mapInArrow(run, "name long, shingles array<long>")
+    return docs.select("id", "text").mapInArrow(lean(run), "name long, shingles array<long>")
 
 
 def near_classes(docs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
@@ -306,7 +306,7 @@ def near_classes(docs: DataFrame, rows: DataFrame, similarity: float) -> DataFra
 
 def _at(docs: DataFrame, asked: DataFrame, columns: str, run) -> DataFrame:
     """mapInArrow over docs(id, text) joined with asked(id, ...), whose texts alone are shuffled."""
-    return maybe_in(docs, F.col("id"), asked.select("id")).join(asked, "id").mapInArrow(run, columns)
+    return maybe_in(docs, F.col("id"), asked.select("id")).join(asked, "id").mapInArrow(lean(run), columns)
 
 
 def _ints(words: np.ndarray) -> np.ndarray:

@@ -6,7 +6,9 @@ with a chance of about 2**-64; hashes are the same in every process.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,21 @@ SHINGLE = 5
 BLOCK = 1_000_000
 
 
+def lean(run: Callable) -> Callable:
+    """run works through the batches of a task; after the last one, what its arrays have left behind goes back to the system, since Python workers stay for other tasks."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return whole
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers (the splitmix64 finaliser)."""
     x = x.astype(U, copy=True)
