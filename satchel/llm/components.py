@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import dropped, stored
+
+#: Edges or vertices that a task takes at least: small tables are few files.
+ROWS = 500_000
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -19,24 +22,28 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct()
     e = stored(e, "edges")
-    label = None
+    label, done = None, []
+    tasks = e.count() // ROWS + 1  # what is left only gets less
     for _ in range(max_rounds):
         if e.isEmpty():
             break
         near = e.select(F.col("a").alias("v"), F.col("b").alias("w")).unionAll(e.select(F.col("b"), F.col("a")))
         hop = near.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("p"))
         up = hop.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        hop = stored(hop.join(up, "p").select("v", F.col("pp").alias("p")), "hop")
+        hop = stored(hop.join(up, "p").select("v", F.col("pp").alias("p")).coalesce(tasks), "hop")
         if label is None:
             label = hop.select(F.col("v").alias("id"), F.col("p").alias("component"))
         else:
             up = hop.select(F.col("v").alias("component"), "p")
             label = label.join(up, "component", "left").select("id", F.coalesce("p", "component").alias("component"))
         ha, hb = hop.select(F.col("v").alias("a"), F.col("p").alias("pa")), hop.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        e = e.join(ha, "a").join(hb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
-        e = stored(e, "edges")
+        left = e.join(ha, "a").join(hb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        done += [e, hop]
+        e = stored(left.coalesce(tasks), "edges")
     else:
         raise RuntimeError("components did not settle")
     if label is None:
         return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return stored(label, "label")
+    label = stored(label.coalesce(tasks), "label")
+    dropped(*done)
+    return label
