@@ -11,6 +11,7 @@ from .jaccard_join import op1_jaccard_join
 from .language_id import op2_language_id
 from .line_dedup import op10_line_dedup
 from .mixing import op4_mix_sources
+from .phrases import OP11_SQL, op11_phrases
 from .substring_dedup import op3_substring_dedup
 from .token_counts import op9_token_counts
 from .warc import OP7_SQL, op7_warc
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op8_chat_format": op8_chat_format,
         "op9_token_counts": op9_token_counts,
         "op10_line_dedup": op10_line_dedup,
+        "op11_phrases": op11_phrases,
     }
 
 
@@ -37,4 +39,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": OP6_SQL,
         "op7_warc": OP7_SQL,
         "op8_chat_format": OP8_SQL,
+        "op11_phrases": OP11_SQL,
     }

@@ -81,9 +81,9 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and where each text's words begin (one entry more than texts)."""
-    sep = _SEP[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and where each text's words begin (one entry more than texts). separators: which of the 256 bytes part words."""
+    sep = separators[data]
     before = np.ones(len(data) + 1, bool)
     before[1:] = sep
     before[offsets[:-1]] = True
