@@ -10,7 +10,9 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .jaccard_join import op1_jaccard_join
 from .language_id import op2_language_id
 from .line_dedup import op10_line_dedup
+from .manifest import OP13_SQL, op13_merkle_manifest
 from .mixing import op4_mix_sources
+from .packing import op12_best_fit_packing
 from .phrases import OP11_SQL, op11_phrases
 from .substring_dedup import op3_substring_dedup
 from .token_counts import op9_token_counts
@@ -31,6 +33,8 @@ def queries() -> dict:
         "op9_token_counts": op9_token_counts,
         "op10_line_dedup": op10_line_dedup,
         "op11_phrases": op11_phrases,
+        "op12_best_fit_packing": op12_best_fit_packing,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -40,4 +44,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": OP7_SQL,
         "op8_chat_format": OP8_SQL,
         "op11_phrases": OP11_SQL,
+        "op13_merkle_manifest": OP13_SQL,
     }
