@@ -18,9 +18,9 @@ from .tokens import blocks, lean
 #: Tokens of a sequence, and the id that ends a document.
 SIZE, END = 1024, 2
 #: Pieces that are packed together, about; each block is packed on ISLANDS islands.
-BLOCK, ISLANDS = 4096, 3
+BLOCK, ISLANDS = 8192, 3
 #: Solutions of an island, children of an epoch, epochs at most, solutions that move to the next island after each.
-PEOPLE, CHILDREN, EPOCHS, ELITE = 4, 24, 3, 1
+PEOPLE, CHILDREN, EPOCHS, ELITE = 4, 8, 3, 1
 #: The least filled share of a block's sequences that is packed anew with those of other blocks.
 AGAIN = 1 / 8
 
@@ -81,13 +81,74 @@ def best_fit(items, lengths: list[int], packed: Bins, size: int) -> None:
         rooms |= 1 << room
 
 
+def bound(lengths: list[int], size: int) -> int:
+    """No packing has fewer bins: neither than the total length fills, nor than pieces that can't share one."""
+    return max(-(-sum(lengths) // size), sum(2 * n > size for n in lengths))
+
+
 def fitness(packed: Bins) -> tuple[int, int]:
     """Fewer bins are better; of equally many, those that are more unevenly filled."""
     return -len(packed[0]), sum(f * f for f in packed[1])
 
 
+class Loose:
+    """Items out of bins, by length; two numbers' bits tell which lengths there are, forwards and backwards, so that two of a given sum are found at once."""
+
+    def __init__(self, items, lengths: list[int], size: int):
+        self.of, self.lengths, self.size, self.there, self.back = {}, lengths, size, 0, 0
+        for i in items:
+            self.put(i)
+
+    def put(self, i: int) -> None:
+        n = self.lengths[i]
+        self.of.setdefault(n, []).append(i)
+        self.there |= 1 << n
+        self.back |= 1 << (self.size - n)
+
+    def take(self, n: int) -> int:
+        i = self.of[n].pop()
+        if not self.of[n]:
+            self.there ^= 1 << n
+            self.back ^= 1 << (self.size - n)
+        return i
+
+    def of_length(self, n: int) -> list[int]:
+        """One or two items of this length together, taken out, if there are such."""
+        if self.there >> n & 1:
+            return [self.take(n)]
+        pairs = self.there & (self.back >> (self.size - n)) & ((1 << n) - 1)
+        if n % 2 == 0 and pairs >> (n // 2) & 1 and len(self.of[n // 2]) < 2:
+            pairs ^= 1 << (n // 2)
+        if not pairs:
+            return []
+        k = pairs.bit_length() - 1
+        return [self.take(k), self.take(n - k)]
+
+
+def refill(packed: Bins, out, lengths: list[int], size: int) -> None:
+    """Put items back: bins are first filled to the brim where one or two of the items do so, alone or in the place of one or two that then are out; the rest
+    goes in by best fit, the long ones first."""
+    bins, fills = packed
+    loose = Loose(out, lengths, size)
+    for b, fill in enumerate(fills):
+        if fill == size:
+            continue
+        own, room = bins[b], size - fill
+        ways = [(), *((i,) for i in range(len(own))), *(((i, j) for i in range(len(own)) for j in range(i)) if len(own) < 8 else ())]
+        for gone in ways:
+            new = loose.of_length(room + sum(lengths[own[i]] for i in gone))
+            if new:
+                for i in gone:
+                    loose.put(own[i])
+                bins[b] = [x for i, x in enumerate(own) if i not in gone] + new
+                fills[b] = size
+                break
+    rest = [i for n in sorted(loose.of, reverse=True) for i in loose.of[n]]
+    best_fit(rest, lengths, packed, size)
+
+
 def crossover(one: Bins, two: Bins, lengths: list[int], size: int, rng) -> Bins:
-    """A child of one: whole well-filled bins of two are put in, bins of one that hold any of their items go, and what those held besides is put back by best fit."""
+    """A child of one: whole well-filled bins of two are put in, bins of one that hold any of their items go, and what those held besides is put back (see refill)."""
     order = sorted(range(len(two[0])), key=lambda b: -two[1][b])
     good = order[: max(1, len(order) // 2)]
     take = [good[k] for k in np.flatnonzero(rng.random(len(good)) < rng.uniform(0.05, 0.5))]
@@ -99,21 +160,18 @@ def crossover(one: Bins, two: Bins, lengths: list[int], size: int, rng) -> Bins:
             fills.append(fill)
         else:
             out += [i for i in items if i not in inside]
-    best_fit(sorted(out, key=lambda i: -lengths[i]), lengths, (bins, fills), size)
+    refill((bins, fills), out, lengths, size)
     return bins, fills
 
 
 def mutated(packed: Bins, lengths: list[int], size: int, rng) -> Bins:
-    """The least filled bins and some others are emptied, and their items put back by best fit, the long ones first but for some noise."""
+    """The least filled bins and some others are emptied, and their items put back (see refill)."""
     bins, fills = packed
     order = sorted(range(len(bins)), key=lambda b: fills[b])
-    gone = {*order[: 2 + len(order) // 64], *(int(b) for b in rng.integers(0, len(bins), 2 + len(bins) // 16))}
-    left = [(list(x), f) for b, (x, f) in enumerate(zip(bins, fills)) if b not in gone]
-    out = [i for b in gone for i in bins[b]]
-    noise = rng.normal(0, 40, len(out))
-    out = [i for _, i in sorted((-lengths[i] + e, i) for i, e in zip(out, noise))]
-    child = [x for x, _ in left], [f for _, f in left]
-    best_fit(out, lengths, child, size)
+    gone = {*order[: 2 + len(order) // 64], *(int(b) for b in rng.integers(0, len(bins), 2 + len(bins) // 64))}
+    left = [b for b in range(len(bins)) if b not in gone]
+    child = [list(bins[b]) for b in left], [fills[b] for b in left]
+    refill(child, [i for b in gone for i in bins[b]], lengths, size)
     return child
 
 
@@ -136,10 +194,10 @@ def evolve(lengths: list[int], people: list[list[int]], seed: list[int], *, size
     """An island's solutions (the bin of each item) after an epoch, the best first, and that one's number of bins.
 
     At first, one is best fit by falling length, the others are so with noise. A child takes the place of the worst if it is better. It ends early
-    once a solution has as few bins as the total length allows.
+    once a solution has as few bins as can be (see bound).
     """
     rng = np.random.default_rng(seed)
-    least = -(-sum(lengths) // size)
+    least = bound(lengths, size)
     found = [as_bins(p, lengths) for p in people]
     if not found:
         for k in range(PEOPLE):
@@ -168,8 +226,7 @@ def _evolver(epoch: int, seed: int, size: int):
             for row in range(batch.num_rows):  # a block of one island at a time
                 block, island, rids, lengths, people = (batch.column(c)[row].as_py() for c in range(5))
                 people, bins = evolve(lengths, people, [seed, epoch, block, island], size=size)
-                least = -(-sum(lengths) // size)
-                cols = [[block], [island], [rids], [lengths], [people], [bins], [bins <= least]]
+                cols = [[block], [island], [rids], [lengths], [people], [bins], [bins <= bound(lengths, size)]]
                 kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())), pa.int32(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["block", "island", "rids", "lengths", "people", "bins", "least"])
 
@@ -229,7 +286,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, pat
     A document is its token ids and `end`; only longer ones than `size` are cut, into pieces of `size` tokens, the first of what is over. Whole pieces are sequences by themselves. The
     others are dealt over blocks of about BLOCK pieces by a hash; each block is packed on ISLANDS islands by a grouping genetic algorithm
     (see crossover), whose best solutions move to the next island after each epoch; the best of a block's islands stands. A block is
-    done once it has as few sequences as its total length allows. Then the least filled sequences of all blocks are opened and packed again, in an eighth as many blocks,
+    done once it has as few sequences as can be. Then the least filled sequences of all blocks are opened and packed again, in an eighth as many blocks,
     until one block has been packed: so what blocks waste is made good between them.
 
     Only piece numbers and lengths are shuffled. Defined cases: null and empty texts are the end id alone; null ids and repeated rows are documents of their own; a very long text
