@@ -20,7 +20,7 @@ SIZE, END = 1024, 2
 #: Pieces that are packed together, about; each block is packed on ISLANDS islands.
 BLOCK, ISLANDS = 8192, 3
 #: Solutions of an island, children of an epoch, epochs at most, solutions that move to the next island after each.
-PEOPLE, CHILDREN, EPOCHS, ELITE = 4, 8, 3, 1
+PEOPLE, CHILDREN, EPOCHS, ELITE = 4, 8, 8, 1
 #: The least filled share of a block's sequences that is packed anew with those of other blocks.
 AGAIN = 1 / 8
 
@@ -190,8 +190,8 @@ def of_items(packed: Bins, n: int) -> list[int]:
     return out
 
 
-def evolve(lengths: list[int], people: list[list[int]], seed: list[int], *, size: int = SIZE, children: int = CHILDREN) -> tuple[list[list[int]], int]:
-    """An island's solutions (the bin of each item) after an epoch, the best first, and that one's number of bins.
+def evolve(lengths: list[int], people: list[list[int]], seed: list[int], *, size: int = SIZE, children: int = CHILDREN) -> tuple[list[list[int]], int, int]:
+    """An island's solutions (the bin of each item) after an epoch, the best first; that one's number of bins, and the best one's before the first child.
 
     At first, one is best fit by falling length, the others are so with noise. A child takes the place of the worst if it is better. It ends early
     once a solution has as few bins as can be (see bound).
@@ -208,6 +208,7 @@ def evolve(lengths: list[int], people: list[list[int]], seed: list[int], *, size
             if len(packed[0]) <= least:
                 break
     found.sort(key=fitness, reverse=True)
+    began = len(found[0][0])
     for _ in range(children):
         if len(found[0][0]) <= least:
             break
@@ -216,7 +217,7 @@ def evolve(lengths: list[int], people: list[list[int]], seed: list[int], *, size
         child = mutated(child, lengths, size, rng)
         if len(found) < PEOPLE or fitness(child) > fitness(found[-1]):
             found = sorted([*found[: PEOPLE - 1], child], key=fitness, reverse=True)
-    return [of_items(p, len(lengths)) for p in found], len(found[0][0])
+    return [of_items(p, len(lengths)) for p in found], len(found[0][0]), began
 
 
 def _evolver(epoch: int, seed: int, size: int):
@@ -225,15 +226,15 @@ def _evolver(epoch: int, seed: int, size: int):
         for batch in batches:
             for row in range(batch.num_rows):  # a block of one island at a time
                 block, island, rids, lengths, people = (batch.column(c)[row].as_py() for c in range(5))
-                people, bins = evolve(lengths, people, [seed, epoch, block, island], size=size)
-                cols = [[block], [island], [rids], [lengths], [people], [bins], [bins <= bound(lengths, size)]]
+                people, bins, began = evolve(lengths, people, [seed, epoch, block, island], size=size)
+                cols = [[block], [island], [rids], [lengths], [people], [bins], [bins > bound(lengths, size) and bins < began]]
                 kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())), pa.int32(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["block", "island", "rids", "lengths", "people", "bins", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["block", "island", "rids", "lengths", "people", "bins", "hopeful"])
 
     return run
 
 
-_STATE = "block long, island int, rids array<bigint>, lengths array<int>, people array<array<int>>, bins int, least boolean"
+_STATE = "block long, island int, rids array<bigint>, lengths array<int>, people array<array<int>>, bins int, hopeful boolean"
 
 
 @lean
@@ -263,12 +264,12 @@ def _pack_blocks(items: DataFrame, n_blocks: int, seed: int, size: int) -> DataF
         spread = state.repartition(n_blocks * ISLANDS, "block", "island")
         state = stored(spread.mapInArrow(_evolver(epoch, seed, size), _STATE), f"epoch{epoch}")
         old.append(state)
-        best = state.groupBy("block").agg(F.min(F.struct("bins", "island")).alias("best"), F.max("least").alias("least"))
-        if epoch == EPOCHS - 1 or best.where("not least").isEmpty():
+        best = state.groupBy("block").agg(F.min(F.struct("bins", "island")).alias("best"), F.max("hopeful").alias("hopeful"))
+        if epoch == EPOCHS - 1 or best.where("hopeful").isEmpty():
             break
-        done = best.where("least").select("block", F.col("best.island").alias("island"))
+        done = best.where("not hopeful").select("block", F.col("best.island").alias("island"))
         settled.append(state.join(done, ["block", "island"]).select("rids", "lengths", F.col("people")[0].alias("of_item")))
-        open_ = state.join(best.where("not least").select("block"), "block").drop("bins", "least")
+        open_ = state.join(best.where("hopeful").select("block"), "block").drop("bins", "hopeful")
         guests = open_.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.slice("people", 1, ELITE).alias("guests"))
         state = open_.join(guests, ["block", "island"]).withColumn("people", F.concat(F.slice("people", 1, PEOPLE - ELITE), "guests")).drop("guests")
     done = best.select("block", F.col("best.island").alias("island"))
@@ -286,7 +287,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, pat
     A document is its token ids and `end`; only longer ones than `size` are cut, into pieces of `size` tokens, the first of what is over. Whole pieces are sequences by themselves. The
     others are dealt over blocks of about BLOCK pieces by a hash; each block is packed on ISLANDS islands by a grouping genetic algorithm
     (see crossover), whose best solutions move to the next island after each epoch; the best of a block's islands stands. A block is
-    done once it has as few sequences as can be. Then the least filled sequences of all blocks are opened and packed again, in an eighth as many blocks,
+    done once it has as few sequences as can be, or an epoch made none of its islands better. Then the least filled sequences of all blocks are opened and packed again, in an eighth as many blocks,
     until one block has been packed: so what blocks waste is made good between them.
 
     Only piece numbers and lengths are shuffled. Defined cases: null and empty texts are the end id alone; null ids and repeated rows are documents of their own; a very long text

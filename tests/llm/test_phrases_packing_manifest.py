@@ -152,8 +152,9 @@ def test_op12_many_blocks(spark, monkeypatch):
 def test_op12_genetics():
     r = np.random.default_rng(4)
     lengths = [int(x) for x in r.integers(250, 500, 400)]
-    people, bins = packing.evolve(lengths, [], [1], children=0)
-    again, fewer = packing.evolve(lengths, people, [2], children=30)
+    people, bins, _ = packing.evolve(lengths, [], [1], children=0)
+    again, fewer, began = packing.evolve(lengths, people, [2], children=30)
+    assert began == bins
     assert fewer < 0.98 * bins and all(sorted(i for b in packing.as_bins(p, lengths)[0] for i in b) == list(range(400)) for p in again)
     a, b = packing.as_bins(people[0], lengths), packing.as_bins(people[-1], lengths)
     child = packing.crossover(a, b, lengths, 1024, r)
