@@ -6,15 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import has_hangul, normalize_token, trigrams
-from ..storage import stored
+from ..ranking import ranked
+from ..storage import spread, stored
 from .tagging import attach_tags, compile_surfaces, live, matches
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 COVERAGE_WEIGHT = 1000
 #: Queries that meet a row at once where there is no key to join on.
 QUERIES = 256
+#: Grams that a text meets at once where no postings are stored.
+GRAMS = 8192
 #: Folders of stored postings.
 BUCKETS = 64
+#: Parts of the documents whose first hits meet, where a page is asked for.
+PARTS = 32
 COLUMNS = ("title", "description", "note", "tags")
 
 
@@ -50,10 +55,13 @@ def doc_lengths(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", sum((F.greatest(F.length(c) - 2, F.lit(0)) for c in COLUMNS), F.lit(0)).alias("len"))
 
 
-def _occurrences(text: Column, phrase: Column) -> Column:
-    """Overlapping occurrences of a phrase: empty matches in front of each."""
-    quoted = F.concat(F.lit("(?=\\Q"), F.replace(phrase, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-    return F.regexp_count(text, quoted)
+def _pattern(phrase: Column) -> Column:
+    """A regexp that matches once for each occurrence of a phrase. Only one that begins as it ends can overlap itself: it is looked for by empty matches in front of
+    each occurrence, which is slower than a plain literal."""
+    n = F.length(phrase)
+    laps = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: (k < n) & (F.left(phrase, k) == F.right(phrase, k)))
+    literal = F.concat(F.lit("\\Q"), F.replace(phrase, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.when(laps, F.concat(F.lit("(?="), literal, F.lit(")"))).otherwise(literal)
 
 
 def expand_queries(queries: DataFrame, surfaces: DataFrame) -> DataFrame:
@@ -66,61 +74,86 @@ def expand_queries(queries: DataFrame, surfaces: DataFrame) -> DataFrame:
     return hit.select("link_id", F.col("tag").alias("term")).unionByName(others).select(F.col("link_id").alias("query_id"), "term").distinct()
 
 
-def _asked(phrases: DataFrame, postings: DataFrame) -> DataFrame:
-    """The postings of the grams that phrases ask for; stored ones are read by bucket."""
+def _asked(phrases: DataFrame, docs: DataFrame, postings: DataFrame | None) -> DataFrame:
+    """gram, doc_id of the grams that phrases ask for: from stored postings, read by bucket, or from the texts, whose grams meet the asked ones in
+    blocks before any of them becomes a row."""
     grams = phrases.select(F.explode(trigrams(F.col("phrase"))).alias("gram")).distinct()
-    if "bucket" not in postings.columns:
-        return postings.join(grams, "gram", "left_semi")
-    return postings.join(grams.withColumn("bucket", _bucket(F.col("gram"))), ["bucket", "gram"], "left_semi").drop("bucket")
+    if postings is not None and "bucket" in postings.columns:
+        return postings.join(grams.withColumn("bucket", _bucket(F.col("gram"))), ["bucket", "gram"], "left_semi").select("gram", "doc_id").distinct()
+    if postings is not None:
+        return postings.join(grams, "gram", "left_semi").select("gram", "doc_id").distinct()
+    own = docs.select("doc_id", F.array_distinct(F.flatten(F.array(*[trigrams(F.col(c)) for c in COLUMNS]))).alias("own"))
+    blocks = max(1, -(-grams.count() // GRAMS))
+    asked = grams.groupBy(F.pmod(F.xxhash64("gram"), F.lit(blocks)).alias("block")).agg(F.collect_list("gram").alias("asked"))
+    return own.crossJoin(asked.select("asked")).select("doc_id", F.explode(F.array_intersect("own", "asked")).alias("gram"))
 
 
-def _phrase_hits(phrases: DataFrame, docs: DataFrame, postings: DataFrame) -> DataFrame:
-    """phrases(phrase), lower case -> phrase, doc_id, f: documents that hold the phrase in a column, with occurrences.
+def _phrase_hits(phrases: DataFrame, docs: DataFrame, postings: DataFrame | None) -> DataFrame:
+    """phrases(phrase), lower case -> phrase, doc_id, f, near: documents that hold the phrase in a column, with occurrences, and whether title, description or tags hold it.
 
     A phrase's rarest gram names its candidates; a document's candidates meet its text in one row, where each is verified. So postings are
     read once for the frequencies and once for the rarest grams, and texts are shuffled once at most.
     """
-    grams = phrases.select("phrase", F.explode(trigrams(F.col("phrase"))).alias("gram"))
-    asked = stored(_asked(phrases, postings).select("gram", "doc_id").distinct(), "asked")
+    grams = phrases.select("phrase", _pattern(F.col("phrase")).alias("pattern"), F.explode(trigrams(F.col("phrase"))).alias("gram"))
+    asked = stored(_asked(phrases, docs, postings), "asked")
     df = asked.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    rarest = grams.join(df, "gram", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), F.col("gram"))).alias("r")).select("phrase", F.col("r.gram").alias("gram"))
-    cand = asked.join(rarest, "gram").groupBy("doc_id").agg(F.collect_set("phrase").alias("phrases"))
+    rarest = grams.join(df, "gram", "left").groupBy("phrase", "pattern").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), F.col("gram"))).alias("r")).select("phrase", "pattern", F.col("r.gram").alias("gram"))
+    cand = asked.join(rarest, "gram").groupBy("doc_id").agg(F.collect_list(F.struct("phrase", "pattern")).alias("phrases"))
     texts = docs.select("doc_id", *[F.lower(c).alias(f"t_{c}") for c in COLUMNS])
-    held = F.filter("phrases", lambda p: F.greatest(*[F.contains(F.col(f"t_{c}"), p) for c in COLUMNS]))
-    f = sum((_occurrences(F.col(f"t_{c}"), F.col("phrase")) for c in COLUMNS), F.lit(0))
-    return cand.join(texts, "doc_id").select("doc_id", *[f"t_{c}" for c in COLUMNS], F.explode(held).alias("phrase")).select("phrase", "doc_id", f.alias("f"))
+    counts = lambda p: F.array(*[F.regexp_count(F.col(f"t_{c}"), p["pattern"]) for c in COLUMNS])
+    counted = F.transform("phrases", lambda p: F.struct(p["phrase"].alias("phrase"), counts(p).alias("n")))
+    found = cand.join(texts, "doc_id").select("doc_id", "t_title", "t_description", "t_tags", F.explode(F.filter(counted, lambda x: F.array_max(x["n"]) > 0)).alias("x"))
+    near = F.array_max(F.transform("x.n", lambda n, i: F.when(i != COLUMNS.index("note"), n).otherwise(0))) > 0
+    across = F.contains(F.concat_ws(" ", "t_title", "t_description", "t_tags"), F.col("x.phrase"))  # a phrase with a space may stand across two columns
+    f = F.aggregate("x.n", F.lit(0), lambda a, n: a + n)
+    return found.select("x.phrase", "doc_id", f.alias("f"), F.when(F.contains("x.phrase", F.lit(" ")), across).otherwise(near).alias("near"))
+
+
+def _short_coverage(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Terms of fewer than three letters have no grams: (doc_id, shorts: those of all queries that title, description or tags hold), found by a scan in blocks, and (query_id, short: its own)."""
+    short = terms.where(F.length("term") < 3)
+    lists = short.groupBy("query_id").agg(F.collect_set("term").alias("short"))
+    every = in_blocks(short.select(F.col("term").alias("query_id")).distinct(), QUERIES)
+    text = docs.select("doc_id", F.lower(F.concat_ws(" ", "title", "description", "tags")).alias("all"))
+    held = text.crossJoin(every).select("doc_id", F.filter(F.transform("queries", lambda x: x["query_id"]), lambda t: F.contains(F.col("all"), t)).alias("held"))
+    return held.groupBy("doc_id").agg(F.flatten(F.collect_list("held")).alias("shorts")), lists
 
 
-def _coverage(docs: DataFrame, pairs: DataFrame, terms: DataFrame) -> DataFrame:
-    """How many of a query's terms title, description and tags hold; 0 with fewer than two terms. The note doesn't count."""
-    text = docs.select("doc_id", F.lower(F.concat_ws(" ", "title", "description", "tags")).alias("all"))
-    lists = terms.groupBy("query_id").agg(F.collect_set(F.lower("term")).alias("terms")).where(F.size("terms") >= 2)
-    j = pairs.select("query_id", "doc_id").distinct().join(lists, "query_id").join(text, "doc_id")
-    return j.select("query_id", "doc_id", F.size(F.filter("terms", lambda t: F.col("all").contains(t))).alias("coverage"))
+def apply_expander(queries: DataFrame, expander: DataFrame) -> DataFrame:
+    """expander(term, expansion) -> query_id, term: the expansions of the terms (words, or several in a row) that a query holds, whatever the case."""
+    words = queries.select("query_id", F.concat(F.lit(" "), F.regexp_replace(F.lower(F.trim("query")), r"\s+", " "), F.lit(" ")).alias("all"))
+    words = words.select("query_id", "all", F.explode(F.array_distinct(F.split(F.trim("all"), " "))).alias("word"))
+    e = expander.select(F.regexp_replace(F.lower(F.trim("term")), r"\s+", " ").alias("asked"), "expansion").withColumn("word", F.substring_index("asked", " ", 1))
+    held = F.contains(F.col("all"), F.concat(F.lit(" "), F.col("asked"), F.lit(" ")))
+    return words.join(e, "word").where(held & (F.trim("expansion") != "")).select("query_id", F.col("expansion").alias("term")).distinct()
 
 
-def search(queries: DataFrame, docs: DataFrame, surfaces: DataFrame | None = None, postings: DataFrame | None = None, *, only: DataFrame | None = None, since: int | None = None, until: int | None = None, after: DataFrame | None = None, size: int | None = None) -> DataFrame:
+def search(queries: DataFrame, docs: DataFrame, surfaces: DataFrame | None = None, postings: DataFrame | None = None, *, expander: DataFrame | None = None, only: DataFrame | None = None, since: int | None = None, until: int | None = None, after: DataFrame | None = None, size: int | None = None) -> DataFrame:
     """queries(query_id, query) -> query_id, doc_id, mode (fts, or, like), rank, position.
 
     All phrases of at least three characters must occur (or any expansion of the query); ordered by bm25, less 1000 for each
     term covered. Queries without a hit ask for any phrase; queries without a phrase or expansion, and no hits, look for every word as a substring,
     newest first. Each step takes only the queries that the one before left unanswered.
 
+    surfaces expands a query by the tags it names (see expand_queries), expander(term, expansion) by a table (see apply_expander).
+    postings: stored ones (read_postings, SearchIndex.postings) spare the texts that hold no asked gram; without them grams are cut from all texts.
+    Positions are counted by ranges (see ranked), so that no task sees all hits of a query of common words.
+
     Filters don't change the weights: `only` keeps its doc_id (those of a tag, say), since and until bound created_at, both included.
     after(query_id, position) and size give the page behind a position.
     """
-    docs = stored(docs, "docs")
+    docs = stored(spread(docs, "doc_id"), "docs")
     allowed = docs.select("doc_id", "created_at")
     allowed = allowed if only is None else allowed.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
     allowed = allowed if since is None else allowed.where(F.col("created_at") >= since)
     allowed = (allowed if until is None else allowed.where(F.col("created_at") <= until)).select("doc_id")
     narrowed = any(x is not None for x in (only, since, until))
     narrow = lambda df: df.join(allowed, "doc_id", "left_semi") if narrowed else df
-    postings = build_postings(docs) if postings is None else postings
     words = queries.select("query_id", "query", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != ""))).alias("word"))
     asked = words.where(F.length("word") >= 3).select("query_id", F.col("word").alias("phrase"))
-    none = asked.limit(0).select("query_id", F.col("phrase").alias("term"))
-    extra = expand_queries(queries, surfaces) if surfaces is not None else none
+    extra = asked.limit(0).select("query_id", F.col("phrase").alias("term"))
+    extra = extra if surfaces is None else expand_queries(queries, surfaces)
+    extra = extra if expander is None else extra.unionByName(apply_expander(queries, expander)).distinct()
     added = extra.select("query_id", F.lower("term").alias("phrase")).where(F.length("phrase") >= 3)
     needed = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
     hits = stored(_phrase_hits(asked.select("phrase").unionByName(added.select("phrase")).distinct(), docs, postings), "hits")
@@ -131,20 +164,30 @@ def search(queries: DataFrame, docs: DataFrame, surfaces: DataFrame | None = Non
     weight = hits.join(df, "phrase").join(lengths, "doc_id").crossJoin(total)  # one row
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     tf = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    weight = weight.select("phrase", "doc_id", (-idf * tf).alias("w"))
+    weight = weight.select("phrase", "doc_id", (-idf * tf).alias("w"), F.col("near").cast("int").alias("near"))
+    # a query's terms are its words and expansions; with two or more, each that title, description or tags hold counts once
+    terms = stored(words.select("query_id", F.col("word").alias("term")).unionByName(extra.select("query_id", F.lower("term").alias("term"))).distinct(), "terms")
+    several = terms.groupBy("query_id").agg((F.count(F.lit(1)) >= 2).cast("int").alias("several"))
     of_query = asked.withColumn("own", F.lit(1)).unionByName(added.withColumn("own", F.lit(0))).groupBy("query_id", "phrase").agg(F.max("own").alias("own"), F.count_if(F.col("own") == 0).alias("extra"))
-    scored = of_query.join(weight, "phrase").groupBy("query_id", "doc_id").agg(F.sum("w").alias("bm25"), F.sum("own").alias("got"), F.sum("extra").alias("expanded"), F.sum(F.when(F.col("own") == 1, F.col("w"))).alias("own_bm25"))
+    scored = of_query.join(several, "query_id").join(weight, "phrase").groupBy("query_id", "doc_id")
+    scored = scored.agg(F.sum("w").alias("bm25"), F.sum("own").alias("got"), F.sum("extra").alias("expanded"), F.sum(F.when(F.col("own") == 1, F.col("w"))).alias("own_bm25"), F.sum(F.col("several") * F.col("near")).alias("coverage"))
     scored = stored(narrow(scored.join(needed, "query_id", "left")), "scored")
-    first = scored.where("got = needed OR expanded > 0").select("query_id", "doc_id", F.lit("fts").alias("mode"), "bm25")
-    again = scored.where("got > 0").join(first.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "doc_id", F.lit("or").alias("mode"), F.col("own_bm25").alias("bm25"))
+    first = scored.where("got = needed OR expanded > 0").select("query_id", "doc_id", F.lit("fts").alias("mode"), "bm25", "coverage")
+    again = scored.where("got > 0").join(first.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "doc_id", F.lit("or").alias("mode"), F.col("own_bm25").alias("bm25"), "coverage")
     found = first.unionByName(again)
-    terms = words.select("query_id", F.col("word").alias("term")).unionByName(extra)
-    ranked = found.join(_coverage(docs, found, terms), ["query_id", "doc_id"], "left").withColumn("rank", F.col("bm25") - COVERAGE_WEIGHT * F.coalesce("coverage", F.lit(0)))
-    order = Window.partitionBy("query_id").orderBy(F.round("rank", 9), "doc_id")
-    ranked = ranked.withColumn("position", F.row_number().over(order)).select("query_id", "doc_id", "mode", "rank", "position")
+    short_terms = terms.join(several.where("several = 1"), "query_id", "left_semi")
+    if not short_terms.where(F.length("term") < 3).isEmpty():
+        shorts, lists = _short_coverage(docs, short_terms)
+        found = found.join(shorts, "doc_id", "left").join(lists, "query_id", "left")
+        found = found.withColumn("coverage", F.col("coverage") + F.coalesce(F.when(F.size(F.array_intersect("short", "shorts")) > 0, F.size(F.array_intersect("short", "shorts"))), F.lit(0))).drop("short", "shorts")
+    found = found.select("query_id", "doc_id", "mode", (F.col("bm25") - COVERAGE_WEIGHT * F.col("coverage")).alias("rank")).withColumn("__order", F.round("rank", 9))
+    if size is not None and after is None:  # no more than the first of each part of the documents can be among the first
+        part = Window.partitionBy("query_id", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).orderBy("__order", "doc_id")
+        found = found.withColumn("__place", F.row_number().over(part)).where(F.col("__place") <= size).drop("__place")
+    found = ranked(found, "query_id", "__order", "doc_id").select("query_id", "doc_id", "mode", "rank", (F.col("pos") + 1).cast("int").alias("position"))
 
     short = queries.join(needed.select("query_id").unionByName(extra.select("query_id")).distinct(), "query_id", "left_anti").select("query_id", F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "").alias("w")).where(F.size("w") > 0)
-    return page(ranked.unionByName(like_search(short, narrow(docs))), after, size)
+    return page(found if short.isEmpty() else found.unionByName(like_search(short, narrow(docs))), after, size)
 
 
 def page(results: DataFrame, after: DataFrame | None, size: int | None) -> DataFrame:
@@ -170,9 +213,11 @@ def like_search(queries: DataFrame, docs: DataFrame) -> DataFrame:
     found = F.filter(F.transform("queries", lambda x: F.struct(x["query_id"].alias("query_id"), held(x).alias("held"))), lambda x: F.array_contains(x["held"], True))
     j = text.crossJoin(in_blocks(queries.select("query_id", "w"), QUERIES)).select("doc_id", "created_at", F.explode(found).alias("x"))
     j = j.select("doc_id", "created_at", "x.query_id", F.forall("x.held", lambda h: h).alias("every"))
-    j = j.withColumn("some", F.max("every").over(Window.partitionBy("query_id"))).where("every OR NOT some")
-    order = Window.partitionBy("query_id").orderBy(F.desc("created_at"), F.desc("doc_id"))
-    return j.withColumn("position", F.row_number().over(order)).select("query_id", "doc_id", F.lit("like").alias("mode"), F.lit(None).cast("double").alias("rank"), "position")
+    j = stored(j, "like")
+    some = j.groupBy("query_id").agg(F.max("every").alias("some"))
+    j = j.join(some, "query_id").where("every OR NOT some").select("query_id", "doc_id", (-F.col("created_at")).alias("__new"), (-F.col("doc_id")).alias("__last"))
+    j = ranked(j, "query_id", "__new", "__last")
+    return j.select("query_id", "doc_id", F.lit("like").alias("mode"), F.lit(None).cast("double").alias("rank"), (F.col("pos") + 1).cast("int").alias("position"))
 
 
 def search_quality(results: DataFrame, answers: DataFrame, n: int = 10) -> DataFrame:

@@ -4,65 +4,86 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import containment, content_tokens, is_prose, split_sentences, trigrams
-from ..storage import stored
+from ..storage import spread, stored
 from .evaluation import recall_at_k
 
 MIN_BODY, MAX_SENTENCES, DAMPING, EPSILON, ROUNDS, CANDIDATES = 200, 200, 0.85, 1e-4, 50, 10
 REDUNDANT, MAX_RUNES = 0.8, 450
 
 
+def once(df: DataFrame, **cols: Column) -> DataFrame:
+    """df with more columns, computed once a row: a generator stands between them and what uses them, which the optimizer would else compute anew in each step of a lambda."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
+def sentence_array(parts: Column) -> Column:
+    """The first 200 different parts of a text, each with its number and its tokens."""
+    first = F.slice(F.array_distinct(parts), 1, MAX_SENTENCES)
+    return F.transform(first, lambda x, i: F.struct(i.alias("i"), x.alias("sentence"), content_tokens(x).alias("tokens")))
+
+
+def prose_texts(docs: DataFrame, body: str = "body_text") -> DataFrame:
+    """docs with s: the prose sentences (see sentence_array) of bodies of at least 200 characters; other rows go."""
+    return once(spread(docs, "id").where(F.length(body) >= MIN_BODY), s=sentence_array(F.filter(split_sentences(F.col(body)), is_prose)))
+
+
 def prose_sentences(docs: DataFrame, body: str = "body_text") -> DataFrame:
     """id, i, sentence, tokens: the first 200 different prose sentences of bodies of at least 200 characters."""
-    s = docs.where(F.length(body) >= MIN_BODY).select("id", F.array_distinct(F.filter(split_sentences(F.col(body)), is_prose)).alias("all"))
-    s = s.select("id", F.posexplode(F.slice("all", 1, MAX_SENTENCES)).alias("i", "sentence"))
-    return s.withColumn("tokens", content_tokens(F.col("sentence")))
-
-
-def sentence_edges(sentences: DataFrame) -> DataFrame:
-    """id, i, j, w for i < j of one text: common tokens by the logarithms of the sizes. At most 200 sentences a text bound the pairs."""
-    t = sentences.where(F.size("tokens") >= 2).select("id", "i", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    other = t.select("id", F.col("i").alias("j"), F.col("n").alias("m"), "token")
-    both = t.join(other, ["id", "token"]).where("i < j").groupBy("id", "i", "j").agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n"), F.first("m").alias("m"))
-    return both.select("id", "i", "j", (F.col("common") / F.greatest(F.log("n") + F.log("m"), F.lit(0.5))).alias("w"))
-
-
-def centrality(sentences: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, i, score: weighted PageRank a text, scaled to a largest score of 1. A driver loop over rounds, not rows; a text that has settled stops changing."""
-    both = edges.unionByName(edges.select("id", F.col("j").alias("i"), F.col("i").alias("j"), "w"))
-    out = both.groupBy("id", "i").agg(F.sum("w").alias("total"))
-    flow = stored(both.join(out, ["id", "i"]).select("id", "i", F.col("j"), (F.col("w") / F.col("total")).alias("share")), "flow")
-    ranks = sentences.select("id", "i", F.lit(1.0).alias("r"), F.lit(False).alias("done"))
-    for n in range(ROUNDS):
-        got = flow.join(ranks.where("NOT done").select("id", "i", "r"), ["id", "i"]).groupBy("id", F.col("j").alias("i")).agg(F.sum(F.col("r") * F.col("share")).alias("got"))
-        new = ranks.join(got, ["id", "i"], "left").withColumn("new", F.when(F.col("done"), F.col("r")).otherwise(1 - DAMPING + DAMPING * F.coalesce("got", F.lit(0.0))))
-        settled = F.max(F.abs(F.col("new") - F.col("r"))).over(Window.partitionBy("id")) < EPSILON
-        ranks = new.select("id", "i", F.col("new").alias("r"), (F.col("done") | settled).alias("done"))
-        if n % 5 == 4:
-            ranks = stored(ranks, "ranks")
-            if ranks.where("NOT done").isEmpty():
-                break
-    return ranks.select("id", "i", (F.col("r") / F.max("r").over(Window.partitionBy("id"))).alias("score"))
+    return prose_texts(docs.select("id", body), body).select("id", F.inline("s"))
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Common tokens of two sentences by the logarithms of their sizes; sentences of fewer than two tokens are like nothing."""
+    sizes = F.greatest(F.log(F.size(a["tokens"])) + F.log(F.size(b["tokens"])), F.lit(0.5))
+    return F.when((F.size(a["tokens"]) >= 2) & (F.size(b["tokens"]) >= 2), F.size(F.array_intersect(a["tokens"], b["tokens"])) / sizes).otherwise(0.0)
+
+
+def sentence_edges(texts: DataFrame) -> DataFrame:
+    """texts(id, s) -> id, i, j, w for i before j of one text. A text is one row and one task's work: at most 200 sentences bound the pairs, and nothing is shuffled."""
+    later = lambda a: F.filter(F.transform(F.slice("s", a["i"] + 2, MAX_SENTENCES), lambda b: F.struct(b["i"].alias("j"), similarity(a, b).alias("w"))), lambda e: e["w"] > 0)
+    each = texts.select("id", F.explode(F.transform("s", lambda a: F.struct(a["i"].alias("i"), later(a).alias("near")))).alias("a"))
+    return each.select("id", F.col("a.i").alias("i"), F.inline("a.near"))
+
+
+def with_centrality(texts: DataFrame) -> DataFrame:
+    """texts(s, ...) with score: weighted PageRank of each sentence, scaled to a largest score of 1.
+
+    A text's sentences are the rows of a sparse matrix, an array of arrays; power iteration is an aggregate over at most ROUNDS rounds that stands still once no rank
+    moves by EPSILON. All of it is in the text's row: no round is a shuffle.
+    """
+    near = lambda a: F.filter(F.transform("s", lambda b: F.struct(b["i"].alias("j"), F.when(a["i"] == b["i"], 0.0).otherwise(similarity(a, b)).alias("w"))), lambda e: e["w"] > 0)
+    t = once(texts, rows=F.transform("s", near))
+    t = once(t, total=F.transform("rows", lambda r: F.aggregate(r, F.lit(0.0), lambda n, e: n + e["w"])))
+    t = once(t, flow=F.transform("rows", lambda r: F.transform(r, lambda e: F.struct(e["j"].alias("j"), (e["w"] / F.get("total", e["j"])).alias("share"))))).drop("rows", "total")
+    start = F.struct(F.transform("s", lambda _: F.lit(1.0)).alias("now"), F.transform("s", lambda _: F.lit(9.0)).alias("before"))
+
+    def step(state, _):
+        moved = F.array_max(F.zip_with(state["now"], state["before"], lambda x, y: F.abs(x - y)))
+        new = F.transform("flow", lambda r: F.lit(1 - DAMPING) + F.lit(DAMPING) * F.aggregate(r, F.lit(0.0), lambda n, e: n + e["share"] * F.get(state["now"], e["j"])))
+        return F.when(moved < EPSILON, state).otherwise(F.struct(new.alias("now"), state["now"].alias("before")))
+
+    t = once(t, ranks=F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)["now"]).drop("flow")
+    return once(t, score=F.transform("ranks", lambda r: r / F.array_max("ranks"))).drop("ranks")
 
 
 def summarize_corpus(docs: DataFrame) -> DataFrame:
     """docs(id, description, body_text) -> id, summary: two or three central and different sentences in document order.
 
-    The ten most central compete in rounds of maximal marginal relevance, inside one row a text: .7 centrality less .3 of the largest
-    overlap with the description or a sentence picked before; overlaps of .8 are refused, ties go to the earlier sentence.
+    The ten most central compete in rounds of maximal marginal relevance: .7 centrality less .3 of the largest
+    overlap with the description or a sentence picked before; overlaps of .8 are refused, ties go to the earlier sentence. Of texts with three or four sentences
+    the first two are taken. Each text is summarised in its own row, without a shuffle.
     """
-    s = stored(prose_sentences(docs), "sentences")
-    sized = s.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    many = s.join(sized.where("n >= 5"), "id")
-    central = centrality(many.select("id", "i"), stored(sentence_edges(many), "edges"))
-    top = Window.partitionBy("id").orderBy(F.desc("score"), "i")
-    cand = central.withColumn("rk", F.row_number().over(top)).where(F.col("rk") <= CANDIDATES).join(many, ["id", "i"])
-    first = s.join(sized.where("n < 5"), "id").where("i < 2").select("id", "i", F.lit(1.0).alias("score"), "sentence", "tokens", "n")
-    about = docs.select("id", content_tokens(F.col("description")).alias("about"))
-    g = cand.select("id", "i", "score", "sentence", "tokens", "n").unionByName(first).groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("i", "sentence", "tokens", "score"))).alias("c")).join(about, "id", "left")
+    t = once(prose_texts(docs.select("id", "description", "body_text")), n=F.size("s"), about=content_tokens(F.col("description"))).where("n >= 3").select("id", "s", "n", "about")
+    best = F.transform(F.slice(F.array_sort(F.transform("s", lambda x: F.struct((-F.get("score", x["i"])).alias("a"), x["i"].alias("i"), F.get("score", x["i"]).alias("score")))), 1, CANDIDATES), lambda x: F.struct(x["i"].alias("i"), x["score"].alias("score")))
+    many = once(with_centrality(t.where("n >= 5")), best=best)
+    few = t.where("n < 5").withColumn("best", F.transform(F.array(F.lit(0), F.lit(1)), lambda i: F.struct(i.alias("i"), F.lit(1.0).alias("score"))))
+    of = lambda x: F.get("s", x["i"])
+    g = many.select("id", "s", "n", "about", "best").unionByName(few.select("id", "s", "n", "about", "best"))
+    g = once(g, c=F.array_sort(F.transform("best", lambda x: F.struct(x["i"].alias("i"), of(x)["sentence"].alias("sentence"), of(x)["tokens"].alias("tokens"), x["score"].alias("score"))))).drop("s", "best")
     k = F.when(F.col("n") >= 8, 3).otherwise(2)
     none = F.filter("c", lambda x: F.lit(False))
 
@@ -73,20 +94,19 @@ def summarize_corpus(docs: DataFrame) -> DataFrame:
         best = F.array_min(mmr)["x"]
         return F.when((F.size(picked) < k) & best.isNotNull(), F.concat(picked, F.array(best))).otherwise(picked)
 
-    g = g.withColumn("picked", F.array_sort(F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), none, pick)))
+    g = once(g, picked=F.array_sort(F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), none, pick)))
     joined = F.aggregate("picked", F.lit(""), lambda t, x: F.when(t == "", x["sentence"]).when(F.length(t) + 1 + F.length(x["sentence"]) <= MAX_RUNES, F.concat(t, F.lit(" "), x["sentence"])).otherwise(t))
-    g = g.select("id", joined.alias("summary"), "about")
+    g = once(g.select("id", "about", "picked"), summary=joined)
     return g.select("id", F.when(containment(content_tokens(F.col("summary")), F.col("about")) >= REDUNDANT, "").otherwise(F.col("summary")).alias("summary"))
 
 
 def lead_n(docs: DataFrame, n: int = 3) -> DataFrame:
-    s = prose_sentences(docs).where(F.col("i") < n)
-    return s.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
+    return prose_texts(docs.select("id", "body_text")).where(F.size("s") > 0).select("id", F.array_join(F.transform(F.slice("s", 1, n), lambda x: x["sentence"]), " ").alias("summary"))
 
 
 def guard_breakdown(docs: DataFrame, summaries: DataFrame) -> DataFrame:
     """Why links have no summary; the reasons add up to all that lack one."""
-    n = stored(prose_sentences(docs).select("id"), "prose").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    n = stored(prose_texts(docs.select("id", "body_text")).select("id", F.size("s").alias("n")), "prose")
     j = docs.join(n, "id", "left").join(summaries.where("summary <> ''").select("id", F.lit(True).alias("has")), "id", "left")
     reason = F.when(F.col("has"), "summary").when(F.length("body_text") < MIN_BODY, "thin body").when(F.coalesce("n", F.lit(0)) < 3, "few prose").otherwise("overlap")
     return j.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("links"))

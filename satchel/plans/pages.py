@@ -8,6 +8,7 @@ from ..functions import tokens
 from ..operators import pages as P
 from ..operators import summaries as S
 from ..sources import files
+from ..storage import spread
 from .columns import CHARS, CONTENT, THREES
 from .registry import query
 
@@ -33,19 +34,23 @@ query("a19_wall_percentiles", f"WITH w AS (SELECT len({WALL}) AS n, coalesce(lis
 query("s01_page_anchors", r"""SELECT page_id, """ + UNESC.format(r"""unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1))""") + """ AS href FROM pages""", ("pages",))(lambda p: p.select("page_id", F.explode(files.anchors(c("html"))).alias("a")).select("page_id", c("a.url").alias("href")).where("href <> ''"))
 query("s09_page_corpus", "SELECT url AS file, url, host, octet_length(encode(html)) AS bytes, html FROM page_links", ("page_links",))(lambda p: files.page_corpus(p.select(c("url").alias("file"), c("html").alias("content")), p.select(c("url").alias("file"), "url", "host", F.octet_length("html").cast("long").alias("bytes"))))
 
-SENT = "sn AS (SELECT id, unnest(list_distinct(string_split(body_text, chr(10)))) AS s FROM links), st AS (SELECT id, s, " + CONTENT.format("s") + " AS tk FROM sn), e AS (SELECT id, md5(s) AS k, len(tk) AS n, unnest(tk) AS t FROM st WHERE len(tk) >= 2)"
-query("j13_sentence_edges", "WITH " + SENT + " SELECT a.id, a.k AS i, b.k AS j, round(count(*) / greatest(ln(any_value(a.n)) + ln(any_value(b.n)), 0.5), 6) AS w FROM e a JOIN e b ON a.id = b.id AND a.t = b.t AND a.k < b.k GROUP BY a.id, a.k, b.k", ("links",))(lambda l: edges(l))  # noqa: E741
+# sentences are cut by rules that DuckDB hasn't; lines are cut alike: the first 200 different ones of a text, numbered
+PARTS = "sn AS (SELECT id, string_split(body_text, chr(10)) AS l FROM links), sd AS (SELECT id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:200] AS l FROM sn), si AS (SELECT id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS i FROM sd)"
+SENT = PARTS + ", st AS (SELECT id, i, " + CONTENT.format("s") + " AS tk FROM si), e AS (SELECT id, i, len(tk) AS n, unnest(tk) AS t FROM st WHERE len(tk) >= 2)"
+query("j13_sentence_edges", "WITH " + SENT + " SELECT a.id, a.i AS i, b.i AS j, round(count(*) / greatest(ln(any_value(a.n)) + ln(any_value(b.n)), 0.5), 6) AS w FROM e a JOIN e b ON a.id = b.id AND a.t = b.t AND a.i < b.i GROUP BY a.id, a.i, b.i", ("links",))(lambda l: long_edges(line_texts(l)))  # noqa: E741
 
 
-def edges(l):  # noqa: E741
-    """Edges between the lines of texts, named by their hash."""
-    s = l.select("id", F.explode(F.array_distinct(F.split("body_text", "\n"))).alias("s"))
-    s = s.select("id", F.md5("s").alias("i"), tokens.content_tokens(c("s")).alias("tokens"))
-    return S.sentence_edges(s).select("id", "i", "j", F.round("w", 6).alias("w"))
+def line_texts(l):  # noqa: E741
+    """Texts with their lines in the place of sentences."""
+    return S.once(spread(l.select("id", "body_text"), "id"), s=S.sentence_array(F.split("body_text", "\n"))).drop("body_text")
+
+
+def long_edges(texts):
+    return S.sentence_edges(texts).select("id", c("i").cast("long").alias("i"), c("j").cast("long").alias("j"), F.round("w", 6).alias("w"))
 
 
 # j13_sentence_edges takes lines, which DuckDB can cut too; this one the prose sentences that summaries rank
-query("j13_prose_edges", None, ("links",))(lambda l: S.sentence_edges(S.prose_sentences(l)).select("id", "i", "j", F.round("w", 6).alias("w")))  # noqa: E741
+query("j13_prose_edges", None, ("links",))(lambda l: long_edges(S.prose_texts(l.select("id", "body_text"))))  # noqa: E741
 query("t5_summarize_corpus", None, ("links",))(S.summarize_corpus)
 query("w06_lead_3", None, ("links",))(S.lead_n)
 query("a16_summary_quality", None, ("links",))(lambda l: S.summary_quality(l, S.summarize_corpus(l)))  # noqa: E741

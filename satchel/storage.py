@@ -35,6 +35,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df, dealt by keys over as many tasks as there are cores if it comes from fewer files: a small file is one task's, however much work its rows are. Large tables stay as
+    they are read, without a shuffle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= n else df.repartition(n, *keys)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete stored tables that nothing will read again."""
     for table in tables:
