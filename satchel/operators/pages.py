@@ -75,10 +75,79 @@ def publisher_keywords(html: Column) -> Column:
     return cap_bytes(F.array_join(_unique_fold(words), ", "), LIMITS["keywords"])
 
 
+#: Elements whose direct paragraphs may make them the body; elements that the outline of a page knows besides; what a body has at least (fixed values).
+CONTAINERS = ("article", "main", "section", "div")
+OTHERS = ("body", "p", "li", "ul", "ol", "dl", "dd", "dt", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "blockquote", "figure", "figcaption", "header", "footer", "aside", "nav", "form", "fieldset", "details", "pre", "h1", "h2", "h3", "h4", "h5", "h6")
+LEAST_BODY = 200
+#: What marks a page's body, the surest first: an element's name, or an attribute (fixed values).
+ROOTS = (r"^<article\b", r"""^<[^>]*\brole\s*=\s*["']?main\b""", r"^<main\b", r"""^<[^>]*\bid\s*=\s*["']?content["'\s>]""", r"""^<[^>]*\bclass\s*=\s*["']?(?:[^"'>]*\s)?post-content["'\s>]""")
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _text_length(html: Column) -> Column:
+    """Characters of an element's text; an entity counts as one."""
+    return F.length(F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", ""), r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);", "x"), F.lit(" \n\t\r\f")))
+
+
+def _outline(parts: Column) -> Column:
+    """Parts of a page, each a tag and what follows it -> (paras: at of a container, length of a paragraph right inside it; ends: at and end of each element).
+
+    A fold with a stack of open elements: a closing tag ends the last element of its name and all in it, one without an opening tag is passed over, and what never
+    closes ends with the page.
+    """
+    piece = F.transform(parts, lambda p, i: F.struct(i.alias("at"), F.lower(F.regexp_extract(p, r"^</?([A-Za-z0-9]+)", 1)).alias("tag"), p.startswith("</").alias("close"), p.alias("part")))
+    none = F.struct(
+        F.array().cast("array<struct<at:int,tag:string>>").alias("stack"),
+        F.array().cast("array<struct<at:int,len:int>>").alias("paras"),
+        F.array().cast("array<struct<at:int,end:int>>").alias("ends"),
+    )
+
+    def step(state, p):
+        stack = state["stack"]
+        opened = F.struct(F.concat(stack, F.array(F.struct(p["at"], p["tag"]))).alias("stack"), state["paras"].alias("paras"), state["ends"].alias("ends"))
+        inside = (F.size(stack) > 0) & F.coalesce(F.try_element_at(stack, F.lit(-1))["tag"].isin(*CONTAINERS), F.lit(False))
+        para = F.struct(stack.alias("stack"), F.concat(state["paras"], F.array(F.struct(F.try_element_at(stack, F.lit(-1))["at"].alias("at"), _text_length(p["part"]).alias("len")))).alias("paras"), state["ends"].alias("ends"))
+        from_top = F.array_position(F.reverse(F.transform(stack, lambda x: x["tag"])), p["tag"]).cast("int")
+        closed = lambda n: F.struct(
+            F.slice(stack, F.lit(1), F.size(stack) - n).alias("stack"),
+            state["paras"].alias("paras"),
+            F.concat(state["ends"], F.transform(F.slice(stack, F.size(stack) - n + 1, n), lambda x: F.struct(x["at"].alias("at"), p["at"].alias("end")))).alias("ends"),
+        )
+        closing = F.when(from_top > 0, closed(F.greatest(from_top, F.lit(1)))).otherwise(state)
+        return F.when((p["tag"] == "") | (p["close"] & (p["tag"] == "p")), state).when(p["close"], closing).when(p["tag"] != "p", opened).when(inside, para).otherwise(state)
+
+    rest = lambda s: F.concat(s["ends"], F.transform(s["stack"], lambda x: F.struct(x["at"].alias("at"), F.size(parts).alias("end"))))
+    return F.aggregate(piece, none, step, lambda s: F.struct(s["paras"].alias("paras"), rest(s).alias("ends")))
+
+
+def page_root(html: Column) -> Column:
+    """The HTML of a page's body: the first element of the surest mark (ROOTS) that has more than LEAST_BODY characters; else the container whose direct paragraphs have the most
+    text, if more than that (the first of equals); else the body element; else the page."""
+    plain = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1>|<!--.*?-->", " ")
+    pieces = F.split(plain, r"(?i)(?=</?(?:" + "|".join((*CONTAINERS, *OTHERS)) + r")\b)")
+
+    def chosen(parts, outline):
+        until = lambda at: F.element_at(F.filter(outline["ends"], lambda e: e["at"] == at), 1)["end"]
+        inner = lambda at: F.array_join(F.slice(parts, at + 1, until(at) - at), "")
+        first = lambda mark: F.array_min(F.filter(F.transform(parts, lambda p, i: F.when(p.rlike("(?i)" + mark), i)), lambda i: i.isNotNull()))
+        marked = [_let(first(mark), lambda at: F.when(at.isNotNull(), inner(at))) for mark in ROOTS]
+        long = [_let(x, lambda t: F.when(_text_length(t) > LEAST_BODY, t)) for x in marked]
+        total = lambda at: F.aggregate(F.filter(outline["paras"], lambda p: p["at"] == at), F.lit(0), lambda n, p: n + p["len"])
+        sums = F.transform(F.array_distinct(F.transform(outline["paras"], lambda p: p["at"])), lambda at: F.struct(total(at).alias("len"), (-at).alias("back")))
+        densest = _let(F.array_max(sums), lambda x: F.when(x["len"] > LEAST_BODY, inner(-x["back"])))
+        body = _let(first(r"^<body\b"), lambda at: F.when(at.isNotNull(), inner(at)))
+        return F.coalesce(*long, densest, body, F.array_join(parts, ""))
+
+    return _let(pieces, lambda parts: _let(_outline(parts), lambda outline: chosen(parts, outline)))
+
+
 def block_text(html: Column) -> Column:
-    """Readable text: the article, main or body; scripts, navigation and notes dropped; block ends are lines."""
-    root = lambda tag: F.nullif(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>", 1), F.lit(""))
-    t = F.coalesce(root("article"), root("main"), root("body"), html)
+    """Readable text of a page's root (see page_root): scripts, navigation and notes dropped; block ends are lines."""
+    t = page_root(html)
     t = F.regexp_replace(t, r"(?is)<(script|style|nav|aside|footer|form|noscript|iframe|svg)\b[^>]*>.*?</\1>|<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?i)<br\s*/?>|</(?:p|div|h[1-6]|li|tr|section|article|blockquote|pre)>", "\n")
     t = unescape_entities(F.regexp_replace(t, r"<[^>]*>", ""))
