@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from .chat_format import OP8_SQL, op8_chat_format
 from .decontaminate import op5_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
@@ -21,7 +19,6 @@ from .warc import OP7_SQL, op7_warc
 
 def queries() -> dict:
     return {
-        "pipeline": corpus_pipeline.run,
         "op1_jaccard_join": op1_jaccard_join,
         "op2_language_id": op2_language_id,
         "op3_substring_dedup": op3_substring_dedup,
