@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import spread
+from ..storage import log_rows, spread
 from .search import BUCKETS, COLUMNS, _bucket, build_postings, search, search_documents
 
 _LOG = "segment long, since long, batch string"
@@ -26,13 +26,7 @@ class SearchIndex:
 
     def log(self) -> list:
         """(segment, since, batch) in order; since: the first segment that still counts. As many rows as changes."""
-        rows = self.spark.read.schema(_LOG).option("ignoreMissingFiles", "true")
-        try:
-            return sorted(rows.parquet(f"{self.path}/log").collect(), key=lambda r: r.segment)
-        except Exception as e:  # no log yet: an empty index
-            if "PATH_NOT_FOUND" in str(e):
-                return []
-            raise
+        return sorted(log_rows(self.spark, f"{self.path}/log", _LOG), key=lambda r: r.segment)
 
     def _write(self, docs: DataFrame, gone: DataFrame, batch: str | None, *, whole: bool = False) -> int:
         log = self.log()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,11 +43,22 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if len(df.inputFiles()) >= n else df.repartition(n, *keys)
 
 
+def log_rows(spark: SparkSession, path: str, schema: str) -> list:
+    """The rows of a small log at path; none if nothing has been written there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path).collect()
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return []
+        raise
+
+
 def dropped(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing will read again."""
+    """Delete stored tables that nothing will read again. Folders are told by their path alone, since a file system may answer with its host and port."""
     for table in tables:
         spark = table.sparkSession
+        own = urlsplit(shared_dir(spark)).path.rstrip("/") + "/satchel-"
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            if f"{shared_dir(spark).removeprefix('file://')}/satchel-" in folder:
+            if urlsplit(folder).path.startswith(own):
                 path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.urls import url_hash
 from ..operators.merges import merge_saves
 from ..operators.tagging import tag_corpus
-from ..storage import dropped, stored
+from ..storage import dropped, log_rows, stored
 
 
 #: Folders of an archive on storage, by a hash of the URL.
@@ -27,17 +31,26 @@ def write_archive(links: DataFrame, path: str) -> None:
 
 def stream_saves(saves: DataFrame, path: str, checkpoint: str, now: int, watermark: str = "1 day") -> StreamingQuery:
     """saves(at timestamp, url, ...) merged batch by batch into the archive at path (write_archive). A batch reads and rewrites the folders its URLs
-    fall in, by way of a table of its own; a replay merges saves that are there already, which changes nothing."""
+    fall in, by way of a table of its own.
+
+    A ledger beside the archive names the batches of each checkpoint that are in it, a row once all folders of a batch are written. A batch that comes again after that is
+    passed over, so what has been deleted since stays deleted; one that died half way is merged again, which changes nothing where it had got to."""
     once = saves.withColumn("h", url_hash(F.col("url"))).withWatermark("at", watermark).dropDuplicatesWithinWatermark(["h"]).drop("h", "at")
 
-    def merge(batch: DataFrame, _: int) -> None:
+    ledger, kinds = f"{path.rstrip('/')}_batches", "stream string, batch long"
+
+    def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        if any((r.stream, r.batch) == (checkpoint, number) for r in log_rows(spark, ledger, kinds)):
+            batch.write.format("noop").mode("overwrite").save()  # its state has to be written all the same
+            return
         touched = [r.bucket for r in batch.select(_bucket().alias("bucket")).distinct().collect()]  # BUCKETS at most
         if touched:
             old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
             new = stored(merge_saves(old, batch, now).drop("outcome"), "merged")
             write_archive(new, path)
             dropped(new)
+        spark.createDataFrame([(checkpoint, number)], kinds).coalesce(1).write.mode("append").parquet(ledger)
 
     return once.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -58,6 +71,36 @@ def stream_domain_encounter(saves: DataFrame, least: int = 3) -> DataFrame:
     return per.select("domain", F.when(F.col("n") >= least, F.col("n")).otherwise(0).alias("n"))
 
 
+def running_encounters(saves: DataFrame, least: int = 3) -> DataFrame:
+    """saves(id, domain, at) -> id, domain, at, n, shown: at each save, how many of its domain there have been, and whether that is worth saying (n >= least).
+
+    On a stream (append mode) a count per domain is the state, and each save gives one row, in order of time within a batch. On a table it is the window that this must equal. A null
+    domain is a domain.
+    """
+    if not saves.isStreaming:
+        from pyspark.sql.window import Window
+
+        n = F.count(F.lit(1)).over(Window.partitionBy("domain").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0))
+        return saves.select("id", "domain", "at", n.alias("n")).withColumn("shown", F.col("n") >= least)
+
+    def count(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = state.get[0] if state.exists else 0
+        rows = pd.concat(list(parts)).sort_values(["at", "id"])  # a domain's saves of one batch
+        rows["n"] = range(before + 1, before + len(rows) + 1)
+        rows["shown"] = rows["n"] >= least
+        state.update((before + len(rows),))
+        yield rows[["id", "domain", "at", "n", "shown"]]
+
+    kinds = "id long, domain string, at timestamp, n long, shown boolean"
+    return saves.select("id", "domain", "at").groupBy("domain").applyInPandasWithState(count, kinds, "n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def log_encounters(saves: DataFrame, path: str, checkpoint: str, least: int = 3) -> StreamingQuery:
+    """The saves at which a domain's count is worth saying, logged as they come: exactly once, by the file sink's own log."""
+    shown = running_encounters(saves, least).where("shown").drop("shown")
+    return shown.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def job_state(last: DataFrame, most: int = 3) -> DataFrame:
     """job_id, state, run_after of last(job_id, e: struct<at, status, attempts, permanent>)."""
     e = lambda n: F.col(f"e.{n}")
