@@ -118,14 +118,44 @@ def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out
 
 
+def write_links_sheet(rows: DataFrame, path: str, *, rows_per_file: int = 100_000) -> None:
+    """The flat table of links (export_links) as CSV files with a header, in the place of what was there; no file has more than rows_per_file rows. Times are written as a
+    sheet reads them, quotes are doubled, cells may hold lines, and what is null is an empty cell."""
+    sheet = rows.fillna("").withColumn("saved", F.date_format(F.timestamp_seconds("saved"), "yyyy-MM-dd HH:mm:ss"))
+    sheet.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("maxRecordsPerFile", rows_per_file).csv(path)
+
+
+def read_links_sheet(spark: SparkSession, path: str) -> DataFrame:
+    kinds = "id long, saved timestamp, url string, domain string, title string, description string, tags string, note string, status string"
+    read = spark.read.schema(kinds).option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", "\\N").option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+    return read.withColumn("saved", F.unix_timestamp("saved"))
+
+
+def write_label_candidates(rows: DataFrame, path: str, *, rows_per_file: int = 100_000) -> None:
+    """Candidates for labels (label_candidates) as JSON lines, in the place of what was there; read_golden reads them."""
+    rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("ignoreNullFields", False).json(path)
+
+
 def read_timing_log(spark: SparkSession, path: str, budget_ms: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """(report of saved and failed durations, number of broken lines) of JSON lines with outcome and ms."""
-    raw = spark.read.text(path).select(F.from_json("value", "outcome string, ms double").alias("r"), "value")
-    good = raw.where("r.ms IS NOT NULL").select(F.when(F.col("r.outcome").isin("saved", "duplicate"), "saved").otherwise("failed").alias("class"), "r.ms")
+    """(report of saved and failed durations, number of broken lines) of JSON lines with outcome and ms. A line is broken if it isn't JSON of these types, or has no ms."""
+    kinds = "outcome string, ms double, _corrupt_record string"
+    raw = spark.read.text(path).select(F.from_json("value", kinds, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    whole = F.col("r._corrupt_record").isNull() & F.col("r.ms").isNotNull()
+    good = raw.where(whole).select(F.when(F.col("r.outcome").isin("saved", "duplicate"), "saved").otherwise("failed").alias("class"), "r.ms")
     at = lambda p: F.min(F.when(F.col("upto") >= F.greatest(F.floor(p * F.col("n") + 0.5), F.lit(1)), F.col("value"))).alias(f"p{round(p * 100)}")
     report = ranked_values(good, "ms", "class").groupBy("class").agg(F.max("n").alias("n"), at(0.5), at(0.95), F.max("value").alias("max"))
     report = report.join(good.groupBy("class").agg(F.count_if(F.col("ms") > budget_ms).alias("over_budget")), "class")
-    return report, raw.where("r.ms IS NULL").agg(F.count(F.lit(1)).alias("broken"))
+    return report, raw.where(~whole).agg(F.count(F.lit(1)).alias("broken"))
+
+
+def timing_gate(report: DataFrame) -> None:
+    """Fails the job if nothing was saved, or if a save was over its budget."""
+    rows = {r["class"]: r for r in report.collect()}  # two rows at most
+    failed = rows["failed"]["n"] if "failed" in rows else 0
+    if "saved" not in rows:
+        raise RuntimeError(f"no save came through ({failed} failed)")
+    if rows["saved"]["over_budget"]:
+        raise RuntimeError(f"{rows['saved']['over_budget']} of {rows['saved']['n']} saves were over budget")
 
 
 def synthetic_links(spark: SparkSession, n: int, seed: int, now: int) -> DataFrame:
