@@ -38,7 +38,7 @@ FIT = "(SELECT max(k) FROM (SELECT unnest(generate_series(0, {1})) AS k) WHERE s
 columns("r11_cap_bytes", "documents", "doc_id", cut=(lambda: texts.cap_bytes(c("text"), 301), "substr(text, 1, " + FIT.format("text", 301) + ")"))
 columns("r12_sanitize", "documents", "doc_id", line=(lambda: texts.sanitize(c("text")), r"regexp_replace(translate(text, chr(10) || chr(9) || chr(13), '   '), '\p{Cc}', '', 'g')"))
 columns("r13_clean", "documents", "doc_id", line=(lambda: texts.clean(c("text"), 512), r"trim(regexp_replace(translate(substr(text, 1, " + FIT.format("text", 512) + r"), chr(10) || chr(9) || chr(13) || chr(65533), '   '), '\p{Cc}', '', 'g'))"))
-columns("r14_unescape", "pages", "page_id", title=(lambda: texts.unescape_entities(F.regexp_extract(c("html"), "(?s)<title>(.*?)</title>", 1)), "replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&#39;', ''''), '&amp;', '&')"))
+columns("r14_unescape", "pages", "page_id", text=(lambda: texts.unescape_entities(c("html")), "replace(replace(replace(replace(replace(replace(replace(replace(html, '&copy;', chr(169)), '&middot;', chr(183)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&#39;', ''''), '&amp;', '&')"))
 columns("r15_truncate", "links", "id", short=(lambda: texts.truncate_runes(c("body_text")), "substr(body_text, 1, 200)"))
 columns("r16_is_thin", "links", "id", thin=(lambda: texts.is_thin(c("title"), c("description"), c("body_text")), "length(title) + length(description) + length(body_text) < 200"))
 columns("r17_is_blocked", "links", "id", blocked=(lambda: texts.is_blocked_page(c("title"), c("description"), c("body_text")), "length(title || ' ' || description || ' ' || body_text) < 400 AND (" + " OR ".join(f"contains(lower(title || ' ' || description || ' ' || body_text), '{p}')" for p in texts.WALL_PHRASES) + ")"))
