@@ -66,8 +66,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     attachments: array<struct<turn_no, part_no, kind, ref, tokens>> in order of placeholders; expanded_tokens is
     their sum. Defined cases: null parts or text are empty; a null role is written as an empty one, role names are
     escaped too, with their line ends; turns sort by turn (null first), ties by role and rendered content, so equal rows stay as often
-    as they come; a null conversation id is a conversation of its own; an empty table gives no rows; other columns
-    are ignored. A conversation is one training sample and so one row; its turns meet in one task. Offsets are
+    as they come; a null conversation id is a conversation of its own; an empty table gives no rows; other columns,
+    whatever their names, are ignored; a very long text is escaped whole, in its row. A conversation is one training sample and so one row; its turns meet in one task. Offsets are
     running sums in the window that the grouping's one shuffle serves as well.
     """
     parts = F.coalesce(F.col("__parts"), F.array().cast("array<struct<type:string,text:string,ref:string,tokens:bigint>>"))

@@ -74,7 +74,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, without the rows whose text equals that of a row with a smaller id; rows with equal id and text stay as they are."""
+    """docs, all columns, without the rows whose text equals that of a row with a smaller id; rows with equal id and text stay as they are.
+
+    Null and empty texts are equal; a null id goes if any other is there; columns of any name are kept; an empty table stays empty; very long texts are
+    hashed whole, where they are read.
+    """
     gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
 

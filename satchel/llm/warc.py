@@ -91,7 +91,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     payloads are not shuffled as long as there are at most FEW revisits, whose table is then broadcast (some 200 bytes a row).
 
     Defined cases: a null payload is empty; null urls have no target line; a null id is written as urn:page:null,
-    and never gets referred to; equal rows are written as often as they come; no rows make no records.
+    and never gets referred to; equal rows are written as often as they come; no rows make no records; other columns, whatever their names, are left
+    aside; a very long payload is many segments, made one after the other.
     """
     p = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     binary = F.col("payload").cast("binary")
