@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,13 +20,19 @@ from .tokens import _PLACE, U, blocks, hash_words, lean, mix, text_bytes, word_s
 
 #: Words of the longest phrase.
 LONGEST = 5
-#: Candidates of one trie; with two slots a node and three numbers a slot it takes some 20 MB. More candidates make more tries, each walked in its turn.
-TRIE = 250_000
-#: Words that a task counts at once.
-SLICE = 2_000_000
+#: Candidates of one trie; with two slots a node and three numbers a slot it takes some 30 MB. More candidates make more tries, each walked in its turn.
+TRIE = 500_000
+#: Words that a task works on at once, and names whose counts it holds.
+SLICE, NAMES = 1_000_000, 1_000_000
+#: Word keys that a task reads, unless there are fewer tasks than two a core.
+TASK = 8_000_000
+#: Bits of a hashed phrase on the way to its sum: phrases that share them only make a candidate more.
+HASHED = U((1 << 40) - 1)
 #: Word keys of a stored row, unless a piece of text is longer.
 ROW = 512
 SALT = 32
+#: Counts of a row on their way to be summed, and rows of a chunk that meet first, at most tasks / PARTS.
+CHUNK, PARTS = 4096, 64
 
 _PIECE = np.zeros(256, bool)
 _PIECE[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -56,7 +63,7 @@ def _seed(lang: str) -> np.uint64:
 def _joined(parts: list[tuple], langs: list[str]) -> Words:
     at = np.cumsum([0, *(len(p[5]) for p in parts)])
     keys, fresh, lang = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    starts, ends = (np.concatenate([p[k] + x for p, x in zip(parts, at)]) for k in (3, 4))
+    starts, ends = (np.concatenate([p[k] + np.int32(x) for p, x in zip(parts, at)]) for k in (3, 4))
     return Words(keys, fresh, lang, starts, ends, b"".join(p[5] for p in parts), langs)
 
 
@@ -65,7 +72,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     parts, n = [], 0
     number: dict[str, int] = {}
     for batch in batches:
-        of_row = np.array([number.setdefault(x, len(number)) for x in batch.column(0).to_pylist()], np.int64)
+        of_row = np.array([number.setdefault(x, len(number)) for x in batch.column(0).to_pylist()], np.int32)
         seeds = np.array([_seed(x) for x in number], U)
         for first, part in blocks(batch.column(1)):
             data, offsets = text_bytes(part)
@@ -78,7 +85,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
             fresh[at[:-1][at[:-1] < len(starts)]] = True
             lang = np.repeat(of_row[first : first + len(part)], np.diff(at))
             keys = np.maximum(mix(hash_words(data, starts, ends) ^ seeds[lang]), U(1))  # 0 parts runs
-            parts.append((keys, fresh, lang, starts, ends, data.tobytes()))
+            parts.append((keys, fresh, lang, starts.astype(np.int32), ends.astype(np.int32), data.tobytes()))
             n += len(starts)
             if n >= SLICE:
                 yield _joined(parts, list(number))
@@ -87,15 +94,38 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
         yield _joined(parts, list(number))
 
 
+class Sums:
+    """Counts of a task by name, given away once there are NAMES of them: bounds memory, and spares the shuffle what slices have in common."""
+
+    def __init__(self):
+        self.names, self.n = np.zeros(0, U), np.zeros(0, np.int64)
+
+    def add(self, names: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        every = np.concatenate([self.names, names])
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+        n = np.concatenate([self.n, n])[order]
+        self.names, self.n = every[first], np.add.reduceat(n, first) if len(first) else n
+        if len(self.names) >= NAMES:
+            yield from self.end()
+
+    def end(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if len(self.names):
+            yield self.names, self.n
+        self.__init__()
+
+
 @lean
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, null, n) of each word of a slice, (null, lang, n) of each language."""
+    """(key, lang, word, n) of each word of a slice, (null, lang, null, n) of each language."""
+    names = ["key", "lang", "word", "n"]
     for w in slices(batches):
-        keys, n = np.unique(w.keys, return_counts=True)
-        total = np.bincount(w.lang, minlength=len(w.langs))
-        key = pa.concat_arrays([pa.array(keys.view(np.int64)), pa.nulls(len(total), pa.int64())])
-        lang = pa.concat_arrays([pa.nulls(len(keys), pa.string()), pa.array(w.langs, pa.string())])
-        yield pa.RecordBatch.from_arrays([key, lang, pa.array(np.concatenate([n, total]).astype(np.int64))], ["key", "lang", "n"])
+        total = np.bincount(w.lang, minlength=len(w.langs)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(total), pa.int64()), pa.array(w.langs, pa.string()), pa.nulls(len(total), pa.string()), pa.array(total)], names)
+        keys, first, n = np.unique(w.keys, return_index=True, return_counts=True)
+        langs = pa.array(w.langs, pa.string()).take(pa.array(w.lang[first]))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), langs, pa.array([w.text(i) for i in first], pa.string()), pa.array(n)], names)
 
 
 def gram_names(words: np.ndarray, k: int) -> np.ndarray:
@@ -109,30 +139,11 @@ def gram_names(words: np.ndarray, k: int) -> np.ndarray:
         return mix(out)
 
 
-def _frequent_here(words: np.ndarray, at: np.ndarray, names: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Names and words of the k-word phrases at the given places that come at least `least` times among them."""
-    names, first, n = np.unique(names, return_index=True, return_counts=True)
-    often = n >= least
-    return names[often], words[at[first[often]][:, None] + np.arange(k)]
-
-
-def _phrases(names: np.ndarray, words: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    k = words.shape[1]
-    flat = np.ascontiguousarray(words).view(np.int64).ravel()
-    return pa.array(names.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, k, dtype=np.int32)), pa.array(flat))
-
-
-def _encoder(bits, share: float):
-    """Texts -> rows of runs (word keys, a 0 after each run), of pair candidates (name, keys), and of the words (name, lang, word).
-
-    A run is a stretch of at least two words of one piece that are all frequent, as far as the bitmap tells. A pair is a candidate if, in this slice, it
-    comes as often as the slice's share of all words asks of at least one slice.
-    """
+def _encoder(bits):
+    """Texts -> rows of runs: word keys, a 0 after each run. A run is a stretch of at least two words of one piece that are all frequent, as far as the bitmap tells."""
 
     @lean
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "name", "keys", "lang", "word"]
-        longs = pa.list_(pa.int64())
         for w in slices(batches):
             ok = in_bitmap(bits.value, w.keys)
             follows = np.zeros(len(ok) + 1, bool)  # follows[i]: words i - 1 and i are neighbours in a run
@@ -144,18 +155,7 @@ def _encoder(bits, share: float):
             ends = np.flatnonzero(out == 0) + 1
             ends = ends[np.append(ends[1:] // ROW != ends[:-1] // ROW, True)] if len(ends) else ends
             runs = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(out.view(np.int64)))
-            n = len(runs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), runs.cast(longs), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], names)
-            at = np.flatnonzero(follows[1:-1])
-            if len(at):
-                name, pair = _phrases(*_frequent_here(w.keys, at, gram_names(w.keys, 2)[at], 2, share * len(w.keys)))
-                n = len(name)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), name, pair.cast(longs), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], names)
-            key, first = np.unique(w.keys[kept], return_index=True)
-            word = [w.text(i) for i in kept[first]]
-            lang = [w.langs[i] for i in w.lang[kept[first]]]
-            n = len(key)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(key.view(np.int64)), pa.nulls(n, longs), pa.array(lang, pa.string()), pa.array(word, pa.string())], names)
+            yield pa.RecordBatch.from_arrays([runs.cast(pa.list_(pa.int64()))], ["keys"])
 
     return encode
 
@@ -172,26 +172,55 @@ def _run_words(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
                 yield flat[a:b]
 
 
-def _extender(bits, k: int, share: float):
-    """Runs -> candidates of k words (name, keys): those whose first and last k - 1 words are frequent, as far as the bitmap tells, and that come as often
-    in this slice as its share of all word keys asks of at least one slice."""
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs -> (name, n) of all pairs of neighbours, hashed."""
+    sums = Sums()
+    rows = lambda names, n: pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], ["name", "n"])
+    for words in _run_words(batches):
+        both = (words[:-1] != 0) & (words[1:] != 0)
+        for x in sums.add(*np.unique(gram_names(words, 2)[both] & HASHED, return_counts=True)):
+            yield rows(*x)
+    for x in sums.end():
+        yield rows(*x)
+
+
+def _extender(bits, k: int, *, grow: bool):
+    """Runs -> (name, k0, k1, ...) of the (k - 1)-word phrases in the bitmap, once a task or so, and if `grow` (hashed name, n) of k-word phrases whose first and last
+    k - 1 words are in it."""
+
+    def counted(names: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), *[pa.nulls(len(names), pa.int64())] * LONGEST, pa.array(n)], _GROWN)
 
     @lean
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, told = Sums(), np.zeros(0, U)
         for words in _run_words(batches):
-            if len(words) < k:
+            if len(words) < k - 1:
                 continue
             inside = words != 0
-            whole = np.logical_and.reduce([inside[j : len(words) - k + 1 + j] for j in range(k)])
-            often = in_bitmap(bits.value, gram_names(words, k - 1))
-            at = np.flatnonzero(whole & often[:-1] & often[1:])
-            if len(at):
-                found = _frequent_here(words, at, gram_names(words, k)[at], k, share * inside.sum())
-                yield pa.RecordBatch.from_arrays([*_phrases(*found)], ["name", "keys"])
+            whole = np.logical_and.reduce([inside[j : len(words) - k + 2 + j] for j in range(k - 1)])
+            shorter = gram_names(words, k - 1)
+            often = whole & in_bitmap(bits.value, shorter)
+            at = np.flatnonzero(often)
+            names, first = np.unique(shorter[at], return_index=True)
+            new = ~np.isin(names, told, assume_unique=True)
+            told = np.union1d(told, names) if len(told) < NAMES else names
+            spots = at[first[new]]
+            cols = [words[spots + j].view(np.int64) if j < k - 1 else np.zeros(len(spots), np.int64) for j in range(LONGEST)]
+            yield pa.RecordBatch.from_arrays([pa.array(names[new].view(np.int64)), *map(pa.array, cols), pa.nulls(len(spots), pa.int64())], _GROWN)
+            if grow and len(words) >= k:
+                for x in sums.add(*np.unique(gram_names(words, k)[often[:-1] & often[1:]] & HASHED, return_counts=True)):
+                    yield counted(*x)
+        for x in sums.end():
+            yield counted(*x)
 
     return extend
 
 
+_KEYS = [f"k{j}" for j in range(LONGEST)]
+_GROWN = ["name", *_KEYS, "n"]
+
+
 @dataclass
 class Trie:
     """A double-array trie over word keys: from state s, code c leads to slot base[s] + c if check[slot] is s. Codes are places in the sorted alphabet, from 1."""
@@ -199,46 +228,58 @@ class Trie:
     alphabet: np.ndarray
     base: np.ndarray
     check: np.ndarray
-    accepts: np.ndarray  # the phrase's number at the slots of the last words, else -1
+    accepts: np.ndarray  # the number of the phrase that ends at a slot, else -1
 
     def codes(self, words: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.alphabet, words), len(self.alphabet) - 1)
         return np.where(self.alphabet[at] == words, at + 1, 0)
 
-    def walk(self, words: np.ndarray, k: int) -> np.ndarray:
-        """The numbers of the k-word phrases that start at any place, all places advanced together, word by word."""
-        codes = np.append(self.codes(words), np.zeros(k, np.int64))
+    def walk(self, words: np.ndarray, longest: int = LONGEST) -> Iterator[np.ndarray]:
+        """Level by level, the numbers of the phrases that end there, from any place: all places advance together, and those without a next state fall out."""
+        codes = np.append(self.codes(words), np.zeros(longest, np.int64))
         at = np.flatnonzero(codes)
         state = np.zeros(len(at), np.int64)
-        for j in range(k):
+        for j in range(longest):
             code = codes[at + j]
             slot = self.base[state] + code
             alive = (code > 0) & (self.check[slot] == state)
             at, state = at[alive], slot[alive]
-        return self.accepts[state]
+            number = self.accepts[state]
+            yield number[number >= 0]
 
 
 def build_trie(phrases: np.ndarray) -> tuple[Trie, np.ndarray]:
-    """The trie of the rows of phrases (n different rows of k word keys each), and the row that each number stands for.
+    """The trie of the rows of phrases (different rows of word keys, filled up with 0 behind), and the row that each number stands for.
 
     Nodes with many children are placed first, at bases tried at random where all their slots are free; those with one child fill free slots.
     """
     alphabet = np.unique(phrases)
-    codes = np.searchsorted(alphabet, phrases) + 1
+    alphabet = alphabet[alphabet != 0]
+    codes = np.where(phrases != 0, np.searchsorted(alphabet, phrases) + 1, 0)
     order = np.lexsort(codes.T[::-1])
     codes = codes[order]
     n, k = codes.shape
     differs = np.ones((n, k), bool)
     differs[1:] = np.logical_or.accumulate(codes[1:] != codes[:-1], axis=1)
+    differs &= codes > 0
     a = len(alphabet)
     size = int(2 * differs.sum() + 3 * a + 64)
     free = np.ones(size, bool)
     free[0] = False
     base, check, accepts = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+
+    def room_for(more: int) -> None:
+        nonlocal free, base, check, accepts, size
+        free = np.append(free, np.ones(more, bool))
+        base, check, accepts = (np.append(x, np.full(more, y)) for x, y in ((base, 0), (check, -1), (accepts, -1)))
+        size += more
+
     rng = np.random.default_rng(1)
     state = np.zeros(n, np.int64)  # of each row's first words
     for j in range(k):
         first = np.flatnonzero(differs[:, j])
+        if not len(first):
+            break
         parent, code = state[first], codes[first, j]
         starts = np.flatnonzero(np.append(True, parent[1:] != parent[:-1]))
         children = np.diff(np.append(starts, len(parent)))
@@ -252,10 +293,8 @@ def build_trie(phrases: np.ndarray) -> tuple[Trie, np.ndarray]:
                 fits = free[tries[:, None] + own].all(axis=1)
                 if fits.any():
                     break
-                if rng.random() < 1 / 64:  # too dense for this node: room at the end
-                    free = np.append(free, np.ones(a + 1, bool))
-                    base, check, accepts = (np.append(x, np.full(a + 1, y)) for x, y in ((base, 0), (check, -1), (accepts, -1)))
-                    size += a + 1
+                if rng.random() < 1 / 64:  # too dense for this node
+                    room_for(a + 1)
             b = tries[np.argmax(fits)]
             slot[starts[g] : starts[g] + children[g]] = b + own
             base[parent[starts[g]]] = b
@@ -265,62 +304,82 @@ def build_trie(phrases: np.ndarray) -> tuple[Trie, np.ndarray]:
         if len(room) < len(single):
             more = len(single) - len(room)
             room = np.append(room, np.arange(size, size + more))
-            free = np.append(free, np.ones(more + a + 1, bool))
-            base, check, accepts = (np.append(x, np.full(more + a + 1, y)) for x, y in ((base, 0), (check, -1), (accepts, -1)))
-            size += more + a + 1
+            room_for(more + a + 1)
         slot[single] = room
         base[parent[single]] = room - code[single]
         free[room] = False
         check[slot] = parent
-        state = slot[np.cumsum(differs[:, j]) - 1]
-    accepts[state] = np.arange(n)
+        inside = codes[:, j] > 0
+        state = np.where(inside, slot[np.maximum(np.cumsum(differs[:, j]) - 1, 0)], state)
+        ends = np.flatnonzero(inside & (codes[:, j + 1] == 0)) if j + 1 < k else np.flatnonzero(inside)
+        accepts[state[ends]] = ends
     return Trie(alphabet, base.astype(np.int32), check.astype(np.int32), accepts.astype(np.int32)), order
 
 
-_TRIE_ROW = "trie int, names binary, alphabet binary, base binary, check binary, accepts binary"
-
-
 def _packed(key, rows):
-    trie, order = build_trie(np.array(rows["keys"].to_list(), np.int64).view(U))
+    trie, order = build_trie(np.column_stack([rows[c].to_numpy(np.int64) for c in _KEYS]).view(U))
     names = rows["name"].to_numpy(np.int64)[order]
     return pd.DataFrame([[key[0], names.tobytes(), *(x.tobytes() for x in (trie.alphabet, trie.base, trie.check, trie.accepts))]], columns=["trie", "names", "alphabet", "base", "check", "accepts"])
 
 
-def _counter(held, k: int):
-    """Runs -> (name, n) of the phrases of one trie that a task has seen."""
+def _counter(held):
+    """Runs -> (chunk, part, counts): how often a task has seen the phrases of one trie, by their numbers, CHUNK to a row."""
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, *arrays = (np.frombuffer(x, t) for x, t in zip(held.value, (np.int64, U, np.int32, np.int32, np.int32)))
-        trie, total = Trie(*arrays), np.zeros(len(names), np.int64)
+        trie, total = Trie(*arrays), np.zeros(-(-len(names) // CHUNK) * CHUNK, np.int64)
         for words in _run_words(batches):
-            total += np.bincount(trie.walk(words, k), minlength=len(names))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(names[seen]), pa.array(total[seen])], ["name", "n"])
+            for numbers in trie.walk(words):
+                total += np.bincount(numbers, minlength=len(total))
+        total = total.reshape(-1, CHUNK)
+        seen = np.flatnonzero(total.any(axis=1))
+        counts = pa.ListArray.from_arrays(pa.array(np.arange(len(seen) + 1, dtype=np.int32) * CHUNK), pa.array(total[seen].ravel()))
+        part = np.full(len(seen), TaskContext.get().partitionId() % PARTS, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(part), counts], ["chunk", "part", "counts"])
 
     return count
 
 
-def _counted(runs: DataFrame, candidates: DataFrame, k: int, least: int) -> DataFrame:
+def _namer(held, least: int):
+    """(chunk, counts) -> (name, f) of those that come at least `least` times."""
+
+    @lean
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.frombuffer(held.value[0], np.int64)
+        for batch in batches:
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                f = counts.values.to_numpy()
+                often = np.flatnonzero(f >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(names[chunk * CHUNK + often]), pa.array(f[often])], ["name", "f"])
+
+    return name
+
+
+def _counted(runs: DataFrame, candidates: DataFrame, least: int) -> DataFrame:
     """name, keys, f of the candidates that come at least `least` times: tries built in tasks, broadcast one after the other, walked over all runs, counts summed."""
     spark = runs.sparkSession
-    tries = max(1, -(-candidates.count() // TRIE))
-    built = stored(candidates.withColumn("trie", F.pmod(F.xxhash64("name"), F.lit(tries)).cast("int")).groupBy("trie").applyInPandas(_packed, _TRIE_ROW), "tries")
+    tries = -(-candidates.count() // TRIE)
+    built = candidates.withColumn("trie", F.pmod(F.xxhash64("name"), F.lit(tries)).cast("int")) if tries > 1 else candidates.withColumn("trie", F.lit(0))
+    built = stored(built.groupBy("trie").applyInPandas(_packed, "trie int, names binary, alphabet binary, base binary, check binary, accepts binary"), "tries")
+    total = F.aggregate(F.collect_list("counts"), F.array_repeat(F.lit(0).cast("long"), CHUNK), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias("counts")
     done = []
     for i in range(tries):
-        row = built.where(F.col("trie") == i).first()  # one trie of TRIE candidates or so
+        row = built.where(F.col("trie") == i).first()  # one trie, of TRIE candidates or so
         if row is None:
             continue
         held = spark.sparkContext.broadcast(tuple(bytes(x) for x in row[1:]))
-        counts = runs.mapInArrow(_counter(held, k), "name long, n long").groupBy("name").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        done.append(stored(counts, f"phrases{k}"))
+        counts = runs.mapInArrow(_counter(held), "chunk int, part int, counts array<bigint>")
+        counts = counts.groupBy("chunk", "part").agg(total).groupBy("chunk").agg(total)  # a chunk's rows, one a task, meet in PARTS parts first
+        done.append(stored(counts.mapInArrow(_namer(held, least), "name long, f long"), "counts"))
         held.destroy()
+    keys = F.filter(F.array(*_KEYS), lambda x: x != 0).alias("keys")
     if not done:
-        return stored(candidates.select("name", "keys", F.lit(0).cast("long").alias("f")).limit(0), f"frequent{k}")
+        return candidates.select("name", keys, F.lit(0).cast("long").alias("f"))
     counts = done[0]
     for more in done[1:]:
         counts = counts.unionByName(more)
-    out = stored(candidates.join(counts, "name").select("name", "keys", "f"), f"frequent{k}")
+    out = stored(candidates.select("name", keys).join(counts, "name"), "frequent")
     dropped(built, *done)
     return out
 
@@ -333,11 +392,10 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
     into a first part (l times) and a rest (r times), n words in all; of equal cuts the first. A phrase goes if a longer one that has at least
     min_count holds it and comes at least absorb % as often. Arithmetic is decimal, exact to 38 digits.
 
-    Levels: words are counted by a shuffle. Of pairs and longer phrases, a slice of the data names those as candidates whose first
-    and last k - 1 words may be frequent (a bitmap of fixed size) and that come in it at least as often as its share of all words asks: a phrase with
-    min_count must do so in one slice, so no frequent phrase is lost. Candidates become tries of a bounded size, broadcast one at a time,
-    that numpy walks from all places of the texts at once; counts of accepting states are summed over tasks. Only words that are frequent and have a
-    frequent neighbour are stored between the levels.
+    Level by level, phrases are counted by a hash, summed by a shuffle, if their first and last words are frequent by the level before (a bitmap of fixed size tells):
+    what comes min_count times by hash is a candidate, so no frequent phrase is lost. All candidates, of all lengths, become double-array tries of a
+    bounded size, broadcast one after the other, that numpy walks from all places of the texts at once, word by word; accepting states are counted by bincount, and
+    counts summed over tasks. Texts are read twice, for words and for runs of frequent words; only the runs, as word keys, are stored and read again for each level.
 
     Defined cases: null text is empty, null language is `und`; repeated rows count as often as they come; a very long text
     is worked on in its task, one row of runs unless it has a mark or a rare word; ties of score and count go by phrase in byte order; empty tables give no rows; other columns,
@@ -346,36 +404,36 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
     if not 2 <= longest <= LONGEST:
         raise ValueError(f"phrases have 2 to {LONGEST} words")
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counted = texts.mapInArrow(_count_words, "key long, lang string, n long").groupBy("key", "lang").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(_count_words, "key long, lang string, word string, n long").groupBy("key", "lang", "word").agg(F.sum("n").alias("n"))
     counted = stored(counted.where((F.col("n") >= min_count) | F.col("key").isNull()), "words")
-    totals, words = counted.where("key is null").select("lang", "n"), counted.where("key is not null").select("key", F.col("n").alias("f"))
-    every = totals.agg(F.sum("n")).first()[0] or 1
+    totals, words = counted.where("key is null").select("lang", "n"), counted.where("key is not null").select("key", "lang", "word", F.col("n").alias("f"))
     bits = bitmap(words.select("key"))
-    encoded = stored(texts.mapInArrow(_encoder(bits, min_count * (1 - 1e-9) / every), "kind int, name long, keys array<bigint>, lang string, word string"), "runs")
+    whole = stored(texts.mapInArrow(_encoder(bits), "keys array<bigint>"), "runs")
     bits.destroy()
-    runs, candidates = encoded.where("kind = 0").select("keys"), encoded.where("kind = 2").select("name", "keys")
-    spelled = stored(encoded.where("kind = 1").groupBy(F.col("name").alias("key")).agg(F.min("lang").alias("lang"), F.min("word").alias("word")).join(words, "key").select("key", "lang", "word"), "spelled")
-    inside = runs.agg(F.sum(F.size("keys"))).first()[0] or 1  # a bound from above on the word keys of all slices
-    levels = []
-    for k in range(2, longest + 1):
-        if k > 2:
-            bits = bitmap(levels[-1].select("name"))
-            candidates = runs.mapInArrow(_extender(bits, k, min_count * (1 - 1e-9) / inside), "name long, keys array<bigint>")
-        candidates = stored(candidates.groupBy("name").agg(F.min("keys").alias("keys")), f"candidates{k}")
-        if k > 2:
-            bits.destroy()
-        levels.append(_counted(runs, candidates, k, min_count))
-        dropped(candidates)
-        if levels[-1].isEmpty():
-            break
-    dropped(encoded)
-    return _ranked(levels, words, spelled, totals, top, absorb)
+    n = whole.agg(F.sum(F.size("keys"))).first()[0] or 0
+    runs = whole.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, n // TASK + 1))  # a task tells a phrase once, so fewer tasks tell less
+    pairs = runs.mapInArrow(lean(_pair_counts), "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    bits, candidates, old = bitmap(pairs.select("name")), [], [whole]
+    schema = ", ".join(f"{c} long" for c in _GROWN)
+    for k in range(3, longest + 2):
+        grown = runs.mapInArrow(_extender(bits, k, grow=k <= longest), schema)
+        grown = grown.groupBy("name", F.col("k0").isNull().alias("hashed")).agg(*[F.min(c).alias(c) for c in _KEYS], F.sum("n").alias("n"))
+        grown = stored(grown.where((F.col("n") >= min_count) | ~F.col("hashed")), f"grown{k}")
+        old.append(grown)
+        candidates.append(grown.where("not hashed").select("name", *_KEYS))
+        bits.destroy()
+        bits = bitmap(grown.where("hashed").select("name"))
+    bits.destroy()
+    found = candidates[0]
+    for more in candidates[1:]:
+        found = found.unionByName(more)
+    found = _counted(runs, found, min_count)
+    out = _ranked(found, words, totals, top, absorb)
+    dropped(*old)
+    return out
 
 
-def _ranked(levels: list[DataFrame], words: DataFrame, spelled: DataFrame, totals: DataFrame, top: int, absorb: int) -> DataFrame:
-    found = levels[0]
-    for more in levels[1:]:
-        found = found.unionByName(more)
+def _ranked(found: DataFrame, words: DataFrame, totals: DataFrame, top: int, absorb: int) -> DataFrame:
     size = F.size("keys")
     part = F.transform(F.sequence(F.lit(2), F.greatest(size - 1, F.lit(2))), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(size - k + 1, F.lit(1))), lambda i: F.slice("keys", i, k)))
     inner = found.where(size > 2).select(F.explode(F.array_distinct(F.flatten(part))).alias("keys"), F.col("f").alias("longer")).groupBy("keys").agg(F.max("longer").alias("longer"))
@@ -385,7 +443,7 @@ def _ranked(levels: list[DataFrame], words: DataFrame, spelled: DataFrame, total
     cuts = cuts.withColumns({"head": F.slice("keys", 1, F.col("cut")), "tail": F.slice("keys", F.col("cut") + 1, size - F.col("cut"))})
     cuts = cuts.join(parts.select(F.col("part").alias("head"), F.col("n_part").alias("l")), "head").join(parts.select(F.col("part").alias("tail"), F.col("n_part").alias("r")), "tail")
     cuts = cuts.select("name", "keys", "f", "cut", "l", "r")
-    word = own.select("name", F.posexplode("keys").alias("i", "key")).join(spelled, "key")
+    word = own.select("name", F.posexplode("keys").alias("i", "key")).join(words.select("key", "lang", "word"), "key")
     word = word.groupBy("name").agg(F.min("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase"))  # five words at most
     big = lambda c: F.col(c).cast("decimal(19,0)")
     scored = cuts.join(word, "name").join(totals, "lang").withColumns({"upper": big("f") * big("n") * F.lit(1000).cast("decimal(4,0)"), "lower": big("l") * big("r")})
