@@ -5,29 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.urls import url_hash
-from ..operators.merges import merge_saves
+from ..operators.archive import merge_into
+from ..operators.merges import merge_saves, settle_failures
 from ..operators.tagging import tag_corpus
-from ..storage import dropped, log_rows, stored
-
-
-#: Folders of an archive on storage, by a hash of the URL.
-BUCKETS = 64
-
-
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64(url_hash(F.col("url"))), F.lit(BUCKETS)).cast("int")
-
-
-def write_archive(links: DataFrame, path: str) -> None:
-    """Links in folders by bucket, each written anew as a whole."""
-    links.withColumn("bucket", _bucket()).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
+from ..storage import log_rows
 
 def stream_saves(saves: DataFrame, path: str, checkpoint: str, now: int, watermark: str = "1 day") -> StreamingQuery:
     """saves(at timestamp, url, ...) merged batch by batch into the archive at path (write_archive). A batch reads and rewrites the folders its URLs
@@ -44,12 +31,7 @@ def stream_saves(saves: DataFrame, path: str, checkpoint: str, now: int, waterma
         if any((r.stream, r.batch) == (checkpoint, number) for r in log_rows(spark, ledger, kinds)):
             batch.write.format("noop").mode("overwrite").save()  # its state has to be written all the same
             return
-        touched = [r.bucket for r in batch.select(_bucket().alias("bucket")).distinct().collect()]  # BUCKETS at most
-        if touched:
-            old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
-            new = stored(merge_saves(old, batch, now).drop("outcome"), "merged")
-            write_archive(new, path)
-            dropped(new)
+        merge_into(path, batch, lambda old, new: merge_saves(old, new, now).drop("outcome"), on="url")
         spark.createDataFrame([(checkpoint, number)], kinds).coalesce(1).write.mode("append").parquet(ledger)
 
     return once.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -112,3 +94,77 @@ def job_status(events: DataFrame, most: int = 3) -> DataFrame:
     """Works on batch and stream alike (update mode): the last event of a job decides."""
     e = F.struct("at", "status", "attempts", "permanent")
     return job_state(events.groupBy("job_id").agg(F.max(e).alias("e")), most)
+
+
+#: What job_timers says of a job: state is waiting (again at run_after), due (run_after has passed), exhausted, or the event's own status.
+JOB_ROW = "job_id long, link_id long, kind string, at timestamp, seq long, state string, attempts long, run_after long, error string"
+
+
+def _job_row(most: int) -> list:
+    again = (F.col("status") == "failed") & (F.col("attempts") < most) & ~F.col("permanent")
+    state = F.when(again, "waiting").when(F.col("status") == "failed", "exhausted").otherwise(F.col("status"))
+    return ["job_id", "link_id", "kind", "at", "seq", state.alias("state"), "attempts", F.when(again, F.unix_seconds("at") + 30 * F.col("attempts")).alias("run_after"), "error"]
+
+
+def job_timers(events: DataFrame, most: int = 3, watermark: str = "10 minutes", now: int | None = None) -> DataFrame:
+    """events(job_id, link_id, kind, at timestamp, seq, status, attempts, permanent, error) -> JOB_ROW: where each job stands; the last event, by at and then seq, decides.
+
+    On a stream (append mode) a job gives a row when a batch brings a newer event, and one more, due, once the watermark has passed its run_after. State ends: a waiting job's with its
+    timer, any other's when the watermark has passed its last event, since what could come before that is late and dropped. On a table each job gives one row, as of now (in seconds;
+    None: no timer has run out). A job's events are taken part by part, so one with very many needs no memory. Events without job_id or at are left out.
+    """
+    rows = events.where(F.col("job_id").isNotNull() & F.col("at").isNotNull())
+    if not events.isStreaming:
+        last = rows.groupBy("job_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "job_id"]), F.struct("at", "seq")).alias("e")).select("job_id", "e.*")
+        row = last.select(*_job_row(most))
+        return row if now is None else row.withColumn("state", F.when((F.col("state") == "waiting") & (F.col("run_after") < now), "due").otherwise(F.col("state")))
+    fields = ["us", "seq", "link_id", "kind", "state", "attempts", "run_after", "error"]
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = tuple(state.get) if state.exists else None
+        row = lambda r, s: pd.DataFrame({"job_id": [key[0]], "link_id": [r[2]], "kind": [r[3]], "at": [pd.Timestamp(r[0], unit="us", tz="UTC")], "seq": [r[1]], "state": [s], "attempts": [r[5]], "run_after": [r[6]], "error": [r[7]]}).astype({c: "Int64" for c in ("link_id", "seq", "attempts", "run_after")})
+        if state.hasTimedOut:
+            state.remove()
+            if kept[4] == "waiting":
+                yield row(kept, "due")
+            return
+        best = kept
+        for part in parts:
+            for r in part.sort_values(["us", "seq"]).tail(1)[fields].itertuples(index=False):
+                r = tuple(None if pd.isna(v) else v if isinstance(v, str) else int(v) for v in r)
+                if best is None or r[:2] > best[:2]:
+                    best = r
+        state.update(best)
+        over = best[6] * 1000 if best[4] == "waiting" else best[0] // 1000
+        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
+        if best != kept:
+            yield row(best, best[4])
+
+    kinds = "us long, seq long, link_id long, kind string, state string, attempts long, run_after long, error string"
+    flat = rows.withWatermark("at", watermark).select(*_job_row(most)).withColumns({"us": F.unix_micros("at"), "seq": F.coalesce("seq", F.lit(0))})
+    return flat.groupBy("job_id").applyInPandasWithState(step, JOB_ROW, kinds, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def log_jobs(events: DataFrame, path: str, checkpoint: str, most: int = 3, watermark: str = "10 minutes") -> StreamingQuery:
+    """job_timers' rows, logged as they come: exactly once, by the file sink's own log."""
+    return job_timers(events, most, watermark).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def logged_jobs(log: DataFrame) -> DataFrame:
+    """log_jobs' rows -> jobs(id, link_id, kind, status, attempts, run_after, error) as retry_state, settle_failures, retry_failed and job_summary read them: a waiting or due job is
+    pending, an exhausted one failed."""
+    order = F.struct("at", "seq", (F.col("state") == "due").cast("int"))
+    last = log.groupBy("job_id").agg(F.max_by(F.struct("link_id", "kind", "state", "attempts", "run_after", "error"), order).alias("j")).select(F.col("job_id").alias("id"), "j.*")
+    status = F.when(F.col("state").isin("waiting", "due"), "pending").when(F.col("state") == "exhausted", "failed").otherwise(F.col("state"))
+    return last.select("id", "link_id", "kind", status.alias("status"), "attempts", "run_after", "error")
+
+
+def stream_settlements(events: DataFrame, path: str, checkpoint: str, most: int = 3, watermark: str = "10 minutes") -> StreamingQuery:
+    """Final failures reach the archive at path as they come: settle_failures on the folders of the failed jobs' links. The
+    archive has a column error for the cause. A batch that comes again changes nothing."""
+
+    def settle(batch: DataFrame, number: int) -> None:
+        jobs = logged_jobs(batch).where("status = 'failed' AND kind NOT IN ('tag', 'thumb')")
+        merge_into(path, jobs, settle_failures, on="link_id")
+
+    return job_timers(events, most, watermark).writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

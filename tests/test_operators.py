@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from satchel.operators import activity, evaluation, merges, pages, search, summaries, tagging
+from satchel.operators import activity, archive, evaluation, merges, pages, search, summaries, tagging
 from satchel.sources import files
 from satchel.streaming import flows
 
@@ -196,7 +196,7 @@ def test_stream_twins(spark, tmp_path):
     saves.write.parquet(str(tmp_path / "in"))
     links = spark.createDataFrame([link(1, "old"), link(2, "t", deleted=5)], LINK).drop("domain", "opened_at").withColumn("url", F.concat(F.lit("https://a.com/"), F.col("id")))
     path = str(tmp_path / "archive")
-    flows.write_archive(links, path)
+    archive.write_archive(links, path)
     run = lambda c: flows.stream_saves(spark.readStream.schema(saves.schema).parquet(str(tmp_path / "in")), path, str(tmp_path / c), NOW).awaitTermination()
     run("c")
     twin = merges.merge_saves(links, saves.dropDuplicates(["url"]).drop("at"), NOW).drop("outcome")

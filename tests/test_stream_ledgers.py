@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from satchel.operators import merges
+from satchel.operators import archive, merges
 from satchel.streaming import flows
 
 NOW = 1706659200
@@ -21,26 +21,26 @@ def test_a_batch_is_applied_once(spark, tmp_path, monkeypatch):
     saves.write.parquet(str(tmp_path / "in"))
     links = spark.createDataFrame([(1, "https://a.com/1", "old", "", "", "", "", "server", "done", 5, None)], LINK)
     path = str(tmp_path / "archive")
-    flows.write_archive(links, path)
+    archive.write_archive(links, path)
     stream = lambda c: flows.stream_saves(spark.readStream.schema(SAVE).parquet(str(tmp_path / "in")), path, str(tmp_path / c), NOW)
-    real, calls = flows.write_archive, []
+    real, calls = archive.write_archive, []
 
-    def dies(new, where):
+    def dies(new, where, **how):
         real(new.where(F.col("url") != "https://a.com/2"), where)  # a part of it, then the job is lost
         calls.append(1)
         raise RuntimeError("lost")
 
-    monkeypatch.setattr(flows, "write_archive", dies)
+    monkeypatch.setattr(archive, "write_archive", dies)
     with pytest.raises(Exception):
         stream("c").awaitTermination()
-    monkeypatch.setattr(flows, "write_archive", real)
+    monkeypatch.setattr(archive, "write_archive", real)
     stream("c").awaitTermination()  # the same batch comes again
     twin = merges.merge_saves(links, saves.drop("at"), NOW).drop("outcome")
     content = lambda df: key(df.select("url", "title", "status", "deleted_at"))
     assert calls and content(spark.read.parquet(path)) == content(twin)
     assert 0 in {r.batch for r in spark.read.parquet(path + "_batches").collect()}
     gone = spark.read.parquet(path).drop("bucket").withColumn("deleted_at", F.when(F.col("url") == "https://a.com/3", F.lit(NOW + 5)).otherwise(F.col("deleted_at")))
-    flows.write_archive(spark.createDataFrame(gone.collect(), gone.schema), path)
+    archive.write_archive(spark.createDataFrame(gone.collect(), gone.schema), path)
     before = key(spark.read.parquet(path))
     # the offsets know the batch, the commits don't: it is handed over once more
     for f in [*(tmp_path / "c" / "commits").iterdir(), *(tmp_path / "c" / "offsets").iterdir()]:
