@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,11 +29,68 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("content"))
 
 
+def pieces(spark: SparkSession, path: str | list[str], end: str) -> DataFrame:
+    """file, pos: struct<block, n>, value: the text of files cut behind every `end`, which value lacks. A large file is read by many tasks, each cutting its own range of bytes, and a
+    piece belongs to one of them. pos orders a file's pieces: the range's first byte, then the piece's number in its task. Gzipped files are one task each."""
+    raw = spark.read.text(path, lineSep=end)
+    n = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), n.alias("n")).alias("pos"), "value")
+
+
+def _anchor(tag: Column) -> Column:
+    attr = lambda n: unescape_entities(F.regexp_extract(tag, rf"""(?i)\b{n}\s*=\s*["']([^"']*)["']""", 1))
+    return F.struct(attr("href").alias("url"), attr("add_date").alias("add_date"))
+
+
 def anchors(content: Column) -> Column:
     """array<struct<url, add_date>> of a document's links."""
-    tags = F.regexp_extract_all(content, F.lit(r"(?is)(<a\s[^>]*>)"), 1)
-    attr = lambda a, n: unescape_entities(F.regexp_extract(a, rf"""(?i)\b{n}\s*=\s*["']([^"']*)["']""", 1))
-    return F.transform(tags, lambda a: F.struct(attr(a, "href").alias("url"), attr(a, "add_date").alias("add_date")))
+    return F.transform(F.regexp_extract_all(content, F.lit(r"(?is)(<a\s[^>]*>)"), 1), _anchor)
+
+
+def read_anchors(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, pos, a: struct<url, add_date> of HTML files of any size: the links of anchors(), found in pieces that end where a tag does. An anchor that the file's end cuts off
+    still counts if its attributes are there."""
+    tag = F.regexp_extract("value", r"(?is)(<a\s.*)$", 1)
+    return pieces(spark, path, ">").select("file", "pos", tag.alias("tag")).where("tag <> ''").select("file", "pos", _anchor(F.col("tag")).alias("a"))
+
+
+def read_bookmarks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """bookmarks() of files of any size: file, pos, url, created_at."""
+    return read_anchors(spark, path).where(is_http_url(F.col("a.url"))).select("file", "pos", F.col("a.url").alias("url"), add_date_seconds(F.col("a.add_date")).alias("created_at"))
+
+
+def sniff_files(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """json, html, csv -> the files at path that start like it (sniff_format). Blank and empty files are left out. The driver learns a name per file, as it does to list them."""
+    first = pieces(spark, path, ",").where("pos.block = 0").select("file", "pos", F.substring(F.regexp_replace("value", r"^[\ufeff\s]+", ""), 1, 1).alias("first")).where("first <> ''")
+    kinds = first.groupBy("file").agg(F.min_by("first", "pos").alias("first")).select("file", sniff_format(F.col("first")).alias("kind")).collect()
+    out: dict[str, list[str]] = {}
+    for r in kinds:
+        out.setdefault(r.kind, []).append(re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(r.file)))
+    return out
+
+
+def read_takeout(spark: SparkSession, path: str | list[str], kind: str | None = None) -> DataFrame:
+    """takeout() of files of any size: file, pos, url. kind (json, csv, html) holds for all files; without it each is told by its first character, for which all are read once more.
+
+    JSON is cut at the key titleUrl, at whatever depth, and what follows it is the address; so the rest of a broken file still gives rows. CSV is taken line by line: an address holds no
+    line end, whatever the quotes.
+    """
+    if kind is None:
+        found = sniff_files(spark, path)
+        none = spark.createDataFrame([], "file string, pos struct<block: bigint, n: bigint, k: int>, url string")
+        return reduce(lambda a, b: a.unionByName(b), [read_takeout(spark, names, k) for k, names in found.items()], none)
+    at = lambda k: F.struct("pos.block", "pos.n", k.alias("k")).alias("pos")
+    if kind == "html":
+        rows = read_anchors(spark, path).select("file", at(F.lit(0)), F.col("a.url").alias("url"))
+    elif kind == "json":
+        text = F.regexp_extract("value", r'^\s*:\s*("[^"\\]*+(?:\\.[^"\\]*+)*+")', 1)
+        entry = F.from_json(F.concat(F.lit('{"u":'), text, F.lit("}")), "u string")["u"]
+        rows = pieces(spark, path, '"titleUrl"').where(text != "").select("file", at(F.lit(0)), entry.alias("url"))
+    elif kind == "csv":
+        rows = pieces(spark, path, "\n").select("file", "pos", F.posexplode(F.regexp_extract_all("value", F.lit(WATCH_URL), 1)).alias("k", "url")).select("file", at(F.col("k")), "url")
+    else:
+        raise ValueError(f"no kind of history: {kind}")
+    return rows.where(is_youtube_watch(F.col("url")))
 
 
 def page_corpus(files: DataFrame, index: DataFrame) -> DataFrame:
@@ -63,7 +124,7 @@ def takeout(files: DataFrame) -> DataFrame:
 
 
 def ingest_import(found: DataFrame, links: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
-    """found(file, pos, url, created_at) -> (merged links, counts by outcome): bad URLs and times fail, the first of equal URLs counts."""
+    """found(file, pos, url, created_at), as read_bookmarks gives it -> (merged links, counts by outcome): bad URLs and times fail, the first of equal URLs counts."""
     good = is_http_url(F.col("url")) & valid_created_at(F.col("created_at"), now)
     bad = found.where(~good).select(F.lit("failed").alias("outcome"))
     first = first_per(found.where(good), "url", ["file", "pos"])
