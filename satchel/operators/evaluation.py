@@ -1,8 +1,8 @@
-"""Quality of tagging and summaries against labels."""
+"""Quality of tagging and search against labels: single measures, and reports that refuse what they can't judge and gates that fail the job."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,14 +23,75 @@ def tag_precision_recall(pred: DataFrame, gold: DataFrame) -> DataFrame:
     return r.withColumn("precision", rate("tp", "fp")).withColumn("recall", rate("tp", "fn"))
 
 
-def miss_anatomy(scores: DataFrame, gold: DataFrame, k: int = 3, threshold: float = 1.0) -> DataFrame:
-    """Scored before the cut: links tied at it; misses whose gold tags have no score, and misses that are outranked; the links a perfect rerank would reach."""
+def per_link(scores: DataFrame, gold: DataFrame, k: int = 3, threshold: float = 1.0) -> DataFrame:
+    """link_id, best (rank of its first gold tag, null if none has a score), a, b (the scores on both sides of the cut) of each labelled link, from scores before the cut."""
     w = Window.partitionBy("link_id").orderBy(F.desc("score"), F.desc("uncapped"), "tag")
     s = scores.where(F.col("score") >= threshold).withColumn("rank", F.row_number().over(w))
     at = s.groupBy("link_id").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("a"), F.max(F.when(F.col("rank") == k + 1, F.col("score"))).alias("b"))
     g = gold.join(s.select("link_id", "tag", "rank"), ["link_id", "tag"], "left").groupBy("link_id").agg(F.min("rank").alias("best"))
-    j = g.join(at, "link_id", "left")
-    return j.agg(F.count_if(F.col("a") == F.col("b")).alias("tied"), F.count_if(F.col("best").isNull()).alias("zero"), F.count_if(F.col("best") > k).alias("outranked"), F.count_if(F.col("best").isNotNull()).alias("reachable"), F.count(F.lit(1)).alias("links"))
+    return g.join(at, "link_id", "left")
+
+
+def _anatomy(k: int) -> list[Column]:
+    return [F.count_if(F.col("a") == F.col("b")).alias("tied"), F.count_if(F.col("best").isNull()).alias("zero"), F.count_if(F.col("best") > k).alias("outranked"), F.count_if(F.col("best").isNotNull()).alias("reachable"), F.count(F.lit(1)).alias("links")]
+
+
+def miss_anatomy(scores: DataFrame, gold: DataFrame, k: int = 3, threshold: float = 1.0) -> DataFrame:
+    """Scored before the cut: links tied at it; misses whose gold tags have no score, and misses that are outranked; the links a perfect rerank would reach."""
+    return per_link(scores, gold, k, threshold).agg(*_anatomy(k))
+
+
+def eval_tagging(scores: DataFrame, gold: DataFrame, names: DataFrame, facts: DataFrame, *slices: str, k: int = 3, threshold: float = 1.0) -> DataFrame:
+    """scores(link_id, tag, score, uncapped) before the cut, gold(link_id, tag), names(tag) of the dictionary, facts(link_id, set, and the slices) -> set, slice, value, links, recall,
+    and miss_anatomy's counts: one row for each set (slice all), and one for each value of each slice in it, all from one pass over the labelled links.
+
+    Refuses labels that the dictionary lacks, since nothing could hit them, and a set of links none of which is labelled. A null value of a slice is a value. Links without facts are left out.
+    """
+    if not (odd := unknown_labels(gold, names).select("tag").distinct().limit(10)).isEmpty():
+        raise ValueError(f"labels that the dictionary lacks: {sorted(str(r.tag) for r in odd.collect())}")
+    own = facts.select("link_id", "set", *slices)
+    labelled = own.join(gold.select("link_id").distinct(), "link_id", "left_semi")
+    if bare := sorted(str(r.set) for r in own.select("set").distinct().exceptAll(labelled.select("set").distinct()).collect()):  # a handful of sets
+        raise ValueError(f"sets without a label: {bare}")
+    flags = per_link(scores, gold, k, threshold).join(own, "link_id")
+    taken = lambda c: F.grouping(c) == 0
+    name = F.coalesce(*[F.when(taken(c), c) for c in slices], F.lit("all"))
+    value = F.coalesce(*[F.when(taken(c), F.col(c).cast("string")) for c in slices], F.lit(None).cast("string"))
+    hit = F.coalesce((F.col("best") <= k).cast("int"), F.lit(0))
+    return flags.groupingSets([["set"], *[["set", c] for c in slices]], "set", *slices).agg(name.alias("slice"), value.alias("value"), F.round(F.avg(hit), 6).alias("recall"), *_anatomy(k)).drop(*slices)
+
+
+def tagging_gate(report: DataFrame, least: dict[str, float]) -> None:
+    """Fails the job if a set's recall is below what is asked of it, or if the report lacks the set."""
+    got = {r.set: r.recall for r in report.where("slice = 'all'").select("set", "recall").collect()}  # a row for each set
+    if bad := {n: got.get(n) for n, x in least.items() if n not in got or got[n] < x}:
+        raise RuntimeError(f"recall too low: {bad}")
+
+
+def eval_search(results: DataFrame, answers: DataFrame, corpus: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
+    """results of a search, answers(query_id, doc_id), corpus(doc_id) -> (hit1, mrr, reached, queries; query_id, doc_id, position of answers that aren't first). Refuses answers that the
+    corpus lacks: they would look like failures of the search."""
+    from .search import search_misses, search_quality
+
+    if not (odd := answers.join(corpus.select("doc_id"), "doc_id", "left_anti").select("query_id").limit(10)).isEmpty():
+        raise ValueError(f"answers that the corpus lacks, of queries {sorted(r.query_id for r in odd.collect())}")
+    return search_quality(results, answers, n), search_misses(results.where(F.col("position") <= n), answers, 1)
+
+
+def ablation(links: DataFrame, surfaces: DataFrame, domains: DataFrame, gold: DataFrame, variants: dict[str, list[str]], k: int = 3) -> DataFrame:
+    """variant, recall, links: tagging without some of its fields (title, keywords, description, note, body, domain), by variant. Matches are found once; a table of the
+    variants, a handful written by hand, masks fields, then one scoring run serves all."""
+    from . import tagging as T
+
+    c, n = F.col, len(variants)
+    v = links.sparkSession.createDataFrame([(i, name, off) for i, (name, off) in enumerate(variants.items())], "i int, variant string, off array<string>")
+    found = T.matches(links, T.compile_surfaces(surfaces)).crossJoin(F.broadcast(v)).where(~F.array_contains("off", c("field")))
+    found = found.withColumn("link_id", c("link_id") * n + c("i")).drop("i", "variant", "off")
+    hits = T.domain_tags(links, domains).join(T.small(surfaces.select("tag_id", "tag").distinct()), "tag").crossJoin(F.broadcast(v)).where(~F.array_contains("off", F.lit("domain")))
+    hits = hits.withColumn("link_id", c("link_id") * n + c("i")).select("link_id", "tag_id", "tag")
+    many = links.crossJoin(F.broadcast(v)).select((c("id") * n + c("i")).alias("id"), F.when(F.array_contains("off", F.lit("body")), "").otherwise(c("body_text")).alias("body_text"))
+    top = T.top_tags(T.tag_scores(found, many, hits)).join(F.broadcast(v), F.pmod(c("link_id"), F.lit(n)) == c("i")).select("variant", F.floor(c("link_id") / n).alias("link_id"), "tag", "rank")
+    return recall_at_k(top, gold, k, "variant")
 
 
 def unknown_labels(gold: DataFrame, names: DataFrame) -> DataFrame:

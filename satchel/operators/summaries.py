@@ -112,20 +112,60 @@ def guard_breakdown(docs: DataFrame, summaries: DataFrame) -> DataFrame:
     return j.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("links"))
 
 
+def _measured(docs: DataFrame, column: str) -> DataFrame:
+    """docs with a struct in the place of a column of summaries (null or empty: none): has, overlap with the description, the largest overlap of two of its sentences, compression."""
+    text = F.nullif(F.col(column), F.lit(""))
+    parts = F.transform(split_sentences(text), content_tokens)
+    pairs = F.flatten(F.transform(parts, lambda a, i: F.transform(F.slice(parts, F.lit(1), i), lambda b: F.greatest(containment(a, b), containment(b, a)))))  # two or three sentences
+    m = F.struct(
+        containment(content_tokens(text), content_tokens(F.col("description"))).alias("overlap"),
+        F.coalesce(F.array_max(pairs), F.lit(0.0)).alias("pair_overlap"),
+        (F.length(text) / F.length("body_text")).alias("compression"),
+    )
+    return docs.withColumn(column, F.when(text.isNotNull(), m))
+
+
+def _means(column: str, prefix: str = "") -> list[Column]:
+    mean = lambda c: F.round(F.avg(c), 6)
+    return [mean(F.col(column).isNotNull().cast("int")).alias(f"{prefix}coverage"), *[mean(F.col(f"{column}.{n}")).alias(prefix + n) for n in ("overlap", "pair_overlap", "compression")]]
+
+
 def summary_quality(docs: DataFrame, summaries: DataFrame) -> DataFrame:
     """Coverage, mean overlap with the description, mean of the largest overlap of two sentences of a summary, mean compression."""
     j = docs.drop("summary").join(summaries.where("summary <> ''").select("id", "summary"), "id", "left")
-    over = containment(content_tokens(F.col("summary")), content_tokens(F.col("description")))
-    parts = F.transform(split_sentences(F.col("summary")), content_tokens)
-    pairs = F.flatten(F.transform(parts, lambda a, i: F.transform(F.slice(parts, F.lit(1), i), lambda b: F.greatest(containment(a, b), containment(b, a)))))  # two or three sentences
-    mean = lambda c: F.round(F.avg(c), 6)
-    has = F.col("summary").isNotNull()
-    return j.agg(
-        mean(has.cast("int")).alias("coverage"),
-        mean(F.when(has, over)).alias("overlap"),
-        mean(F.when(has, F.coalesce(F.array_max(pairs), F.lit(0.0)))).alias("pair_overlap"),
-        mean(F.length("summary") / F.length("body_text")).alias("compression"),
-    )
+    return _measured(j, "summary").agg(*_means("summary"))
+
+
+def eval_summary(docs: DataFrame, made: DataFrame, again: DataFrame, lead: DataFrame, *, gold: DataFrame, tags_made: DataFrame, tags_lead: DataFrame, k: int = 3) -> DataFrame:
+    """docs(id, set, description, body_text), summaries(id, summary) of two runs and of first sentences, gold(link_id, tag), tags(link_id, tag, rank) found in the summaries and in the
+    first sentences -> a row for each set: links, summary_quality's measures of both (those of first sentences begin with lead_), determinism, and tag_recall and lead_tag_recall of
+    the compared links, for which both have tags. One pass over the texts, and one aggregation of them. A set without a compared link has null recalls."""
+    d = docs.select("id", "set", "description", "body_text")
+    text = lambda df, n: df.groupBy("id").agg(F.max("summary").alias(n))  # noqa: E731  # an id has one
+    for df, n in ((made, "made"), (again, "again"), (lead, "lead")):
+        d = d.join(text(df, n), "id", "left")
+    d = d.withColumn("same", F.col("made").eqNullSafe(F.col("again")).cast("int")).drop("again")
+    hit = lambda p, n: p.where(F.col("rank") <= k).join(gold.select("link_id", "tag").distinct().withColumn("g", F.lit(1)), ["link_id", "tag"], "left").groupBy(F.col("link_id").alias("id")).agg(F.max(F.coalesce("g", F.lit(0))).alias(n))
+    compared = hit(tags_made, "hit").join(hit(tags_lead, "lead_hit"), "id").join(gold.select(F.col("link_id").alias("id")).distinct(), "id", "left_semi")
+    d = d.join(compared, "id", "left")
+    recall = lambda n: F.round(F.avg(n), 6)
+    return _measured(_measured(d, "made"), "lead").groupBy("set").agg(F.count(F.lit(1)).alias("links"), *_means("made"), *_means("lead", "lead_"), F.round(F.avg("same"), 6).alias("determinism"), F.count("hit").alias("compared"), recall("hit").alias("tag_recall"), recall("lead_hit").alias("lead_tag_recall"))
+
+
+def summary_check(report: DataFrame, name: str, slack: float = 0.02) -> None:
+    """Fails the job unless, in eval_summary's set of that name, summaries overlap less with the descriptions than first sentences do, keep the tags but for slack, and are the same in each run."""
+    r = report.where(F.col("set") == name).first()
+    if r is None:
+        raise RuntimeError(f"no set {name} to judge by")
+    bad = []
+    if r.overlap is None or r.lead_overlap is None or not r.overlap < r.lead_overlap:
+        bad.append(f"overlap {r.overlap}, of first sentences {r.lead_overlap}")
+    if r.tag_recall is None or r.tag_recall < r.lead_tag_recall - slack:
+        bad.append(f"tag recall {r.tag_recall}, of first sentences {r.lead_tag_recall}")
+    if r.determinism != 1.0:
+        bad.append(f"determinism {r.determinism}")
+    if bad:
+        raise RuntimeError(f"summaries of {name}: " + "; ".join(bad))
 
 
 def determinism(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -79,20 +79,6 @@ def slices(l, s, g):  # noqa: E741
     return E.eval_slices(flags, "lang", "body_source", "thin", "has_keywords")
 
 
-def ablation(l, s, g):  # noqa: E741
-    """Matches are found once; a table of six variants masks fields, then one scoring run serves all."""
-    spark = l.sparkSession
-    variants = spark.createDataFrame([(i, v, off) for i, (v, off) in enumerate(ABLATIONS.items())], "i int, variant string, off array<string>")
-    n = len(ABLATIONS)
-    found = T.matches(l, T.compile_surfaces(s)).crossJoin(F.broadcast(variants)).where(~F.array_contains("off", c("field")))
-    found = found.withColumn("link_id", c("link_id") * n + c("i")).drop("i", "variant", "off")
-    hits = T.domain_tags(l, domain_map(l)).join(T.small(s.select("tag_id", "tag").distinct()), "tag").crossJoin(F.broadcast(variants)).where(~F.array_contains("off", F.lit("domain")))
-    hits = hits.withColumn("link_id", c("link_id") * n + c("i")).select("link_id", "tag_id", "tag")
-    many = l.crossJoin(F.broadcast(variants)).select((c("id") * n + c("i")).alias("id"), F.when(F.array_contains("off", F.lit("body")), "").otherwise(c("body_text")).alias("body_text"))
-    top = T.top_tags(T.tag_scores(found, many, hits)).join(F.broadcast(variants), F.pmod(c("link_id"), F.lit(n)) == c("i")).select("variant", F.floor(c("link_id") / n).alias("link_id"), "tag", "rank")
-    return E.recall_at_k(top, gold(g), 3, "variant")
-
-
 VARIANTS = ", ".join(f"('{v}', {off}::VARCHAR[])" for v, off in ABLATIONS.items())
 ABLATION_SQL = "WITH " + SCORES_SQL + ", " + GOLD_SQL + f""", v AS (SELECT * FROM (VALUES {VARIANTS}) AS t(variant, off)),
 va AS (SELECT variant, link_id, tag_id, tag, field, any_value(w) * least(count(*), 3) AS capped, any_value(w) * count(*) AS whole, count(*) AS n FROM m JOIN v ON NOT list_contains(off, field) GROUP BY ALL),
@@ -104,7 +90,19 @@ vs AS (SELECT variant, link_id, tag, score + CASE WHEN bn >= CASE WHEN score > 0
 vt AS (SELECT *, row_number() OVER (PARTITION BY variant, link_id ORDER BY score DESC, uncapped DESC, tag) AS rank FROM vs WHERE score >= 1 QUALIFY rank <= 3),
 vh AS (SELECT variant, gold.link_id, max(CASE WHEN rank IS NOT NULL THEN 1 ELSE 0 END) AS hit FROM gold CROSS JOIN (SELECT DISTINCT variant FROM vt) LEFT JOIN vt USING (variant, link_id, tag) GROUP BY ALL)
 SELECT variant, round(avg(hit), 6) AS recall, count(*) AS links FROM vh GROUP BY variant"""
-query("a11_ablation", ABLATION_SQL, LSL)(ablation)
+query("a11_ablation", ABLATION_SQL, LSL)(lambda l, s, g: E.ablation(l, s, domain_map(l), gold(g), ABLATIONS))  # noqa: E741
+T7_SQL = PRED + """, rk AS (SELECT *, row_number() OVER (PARTITION BY link_id ORDER BY score DESC, uncapped DESC, tag) AS rank FROM sc WHERE score >= 1), att AS (SELECT link_id, max(score) FILTER (WHERE rank = 3) AS a, max(score) FILTER (WHERE rank = 4) AS b FROM rk GROUP BY 1), gg AS (SELECT gold.link_id, min(rank) AS best FROM gold LEFT JOIN rk USING (link_id, tag) GROUP BY 1),
+fl AS (SELECT coalesce(lang, 'none') AS st, length(title) + length(description) + length(body_text) < 1000 AS thin, body_source, keywords <> '' AS has_keywords, best, a, b FROM gg LEFT JOIN att USING (link_id) JOIN links ON id = gg.link_id)
+SELECT st AS "set", CASE WHEN grouping(thin) = 0 THEN 'thin' WHEN grouping(body_source) = 0 THEN 'body_source' WHEN grouping(has_keywords) = 0 THEN 'has_keywords' ELSE 'all' END AS slice, CASE WHEN grouping(thin) = 0 THEN CAST(thin AS VARCHAR) WHEN grouping(body_source) = 0 THEN body_source WHEN grouping(has_keywords) = 0 THEN CAST(has_keywords AS VARCHAR) END AS value,
+round(avg(CASE WHEN best <= 3 THEN 1 ELSE 0 END), 6) AS recall, count(*) FILTER (WHERE a = b) AS tied, count(*) FILTER (WHERE best IS NULL) AS zero, count(*) FILTER (WHERE best > 3) AS outranked, count(best) AS reachable, count(*) AS links FROM fl GROUP BY GROUPING SETS ((st), (st, thin), (st, body_source), (st, has_keywords))"""
+
+
+def facts(l):  # noqa: E741
+    """Sets by language, and what tells thin, client and keyword links from the others."""
+    return l.select(c("id").alias("link_id"), F.coalesce("lang", F.lit("none")).alias("set"), (F.length("title") + F.length("description") + F.length("body_text") < 1000).alias("thin"), "body_source", (c("keywords") != "").alias("has_keywords"))
+
+
+query("t7_eval_tagging", T7_SQL, LSL)(lambda l, s, g: E.eval_tagging(scores(l, s), gold(g), s.select("tag"), facts(l), "thin", "body_source", "has_keywords"))  # noqa: E741
 query("a15_search_misses", "WITH " + SEARCH_SQL + ", an AS (SELECT query_id, query_id * 3 AS doc_id FROM q) SELECT an.query_id, an.doc_id, position FROM an LEFT JOIN res USING (query_id, doc_id) WHERE coalesce(position, 11) > 10", SEARCHED)(lambda l, lt, t, b: S.search_misses(S.search(batch(b), S.search_documents(l, lt, t)), batch(b).select("query_id", (c("query_id") * 3).alias("doc_id"))))  # noqa: E741
 query("t4_search_filtered", "WITH " + SEARCH_SQL + ", al AS (SELECT doc_id FROM sd WHERE created_at BETWEEN 1704500000 AND 1706000000 AND doc_id IN (SELECT link_id FROM link_tags JOIN tags ON tags.id = tag_id WHERE name = 'with')), fs AS (SELECT * FROM sc WHERE doc_id IN (SELECT doc_id FROM al)), g1 AS (SELECT query_id, doc_id, 'fts' AS mode, bm FROM fs JOIN nd USING (query_id) WHERE got = needed), g2 AS (SELECT query_id, doc_id, 'or' AS mode, bm FROM fs WHERE query_id NOT IN (SELECT query_id FROM g1)), go AS (SELECT * FROM g1 UNION ALL SELECT * FROM g2), gr AS (SELECT go.query_id, go.doc_id, mode, bm - 1000 * CASE WHEN len(terms) >= 2 THEN len(list_filter(terms, lambda t: contains(lower(title || ' ' || description || ' ' || tags), t))) ELSE 0 END AS rank FROM go JOIN lt2 USING (query_id) JOIN sd USING (doc_id)), gp AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9), doc_id) AS INTEGER) AS position FROM gr) SELECT query_id, doc_id, mode, position FROM gp WHERE position BETWEEN 6 AND 15", SEARCHED)(lambda l, lt, t, b: filtered(l, lt, t, b))  # noqa: E741
 
