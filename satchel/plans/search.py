@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as E
 from ..operators import search as S
 from ..operators import tagging as T
+from ..operators import vectors as V
 from .registry import query
 from .tagging import ABLATIONS, GOLD_SQL, SCORES_SQL, domain_map, gold, scores
 
@@ -64,6 +65,8 @@ def quality(results, b):
 UNIT = "SELECT vec_id, list_transform(embedding::DOUBLE[], lambda e: e / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS v FROM embeddings"
 query("j15_cosine_knn", f"WITH u AS ({UNIT}), p AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_sum(list_transform(list_zip(q.v, d.v), lambda z: z[1] * z[2])), 6) AS score FROM u q JOIN u d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id) SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 5", ("embeddings",))(lambda e: S.cosine_knn(e.where("vec_id % 20 = 0"), e, 5))
 
+query("j15_bucketed_knn", None, ("embeddings",))(lambda e: V.bucketed_knn(e.where("vec_id % 20 = 0"), e, 5))
+
 LS, LSL = ("links", "surfaces"), ("links", "surfaces", "labels")
 PRED = "WITH " + SCORES_SQL + ", " + GOLD_SQL
 query("a10_recall_at_k", PRED + ", h AS (SELECT gold.link_id, max(CASE WHEN rank IS NOT NULL THEN 1 ELSE 0 END) AS hit FROM gold LEFT JOIN top USING (link_id, tag) GROUP BY 1) SELECT round(avg(hit), 6) AS recall, count(*) AS links FROM h", LSL)(lambda l, s, g: E.recall_at_k(T.tag_corpus(l, s, domain_map(l)), gold(g), 3))  # noqa: E741
