@@ -42,6 +42,8 @@ def test_bookmarks_over_many_splits(spark, tmp_path, small_splits):
     assert len(got) == N // 2 + 26 + 150
     # each address once, and once more: the first of equal ones is the earliest in its file
     links = spark.createDataFrame([], "id long, url string, title string, description string, body_text string, keywords string, note string, body_source string, status string, created_at long, deleted_at long")
+    split.coalesce(1).write.parquet(str(tmp_path / "found"))
+    split = spark.read.parquet(str(tmp_path / "found"))
     counts = files.ingest_import(split.unionByName(split.withColumn("file", F.concat(F.lit("z"), "file"))), links, 2_000_000_000)[1]
     assert {r.outcome: r.n for r in counts.collect()} == {"saved": len(got), "duplicate": len(got)}
 
