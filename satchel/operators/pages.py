@@ -124,9 +124,10 @@ def _outline(parts: Column) -> Column:
     return F.aggregate(piece, none, step, lambda s: F.struct(s["paras"].alias("paras"), rest(s).alias("ends")))
 
 
-def page_root(html: Column) -> Column:
+def page_root(html: Column, closed: bool = False) -> Column:
     """The HTML of a page's body: the first element of the surest mark (ROOTS) that has more than LEAST_BODY characters; else the container whose direct paragraphs have the most
-    text, if more than that (the first of equals); else the body element; else the page."""
+    text, if more than that (the first of equals); else the body element; else the page. With `closed`, only a body element that is closed stands in for the first two: a page that
+    breaks off before its end has no text then."""
     plain = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1>|<!--.*?-->", " ")
     pieces = F.split(plain, r"(?i)(?=</?(?:" + "|".join((*CONTAINERS, *OTHERS)) + r")\b)")
 
@@ -140,14 +141,17 @@ def page_root(html: Column) -> Column:
         sums = F.transform(F.array_distinct(F.transform(outline["paras"], lambda p: p["at"])), lambda at: F.struct(total(at).alias("len"), (-at).alias("back")))
         densest = _let(F.array_max(sums), lambda x: F.when(x["len"] > LEAST_BODY, inner(-x["back"])))
         body = _let(first(r"^<body\b"), lambda at: F.when(at.isNotNull(), inner(at)))
+        if closed:
+            whole = F.exists(parts, lambda p: p.rlike("(?i)^</body>"))
+            return F.coalesce(*long, densest, F.when(whole, body), F.lit(""))
         return F.coalesce(*long, densest, body, F.array_join(parts, ""))
 
     return _let(pieces, lambda parts: _let(_outline(parts), lambda outline: chosen(parts, outline)))
 
 
-def block_text(html: Column) -> Column:
+def block_text(html: Column, closed: bool = False) -> Column:
     """Readable text of a page's root (see page_root): scripts, navigation and notes dropped; block ends are lines."""
-    t = page_root(html)
+    t = page_root(html, closed)
     t = F.regexp_replace(t, r"(?is)<(script|style|nav|aside|footer|form|noscript|iframe|svg)\b[^>]*>.*?</\1>|<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?i)<br\s*/?>|</(?:p|div|h[1-6]|li|tr|section|article|blockquote|pre)>", "\n")
     t = unescape_entities(F.regexp_replace(t, r"<[^>]*>", ""))
@@ -155,14 +159,14 @@ def block_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"), F.lit(" \n"))
 
 
-def site_rules(html: Column, host: Column, rules: list[tuple[str, Column]] | None = None) -> Column:
+def site_rules(html: Column, host: Column, rules: list[tuple[str, Column]] | None = None, closed: bool = False) -> Column:
     """A site's own body, by ordered rules (host suffix, expression); else the block text."""
     own = [
         ("youtube.com", F.replace(F.regexp_extract(html, r'"shortDescription":"((?:[^"\\]|\\.)*)"', 1), F.lit("\\n"), F.lit("\n"))),
         ("arxiv.org", F.trim(F.regexp_replace(F.regexp_extract(html, r"""(?is)<blockquote[^>]*class\s*=\s*["'][^"']*abstract[^"']*["'][^>]*>(.*?)</blockquote>""", 1), r"<[^>]*>", ""))),
         ("x.com", F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<blockquote[^>]*>.*?<p[^>]*>(.*?)</p>", 1), r"<[^>]*>", ""))),
     ]
-    out = block_text(html)
+    out = block_text(html, closed)
     for domain, rule in reversed([*(rules or []), *own]):
         out = F.when(host_matches(host, domain) & (F.coalesce(rule, F.lit("")) != ""), rule).otherwise(out)
     return out
