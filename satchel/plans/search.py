@@ -8,6 +8,7 @@ from ..operators import evaluation as E
 from ..operators import search as S
 from ..operators import tagging as T
 from ..operators import vectors as V
+from ..storage import stored
 from .registry import query
 from .tagging import ABLATIONS, GOLD_SQL, SCORES_SQL, domain_map, gold, scores
 
@@ -43,7 +44,7 @@ def batch(b):
 
 
 SEARCHED = (*LLT, "benchmark")
-query("t4_search", "WITH " + SEARCH_SQL + " SELECT query_id, doc_id, mode, round(rank, 6) AS rank FROM res", SEARCHED)(lambda l, lt, t, b: S.search(batch(b), S.search_documents(l, lt, t)).select("query_id", "doc_id", "mode", F.round("rank", 6).alias("rank")))  # noqa: E741
+query("t4_search", "WITH " + SEARCH_SQL + " SELECT query_id, doc_id, mode, round(rank, 6) AS rank FROM res", SEARCHED)(lambda l, lt, t, b: S.candidates(batch(b), S.search_documents(l, lt, t)).select("query_id", "doc_id", "mode", F.round("rank", 6).alias("rank")))  # noqa: E741
 query("t4_search_expanded", None, (*SEARCHED, "surfaces"))(lambda l, lt, t, b, s: S.search(batch(b), S.search_documents(l, lt, t), s))  # noqa: E741
 LIKE_SQL = "lq AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split(replace(lower(text), chr(10), ' '), ' '), lambda x: length(x) BETWEEN 1 AND 2)) AS w FROM benchmark), tx AS (SELECT doc_id, created_at, lower(title || chr(10) || description || chr(10) || note) AS x FROM sd), jn AS (SELECT query_id, doc_id, created_at, len(list_filter(w, lambda t: contains(x, t))) AS n, len(w) AS m FROM lq CROSS JOIN tx), j AS (SELECT query_id, doc_id, created_at, n = m AS every FROM jn WHERE n > 0), k AS (SELECT * FROM j QUALIFY every OR NOT max(every) OVER (PARTITION BY query_id))"
 
@@ -54,12 +55,12 @@ def short_words(b):
 
 
 query("t4_like_search", "WITH " + DOCS + ", " + LIKE_SQL + " SELECT query_id, doc_id, 'like' AS mode, CAST(row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, doc_id DESC) AS INTEGER) AS position FROM k", SEARCHED)(lambda l, lt, t, b: S.like_search(short_words(b), S.search_documents(l, lt, t)).drop("rank"))  # noqa: E741
-query("a15_search_quality", "WITH " + SEARCH_SQL + ", an AS (SELECT query_id, query_id * 3 AS doc_id FROM q UNION ALL SELECT query_id, min(doc_id) FROM res GROUP BY query_id), r AS (SELECT an.query_id, min(position) AS p FROM an LEFT JOIN res ON res.query_id = an.query_id AND res.doc_id = an.doc_id AND position <= 10 GROUP BY 1) SELECT round(avg(CASE WHEN p = 1 THEN 1 ELSE 0 END), 6) AS hit1, round(avg(coalesce(1 / p, 0)), 6) AS mrr, count(p) AS reached, count(*) AS queries FROM r", SEARCHED)(lambda l, lt, t, b: quality(S.search(batch(b), S.search_documents(l, lt, t)), b))  # noqa: E741
+query("a15_search_quality", "WITH " + SEARCH_SQL + ", an AS (SELECT query_id, query_id * 3 AS doc_id FROM q UNION ALL SELECT query_id, min(doc_id) FROM res GROUP BY query_id), r AS (SELECT an.query_id, min(position) AS p FROM an LEFT JOIN res ON res.query_id = an.query_id AND res.doc_id = an.doc_id AND position <= 10 GROUP BY 1) SELECT round(avg(CASE WHEN p = 1 THEN 1 ELSE 0 END), 6) AS hit1, round(avg(coalesce(1 / p, 0)), 6) AS mrr, count(p) AS reached, count(*) AS queries FROM r", SEARCHED)(lambda l, lt, t, b: quality(stored(S.candidates(batch(b), S.search_documents(l, lt, t)), "results"), b))  # noqa: E741
 
 
-def quality(results, b):
-    answers = batch(b).select("query_id", (c("query_id") * 3).alias("doc_id")).unionByName(results.groupBy("query_id").agg(F.min("doc_id").alias("doc_id")))
-    return S.search_quality(results, answers).select(F.round("hit1", 6).alias("hit1"), F.round("mrr", 6).alias("mrr"), "reached", "queries")
+def quality(found, b):
+    answers = batch(b).select("query_id", (c("query_id") * 3).alias("doc_id")).unionByName(found.groupBy("query_id").agg(F.min("doc_id").alias("doc_id")))
+    return S.search_quality(S.with_positions(found, 10), answers).select(F.round("hit1", 6).alias("hit1"), F.round("mrr", 6).alias("mrr"), "reached", "queries")
 
 
 UNIT = "SELECT vec_id, list_transform(embedding::DOUBLE[], lambda e: e / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS v FROM embeddings"
@@ -106,7 +107,13 @@ def facts(l):  # noqa: E741
 
 
 query("t7_eval_tagging", T7_SQL, LSL)(lambda l, s, g: E.eval_tagging(scores(l, s), gold(g), s.select("tag"), facts(l), "thin", "body_source", "has_keywords"))  # noqa: E741
-query("a15_search_misses", "WITH " + SEARCH_SQL + ", an AS (SELECT query_id, query_id * 3 AS doc_id FROM q) SELECT an.query_id, an.doc_id, position FROM an LEFT JOIN res USING (query_id, doc_id) WHERE coalesce(position, 11) > 10", SEARCHED)(lambda l, lt, t, b: S.search_misses(S.search(batch(b), S.search_documents(l, lt, t)), batch(b).select("query_id", (c("query_id") * 3).alias("doc_id"))))  # noqa: E741
+query("a15_search_misses", "WITH " + SEARCH_SQL + ", an AS (SELECT query_id, query_id * 3 AS doc_id FROM q) SELECT an.query_id, an.doc_id, position FROM an LEFT JOIN res USING (query_id, doc_id) WHERE coalesce(position, 11) > 10", SEARCHED)(lambda l, lt, t, b: misses(S.candidates(batch(b), S.search_documents(l, lt, t)), batch(b).select("query_id", (c("query_id") * 3).alias("doc_id"))))  # noqa: E741
+
+
+def misses(found, answers):
+    return S.search_misses(S.positions_of(found, answers), answers)
+
+
 query("t4_search_filtered", "WITH " + SEARCH_SQL + ", al AS (SELECT doc_id FROM sd WHERE created_at BETWEEN 1704500000 AND 1706000000 AND doc_id IN (SELECT link_id FROM link_tags JOIN tags ON tags.id = tag_id WHERE name = 'with')), fs AS (SELECT * FROM sc WHERE doc_id IN (SELECT doc_id FROM al)), g1 AS (SELECT query_id, doc_id, 'fts' AS mode, bm FROM fs JOIN nd USING (query_id) WHERE got = needed), g2 AS (SELECT query_id, doc_id, 'or' AS mode, bm FROM fs WHERE query_id NOT IN (SELECT query_id FROM g1)), go AS (SELECT * FROM g1 UNION ALL SELECT * FROM g2), gr AS (SELECT go.query_id, go.doc_id, mode, bm - 1000 * CASE WHEN len(terms) >= 2 THEN len(list_filter(terms, lambda t: contains(lower(title || ' ' || description || ' ' || tags), t))) ELSE 0 END AS rank FROM go JOIN lt2 USING (query_id) JOIN sd USING (doc_id)), gp AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9), doc_id) AS INTEGER) AS position FROM gr) SELECT query_id, doc_id, mode, position FROM gp WHERE position BETWEEN 6 AND 15", SEARCHED)(lambda l, lt, t, b: filtered(l, lt, t, b))  # noqa: E741
 
 
