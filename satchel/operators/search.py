@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ COVERAGE_WEIGHT = 1000
 QUERIES = 256
 #: Phrases that are counted in one pass over the texts, and spellings a task keeps what it found in, where no postings are stored.
 PHRASES, SPELLINGS = 100_000, 200_000
+#: Queries, and rows, whose cosines are computed in one task.
+VECTORS = 16_384
 #: Folders of stored postings.
 BUCKETS = 64
 COLUMNS = ("title", "description", "note", "tags")
@@ -353,19 +356,45 @@ def search_quality(results: DataFrame, answers: DataFrame, n: int = 10) -> DataF
     return r.agg(F.avg(F.coalesce((F.col("p") == 1).cast("int"), F.lit(0))).alias("hit1"), F.avg(F.coalesce(1 / F.col("p"), F.lit(0.0))).alias("mrr"), F.count("p").alias("reached"), F.count(F.lit(1)).alias("queries"))
 
 
+def _best(k: int, block: int = 512) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The k rows of the best cosine, to six places (ties to the smaller id), of each query, for a block of queries and one of rows: a product of two matrices."""
+
+    def best(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if len(queries) and len(rows):
+            rows = rows.sort_values("vec_id", kind="stable")
+            ids, vectors = rows["vec_id"].to_numpy(), np.stack(rows["v"].to_numpy())
+            for at in range(0, len(queries), block):
+                own = queries["query_id"].to_numpy()[at : at + block]
+                dots = np.stack(queries["q"].to_numpy()[at : at + block]) @ vectors.T
+                dots[own[:, None] == ids[None, :]] = -np.inf  # none is its own neighbour
+                near = np.round(dots, 6)
+                least = np.partition(near, len(ids) - min(k, len(ids)), axis=1)[:, len(ids) - min(k, len(ids))]
+                q, r = np.nonzero((near >= least[:, None]) & (near > -np.inf))
+                order = np.lexsort((r, -near[q, r], q))
+                q, r = q[order], r[order]
+                keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+                out.append((own[q[keep]], ids[r[keep]], dots[q[keep], r[keep]]))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
+
+    return best
+
+
 def cosine_knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Best k by cosine, for a stated set of queries against all rows, block of queries by block. Vectors are normed once; the top k of each block of
-    rows are kept before the rest is shuffled, so a query costs blocks * k rows and no task sees them all."""
+    """Best k by cosine, for a stated set of queries against all rows: blocks of queries meet blocks of rows, each pair of blocks in one task that multiplies their matrices and hands on
+    the best k of each query. All pairs are looked at, so the work is queries * rows. Vectors without a direction have no row."""
     x = F.col("embedding").cast("array<double>")
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y))
-    unit = lambda df: df.withColumn("n", norm(x)).withColumn("v", F.transform(x, lambda e: e / F.col("n"))).drop("n")
-    q = in_blocks(stored(unit(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "queries"), QUERIES)
-    v = stored(unit(vectors).select("vec_id", "v"), "unit").select("vec_id", "v", F.spark_partition_id().alias("block"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
-    pairs = v.crossJoin(q.select("queries")).select("vec_id", "v", "block", F.explode("queries").alias("x")).select("vec_id", "v", "block", "x.query_id", "x.q").where("query_id <> vec_id")
-    pairs = pairs.select("query_id", "vec_id", F.round(dot, 6).alias("score"), "block")
-    top = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-    return top(top(pairs, "query_id", "block").drop("rank", "block"), "query_id")
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, y: s + y * y))
+    unit = lambda df: df.withColumn("n", norm).where("n > 0").withColumn("v", F.transform(x, lambda e: e / F.col("n"))).withColumn("dim", F.size("v"))
+    q = stored(unit(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "dim"), "queries")
+    v = stored(unit(vectors).select("vec_id", "v", "dim"), "unit")
+    of_q, of_v = (max(1, -(-df.count() // VECTORS)) for df in (q, v))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select("*", F.pmod(F.xxhash64("query_id"), F.lit(of_q)).cast("int").alias("a")).select("*", every(of_v).alias("b"))
+    v = v.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(of_v)).cast("int").alias("b")).select("*", every(of_q).alias("a"))
+    pairs = q.groupBy("dim", "a", "b").cogroup(v.groupBy("dim", "a", "b")).applyInPandas(_best(k), "query_id long, vec_id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return pairs.withColumn("score", F.round("score", 6)).withColumn("rank", place).where(F.col("rank") <= k)
 
 
 def search_misses(results: DataFrame, answers: DataFrame, n: int = 10) -> DataFrame:

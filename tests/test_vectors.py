@@ -50,3 +50,14 @@ def test_few_rows(spark, rows):
     e = spark.createDataFrame(rows, KINDS)
     got = {(r.query_id, r.vec_id, r.score, r["rank"]) for r in vectors.bucketed_knn(e, e, 3).collect()}
     assert got == {(a, b, 1.0, 1) for a, _ in rows for b, _ in rows if a != b}
+
+
+def test_exact_way_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "VECTORS", 40)
+    rows = [(i, [float((i % 60) * (j + 3) % 17) - 8 for j in range(6)]) for i in range(1, 150)]  # many equal ones
+    e = spark.createDataFrame([*rows, (900, None), (901, [0.0] * 6)], KINDS)
+    unit = {i: [x / sum(y * y for y in v) ** 0.5 for x in v] for i, v in rows}
+    dot = lambda a, b: round(sum(x * y for x, y in zip(unit[a], unit[b])), 6)
+    want = {(a, b, -s, n) for a in unit if a % 20 == 0 for n, (s, b) in enumerate(sorted((-dot(a, b), b) for b in unit if b != a)[:5], 1)}
+    got = search.cosine_knn(e.where("vec_id % 20 = 0"), e, 5)
+    assert {(r.query_id, r.vec_id, r.score, r["rank"]) for r in got.collect()} == want
