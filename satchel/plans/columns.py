@@ -49,7 +49,7 @@ columns("r29_has_hangul", "links", "id", hangul=(lambda: tokens.has_hangul(c("bo
 CHARS = "string_split(lower({0}), '')"
 #: Distinct trigrams of a list of characters.
 THREES = "list_distinct(list_filter(list_transform(range(1, greatest(len({0}) - 1, 1)), lambda i: {0}[i] || {0}[i + 1] || {0}[i + 2]), lambda g: trim(g, ' ' || chr(10) || chr(9) || chr(13)) <> ''))"
-query("r30_trigrams", "WITH x AS (SELECT id, " + CHARS.format("body_text") + " AS ch FROM links) SELECT id, list_sort(" + THREES.format("ch") + ") AS grams FROM x", ("links",))(lambda l: l.select("id", F.array_sort(tokens.trigrams(c("body_text"))).alias("grams")))  # noqa: E741
+query("r30_trigrams", "WITH x AS (SELECT id, " + CHARS.format("body_text") + " AS ch FROM links) SELECT id, list_sort(" + THREES.format("ch") + ") AS grams FROM x", ("links",))(lambda l: l.select("id", F.sort_array(tokens.trigrams(c("body_text"))).alias("grams")))  # noqa: E741
 query("r31_split_sentences", None, ("documents",))(lambda d: d.select("doc_id", F.posexplode(tokens.split_sentences(c("text"))).alias("pos", "sentence")))
 PROSE_SQL = r"""length({0}) BETWEEN 25 AND 400 AND regexp_matches({0}, '[.!?…。！？][\)\]\}}"''»”’]*$')
  AND length(regexp_replace({0}, '[^\p{{L}}]', '', 'g')) / length({0}) >= 0.55 AND length(regexp_replace({0}, '[^\p{{Nd}}]', '', 'g')) / length({0}) <= 0.12
