@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.tokens import containment, content_tokens, is_prose, split_sentences, trigrams
 from ..storage import spread, stored
@@ -49,25 +53,51 @@ def sentence_edges(texts: DataFrame) -> DataFrame:
     return each.select("id", F.col("a.i").alias("i"), F.inline("a.near"))
 
 
+def _ranked(at: np.ndarray, token: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Weighted PageRank of a text's sentences, scaled to a largest score of 1: token[k] stands in sentence at[k], logs are the logarithms of their numbers of tokens."""
+    n = len(logs)
+    if not n:
+        return logs
+    seen = np.unique(token, return_inverse=True)[1]
+    holds = np.zeros((n, seen.max(initial=0) + 1), np.float32)
+    holds[at, seen] = 1
+    long = np.bincount(at, minlength=n) >= 2
+    w = np.where(long[:, None] & long[None, :], (holds @ holds.T) / np.maximum(logs[:, None] + logs[None, :], 0.5), 0.0)  # see similarity
+    np.fill_diagonal(w, 0.0)
+    i, j = np.nonzero(w)
+    share = w[i, j] / np.bincount(i, w[i, j], n)[j]
+    now, before = np.ones(n), np.full(n, 9.0)
+    for _ in range(ROUNDS):
+        if np.abs(now - before).max() < EPSILON:
+            break
+        now, before = (1 - DAMPING) + DAMPING * np.bincount(i, share * now[j], n), now
+    return now / now.max()
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def _scores(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Texts as arrays of their sentences' tokens, and the logarithms of the numbers of these."""
+    for texts, logs in batches:
+        sentences = texts.flatten()
+        ends, of = np.cumsum(sentences.value_lengths().to_numpy(zero_copy_only=False)), texts.value_lengths().to_numpy(zero_copy_only=False)
+        tokens = sentences.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        values, out, first, begin = logs.flatten().to_numpy(zero_copy_only=False), [], 0, 0
+        for n in of:
+            upto = ends[first : first + n]
+            end = upto[-1] if n else begin
+            at = np.repeat(np.arange(n), np.diff(upto, prepend=begin))
+            out.append(_ranked(at, tokens[begin:end], values[first : first + n]))
+            first, begin = first + n, end
+        offsets = np.concatenate([[0], np.cumsum(of)])
+        yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(out) if out else np.empty(0), pa.float64()))
+
+
 def with_centrality(texts: DataFrame) -> DataFrame:
     """texts(s, ...) with score: weighted PageRank of each sentence, scaled to a largest score of 1.
 
-    A text's sentences are the rows of a sparse matrix, an array of arrays; power iteration is an aggregate over at most ROUNDS rounds that stands still once no rank
-    moves by EPSILON. All of it is in the text's row: no round is a shuffle.
+    A text's sentences are a sparse matrix in its own task: at most 200 rows, and at most ROUNDS rounds of products, which end once no rank moves by EPSILON. No round is a shuffle.
     """
-    near = lambda a: F.filter(F.transform("s", lambda b: F.struct(b["i"].alias("j"), F.when(a["i"] == b["i"], 0.0).otherwise(similarity(a, b)).alias("w"))), lambda e: e["w"] > 0)
-    t = once(texts, rows=F.transform("s", near))
-    t = once(t, total=F.transform("rows", lambda r: F.aggregate(r, F.lit(0.0), lambda n, e: n + e["w"])))
-    t = once(t, flow=F.transform("rows", lambda r: F.transform(r, lambda e: F.struct(e["j"].alias("j"), (e["w"] / F.get("total", e["j"])).alias("share"))))).drop("rows", "total")
-    start = F.struct(F.transform("s", lambda _: F.lit(1.0)).alias("now"), F.transform("s", lambda _: F.lit(9.0)).alias("before"))
-
-    def step(state, _):
-        moved = F.array_max(F.zip_with(state["now"], state["before"], lambda x, y: F.abs(x - y)))
-        new = F.transform("flow", lambda r: F.lit(1 - DAMPING) + F.lit(DAMPING) * F.aggregate(r, F.lit(0.0), lambda n, e: n + e["share"] * F.get(state["now"], e["j"])))
-        return F.when(moved < EPSILON, state).otherwise(F.struct(new.alias("now"), state["now"].alias("before")))
-
-    t = once(t, ranks=F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)["now"]).drop("flow")
-    return once(t, score=F.transform("ranks", lambda r: r / F.array_max("ranks"))).drop("ranks")
+    return texts.withColumn("score", _scores(F.transform("s", lambda x: x["tokens"]), F.transform("s", lambda x: F.coalesce(F.log(F.size(x["tokens"])), F.lit(0.0)))))
 
 
 def summarize_corpus(docs: DataFrame) -> DataFrame:
@@ -78,21 +108,24 @@ def summarize_corpus(docs: DataFrame) -> DataFrame:
     the first two are taken. Each text is summarised in its own row, without a shuffle.
     """
     t = once(prose_texts(docs.select("id", "description", "body_text")), n=F.size("s"), about=content_tokens(F.col("description"))).where("n >= 3").select("id", "s", "n", "about")
-    best = F.transform(F.slice(F.array_sort(F.transform("s", lambda x: F.struct((-F.get("score", x["i"])).alias("a"), x["i"].alias("i"), F.get("score", x["i"]).alias("score")))), 1, CANDIDATES), lambda x: F.struct(x["i"].alias("i"), x["score"].alias("score")))
-    many = once(with_centrality(t.where("n >= 5")), best=best)
-    few = t.where("n < 5").withColumn("best", F.transform(F.array(F.lit(0), F.lit(1)), lambda i: F.struct(i.alias("i"), F.lit(1.0).alias("score"))))
+    t = with_centrality(t)  # of all texts, few sentences or many, so that each text is cut once
+    order = F.array_sort(F.transform("s", lambda x: F.struct((-F.get("score", x["i"])).alias("a"), x["i"].alias("i"), F.get("score", x["i"]).alias("score"))))
+    central = F.transform(F.slice(order, 1, CANDIDATES), lambda x: F.struct(x["i"].alias("i"), x["score"].alias("score")))
+    first = F.transform(F.array(F.lit(0), F.lit(1)), lambda i: F.struct(i.alias("i"), F.lit(1.0).alias("score")))
+    g = once(t, best=F.when(F.col("n") >= 5, central).otherwise(first)).drop("score")
     of = lambda x: F.get("s", x["i"])
-    g = many.select("id", "s", "n", "about", "best").unionByName(few.select("id", "s", "n", "about", "best"))
-    g = once(g, c=F.array_sort(F.transform("best", lambda x: F.struct(x["i"].alias("i"), of(x)["sentence"].alias("sentence"), of(x)["tokens"].alias("tokens"), x["score"].alias("score"))))).drop("s", "best")
+    candidate = lambda x: F.struct(x["i"].alias("i"), of(x)["sentence"].alias("sentence"), of(x)["tokens"].alias("tokens"), x["score"].alias("score"), containment(of(x)["tokens"], F.col("about")).alias("known"))
+    g = once(g, c=F.array_sort(F.transform("best", candidate))).drop("s", "best")
     k = F.when(F.col("n") >= 8, 3).otherwise(2)
     none = F.filter("c", lambda x: F.lit(False))
 
     def pick(picked, _):
         overlap = lambda x: F.coalesce(F.array_max(F.transform(picked, lambda p: containment(x["tokens"], p["tokens"]))), F.lit(0.0))
-        free = F.filter("c", lambda x: ~F.array_contains(F.transform(picked, lambda p: p["i"]), x["i"]) & ((overlap(x) < REDUNDANT) | (F.col("n") < 5)))
-        mmr = F.transform(free, lambda x: F.struct((-F.round(0.7 * x["score"] - 0.3 * F.greatest(containment(x["tokens"], F.col("about")), overlap(x)), 9)).alias("a"), x["i"].alias("i"), x.alias("x")))
-        best = F.array_min(mmr)["x"]
-        return F.when((F.size(picked) < k) & best.isNotNull(), F.concat(picked, F.array(best))).otherwise(picked)
+        free = F.filter("c", lambda x: ~F.exists(picked, lambda p: p["i"] == x["i"]))
+        free = F.filter(F.transform(free, lambda x: F.struct(overlap(x).alias("o"), x.alias("x"))), lambda y: (y["o"] < REDUNDANT) | (F.col("n") < 5))
+        mmr = F.transform(free, lambda y: F.struct((-F.round(0.7 * y["x"]["score"] - 0.3 * F.greatest(y["x"]["known"], y["o"]), 9)).alias("a"), y["x"]["i"].alias("i"), y["x"].alias("x")))
+        best = F.transform(F.filter(F.array(F.array_min(mmr)), lambda y: y.isNotNull()), lambda y: y["x"])
+        return F.when(F.size(picked) < k, F.concat(picked, best)).otherwise(picked)
 
     g = once(g, picked=F.array_sort(F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), none, pick)))
     joined = F.aggregate("picked", F.lit(""), lambda t, x: F.when(t == "", x["sentence"]).when(F.length(t) + 1 + F.length(x["sentence"]) <= MAX_RUNES, F.concat(t, F.lit(" "), x["sentence"])).otherwise(t))
@@ -106,23 +139,29 @@ def lead_n(docs: DataFrame, n: int = 3) -> DataFrame:
 
 def guard_breakdown(docs: DataFrame, summaries: DataFrame) -> DataFrame:
     """Why links have no summary; the reasons add up to all that lack one."""
-    n = stored(prose_texts(docs.select("id", "body_text")).select("id", F.size("s").alias("n")), "prose")
-    j = docs.join(n, "id", "left").join(summaries.where("summary <> ''").select("id", F.lit(True).alias("has")), "id", "left")
-    reason = F.when(F.col("has"), "summary").when(F.length("body_text") < MIN_BODY, "thin body").when(F.coalesce("n", F.lit(0)) < 3, "few prose").otherwise("overlap")
+    n = prose_texts(docs.select("id", "body_text")).select("id", F.size("s").alias("n"))
+    known = docs.select("id", (F.length("body_text") < MIN_BODY).alias("thin"))  # texts don't travel
+    j = known.join(n, "id", "left").join(summaries.where("summary <> ''").select("id", F.lit(True).alias("has")), "id", "left")
+    reason = F.when(F.col("has"), "summary").when(F.col("thin"), "thin body").when(F.coalesce("n", F.lit(0)) < 3, "few prose").otherwise("overlap")
     return j.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("links"))
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    """docs with what _measured needs of the texts, so that these needn't meet the summaries: runes, about."""
+    return docs.select("*", F.length("body_text").alias("runes"), content_tokens(F.col("description")).alias("about")).drop("body_text", "description")
+
+
 def _measured(docs: DataFrame, column: str) -> DataFrame:
-    """docs with a struct in the place of a column of summaries (null or empty: none): has, overlap with the description, the largest overlap of two of its sentences, compression."""
+    """_sized docs with a struct in the place of a column of summaries (null or empty: none): has, overlap with the description, the largest overlap of two of its sentences, compression."""
     text = F.nullif(F.col(column), F.lit(""))
-    parts = F.transform(split_sentences(text), content_tokens)
-    pairs = F.flatten(F.transform(parts, lambda a, i: F.transform(F.slice(parts, F.lit(1), i), lambda b: F.greatest(containment(a, b), containment(b, a)))))  # two or three sentences
+    docs = once(docs, __whole=content_tokens(text), __parts=F.transform(split_sentences(text), lambda x: content_tokens(x)))
+    pairs = F.flatten(F.transform("__parts", lambda a, i: F.transform(F.slice("__parts", F.lit(1), i), lambda b: F.greatest(containment(a, b), containment(b, a)))))  # two or three sentences
     m = F.struct(
-        containment(content_tokens(text), content_tokens(F.col("description"))).alias("overlap"),
+        containment(F.col("__whole"), F.col("about")).alias("overlap"),
         F.coalesce(F.array_max(pairs), F.lit(0.0)).alias("pair_overlap"),
-        (F.length(text) / F.length("body_text")).alias("compression"),
+        (F.length(text) / F.col("runes")).alias("compression"),
     )
-    return docs.withColumn(column, F.when(text.isNotNull(), m))
+    return docs.withColumn(column, F.when(text.isNotNull(), m)).drop("__whole", "__parts")
 
 
 def _means(column: str, prefix: str = "") -> list[Column]:
@@ -132,7 +171,7 @@ def _means(column: str, prefix: str = "") -> list[Column]:
 
 def summary_quality(docs: DataFrame, summaries: DataFrame) -> DataFrame:
     """Coverage, mean overlap with the description, mean of the largest overlap of two sentences of a summary, mean compression."""
-    j = docs.drop("summary").join(summaries.where("summary <> ''").select("id", "summary"), "id", "left")
+    j = _sized(docs.select("id", "description", "body_text")).join(summaries.where("summary <> ''").select("id", "summary"), "id", "left")
     return _measured(j, "summary").agg(*_means("summary"))
 
 
@@ -140,7 +179,7 @@ def eval_summary(docs: DataFrame, made: DataFrame, again: DataFrame, lead: DataF
     """docs(id, set, description, body_text), summaries(id, summary) of two runs and of first sentences, gold(link_id, tag), tags(link_id, tag, rank) found in the summaries and in the
     first sentences -> a row for each set: links, summary_quality's measures of both (those of first sentences begin with lead_), determinism, and tag_recall and lead_tag_recall of
     the compared links, for which both have tags. One pass over the texts, and one aggregation of them. A set without a compared link has null recalls."""
-    d = docs.select("id", "set", "description", "body_text")
+    d = _sized(docs.select("id", "set", "description", "body_text"))
     text = lambda df, n: df.groupBy("id").agg(F.max("summary").alias(n))  # noqa: E731  # an id has one
     for df, n in ((made, "made"), (again, "again"), (lead, "lead")):
         d = d.join(text(df, n), "id", "left")
@@ -200,9 +239,10 @@ def gained_grams(docs: DataFrame, summary: str, *indexed: str) -> DataFrame:
 def new_gram_gain(gained: DataFrame) -> DataFrame:
     """Share of links that gain at least one trigram; the upper median, least and most of the gains above 0."""
     some = F.when(F.col("gained") > 0, F.col("gained"))
-    g = gained.agg(F.count(F.lit(1)).alias("links"), F.count_if(F.col("gained") > 0).alias("gaining"), F.min(some).alias("least"), F.max(some).alias("most"))
-    place = Window.orderBy("gained")
-    ranked = gained.where("gained > 0").groupBy("gained").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(place))
-    total = F.max("upto").over(Window.partitionBy())
-    median = ranked.withColumn("half", F.floor(total / 2) + 1).where("upto >= half").agg(F.min("gained").alias("median"))
-    return g.crossJoin(median)
+    counts = gained.groupBy("gained").agg(F.count(F.lit(1)).alias("c"))  # the texts are gone through once
+    above = F.when(F.col("gained") > 0, F.col("c")).otherwise(0)
+    upto, total = F.sum(above).over(Window.orderBy("gained")), F.sum(above).over(Window.partitionBy())
+    ranked = counts.select("gained", "c", above.alias("above"), upto.alias("upto"), total.alias("total"))
+    some = F.when(F.col("gained") > 0, F.col("gained"))
+    many = lambda n: F.coalesce(F.sum(n), F.lit(0))
+    return ranked.agg(many("c").alias("links"), many("above").alias("gaining"), F.min(some).alias("least"), F.max(some).alias("most"), F.min(F.when(F.col("upto") >= F.floor(F.col("total") / 2) + 1, some)).alias("median"))
