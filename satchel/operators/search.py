@@ -331,12 +331,16 @@ def in_blocks(queries: DataFrame, size: int) -> DataFrame:
 
 
 def _like_hits(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """queries(query_id, w: words) -> query_id, doc_id, created_at: every word in title, description or note, else any word. A scan: every row meets the queries in blocks."""
+    """queries(query_id, w: words) -> query_id, doc_id, created_at: every word in title, description or note, else any word. A scan: every row meets the queries in blocks.
+    A text is searched once for each different word of a block, however many queries share it."""
     text = docs.select("doc_id", "created_at", F.lower(F.concat_ws("\n", "title", "description", "note")).alias("all"))
-    held = lambda x: F.transform(x["w"], lambda w: F.contains(F.col("all"), w))
-    found = F.filter(F.transform("queries", lambda x: F.struct(x["query_id"].alias("query_id"), held(x).alias("held"))), lambda x: F.array_contains(x["held"], True))
-    j = text.crossJoin(in_blocks(queries.select("query_id", "w"), QUERIES)).select("doc_id", "created_at", F.explode(found).alias("x"))
-    j = j.select("doc_id", "created_at", "x.query_id", F.forall("x.held", lambda h: h).alias("every"))
+    blocks = in_blocks(queries.select("query_id", "w"), QUERIES).withColumn("words", F.array_distinct(F.flatten(F.transform("queries", lambda x: x["w"]))))
+    places = F.transform("queries", lambda x: F.struct(x["query_id"].alias("query_id"), F.transform(x["w"], lambda w: (F.array_position("words", w) - 1).cast("int")).alias("at")))
+    blocks = blocks.select("words", places.alias("queries"))
+    j = text.crossJoin(F.broadcast(blocks)).select("doc_id", "created_at", "queries", F.transform("words", lambda w: F.contains(F.col("all"), w)).alias("holds"))
+    held = lambda x: F.size(F.filter(x["at"], lambda i: F.get("holds", i)))
+    found = F.filter(F.transform("queries", lambda x: F.struct(x["query_id"].alias("query_id"), held(x).alias("n"), F.size(x["at"]).alias("m"))), lambda x: x["n"] > 0)
+    j = j.select("doc_id", "created_at", F.inline(found)).select("doc_id", "created_at", "query_id", (F.col("n") == F.col("m")).alias("every"))
     j = stored(j, "like")
     some = j.groupBy("query_id").agg(F.max("every").alias("some"))
     return j.join(some, "query_id").where("every OR NOT some").select("query_id", "doc_id", "created_at")
