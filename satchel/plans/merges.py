@@ -42,7 +42,9 @@ TERMS = "SELECT DISTINCT id AS link_id, unnest(string_split(body_text, ' ')) AS
 
 
 def terms(df):
-    return df.select(c("id").alias("link_id"), F.explode(F.split("body_text", " ")).alias("term")).distinct()
+    """link_id, term, once each. A text travels as one row of its different terms, to the task that has all of its link; what else goes by link_id then stays there."""
+    each = df.select(c("id").alias("link_id"), F.array_distinct(F.split("body_text", " ")).alias("terms")).repartition("link_id")
+    return each.select("link_id", F.explode("terms").alias("term")).distinct()
 
 
 query("m04_update_terms", "WITH a AS (" + TERMS.format("old_links") + "), b AS (" + TERMS.format("new_links") + ") SELECT * FROM a WHERE link_id NOT IN (SELECT id FROM new_links) UNION ALL SELECT * FROM b", OLD_NEW)(lambda _, old, new: M.update_terms(terms(old), new.select(c("id").alias("link_id")), terms(new)))
