@@ -39,6 +39,7 @@ QUOTE_PARTICLES = ["이라고", "이라", "라고", "라며", "라는", "이란"
 MARK = "\u001e"
 _END = ".!?…。！？"
 _CLOSE = r"""[\)\]\}"'»”’]"""
+_LAST = sorted({p[-1] for p in PARTICLES})
 _PARTICLE = "^(?!.?(?:{0})$)(.{{2,}}?)(?:{0})$".format("|".join(PARTICLES))
 
 
@@ -76,7 +77,7 @@ def normalize_token(c: Column) -> Column:
 def tokenize(c: Column) -> Column:
     """Normalised tokens in order. What the cut leaves has clean edges, and only texts with Hangul can have particles, so other texts meet one regexp in all."""
     raw = F.filter(F.split(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    return F.when(has_hangul(c), F.transform(raw, lambda t: _without_particle(F.lower(t)))).otherwise(F.transform(raw, F.lower))
+    return F.when(has_hangul(c), F.transform(F.transform(raw, F.lower), lambda t: F.when(F.right(t, F.lit(1)).isin(_LAST), _without_particle(t)).otherwise(t))).otherwise(F.transform(raw, F.lower))
 
 
 def has_hangul(c: Column) -> Column:

@@ -56,11 +56,13 @@ def match_exact(tokens: DataFrame, compiled: DataFrame) -> DataFrame:
 
 
 def match_edge(tokens: DataFrame, compiled: DataFrame) -> DataFrame:
-    """Hangul surfaces at a token's beginning or end, once per token and entry. Pieces of the lengths that occur in the dictionary make it an equi join."""
+    """Hangul surfaces at a token's beginning or end, once per token and entry. Pieces of the lengths that occur in the dictionary make it an equi join; the dictionary,
+    written by hand, comes to the driver, so that only pieces that it holds become rows."""
     s = small(compiled.where("kind = 'edge'").select("tag_id", "tag", "surface", "entry", F.col("first").alias("piece")))
-    lengths = s.agg(F.collect_set(F.length("piece")).alias("lengths"))  # one row
-    ends = F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.length("token")), lambda n: F.array(F.left("token", n), F.right("token", n))))
-    pieces = tokens.where(has_hangul(F.col("token"))).crossJoin(F.broadcast(lengths)).select("link_id", "field", "pos", F.explode(F.array_distinct(ends)).alias("piece"))
+    known = sorted({r.piece for r in s.select("piece").collect()})
+    ends = F.array(*[end(F.col("token"), F.lit(n)) for n in sorted({len(k) for k in known}) for end in (F.left, F.right)]).cast("array<string>")  # of a shorter token, all of it
+    held = F.array_distinct(F.filter(ends, lambda p: p.isin(known)))
+    pieces = tokens.where(has_hangul(F.col("token"))).select("link_id", "field", "pos", F.explode(held).alias("piece"))
     return pieces.join(s, "piece").select("link_id", "field", "pos", "tag_id", "tag", "surface")
 
 
