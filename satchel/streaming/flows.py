@@ -106,43 +106,53 @@ def _job_row(most: int) -> list:
     return ["job_id", "link_id", "kind", "at", "seq", state.alias("state"), "attempts", F.when(again, F.unix_seconds("at") + 30 * F.col("attempts")).alias("run_after"), "error"]
 
 
-def job_timers(events: DataFrame, most: int = 3, watermark: str = "10 minutes", now: int | None = None) -> DataFrame:
+#: Groups of job_timers' state. Python is called once a group and batch, not once a job.
+BUCKETS = 4096
+
+
+def job_timers(events: DataFrame, most: int = 3, watermark: str = "10 minutes", now: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """events(job_id, link_id, kind, at timestamp, seq, status, attempts, permanent, error) -> JOB_ROW: where each job stands; the last event, by at and then seq, decides.
 
     On a stream (append mode) a job gives a row when a batch brings a newer event, and one more, due, once the watermark has passed its run_after. State ends: a waiting job's with its
     timer, any other's when the watermark has passed its last event, since what could come before that is late and dropped. On a table each job gives one row, as of now (in seconds;
-    None: no timer has run out). A job's events are taken part by part, so one with very many needs no memory. Events without job_id or at are left out.
+    None: no timer has run out). Jobs are kept in buckets by a hash of job_id, a row of arrays each, worked on as columns; a bucket's events are taken part by part, so a job with very many needs
+    no memory. A batch rewrites the buckets that it touches: more live jobs want more buckets, whose number a checkpoint fixes. Events without job_id or at are left out.
     """
     rows = events.where(F.col("job_id").isNotNull() & F.col("at").isNotNull())
     if not events.isStreaming:
         last = rows.groupBy("job_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "job_id"]), F.struct("at", "seq")).alias("e")).select("job_id", "e.*")
         row = last.select(*_job_row(most))
         return row if now is None else row.withColumn("state", F.when((F.col("state") == "waiting") & (F.col("run_after") < now), "due").otherwise(F.col("state")))
-    fields = ["us", "seq", "link_id", "kind", "state", "attempts", "run_after", "error"]
+    numbers = ["job_id", "us", "seq", "until"]
+    words = ["link_id", "kind", "state", "attempts", "run_after", "error"]  # those that may be null travel as text: pandas would make fractions of numbers
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = tuple(state.get) if state.exists else None
-        row = lambda r, s: pd.DataFrame({"job_id": [key[0]], "link_id": [r[2]], "kind": [r[3]], "at": [pd.Timestamp(r[0], unit="us", tz="UTC")], "seq": [r[1]], "state": [s], "attempts": [r[5]], "run_after": [r[6]], "error": [r[7]]}).astype({c: "Int64" for c in ("link_id", "seq", "attempts", "run_after")})
-        if state.hasTimedOut:
-            state.remove()
-            if kept[4] == "waiting":
-                yield row(kept, "due")
-            return
-        best = kept
+        now = state.getCurrentWatermarkMs()
+        kept = state.get if state.exists else [[]] * len(numbers + words)
+        best = pd.DataFrame({c: pd.Series(list(v), dtype="int64" if c in numbers else object) for c, v in zip(numbers + words, kept, strict=True)}).assign(new=False, met=False)
         for part in parts:
-            for r in part.sort_values(["us", "seq"]).tail(1)[fields].itertuples(index=False):
-                r = tuple(None if pd.isna(v) else v if isinstance(v, str) else int(v) for v in r)
-                if best is None or r[:2] > best[:2]:
-                    best = r
-        state.update(best)
-        over = best[6] * 1000 if best[4] == "waiting" else best[0] // 1000
-        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
-        if best != kept:
-            yield row(best, best[4])
-
-    kinds = "us long, seq long, link_id long, kind string, state string, attempts long, run_after long, error string"
-    flat = rows.withWatermark("at", watermark).select(*_job_row(most)).withColumns({"us": F.unix_micros("at"), "seq": F.coalesce("seq", F.lit(0))})
-    return flat.groupBy("job_id").applyInPandasWithState(step, JOB_ROW, kinds, "append", GroupStateTimeout.EventTimeTimeout)
+            part = part[numbers + words].sort_values(["us", "seq"], ascending=False).drop_duplicates("job_id").assign(new=True, met=True)
+            best["met"] |= best["job_id"].isin(part["job_id"])
+            best = pd.concat([best, part], ignore_index=True).sort_values(["us", "seq"], ascending=False).drop_duplicates("job_id")  # stable: of equals, what was there stays
+        best.loc[best["met"], "until"] = best.loc[best["met"], "until"].clip(lower=now + 1)
+        over = ~best["met"] & (best["until"] < now)
+        left = best[~over]
+        if len(left):
+            columns = [left[c].tolist() if c in numbers else [None if pd.isna(v) else v for v in left[c]] for c in numbers + words]
+            state.update(tuple(columns))
+            state.setTimeoutTimestamp(max(int(left["until"].min()), 1))
+        elif state.exists:
+            state.remove()
+        due = best[over & (best["state"] == "waiting")].assign(state="due")
+        if len(out := pd.concat([best[best["new"]], due])):
+            yield out[numbers[:3] + words]
+
+    over = F.when(F.col("state") == "waiting", F.col("run_after") * 1000).otherwise(F.unix_millis("at"))
+    flat = rows.withWatermark("at", watermark).select(*_job_row(most)).withColumns({"us": F.unix_micros("at"), "seq": F.coalesce("seq", F.lit(0)), "until": over})
+    flat = flat.select(F.pmod(F.xxhash64("job_id"), F.lit(buckets)).alias("bucket"), "at", *numbers, *[F.col(c).cast("string").alias(c) for c in words])
+    kinds = lambda of: ", ".join([f"{c} {of('long')}" for c in numbers] + [f"{c} {of('string')}" for c in words])
+    out = flat.groupBy("bucket").applyInPandasWithState(step, kinds(str).replace("until long, ", ""), kinds("array<{}>".format), "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("at", F.timestamp_micros("us")).select(*[F.col(c).cast(t).alias(c) for c, t in (f.split(" ") for f in JOB_ROW.split(", "))])
 
 
 def log_jobs(events: DataFrame, path: str, checkpoint: str, most: int = 3, watermark: str = "10 minutes") -> StreamingQuery:

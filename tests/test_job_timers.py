@@ -75,3 +75,24 @@ def test_the_log_feeds_retry_states_and_settlements(spark, tmp_path):
     got = {r.id: (r.status, r.error) for r in archive.read_archive(spark, path).collect()}
     want = {r.id: (r.status, r.error) for r in merges.settle_failures(links, jobs).collect()}
     assert got == want and got[103] == ("failed", "gone") and got[104] == ("done", "blocked") and got[105] == ("pending", None)
+
+
+def test_jobs_share_rows_of_state(spark, tmp_path):
+    """Python is called once a bucket, not once a job; large ids stay whole beside null ones."""
+    link = 2**53 + 1
+    first = [(i, None if i % 3 == 0 else link + i, "scrape", T0 + dt.timedelta(seconds=i), 0, "failed" if i % 2 else "done", None if i % 5 == 0 else 1, False, None) for i in range(200)]
+    then = [(i, link + i, "scrape", T0 + dt.timedelta(seconds=i + 5000), 1, "done", 1, False, "x") for i in range(0, 200, 4)]
+    for rows in (first, then):
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = flows.job_timers(stream, buckets=8).writeStream.format("parquet").option("path", str(tmp_path / "log")).option("checkpointLocation", str(tmp_path / "c"))
+    q = out.outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert 0 < max(state_rows(q)) <= 8
+    order = F.struct("at", "seq", (F.col("state") == "due").cast("int"))
+    log = spark.read.schema(flows.JOB_ROW).parquet(str(tmp_path / "log"))
+    last = log.groupBy("job_id").agg(F.max_by(F.struct("link_id", "kind", "at", "seq", "state", "attempts", "run_after", "error"), order).alias("e")).select("job_id", "e.*")
+    end = int(T0.replace(tzinfo=dt.timezone.utc).timestamp()) + 5196 - 600
+    twin = flows.job_timers(spark.createDataFrame(first + then, EVENT), now=end)
+    assert sorted(map(str, last.collect())) == sorted(map(str, twin.collect()))
+    assert log.where("state = 'due'").count() == last.where("state = 'due'").count() > 50
