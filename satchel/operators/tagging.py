@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import confidence, idf_multiplier
 from ..functions.tokens import composed, has_hangul, tokenize
 from ..functions.urls import host_suffixes
-from ..storage import stored
+from .summaries import once
 
 #: Weight of a field's matches; the domain's is per mapped tag (fixed values).
 WEIGHTS = {"title": 2.0, "keywords": 2.0, "description": 1.0, "note": 1.0, "body": 1.0}
@@ -60,6 +60,7 @@ def match_edge(tokens: DataFrame, compiled: DataFrame) -> DataFrame:
     written by hand, comes to the driver, so that only pieces that it holds become rows."""
     s = small(compiled.where("kind = 'edge'").select("tag_id", "tag", "surface", "entry", F.col("first").alias("piece")))
     known = sorted({r.piece for r in s.select("piece").collect()})
+    tokens = tokens if known else tokens.where(F.lit(False))  # without such surfaces no text is read
     ends = F.array(*[end(F.col("token"), F.lit(n)) for n in sorted({len(k) for k in known}) for end in (F.left, F.right)]).cast("array<string>")  # of a shorter token, all of it
     held = F.array_distinct(F.filter(ends, lambda p: p.isin(known)))
     pieces = tokens.where(has_hangul(F.col("token"))).select("link_id", "field", "pos", F.explode(held).alias("piece"))
@@ -74,21 +75,19 @@ def _fits(token: Column, wanted: Column, ko: Column) -> Column:
 def match_whole(links: DataFrame, compiled: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
     """Exact surfaces, and surfaces of several tokens in a row: the first is equal, a Hangul token of the tail may be longer.
 
-    One pass over the tokens meets first words, and second ones beside them; the rest of phrases of three tokens or more is then
-    held against the texts where both have come, all of a text's places in one row.
+    The dictionary's first words, written by hand, come to the driver. A text is cut once, in its own row; of its tokens only those that begin a surface become rows, each with
+    as many tokens behind it as the longest surface from that word has, so that whole phrases are held against it in the join.
     """
-    second = F.try_element_at("tail", F.lit(1))
-    s = small(compiled.where("kind <> 'edge'").select("tag_id", "tag", "surface", "tail", F.col("first").alias("token"), second.alias("second"), F.coalesce(has_hangul(second), F.lit(False)).alias("ko")))
-    met = field_tokens(links, fields).join(s, "token").where(F.col("second").isNull() | _fits(F.col("next"), F.col("second"), F.col("ko"))).select("link_id", "field", "pos", "tag_id", "tag", "surface", "tail")
-    met = stored(met, "met")  # else every text is cut into tokens twice
-    out = ["link_id", "field", "pos", "tag_id", "tag", "surface"]
-    short = met.where(F.size("tail") < 2).select(*out)
-    places = met.where(F.size("tail") >= 2).groupBy("link_id", "field").agg(F.collect_list(F.struct("pos", "tag_id", "tag", "surface", "tail")).alias("places"))
-    texts = _texts(links, fields).join(places, ["link_id", "field"]).select("link_id", "field", "places", tokenize(F.col("text")).alias("tokens"))
-    after = lambda p: F.slice("tokens", p["pos"] + 2, F.size(p["tail"]))
-    whole = lambda p: (F.size(after(p)) == F.size(p["tail"])) & F.forall(F.zip_with(after(p), p["tail"], lambda a, b: F.coalesce(_fits(a, b, has_hangul(b)), F.lit(False))), lambda x: x)
-    long = texts.select("link_id", "field", F.explode(F.filter("places", whole)).alias("p")).select("link_id", "field", "p.pos", "p.tag_id", "p.tag", "p.surface")
-    return short.unionByName(long)
+    s = small(compiled.where("kind <> 'edge'").select("tag_id", "tag", "surface", "tail", F.col("first").alias("token")))
+    lengths: dict[int, list[str]] = {}
+    for r in s.groupBy("token").agg(F.max(F.size("tail")).alias("n")).collect():
+        lengths.setdefault(r.n + 1, []).append(r.token)
+    begins = lambda w, i: F.coalesce(*[F.when(w.isin(firsts), F.struct(i.alias("pos"), F.slice("tokens", i + 1, n).alias("words"))) for n, firsts in sorted((lengths or {1: []}).items())])
+    cut = once(_texts(links, fields), tokens=tokenize(F.col("text")))
+    met = cut.select("link_id", "field", F.explode(F.filter(F.transform("tokens", begins), lambda x: x.isNotNull())).alias("m")).select("link_id", "field", "m.pos", "m.words", F.col("m.words")[0].alias("token"))
+    after = F.slice("words", F.lit(2), F.size("tail"))
+    whole = (F.size(after) == F.size("tail")) & F.forall(F.zip_with(after, "tail", lambda a, b: F.coalesce(_fits(a, b, has_hangul(b)), F.lit(False))), lambda x: x)
+    return met.join(s, "token").where((F.size("tail") == 0) | whole).select("link_id", "field", "pos", "tag_id", "tag", "surface")
 
 
 def matches(links: DataFrame, compiled: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
@@ -104,32 +103,41 @@ def domain_tags(links: DataFrame, domain_map: DataFrame) -> DataFrame:
     return hit.withColumn("best", F.min("depth").over(best)).where("depth = best").select("link_id", "tag").distinct()
 
 
-def tag_scores(found: DataFrame, links: DataFrame, domain_hits: DataFrame, df: DataFrame | None = None) -> DataFrame:
-    """matches -> link_id, tag_id, tag, score, uncapped. df(term, df, n): document frequencies, off by default."""
+def field_counts(found: DataFrame, df: DataFrame | None = None) -> DataFrame:
+    """matches -> link_id, tag_id, tag, field, n, mul. df(term, df, n): document frequencies, off by default."""
     if df is not None:
         found = found.join(df, found["surface"] == df["term"], "left").withColumn("mul", F.coalesce(idf_multiplier(F.col("df"), F.col("n")), F.lit(1.0)))
     else:
         found = found.withColumn("mul", F.lit(1.0))
-    per = found.groupBy("link_id", "tag_id", "tag", "field").agg(F.count(F.lit(1)).alias("n"), F.max("mul").alias("mul"))
+    return found.groupBy("link_id", "tag_id", "tag", "field").agg(F.count(F.lit(1)).alias("n"), F.max("mul").alias("mul"))
+
+
+def tag_scores(found: DataFrame, links: DataFrame, domain_hits: DataFrame, df: DataFrame | None = None) -> DataFrame:
+    """matches -> link_id, tag_id, tag, score, uncapped. df(term, df, n): document frequencies, off by default."""
+    return count_scores(field_counts(found, df), links, domain_hits)
+
+
+def count_scores(per: DataFrame, links: DataFrame, domain_hits: DataFrame, *by: str) -> DataFrame:
+    """tag_scores from field_counts; by: more columns of per and domain_hits that keep their rows apart."""
     weight = F.lit(0.0)
     for f, w in WEIGHTS.items():
         weight = F.when(F.col("field") == f, w).otherwise(weight)
     per = per.withColumn("capped", weight * F.least("n", F.lit(MATCH_CAP)) * F.col("mul")).withColumn("whole", weight * F.col("n") * F.col("mul"))
-    body = F.col("field") == "body"
+    body, keys = F.col("field") == "body", [*by, "link_id", "tag_id", "tag"]
     part = lambda c, b: F.coalesce(F.sum(F.when(body == b, F.col(c))), F.lit(0.0))
-    g = per.groupBy("link_id", "tag_id", "tag").agg(part("capped", False).alias("score"), part("whole", False).alias("uncapped"), part("capped", True).alias("body_score"), part("whole", True).alias("body_whole"), F.coalesce(F.max(F.when(body, F.col("n"))), F.lit(0)).alias("body_n"))
-    g = g.unionByName(domain_hits.select("link_id", "tag_id", "tag", F.lit(DOMAIN_WEIGHT).alias("score"), F.lit(0.0).alias("uncapped"), F.lit(0.0).alias("body_score"), F.lit(0.0).alias("body_whole"), F.lit(0).cast("long").alias("body_n")))
-    g = g.groupBy("link_id", "tag_id", "tag").agg(*[F.sum(c).alias(c) for c in ("score", "uncapped", "body_score", "body_whole", "body_n")])
+    g = per.groupBy(*keys).agg(part("capped", False).alias("score"), part("whole", False).alias("uncapped"), part("capped", True).alias("body_score"), part("whole", True).alias("body_whole"), F.coalesce(F.max(F.when(body, F.col("n"))), F.lit(0)).alias("body_n"))
+    g = g.unionByName(domain_hits.select(*keys, F.lit(DOMAIN_WEIGHT).alias("score"), F.lit(0.0).alias("uncapped"), F.lit(0.0).alias("body_score"), F.lit(0.0).alias("body_whole"), F.lit(0).cast("long").alias("body_n")))
+    g = g.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("score", "uncapped", "body_score", "body_whole", "body_n")])
     size = links.select(F.col("id").alias("link_id"), F.length("body_text").alias("runes"))
     g = g.join(size, "link_id")
     need = F.least(1 + F.floor(F.col("runes") / 2000), F.lit(3))
     need = F.when(F.col("score") > 0, F.least(need, F.lit(2))).otherwise(need)
     counts = F.col("body_n") >= need
-    return g.select("link_id", "tag_id", "tag", (F.col("score") + F.when(counts, F.col("body_score")).otherwise(0.0)).alias("score"), (F.col("uncapped") + F.when(counts, F.col("body_whole")).otherwise(0.0)).alias("uncapped"))
+    return g.select(*keys, (F.col("score") + F.when(counts, F.col("body_score")).otherwise(0.0)).alias("score"), (F.col("uncapped") + F.when(counts, F.col("body_whole")).otherwise(0.0)).alias("uncapped"))
 
 
-def top_tags(scores: DataFrame, k: int = 3, threshold: float = THRESHOLD) -> DataFrame:
-    w = Window.partitionBy("link_id").orderBy(F.desc("score"), F.desc("uncapped"), "tag")
+def top_tags(scores: DataFrame, k: int = 3, threshold: float = THRESHOLD, by: tuple[str, ...] = ()) -> DataFrame:
+    w = Window.partitionBy(*by, "link_id").orderBy(F.desc("score"), F.desc("uncapped"), "tag")
     return scores.where(F.col("score") >= threshold).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("confidence", confidence(F.col("score")))
 
 

@@ -58,7 +58,7 @@ def edges(links: DataFrame) -> DataFrame:
 
 
 query("j12_match_phrase", "WITH " + FIELDS_SQL + " SELECT link_id, field, pos, tag_id, surface FROM m WHERE contains(surface, ' ')", ("links", "surfaces"))(
-    lambda links, s: T.match_whole(links, T.compile_surfaces(s)).where(F.col("surface").contains(" ")).select("link_id", "field", "pos", "tag_id", "surface")
+    lambda links, s: T.match_whole(links, T.compile_surfaces(s).where("kind = 'phrase'")).select("link_id", "field", "pos", "tag_id", "surface")
 )
 query("j09_domain_tags", "WITH " + DOMAIN_HITS_SQL + " SELECT link_id, tag FROM dt", ("links",))(lambda links: T.domain_tags(links, domain_map(links)))
 query("u02_matched_surfaces", "WITH " + FIELDS_SQL + " SELECT DISTINCT link_id, surface FROM m", ("links", "surfaces"))(lambda links, s: T.matches(links, T.compile_surfaces(s)).select("link_id", "surface").distinct())
