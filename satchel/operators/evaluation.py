@@ -27,9 +27,10 @@ def per_link(scores: DataFrame, gold: DataFrame, k: int = 3, threshold: float =
     """link_id, best (rank of its first gold tag, null if none has a score), a, b (the scores on both sides of the cut) of each labelled link, from scores before the cut."""
     w = Window.partitionBy("link_id").orderBy(F.desc("score"), F.desc("uncapped"), "tag")
     s = scores.where(F.col("score") >= threshold).withColumn("rank", F.row_number().over(w))
-    at = s.groupBy("link_id").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("a"), F.max(F.when(F.col("rank") == k + 1, F.col("score"))).alias("b"))
-    g = gold.join(s.select("link_id", "tag", "rank"), ["link_id", "tag"], "left").groupBy("link_id").agg(F.min("rank").alias("best"))
-    return g.join(at, "link_id", "left")
+    labelled = gold.select("link_id", "tag", F.lit(1).alias("gold")).distinct()
+    score = lambda i: F.max(F.when(F.col("rank") == i, F.col("score")))
+    at = s.join(labelled, ["link_id", "tag"], "left").groupBy("link_id").agg(F.min(F.when(F.col("gold") == 1, F.col("rank"))).alias("best"), score(k).alias("a"), score(k + 1).alias("b"))  # scores are gone through once
+    return gold.select("link_id").distinct().join(at, "link_id", "left")
 
 
 def _anatomy(k: int) -> list[Column]:
