@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 
 def recall_at_k(pred: DataFrame, gold: DataFrame, k: int, *by: str) -> DataFrame:
     """pred(link_id, tag, rank), gold(link_id, tag) -> share of links with a gold tag among the first k."""
-    p = pred.where(F.col("rank") <= k).select(*by, "link_id", "tag", F.lit(1).alias("hit"))
-    g = gold if not by else gold.crossJoin(pred.select(*by).distinct())  # a handful of variants
-    per = g.join(p, [*by, "link_id", "tag"], "left").groupBy(*by, "link_id").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
-    return per.groupBy(*by).agg(F.round(F.avg("hit"), 6).alias("recall"), F.count(F.lit(1)).alias("links"))
+    if by:  # a handful of variants, those that have any prediction; pred is gone through once
+        labelled = gold.select("link_id", "tag", F.lit(1).alias("gold")).distinct()
+        p = pred.join(labelled, ["link_id", "tag"], "left").groupBy(*by, "link_id").agg(F.max(((F.col("rank") <= k) & F.col("gold").isNotNull()).cast("int")).alias("hit"))
+        hits = p.groupBy(*by).agg(F.sum("hit").alias("hits")).crossJoin(gold.agg(F.countDistinct("link_id").alias("links"))).where("links > 0")
+        return hits.select(*by, F.round(F.col("hits") / F.col("links"), 6).alias("recall"), "links")
+    p = pred.where(F.col("rank") <= k).select("link_id", "tag", F.lit(1).alias("hit"))
+    per = gold.join(p, ["link_id", "tag"], "left").groupBy("link_id").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
+    return per.agg(F.round(F.avg("hit"), 6).alias("recall"), F.count(F.lit(1)).alias("links"))
 
 
 def tag_precision_recall(pred: DataFrame, gold: DataFrame) -> DataFrame:
@@ -80,19 +84,16 @@ def eval_search(results: DataFrame, answers: DataFrame, corpus: DataFrame, n: in
 
 
 def ablation(links: DataFrame, surfaces: DataFrame, domains: DataFrame, gold: DataFrame, variants: dict[str, list[str]], k: int = 3) -> DataFrame:
-    """variant, recall, links: tagging without some of its fields (title, keywords, description, note, body, domain), by variant. Matches are found once; a table of the
-    variants, a handful written by hand, masks fields, then one scoring run serves all."""
+    """variant, recall, links: tagging without some of its fields (title, keywords, description, note, body, domain), by variant. Matches are found and counted once; a table of the
+    variants, a handful written by hand, masks the counts of fields, then one scoring run serves all."""
     from . import tagging as T
 
-    c, n = F.col, len(variants)
-    v = links.sparkSession.createDataFrame([(i, name, off) for i, (name, off) in enumerate(variants.items())], "i int, variant string, off array<string>")
-    found = T.matches(links, T.compile_surfaces(surfaces)).crossJoin(F.broadcast(v)).where(~F.array_contains("off", c("field")))
-    found = found.withColumn("link_id", c("link_id") * n + c("i")).drop("i", "variant", "off")
-    hits = T.domain_tags(links, domains).join(T.small(surfaces.select("tag_id", "tag").distinct()), "tag").crossJoin(F.broadcast(v)).where(~F.array_contains("off", F.lit("domain")))
-    hits = hits.withColumn("link_id", c("link_id") * n + c("i")).select("link_id", "tag_id", "tag")
-    many = links.crossJoin(F.broadcast(v)).select((c("id") * n + c("i")).alias("id"), F.when(F.array_contains("off", F.lit("body")), "").otherwise(c("body_text")).alias("body_text"))
-    top = T.top_tags(T.tag_scores(found, many, hits)).join(F.broadcast(v), F.pmod(c("link_id"), F.lit(n)) == c("i")).select("variant", F.floor(c("link_id") / n).alias("link_id"), "tag", "rank")
-    return recall_at_k(top, gold, k, "variant")
+    v = F.broadcast(links.sparkSession.createDataFrame(list(variants.items()), "variant string, off array<string>"))
+    on = lambda field: ~F.array_contains("off", field)
+    found = T.field_counts(T.matches(links, T.compile_surfaces(surfaces))).crossJoin(v).where(on(F.col("field")))
+    hits = T.domain_tags(links, domains).join(T.small(surfaces.select("tag_id", "tag").distinct()), "tag").crossJoin(v).where(on(F.lit("domain")))
+    # a variant without bodies has no match in them either, so that their lengths decide nothing there
+    return recall_at_k(T.top_tags(T.count_scores(found, links, hits, "variant"), by=("variant",)), gold, k, "variant")
 
 
 def unknown_labels(gold: DataFrame, names: DataFrame) -> DataFrame:
