@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from ..functions.tokens import containment, content_tokens, is_prose, split_sentences, trigrams
 from ..storage import spread, stored
@@ -17,6 +17,7 @@ from .evaluation import recall_at_k
 
 MIN_BODY, MAX_SENTENCES, DAMPING, EPSILON, ROUNDS, CANDIDATES = 200, 200, 0.85, 1e-4, 50, 10
 REDUNDANT, MAX_RUNES = 0.8, 450
+WIDE, TEXTS = 16_384, 256  # tokens of a matrix, and texts whose edges are held at a time
 
 
 def once(df: DataFrame, **cols: Column) -> DataFrame:
@@ -40,17 +41,59 @@ def prose_sentences(docs: DataFrame, body: str = "body_text") -> DataFrame:
     return prose_texts(docs.select("id", body), body).select("id", F.inline("s"))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Common tokens of two sentences by the logarithms of their sizes; sentences of fewer than two tokens are like nothing."""
-    sizes = F.greatest(F.log(F.size(a["tokens"])) + F.log(F.size(b["tokens"])), F.lit(0.5))
-    return F.when((F.size(a["tokens"]) >= 2) & (F.size(b["tokens"]) >= 2), F.size(F.array_intersect(a["tokens"], b["tokens"])) / sizes).otherwise(0.0)
+def _each(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
+    """Texts as arrays of their sentences' tokens: of each, in which sentence its tokens stand, the tokens as numbers, and where its sentences lie among all."""
+    sentences = texts.flatten()
+    ends, of = np.cumsum(sentences.value_lengths().to_numpy(zero_copy_only=False)), texts.value_lengths().to_numpy(zero_copy_only=False)
+    tokens = sentences.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    first = begin = 0
+    for n in of:
+        upto = ends[first : first + n]
+        end = upto[-1] if n else begin
+        yield np.repeat(np.arange(n), np.diff(upto, prepend=begin)), tokens[begin:end], slice(first, first + n)
+        first, begin = first + n, end
+
+
+def _shared(at: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
+    """How many tokens each two of n sentences have in common, from those that more than one has, WIDE at a time."""
+    seen, many = np.unique(token, return_inverse=True, return_counts=True)[1:]
+    kept = many[seen] > 1
+    at, token = at[kept], np.unique(seen[kept], return_inverse=True)[1]
+    common = np.zeros((n, n), np.float32)
+    for begin in range(0, token.max(initial=-1) + 1, WIDE):
+        part = (token >= begin) & (token < begin + WIDE)
+        holds = np.zeros((n, min(WIDE, token.max() + 1 - begin)), np.float32)
+        holds[at[part], token[part] - begin] = 1
+        common += holds @ holds.T
+    return common
+
+
+@F.arrow_udf(ArrayType(StructType().add("i", IntegerType()).add("j", IntegerType()).add("w", DoubleType())))
+def _edges(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Texts as arrays of their sentences' tokens, and the logarithms of the numbers of these; TEXTS of them are held at a time with their edges."""
+    for whole, whole_logs in batches:
+        for k in range(0, len(whole), TEXTS):
+            texts, logs = whole.slice(k, TEXTS), whole_logs.slice(k, TEXTS)
+            values, found = logs.flatten().to_numpy(zero_copy_only=False), [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+            for at, tokens, own in _each(texts):
+                log = values[own]
+                long = np.bincount(at, minlength=len(log)) >= 2  # a shorter sentence is like nothing
+                common = np.triu(_shared(at, tokens, len(log)), 1) * (long[:, None] & long)
+                i, j = np.nonzero(common)
+                found.append((i, j, common[i, j].astype(float) / np.maximum(log[i] + log[j], 0.5)))
+            i, j, w = (np.concatenate(x) for x in zip(*found, strict=True))
+            pairs = pa.StructArray.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(w, pa.float64())], ["i", "j", "w"])
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum([len(x[0]) for x in found]), pa.int32()), pairs)
+
+
+def _logs() -> Column:
+    return F.transform("s", lambda x: F.coalesce(F.log(F.size(x["tokens"])), F.lit(0.0)))
 
 
 def sentence_edges(texts: DataFrame) -> DataFrame:
-    """texts(id, s) -> id, i, j, w for i before j of one text. A text is one row and one task's work: at most 200 sentences bound the pairs, and nothing is shuffled."""
-    later = lambda a: F.filter(F.transform(F.slice("s", a["i"] + 2, MAX_SENTENCES), lambda b: F.struct(b["i"].alias("j"), similarity(a, b).alias("w"))), lambda e: e["w"] > 0)
-    each = texts.select("id", F.explode(F.transform("s", lambda a: F.struct(a["i"].alias("i"), later(a).alias("near")))).alias("a"))
-    return each.select("id", F.col("a.i").alias("i"), F.inline("a.near"))
+    """texts(id, s) -> id, i, j, w for i before j of one text: common tokens by the logarithms of their numbers in both, for sentences of two or more. A text is one row and one
+    task's work: at most 200 sentences bound the pairs, a product of matrices counts them, and nothing is shuffled."""
+    return texts.select("id", _edges(F.transform("s", lambda x: x["tokens"]), _logs()).alias("e")).select("id", F.inline("e"))
 
 
 def _ranked(at: np.ndarray, token: np.ndarray, logs: np.ndarray) -> np.ndarray:
@@ -62,7 +105,7 @@ def _ranked(at: np.ndarray, token: np.ndarray, logs: np.ndarray) -> np.ndarray:
     holds = np.zeros((n, seen.max(initial=0) + 1), np.float32)
     holds[at, seen] = 1
     long = np.bincount(at, minlength=n) >= 2
-    w = np.where(long[:, None] & long[None, :], (holds @ holds.T) / np.maximum(logs[:, None] + logs[None, :], 0.5), 0.0)  # see similarity
+    w = np.where(long[:, None] & long[None, :], (holds @ holds.T) / np.maximum(logs[:, None] + logs[None, :], 0.5), 0.0)  # as in sentence_edges
     np.fill_diagonal(w, 0.0)
     i, j = np.nonzero(w)
     share = w[i, j] / np.bincount(i, w[i, j], n)[j]
@@ -78,16 +121,10 @@ def _ranked(at: np.ndarray, token: np.ndarray, logs: np.ndarray) -> np.ndarray:
 def _scores(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Texts as arrays of their sentences' tokens, and the logarithms of the numbers of these."""
     for texts, logs in batches:
-        sentences = texts.flatten()
-        ends, of = np.cumsum(sentences.value_lengths().to_numpy(zero_copy_only=False)), texts.value_lengths().to_numpy(zero_copy_only=False)
-        tokens = sentences.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        values, out, first, begin = logs.flatten().to_numpy(zero_copy_only=False), [], 0, 0
-        for n in of:
-            upto = ends[first : first + n]
-            end = upto[-1] if n else begin
-            at = np.repeat(np.arange(n), np.diff(upto, prepend=begin))
-            out.append(_ranked(at, tokens[begin:end], values[first : first + n]))
-            first, begin = first + n, end
+        values, out = logs.flatten().to_numpy(zero_copy_only=False), []
+        of = texts.value_lengths().to_numpy(zero_copy_only=False)
+        for at, tokens, own in _each(texts):
+            out.append(_ranked(at, tokens, values[own]))
         offsets = np.concatenate([[0], np.cumsum(of)])
         yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(out) if out else np.empty(0), pa.float64()))
 
@@ -97,7 +134,7 @@ def with_centrality(texts: DataFrame) -> DataFrame:
 
     A text's sentences are a sparse matrix in its own task: at most 200 rows, and at most ROUNDS rounds of products, which end once no rank moves by EPSILON. No round is a shuffle.
     """
-    return texts.withColumn("score", _scores(F.transform("s", lambda x: x["tokens"]), F.transform("s", lambda x: F.coalesce(F.log(F.size(x["tokens"])), F.lit(0.0)))))
+    return texts.withColumn("score", _scores(F.transform("s", lambda x: x["tokens"]), _logs()))
 
 
 def summarize_corpus(docs: DataFrame) -> DataFrame:
