@@ -17,7 +17,8 @@ from .evaluation import recall_at_k
 
 MIN_BODY, MAX_SENTENCES, DAMPING, EPSILON, ROUNDS, CANDIDATES = 200, 200, 0.85, 1e-4, 50, 10
 REDUNDANT, MAX_RUNES = 0.8, 450
-WIDE, TEXTS = 16_384, 256  # tokens of a matrix, and texts whose edges are held at a time
+WIDE, TEXTS, PAIRS = 16_384, 256, 1 << 20  # tokens of a matrix; rows of texts whose edges are held at a time, and at how many edges they are handed on before
+BLOCK = 512  # sentences of a text that meet as one matrix
 
 
 def once(df: DataFrame, **cols: Column) -> DataFrame:
@@ -25,10 +26,10 @@ def once(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
-def sentence_array(parts: Column) -> Column:
-    """The first 200 different parts of a text, each with its number and its tokens."""
-    first = F.slice(F.array_distinct(parts), 1, MAX_SENTENCES)
-    return F.transform(first, lambda x, i: F.struct(i.alias("i"), x.alias("sentence"), content_tokens(x).alias("tokens")))
+def sentence_array(parts: Column, most: int | None = MAX_SENTENCES) -> Column:
+    """The first 200 different parts of a text (as many as most says, all if None), each with its number and its tokens."""
+    different = F.array_distinct(parts)
+    return F.transform(different if most is None else F.slice(different, 1, most), lambda x, i: F.struct(i.alias("i"), x.alias("sentence"), content_tokens(x).alias("tokens")))
 
 
 def prose_texts(docs: DataFrame, body: str = "body_text") -> DataFrame:
@@ -54,46 +55,71 @@ def _each(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
         first, begin = first + n, end
 
 
-def _shared(at: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
-    """How many tokens each two of n sentences have in common, from those that more than one has, WIDE at a time."""
+def _shared(at: np.ndarray, token: np.ndarray, n: int, k: int) -> np.ndarray:
+    """How many tokens each of the first k of n sentences has in common with each of the others, or each with each if k is 0: from those that both sides have, WIDE at a time."""
     seen, many = np.unique(token, return_inverse=True, return_counts=True)[1:]
-    kept = many[seen] > 1
+    before = np.bincount(seen[at < k], minlength=len(many))
+    kept = ((before > 0) & (before < many) if k else many > 1)[seen]
     at, token = at[kept], np.unique(seen[kept], return_inverse=True)[1]
-    common = np.zeros((n, n), np.float32)
+    common = np.zeros((k or n, n - k), np.float32)
     for begin in range(0, token.max(initial=-1) + 1, WIDE):
         part = (token >= begin) & (token < begin + WIDE)
         holds = np.zeros((n, min(WIDE, token.max() + 1 - begin)), np.float32)
         holds[at[part], token[part] - begin] = 1
-        common += holds @ holds.T
+        common += holds[: k or n] @ holds[k:].T
     return common
 
 
+def _lists(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Array:
+    i, j, w = (np.concatenate(x) for x in zip(*found, strict=True))
+    pairs = pa.StructArray.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(w, pa.float64())], ["i", "j", "w"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x[0]) for x in found)]), pa.int32()), pairs)
+
+
 @F.arrow_udf(ArrayType(StructType().add("i", IntegerType()).add("j", IntegerType()).add("w", DoubleType())))
-def _edges(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """Texts as arrays of their sentences' tokens, and the logarithms of the numbers of these; TEXTS of them are held at a time with their edges."""
-    for whole, whole_logs in batches:
-        for k in range(0, len(whole), TEXTS):
-            texts, logs = whole.slice(k, TEXTS), whole_logs.slice(k, TEXTS)
-            values, found = logs.flatten().to_numpy(zero_copy_only=False), [(np.empty(0, int), np.empty(0, int), np.empty(0))]
-            for at, tokens, own in _each(texts):
+def _edges(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Rows of _blocks: their sentences' tokens, the logarithms of the numbers of these, and how many sentences are the first block's; TEXTS of them, or those of some PAIRS edges, are held at a time."""
+    for whole in batches:
+        for begin in range(0, len(whole[0]), TEXTS):
+            texts, logs, firsts = (x.slice(begin, TEXTS) for x in whole)
+            values, found, held = logs.flatten().to_numpy(zero_copy_only=False), [], 0
+            for (at, tokens, own), k in zip(_each(texts), firsts.to_pylist(), strict=True):
                 log = values[own]
                 long = np.bincount(at, minlength=len(log)) >= 2  # a shorter sentence is like nothing
-                common = np.triu(_shared(at, tokens, len(log)), 1) * (long[:, None] & long)
-                i, j = np.nonzero(common)
-                found.append((i, j, common[i, j].astype(float) / np.maximum(log[i] + log[j], 0.5)))
-            i, j, w = (np.concatenate(x) for x in zip(*found, strict=True))
-            pairs = pa.StructArray.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(w, pa.float64())], ["i", "j", "w"])
-            yield pa.ListArray.from_arrays(pa.array(np.cumsum([len(x[0]) for x in found]), pa.int32()), pairs)
+                common = _shared(at, tokens, len(log), k) * (long[: k or None, None] & long[k:])
+                i, j = np.nonzero(common if k else np.triu(common, 1))
+                found.append((i, j, common[i, j].astype(float) / np.maximum(log[i] + log[j + k], 0.5)))
+                held += len(i)
+                if held >= PAIRS:
+                    yield _lists(found)
+                    found, held = [], 0
+            if found:
+                yield _lists(found)
 
 
 def _logs() -> Column:
     return F.transform("s", lambda x: F.coalesce(F.log(F.size(x["tokens"])), F.lit(0.0)))
 
 
-def sentence_edges(texts: DataFrame) -> DataFrame:
-    """texts(id, s) -> id, i, j, w for i before j of one text: common tokens by the logarithms of their numbers in both, for sentences of two or more. A text is one row and one
-    task's work: at most 200 sentences bound the pairs, a product of matrices counts them, and nothing is shuffled."""
-    return texts.select("id", _edges(F.transform("s", lambda x: x["tokens"]), _logs()).alias("e")).select("id", F.inline("e"))
+def _blocks(texts: DataFrame) -> DataFrame:
+    """texts(id, s) -> id, a, b, tokens, logs, k: a row for each two blocks of BLOCK sentences of a text, a not after b, with the tokens of both blocks' sentences; k of them are of block a, or 0 if a is b."""
+    t = texts.where("s IS NOT NULL").select("id", F.transform("s", lambda x: x["tokens"]).alias("t"), _logs().alias("l"))
+    a, b, last = F.col("a"), F.col("b"), F.expr(f"cast((size(t) - 1) / {BLOCK} as int)")
+    t = t.withColumn("a", F.explode(F.sequence(F.lit(0), last))).withColumn("b", F.explode(F.sequence("a", last)))
+    block = lambda c, n: F.slice(c, n * BLOCK + 1, F.lit(BLOCK))
+    both = lambda c: F.when(a == b, block(c, a)).otherwise(F.concat(block(c, a), block(c, b)))
+    return once(t, tokens=both("t"), logs=both("l")).select("id", "a", "b", "tokens", "logs", F.when(a == b, 0).otherwise(BLOCK).alias("k"))
+
+
+def sentence_edges(texts: DataFrame, long: DataFrame | None = None) -> DataFrame:
+    """texts(id, s) -> id, i, j, w for i before j of one text: common tokens by the logarithms of their numbers in both, for sentences of two or more. All sentences of s meet, in
+    blocks of BLOCK, so that a text of any length is rows of a bounded size; a product of matrices counts the tokens. A text is one task's work and nothing is shuffled, but for the
+    texts of long, if given: their blocks are dealt over the cores."""
+    rows = _blocks(texts)
+    if long is not None:
+        rows = rows.union(_blocks(long).repartition(rows.sparkSession.sparkContext.defaultParallelism, "id", "a", "b"))
+    e = rows.select("id", "a", "b", _edges("tokens", "logs", "k").alias("e")).select("id", "a", "b", F.inline_outer("e"))
+    return e.where("i IS NOT NULL").select("id", (F.col("a") * BLOCK + F.col("i")).alias("i"), (F.col("b") * BLOCK + F.col("j")).alias("j"), "w")
 
 
 def _ranked(at: np.ndarray, token: np.ndarray, logs: np.ndarray) -> np.ndarray:
